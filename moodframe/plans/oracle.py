@@ -144,3 +144,155 @@ ORACLE["keyword_hits_join"] = f"""
     FROM {SCORED_DOCS} sd JOIN {LEXICON_DIM} ON contains(sd.cleaned_text, lx.keyword)
     GROUP BY sd.doc_id, lx.emotion
 """.replace("AS lexicon(", "AS lx(")
+
+
+# ---------------------------------------------------------------------------
+# Submissions → history → records / users / logs
+# ---------------------------------------------------------------------------
+
+from moodframe.functions.text import WS_RUN_PATTERN  # noqa: E402
+from moodframe.plans.registry import SAMPLE_EMAIL, SNAPSHOT_CUTOFF  # noqa: E402
+
+
+def trim_ws_sql(col: str) -> str:
+    return f"regexp_replace({col}, {q(WS_RUN_PATTERN)}, '', 'g')"
+
+
+def iso_sql(col: str) -> str:
+    return f"strftime({col}, '%Y-%m-%dT%H:%M:%S')"
+
+
+GUIDE = GUIDANCE_DIM.replace("AS guidance(", "AS gd(")
+
+HISTORY_CTES = f"""
+    sd AS {SCORED_DOCS},
+    m AS {_mixed_long()},
+    mg AS (SELECT doc_id, count(*) AS n, string_agg(emotion, ' + ' ORDER BY rank) AS label,
+                  max(CASE WHEN rank = 2 THEN emotion END) AS secondary
+           FROM m GROUP BY doc_id),
+    sdm AS (SELECT sd.doc_id, sd.emotion, sd.confidence,
+                   CASE WHEN mg.n > 1 THEN mg.label ELSE sd.emotion END AS mixed_label,
+                   mg.secondary
+            FROM sd JOIN mg ON mg.doc_id = sd.doc_id),
+    subs AS {SUBMISSIONS_VIEW},
+    v AS (SELECT seq, ts, doc_id, {trim_ws_sql('email')} AS email,
+                 coalesce(nullif({trim_ws_sql('name')}, ''), 'Learner') AS name,
+                 coalesce(nullif(role, ''), 'student') AS role,
+                 field, text, model_choice, save
+          FROM subs WHERE text IS NOT NULL AND {trim_ws_sql('text')} <> ''),
+    h AS (SELECT v.seq, v.ts, v.doc_id, v.email, v.name, v.role, v.field, v.text, v.model_choice, v.save,
+                 rt.slot,
+                 CASE rt.slot WHEN 0 THEN 'BERT Fallback' ELSE 'BiLSTM Fallback' END AS model,
+                 sdm.emotion AS primary_emotion, sdm.mixed_label AS emotion, sdm.secondary AS secondary_emotion,
+                 sdm.confidence, sdm.emotion AS selected_emotion, sdm.confidence AS selected_confidence,
+                 gd.response AS ai_response, {q(RESPONSE_TYPE)} AS response_type
+          FROM v JOIN sdm ON sdm.doc_id = v.doc_id
+          JOIN (VALUES ('bert', 0), ('bilstm', 1), ('compare', 0), ('compare', 1)) rt(choice, slot)
+            ON rt.choice = lower(v.model_choice)
+          LEFT JOIN {GUIDE} ON gd.emotion = sdm.emotion),
+    rec AS (SELECT row_number() OVER (ORDER BY ts, seq, slot) AS record_id, email, field,
+                   text AS input_text, primary_emotion AS predicted_emotion, secondary_emotion,
+                   confidence AS confidence_score, model AS model_used, ai_response, response_type,
+                   {iso_sql('ts')} AS timestamp, true AS csv_logged, slot, seq, doc_id
+            FROM h WHERE save),
+    logins AS (SELECT email, name, role, ts, seq FROM v WHERE save),
+    users AS (SELECT email, arg_max(name, (ts, seq)) AS name, arg_max(role, (ts, seq)) AS role,
+                     count(*) AS login_count, min(ts) AS created_at FROM logins GROUP BY email),
+    users_before AS (SELECT email FROM logins WHERE ts < TIMESTAMP '{SNAPSHOT_CUTOFF}' GROUP BY email),
+    ex AS (SELECT seq, ts, text, lower(selected_emotion) AS emotion, selected_confidence AS confidence,
+                  ai_response AS response, field, {iso_sql('ts')} AS timestamp
+           FROM h WHERE save AND (lower(model_choice) <> 'compare' OR slot = 0))
+"""
+
+REC_COLS = """record_id, email, field, predicted_emotion, secondary_emotion,
+              round(confidence_score, 6) AS confidence_score, model_used, ai_response, response_type,
+              timestamp, csv_logged"""
+
+
+def with_history(select: str) -> str:
+    return f"WITH {HISTORY_CTES} {select}"
+
+
+ORACLE["submissions_valid"] = with_history("SELECT seq, doc_id, field, model_choice, save FROM v")
+ORACLE["submissions_rejected"] = with_history(
+    f"SELECT seq, doc_id FROM subs WHERE text IS NULL OR {trim_ws_sql('text')} = ''"
+)
+ORACLE["submission_identity"] = with_history(
+    f"""SELECT seq, {trim_ws_sql('email')} AS email,
+               coalesce(nullif({trim_ws_sql('name')}, ''), 'Learner') AS name,
+               coalesce(nullif(role, ''), 'student') AS role FROM subs"""
+)
+ORACLE["route_models"] = with_history(
+    """SELECT v.seq, CAST(rt.slot AS BIGINT) AS slot FROM v
+       JOIN (VALUES ('bert', 0), ('bilstm', 1), ('compare', 0), ('compare', 1)) rt(choice, slot)
+       ON rt.choice = lower(v.model_choice)"""
+)
+ORACLE["history_rows"] = with_history(
+    f"""SELECT seq, CAST(slot AS BIGINT) AS slot, {iso_sql('ts')} AS timestamp, field, emotion,
+               primary_emotion, secondary_emotion, round(confidence, 6) AS confidence, ai_response,
+               model, response_type FROM h"""
+)
+ORACLE["select_best_model"] = with_history(
+    """SELECT seq, CAST(min(slot) AS BIGINT) AS slot, any_value(primary_emotion) AS emotion,
+              round(any_value(confidence), 6) AS confidence,
+              CASE min(slot) WHEN 0 THEN 'BERT Fallback' ELSE 'BiLSTM Fallback' END AS model
+       FROM h GROUP BY seq"""
+)
+ORACLE["compare_models"] = with_history(
+    """SELECT seq, CASE slot WHEN 0 THEN 'bert' ELSE 'bilstm' END AS model_key, primary_emotion AS emotion,
+              round(confidence, 6) AS confidence, model
+       FROM h WHERE lower(model_choice) = 'compare'"""
+)
+ORACLE["records_build"] = with_history(f"SELECT {REC_COLS}, input_text FROM rec")
+ORACLE["records_all"] = with_history(f"SELECT {REC_COLS} FROM rec")
+ORACLE["records_by_user"] = with_history(f"SELECT {REC_COLS} FROM rec WHERE email = {q(SAMPLE_EMAIL)}")
+ORACLE["scores_json_roundtrip"] = with_history(
+    f"""SELECT rec.record_id, u.emotion, round(CAST(u.tenths AS DOUBLE) / u.total_tenths, 6) AS score
+        FROM rec JOIN {unpivot_sql('sd', ['doc_id'])} u ON u.doc_id = rec.doc_id"""
+)
+USERS_OUT = f"email, name, role, CAST(login_count AS BIGINT) AS login_count, {iso_sql('created_at')} AS created_at"
+ORACLE["users_upsert_batch"] = with_history(f"SELECT {USERS_OUT} FROM users")
+ORACLE["users_upsert_incremental"] = ORACLE["users_upsert_batch"]
+ORACLE["examples_append"] = with_history(
+    "SELECT seq, emotion, round(confidence, 6) AS confidence, response, field, timestamp FROM ex"
+)
+ORACLE["examples_count"] = with_history("SELECT count(*) AS n_examples FROM ex")
+ORACLE["mapping_insert_if_absent"] = with_history(
+    """SELECT selected_emotion AS emotion, arg_min(ai_response, (ts, seq)) AS response
+       FROM h WHERE save AND (lower(model_choice) <> 'compare' OR slot = 0) GROUP BY selected_emotion"""
+)
+ORACLE["fk_valid"] = with_history(
+    "SELECT record_id, email FROM rec WHERE email IN (SELECT email FROM users_before)"
+)
+ORACLE["fk_violations"] = with_history(
+    "SELECT record_id, email FROM rec WHERE email NOT IN (SELECT email FROM users_before)"
+)
+ORACLE["cascade_delete"] = with_history(
+    "SELECT record_id, email FROM rec WHERE email NOT IN (SELECT email FROM users WHERE role = 'admin')"
+)
+ORACLE["user_records"] = with_history(
+    """SELECT users.email, users.name, users.role, CAST(users.login_count AS BIGINT) AS login_count,
+              rec.record_id, rec.predicted_emotion
+       FROM users JOIN rec ON rec.email = users.email"""
+)
+ORACLE["emotion_counts"] = with_history("SELECT emotion, count(*) AS count FROM h GROUP BY emotion")
+ORACLE["field_emotion_model_counts"] = with_history(
+    "SELECT field, emotion, model, count(*) AS count FROM h GROUP BY field, emotion, model"
+)
+ORACLE["history_kpis"] = with_history(
+    """SELECT (SELECT count(*) FROM h) AS interactions,
+              (SELECT round(avg(confidence), 6) FROM h) AS avg_confidence,
+              (SELECT emotion FROM h GROUP BY emotion ORDER BY count(*) DESC, emotion LIMIT 1)
+                AS most_common_emotion"""
+)
+ORACLE["confidence_series"] = with_history(
+    "SELECT seq, CAST(slot AS BIGINT) AS slot, strftime(ts, '%H:%M:%S') AS time, round(confidence, 6) AS confidence FROM h"
+)
+ORACLE["recent_sessions"] = with_history(
+    """SELECT seq, CAST(slot AS BIGINT) AS slot, field, emotion, round(confidence, 6) AS confidence
+       FROM h ORDER BY ts DESC, seq DESC, slot DESC LIMIT 3"""
+)
+ORACLE["history_summary"] = with_history(
+    f"""SELECT seq, CAST(slot AS BIGINT) AS slot, {iso_sql('ts')} AS timestamp, field, emotion,
+               round(confidence, 6) AS confidence, model, response_type FROM h"""
+)

@@ -175,3 +175,259 @@ def q_keyword_hits_join(spark, sf_dir):
 
     hits = keyword_hits(spark, scored_docs(spark, sf_dir).select("doc_id", "cleaned_text"), ["doc_id"])
     return hits.select("doc_id", "emotion", F.col("n_hits").cast("bigint").alias("n_hits"), F.col("tenths").cast("bigint").alias("tenths"))
+
+
+# ---------------------------------------------------------------------------
+# Submissions → history → records / users / logs
+# ---------------------------------------------------------------------------
+
+from moodframe.operators import analytics as A  # noqa: E402
+from moodframe.operators import store as ST  # noqa: E402
+
+CUTOFF = "2024-01-16 00:00:00"
+# Users known at this point form the snapshot the key checks run against.
+SNAPSHOT_CUTOFF = "2024-01-01 06:00:00"
+SAMPLE_EMAIL = "user7@example.com"
+
+
+def history(spark, sf_dir):
+    return ST.keyword_history(V.submissions(spark, sf_dir), V.texts(spark, sf_dir))
+
+
+def records(spark, sf_dir):
+    return ST.build_records(history(spark, sf_dir))
+
+
+def before(df, col="ts"):
+    return df.filter(F.col(col) < F.lit(CUTOFF).cast("timestamp_ntz"))
+
+
+def after(df, col="ts"):
+    return df.filter(F.col(col) >= F.lit(CUTOFF).cast("timestamp_ntz"))
+
+
+@query
+def q_submissions_valid(spark, sf_dir):
+    v = ST.valid_submissions(V.submissions(spark, sf_dir))
+    return v.select("seq", "doc_id", "field", "model_choice", "save")
+
+
+@query
+def q_submissions_rejected(spark, sf_dir):
+    r = ST.rejected_submissions(V.submissions(spark, sf_dir))
+    return r.select("seq", "doc_id")
+
+
+@query
+def q_submission_identity(spark, sf_dir):
+    v = ST.clean_identity(V.submissions(spark, sf_dir))
+    return v.select("seq", "email", "name", "role")
+
+
+@query
+def q_route_models(spark, sf_dir):
+    r = P.route_models(ST.valid_submissions(V.submissions(spark, sf_dir)))
+    return r.select("seq", F.col("slot").cast("bigint").alias("slot"))
+
+
+@query
+def q_history_rows(spark, sf_dir):
+    h = history(spark, sf_dir)
+    return h.select(
+        "seq",
+        F.col("slot").cast("bigint").alias("slot"),
+        T.iso_seconds("ts").alias("timestamp"),
+        "field",
+        "emotion",
+        "primary_emotion",
+        "secondary_emotion",
+        r6("confidence").alias("confidence"),
+        "ai_response",
+        "model",
+        "response_type",
+    )
+
+
+@query
+def q_select_best_model(spark, sf_dir):
+    """Per submission, the result whose guidance is shown."""
+    h = history(spark, sf_dir)
+    best = P.select_best(h, ["seq"], ["primary_emotion", "confidence", "model"])
+    return best.select(
+        "seq",
+        F.col("slot").cast("bigint").alias("slot"),
+        F.col("primary_emotion").alias("emotion"),
+        r6("confidence").alias("confidence"),
+        "model",
+    )
+
+
+@query
+def q_compare_models(spark, sf_dir):
+    """Compare submissions: nested map per text, flattened back for checking."""
+    h = history(spark, sf_dir).filter(F.lower("model_choice") == "compare")
+    keyed = h.select(
+        "seq",
+        F.when(F.col("slot") == ST.SLOT_A, F.lit("bert")).otherwise(F.lit("bilstm")).alias("model_key"),
+        F.col("primary_emotion").alias("emotion"),
+        "confidence",
+        "model",
+    )
+    nested = P.compare_models(keyed, ["seq"])
+    flat = nested.select("seq", F.explode("results").alias("model_key", "pred"))
+    return flat.select(
+        "seq", "model_key", F.col("pred.emotion").alias("emotion"),
+        r6("pred.confidence").alias("confidence"), F.col("pred.model").alias("model"),
+    )
+
+
+RECORD_COLS = [
+    "record_id", "email", "field", "predicted_emotion", "secondary_emotion", "confidence_score",
+    "model_used", "ai_response", "response_type", "timestamp", "csv_logged",
+]
+
+
+def _records_out(r):
+    return r.select(*[r6(c).alias(c) if c == "confidence_score" else F.col(c) for c in RECORD_COLS])
+
+
+@query
+def q_records_build(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return _records_out(r).join(r.select("record_id", "input_text"), "record_id")
+
+
+@query
+def q_records_all(spark, sf_dir):
+    return _records_out(ST.fetch_records(records(spark, sf_dir)))
+
+
+@query
+def q_records_by_user(spark, sf_dir):
+    return _records_out(ST.fetch_records(records(spark, sf_dir), SAMPLE_EMAIL))
+
+
+@query
+def q_scores_json_roundtrip(spark, sf_dir):
+    r = records(spark, sf_dir)
+    parsed = r.select("record_id", F.from_json("emotion_scores", "map<string,double>").alias("m"))
+    e = parsed.select("record_id", F.explode("m").alias("emotion", "score"))
+    return e.select("record_id", "emotion", r6("score").alias("score"))
+
+
+def _users_out(u):
+    return u.select(
+        "email", "name", "role", F.col("login_count").cast("bigint").alias("login_count"),
+        T.iso_seconds("created_at").alias("created_at"),
+    )
+
+
+@query
+def q_users_upsert_batch(spark, sf_dir):
+    logins = ST.login_log(V.submissions(spark, sf_dir))
+    return _users_out(ST.users_from_logins(logins))
+
+
+@query
+def q_users_upsert_incremental(spark, sf_dir):
+    logins = ST.login_log(V.submissions(spark, sf_dir))
+    prior = ST.users_from_logins(before(logins))
+    return _users_out(ST.upsert_users(prior, after(logins)))
+
+
+def _examples_out(e):
+    return e.select("seq", "emotion", r6("confidence").alias("confidence"), "response", "field", "timestamp")
+
+
+@query
+def q_examples_append(spark, sf_dir):
+    ex = ST.examples_log(history(spark, sf_dir))
+    return _examples_out(ST.append_examples(before(ex), after(ex)))
+
+
+@query
+def q_examples_count(spark, sf_dir):
+    ex = ST.examples_log(history(spark, sf_dir))
+    return ex.agg(F.count(F.lit(1)).alias("n_examples"))
+
+
+@query
+def q_mapping_insert_if_absent(spark, sf_dir):
+    batch = ST.mapping_batch(history(spark, sf_dir))
+    empty = spark.createDataFrame([], "emotion string, response string")
+    first = ST.mapping_insert_if_absent(empty, before(batch))
+    return ST.mapping_insert_if_absent(first, after(batch))
+
+
+def _users_snapshot(spark, sf_dir):
+    logins = ST.login_log(V.submissions(spark, sf_dir))
+    return ST.users_from_logins(logins.filter(F.col("ts") < F.lit(SNAPSHOT_CUTOFF).cast("timestamp_ntz")))
+
+
+@query
+def q_fk_valid(spark, sf_dir):
+    return ST.fk_valid(records(spark, sf_dir), _users_snapshot(spark, sf_dir)).select("record_id", "email")
+
+
+@query
+def q_fk_violations(spark, sf_dir):
+    return ST.fk_violations(records(spark, sf_dir), _users_snapshot(spark, sf_dir)).select("record_id", "email")
+
+
+@query
+def q_cascade_delete(spark, sf_dir):
+    users = ST.users_from_logins(ST.login_log(V.submissions(spark, sf_dir)))
+    deleted = users.filter(F.col("role") == "admin")
+    return ST.cascade_delete(records(spark, sf_dir), deleted).select("record_id", "email")
+
+
+@query
+def q_user_records(spark, sf_dir):
+    users = ST.users_from_logins(ST.login_log(V.submissions(spark, sf_dir)))
+    j = users.join(records(spark, sf_dir), "email")
+    return j.select(
+        "email", "name", "role", F.col("login_count").cast("bigint").alias("login_count"),
+        "record_id", "predicted_emotion",
+    )
+
+
+# ---------------------------------------------------------------------------
+# Analytics over history
+# ---------------------------------------------------------------------------
+
+
+@query
+def q_emotion_counts(spark, sf_dir):
+    return A.emotion_counts(history(spark, sf_dir))
+
+
+@query
+def q_field_emotion_model_counts(spark, sf_dir):
+    return A.field_emotion_model_counts(history(spark, sf_dir))
+
+
+@query
+def q_history_kpis(spark, sf_dir):
+    k = A.history_kpis(history(spark, sf_dir))
+    return k.select("interactions", r6("avg_confidence").alias("avg_confidence"), "most_common_emotion")
+
+
+@query
+def q_confidence_series(spark, sf_dir):
+    s = A.confidence_series(history(spark, sf_dir))
+    return s.select("seq", F.col("slot").cast("bigint").alias("slot"), "time", r6("confidence").alias("confidence"))
+
+
+@query
+def q_recent_sessions(spark, sf_dir):
+    r = A.recent_sessions(history(spark, sf_dir))
+    return r.select("seq", F.col("slot").cast("bigint").alias("slot"), "field", "emotion", r6("confidence").alias("confidence"))
+
+
+@query
+def q_history_summary(spark, sf_dir):
+    h = A.history_summary(history(spark, sf_dir))
+    return h.select(
+        "seq", F.col("slot").cast("bigint").alias("slot"), T.iso_seconds("ts").alias("timestamp"), "field",
+        "emotion", r6("confidence").alias("confidence"), "model", "response_type",
+    )
