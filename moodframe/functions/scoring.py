@@ -141,13 +141,22 @@ def mixed_from_probs(probs: Column | str, threshold: float = MIXED_EMOTION_THRES
     return F.filter(sorted_probs(probs), lambda x, i: (i == 0) | (x["score"] >= F.lit(threshold)))
 
 
+def _sum(arr: Column) -> Column:
+    return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def _divide_all(arr: Column, by: Column) -> Column:
+    """arr / by element-wise.  ``by`` is passed as a repeated array rather than
+    captured by the lambda: a captured expression is re-evaluated per element
+    (higher-order functions run interpreted), which nests badly."""
+    return F.zip_with(arr, F.array_repeat(by, F.size(arr)), lambda v, d: v / d)
+
+
 def softmax(logits: Column | str) -> Column:
     """exp(x - max) / sum: stable softmax over an array column."""
     x = _c(logits).cast("array<double>")
-    m = F.array_max(x)
-    ex = F.transform(x, lambda v: F.exp(v - m))
-    s = F.aggregate(ex, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(ex, lambda v: v / s)
+    ex = F.zip_with(x, F.array_repeat(F.array_max(x), F.size(x)), lambda v, m: F.exp(v - m))
+    return _divide_all(ex, _sum(ex))
 
 
 def prob_repair(probs: Column | str, n: int = len(EMOTIONS)) -> Column:
@@ -155,11 +164,12 @@ def prob_repair(probs: Column | str, n: int = len(EMOTIONS)) -> Column:
     a zero sum gives the uniform distribution.  Empty/NULL input → NULL."""
     p = _c(probs).cast("array<double>")
     size = F.size(p)
-    resized = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at(p, F.pmod(i, size) + 1))
-    s = F.aggregate(resized, F.lit(0.0), lambda acc, v: acc + v)
+    copies = F.ceil(F.lit(float(n)) / size).cast("int")
+    resized = F.slice(F.flatten(F.array_repeat(p, copies)), 1, n)
+    s = _sum(resized)
     uniform = F.array_repeat(F.lit(1.0 / n), n)
     return (
         F.when(p.isNull() | (size <= 0), F.lit(None).cast("array<double>"))
-        .when(s != 0.0, F.transform(resized, lambda v: v / s))
+        .when(s != 0.0, _divide_all(resized, s))
         .otherwise(uniform)
     )

@@ -296,3 +296,222 @@ ORACLE["history_summary"] = with_history(
     f"""SELECT seq, CAST(slot AS BIGINT) AS slot, {iso_sql('ts')} AS timestamp, field, emotion,
                round(confidence, 6) AS confidence, model, response_type FROM h"""
 )
+
+
+# ---------------------------------------------------------------------------
+# Labelled dataset, split, vocabulary, sequences, evaluation
+# ---------------------------------------------------------------------------
+
+from moodframe.functions.constants import (  # noqa: E402
+    CSV_NULL_TOKENS,
+    DEFAULT_STOP_WORDS,
+    MAX_SEQ_LEN,
+    NOUN_SUFFIX_RULES,
+    VOCAB_NUM_WORDS,
+)
+
+TOKENS_LIST = "(" + ", ".join(q(t) for t in CSV_NULL_TOKENS) + ")"
+STOP_LIST = "[" + ", ".join(q(w) for w in sorted(set(DEFAULT_STOP_WORDS))) + "]"
+EMO_LIST = "[" + ", ".join(q(e) for e in EMOTIONS) + "]"
+RULES_DIM = (
+    "(VALUES " + ", ".join(f"({i + 1}, {q(s)}, {q(r)})" for i, (s, r) in enumerate(NOUN_SUFFIX_RULES)) + ") AS rules(r, suf, rep)"
+)
+
+
+def nulltok(col: str) -> str:
+    return f"CASE WHEN {col} IN {TOKENS_LIST} THEN NULL ELSE {col} END"
+
+
+def toks_sql(cleaned: str) -> str:
+    return f"list_filter(string_split({cleaned}, ' '), lambda x: x <> '')"
+
+
+def nostop_sql(cleaned: str) -> str:
+    return f"list_filter(string_split({cleaned}, ' '), lambda x: x <> '' AND NOT list_contains({STOP_LIST}, x))"
+
+
+PREP_CTES = f"""
+    lab AS {LABELLED_VIEW},
+    l1 AS (SELECT row_id, {nulltok('text')} AS text, {nulltok('emotion')} AS emotion FROM lab),
+    l2 AS (SELECT row_id, text, upper(left(e, 1)) || lower(substr(e, 2)) AS emotion
+           FROM (SELECT row_id, text, {trim_ws_sql('emotion')} AS e FROM l1
+                 WHERE text IS NOT NULL AND emotion IS NOT NULL) t),
+    l3 AS (SELECT * FROM l2 WHERE emotion IN (SELECT unnest({EMO_LIST}))),
+    prep AS (SELECT row_id, text, emotion, clean_text, CAST(list_position({EMO_LIST}, emotion) - 1 AS INTEGER) AS label
+             FROM (SELECT row_id, text, emotion, array_to_string({nostop_sql(clean_sql('text'))}, ' ') AS clean_text
+                   FROM l3) t
+             WHERE length(clean_text) > 0),
+    cnt AS (SELECT label, count(*) AS c FROM prep GROUP BY label),
+    tot AS (SELECT CAST(sum(c) AS BIGINT) AS n, min(c) AS c_min, count(*) AS k FROM cnt),
+    q0 AS (SELECT cnt.label, cnt.c, tot.n, tot.c_min,
+                  CAST(ceil(CAST(0.2 AS DOUBLE) * tot.n) AS BIGINT) AS n_val,
+                  tot.n - CAST(ceil(CAST(0.2 AS DOUBLE) * tot.n) AS BIGINT) AS n_train
+           FROM cnt, tot),
+    q1 AS (SELECT *, CAST(c AS DOUBLE) / CAST(n AS DOUBLE) * CAST(n_train AS DOUBLE) AS cont FROM q0),
+    q2 AS (SELECT *, CAST(floor(cont) AS BIGINT) AS base, cont - floor(cont) AS rem FROM q1),
+    quotas AS (SELECT label, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, label)
+                                         <= n_train - sum(base) OVER () THEN 1 ELSE 0 END AS train_q
+               FROM q2),
+    split AS (SELECT p.row_id, p.label, p.clean_text,
+                     CASE WHEN row_number() OVER (PARTITION BY p.label ORDER BY md5('42|' || CAST(p.row_id AS VARCHAR)), p.row_id) - 1
+                               < qu.train_q THEN 'train' ELSE 'validation' END AS split
+              FROM prep p JOIN quotas qu ON qu.label = p.label),
+    wp AS (SELECT row_id, split, unnest(generate_series(0, len(toks) - 1)) AS pos, unnest(toks) AS word
+           FROM (SELECT row_id, split, {toks_sql('clean_text')} AS toks FROM split) t),
+    perdoc AS (SELECT word, row_id, count(*) AS n, min(pos) AS p FROM wp WHERE split = 'train' GROUP BY word, row_id),
+    stats AS (SELECT word, sum(n) AS word_count, count(*) AS doc_count, min(row_id) AS fk, arg_min(p, row_id) AS fp
+              FROM perdoc GROUP BY word),
+    vocab AS (SELECT * FROM (SELECT word, CAST(row_number() OVER (ORDER BY word_count DESC, fk, fp) + 1 AS INTEGER) AS index,
+                                    CAST(word_count AS BIGINT) AS word_count, CAST(doc_count AS BIGINT) AS doc_count
+                             FROM stats) t WHERE index < {VOCAB_NUM_WORDS}),
+    enc AS (SELECT wp.row_id, list(coalesce(v.index, 1) ORDER BY wp.pos) AS ids
+            FROM wp LEFT JOIN vocab v ON v.word = wp.word GROUP BY wp.row_id)
+"""
+
+
+def with_prep(select: str) -> str:
+    return f"WITH {PREP_CTES} {select}"
+
+
+ORACLE["src_null_tokens"] = f"SELECT row_id, {nulltok('emotion')} AS emotion FROM {LABELLED_VIEW} lab"
+ORACLE["label_normalize"] = with_prep(
+    f"SELECT row_id, upper(left(e, 1)) || lower(substr(e, 2)) AS emotion FROM (SELECT row_id, {trim_ws_sql('emotion')} AS e FROM l1 WHERE emotion IS NOT NULL) t"
+)
+ORACLE["label_domain_filter"] = with_prep(
+    f"""SELECT row_id, emotion FROM (SELECT row_id, upper(left(e, 1)) || lower(substr(e, 2)) AS emotion
+        FROM (SELECT row_id, {trim_ws_sql('emotion')} AS e FROM l1 WHERE emotion IS NOT NULL) t) u
+        WHERE emotion IN (SELECT unnest({EMO_LIST}))"""
+)
+ORACLE["label_encode"] = with_prep(
+    f"""SELECT row_id, emotion, CAST(list_position({EMO_LIST}, emotion) - 1 AS INTEGER) AS label
+        FROM (SELECT row_id, upper(left(e, 1)) || lower(substr(e, 2)) AS emotion
+        FROM (SELECT row_id, {trim_ws_sql('emotion')} AS e FROM l1 WHERE emotion IS NOT NULL) t) u
+        WHERE emotion IN (SELECT unnest({EMO_LIST}))"""
+)
+ORACLE["remove_stopwords"] = (
+    f"SELECT doc_id, array_to_string({nostop_sql(clean_sql('text'))}, ' ') AS clean_text FROM documents"
+)
+LEMMA_CTES = f"""
+    tk AS (SELECT doc_id, {nostop_sql(clean_sql('text'))} AS toks FROM documents),
+    words AS (SELECT DISTINCT unnest(toks) AS word FROM tk),
+    cands AS (SELECT w.word, rules.r, left(w.word, length(w.word) - length(rules.suf)) || rules.rep AS cand
+              FROM words w JOIN {RULES_DIM} ON suffix(w.word, rules.suf) AND length(w.word) > length(rules.suf)),
+    valid AS (SELECT c.* FROM cands c JOIN words w2 ON w2.word = c.cand),
+    best AS (SELECT word, arg_min(cand, (length(cand), r)) AS lemma FROM valid GROUP BY word),
+    lem AS (SELECT word AS surface, lemma FROM best WHERE length(lemma) < length(word)),
+    tp AS (SELECT doc_id, unnest(generate_series(0, len(toks) - 1)) AS pos, unnest(toks) AS tok FROM tk),
+    lemmatized AS (SELECT tk.doc_id,
+                          coalesce(string_agg(coalesce(lem.lemma, tp.tok), ' ' ORDER BY tp.pos), '') AS clean_text
+                   FROM tk LEFT JOIN tp ON tp.doc_id = tk.doc_id LEFT JOIN lem ON lem.surface = tp.tok
+                   GROUP BY tk.doc_id)
+"""
+ORACLE["lemma_table"] = f"WITH {LEMMA_CTES} SELECT surface, lemma FROM lem"
+ORACLE["lemmatize_lookup"] = f"WITH {LEMMA_CTES} SELECT doc_id, clean_text FROM lemmatized"
+ORACLE["clean_text_full"] = ORACLE["lemmatize_lookup"]
+ORACLE["prepare_dataset"] = with_prep("SELECT row_id, emotion, clean_text, label FROM prep")
+ORACLE["label_distribution"] = with_prep("SELECT label, emotion, count(*) AS n FROM prep GROUP BY label, emotion")
+ORACLE["split_stratified"] = with_prep("SELECT row_id, label, split FROM split")
+ORACLE["split_sizes"] = with_prep("SELECT label, split, count(*) AS n FROM split GROUP BY label, split")
+ORACLE["vocab_fit"] = with_prep("SELECT word, index, word_count, doc_count FROM vocab")
+ORACLE["vocab_size"] = with_prep(
+    f"""SELECT CAST(count(*) AS BIGINT) AS n_words, CAST(least({VOCAB_NUM_WORDS}, count(*) + 2) AS BIGINT) AS vocab_size
+        FROM (SELECT DISTINCT word FROM wp WHERE split = 'train') t"""
+)
+ORACLE["encode_sequences"] = with_prep(
+    """SELECT row_id, CAST(len(ids) AS BIGINT) AS n_ids, CAST(len(list_filter(ids, lambda x: x = 1)) AS BIGINT) AS n_oov,
+              array_to_string(ids, ' ') AS ids FROM enc"""
+)
+ORACLE["pad_sequences"] = with_prep(
+    f"""SELECT row_id, CAST({MAX_SEQ_LEN} AS BIGINT) AS length,
+              array_to_string(list_slice(list_concat(ids, list_transform(range({MAX_SEQ_LEN}), lambda x: 0)), 1, {MAX_SEQ_LEN}), ' ') AS padded
+        FROM enc"""
+)
+ORACLE["one_hot"] = with_prep(
+    "SELECT row_id, label, array_to_string(list_transform(range(7), lambda i: CASE WHEN i = label THEN 1 ELSE 0 END), ' ') AS one_hot FROM prep"
+)
+
+SOFTMAX_SQL = """list_transform(ex, lambda x: x / list_sum(ex))"""
+ORACLE["softmax"] = f"""
+    SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS BIGINT) AS top_index,
+           round(list_max(p), 6) AS top_prob, round(list_sum(p), 6) AS total
+    FROM (SELECT vec_id, {SOFTMAX_SQL} AS p
+          FROM (SELECT vec_id, list_transform(e, lambda x: exp(x - list_max(e))) AS ex
+                FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) a) b) c
+"""
+
+
+def repair_sql(arr: str) -> str:
+    resized = f"list_transform(range(7), lambda i: ({arr})[(i % len({arr})) + 1])"
+    return f"""(SELECT CASE WHEN list_sum(rz) <> 0 THEN list_transform(rz, lambda x: x / list_sum(rz))
+                      ELSE list_transform(range(7), lambda i: 1.0 / 7) END FROM (SELECT {resized} AS rz))"""
+
+
+ORACLE["prob_repair"] = f"""
+    SELECT vec_id, ({EMO_LIST})[list_position(p, list_max(p))] AS emotion, round(list_max(p), 6) AS confidence,
+           round(p[1], 6) AS p_happy, round(p[7], 6) AS p_neutral
+    FROM (SELECT vec_id, {repair_sql('r')} AS p
+          FROM (SELECT vec_id, list_transform(embedding, lambda x: greatest(CAST(x AS DOUBLE), 0.0)) AS r FROM embeddings) a) b
+"""
+ORACLE["predict_with_fallback"] = f"""
+    WITH sm AS (SELECT vec_id AS doc_id, {SOFTMAX_SQL} AS s
+                FROM (SELECT vec_id, list_transform(e, lambda x: exp(x - list_max(e))) AS ex
+                      FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) a) b),
+         ext AS (SELECT doc_id, {repair_sql('s')} AS p FROM sm),
+         sd AS {SCORED_DOCS}
+    SELECT sd.doc_id,
+           CASE WHEN ext.p IS NULL THEN sd.emotion ELSE ({EMO_LIST})[list_position(ext.p, list_max(ext.p))] END AS emotion,
+           round(CASE WHEN ext.p IS NULL THEN sd.confidence ELSE list_max(ext.p) END, 6) AS confidence,
+           CASE WHEN ext.p IS NULL THEN 'BiLSTM Fallback' ELSE 'BiLSTM' END AS model
+    FROM sd LEFT JOIN ext ON ext.doc_id = sd.doc_id
+"""
+
+EVAL_CTES = f"""
+    {PREP_CTES},
+    sd AS {SCORED_DOCS},
+    pairs AS (SELECT prep.row_id, prep.label AS actual, CAST(list_position({EMO_LIST}, sd.emotion) - 1 AS INTEGER) AS predicted
+              FROM prep JOIN sd ON sd.doc_id = prep.row_id),
+    cm0 AS (SELECT actual, predicted, count(*) AS n FROM pairs GROUP BY actual, predicted),
+    cm AS (SELECT g.a AS actual, g.p AS predicted, CAST(coalesce(cm0.n, 0) AS BIGINT) AS n
+           FROM (SELECT a.a, b.p FROM range(7) a(a), range(7) b(p)) g
+           LEFT JOIN cm0 ON cm0.actual = g.a AND cm0.predicted = g.p),
+    pc0 AS (SELECT l.i AS label_id,
+                   (SELECT n FROM cm WHERE actual = l.i AND predicted = l.i) AS tp,
+                   (SELECT sum(n) FROM cm WHERE actual = l.i) AS support,
+                   (SELECT sum(n) FROM cm WHERE predicted = l.i) AS predicted_n
+            FROM range(7) l(i)),
+    pc1 AS (SELECT label_id, support,
+                   CASE WHEN predicted_n > 0 THEN CAST(tp AS DOUBLE) / predicted_n ELSE 0.0 END AS precision,
+                   CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS recall FROM pc0),
+    pc AS (SELECT label_id, ({EMO_LIST})[label_id + 1] AS emotion, precision, recall,
+                  CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+                  CAST(support AS BIGINT) AS support FROM pc1)
+"""
+
+
+def with_eval(select: str) -> str:
+    return f"WITH {EVAL_CTES} {select}"
+
+
+ORACLE["confusion_matrix"] = with_eval("SELECT CAST(actual AS BIGINT) AS actual, CAST(predicted AS BIGINT) AS predicted, n FROM cm")
+ORACLE["confusion_matrix_wide"] = with_eval(
+    "SELECT CAST(actual AS BIGINT) AS actual, "
+    + ", ".join(f"CAST(sum(CASE WHEN predicted = {i} THEN n END) AS BIGINT) AS pred_{i}" for i in range(7))
+    + " FROM cm GROUP BY actual"
+)
+ORACLE["classification_report"] = with_eval(
+    """SELECT CAST(label_id AS BIGINT) AS label_id, emotion, round(precision, 6) AS precision, round(recall, 6) AS recall,
+              round(f1, 6) AS f1, support FROM pc
+       UNION ALL
+       SELECT -3, 'accuracy', NULL, NULL, round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 6), count(*) FROM pairs
+       UNION ALL
+       SELECT -2, 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM pc
+       UNION ALL
+       SELECT -1, 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+              round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM pc"""
+)
+ORACLE["weighted_metrics"] = with_eval(
+    """SELECT (SELECT round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END), 6) FROM pairs) AS accuracy,
+              round(sum(precision * support) / sum(support), 6) AS precision,
+              round(sum(recall * support) / sum(support), 6) AS recall,
+              round(sum(f1 * support) / sum(support), 6) AS f1 FROM pc"""
+)

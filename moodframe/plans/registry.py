@@ -431,3 +431,239 @@ def q_history_summary(spark, sf_dir):
         "seq", F.col("slot").cast("bigint").alias("slot"), T.iso_seconds("ts").alias("timestamp"), "field",
         "emotion", r6("confidence").alias("confidence"), "model", "response_type",
     )
+
+
+# ---------------------------------------------------------------------------
+# Labelled dataset preparation and split
+# ---------------------------------------------------------------------------
+
+from moodframe.functions.constants import DEFAULT_STOP_WORDS, MAX_SEQ_LEN  # noqa: E402
+from moodframe.operators import dataset as D  # noqa: E402
+from moodframe.operators import evaluation as EV  # noqa: E402
+from moodframe.operators import features as FE  # noqa: E402
+
+
+def prepared(spark, sf_dir):
+    return D.prepare_dataset(V.labelled(spark, sf_dir))
+
+
+def split(spark, sf_dir):
+    return D.split_stratified(prepared(spark, sf_dir))
+
+
+@query
+def q_src_null_tokens(spark, sf_dir):
+    return V.labelled(spark, sf_dir).select("row_id", D.null_tokens_to_null("emotion").alias("emotion"))
+
+
+@query
+def q_label_normalize(spark, sf_dir):
+    d = V.labelled(spark, sf_dir).select("row_id", D.null_tokens_to_null("emotion").alias("emotion")).dropna()
+    return d.select("row_id", D.normalize_label("emotion").alias("emotion"))
+
+
+@query
+def q_label_domain_filter(spark, sf_dir):
+    d = V.labelled(spark, sf_dir).select("row_id", D.null_tokens_to_null("emotion").alias("emotion")).dropna()
+    return D.supported_labels(d.select("row_id", D.normalize_label("emotion").alias("emotion")))
+
+
+@query
+def q_label_encode(spark, sf_dir):
+    d = q_label_domain_filter(spark, sf_dir)
+    return d.select("row_id", "emotion", D.label_id("emotion").alias("label"))
+
+
+@query
+def q_remove_stopwords(spark, sf_dir):
+    return D.training_text(V.texts(spark, sf_dir), "doc_id", stop_words=DEFAULT_STOP_WORDS)
+
+
+def _tokens_no_stop(spark, sf_dir):
+    d = V.texts(spark, sf_dir)
+    return d.select("doc_id", T.remove_stopwords(T.tokenize(T.basic_clean("text")), DEFAULT_STOP_WORDS).alias("tokens"))
+
+
+@query
+def q_lemma_table(spark, sf_dir):
+    """Lemma table derived from the corpus vocabulary (noun suffix rules)."""
+    return D.corpus_lemma_table(_tokens_no_stop(spark, sf_dir))
+
+
+@query
+def q_lemmatize_lookup(spark, sf_dir):
+    toks = _tokens_no_stop(spark, sf_dir)
+    lem = D.corpus_lemma_table(toks)
+    out = T.lemmatize_tokens(toks, "doc_id", "tokens", lem)
+    return out.select("doc_id", F.array_join("tokens", " ").alias("clean_text"))
+
+
+@query
+def q_clean_text_full(spark, sf_dir):
+    toks = _tokens_no_stop(spark, sf_dir)
+    lem = D.corpus_lemma_table(toks)
+    return D.training_text(V.texts(spark, sf_dir), "doc_id", stop_words=DEFAULT_STOP_WORDS, lemmas=lem)
+
+
+@query
+def q_prepare_dataset(spark, sf_dir):
+    return prepared(spark, sf_dir).select("row_id", "emotion", "clean_text", "label")
+
+
+@query
+def q_label_distribution(spark, sf_dir):
+    p = prepared(spark, sf_dir)
+    return p.groupBy("label", "emotion").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_split_stratified(spark, sf_dir):
+    return split(spark, sf_dir).select("row_id", "label", "split")
+
+
+@query
+def q_split_sizes(spark, sf_dir):
+    return split(spark, sf_dir).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# Vocabulary and sequences
+# ---------------------------------------------------------------------------
+
+
+def train_part(spark, sf_dir):
+    return split(spark, sf_dir).filter(F.col("split") == "train")
+
+
+@query
+def q_vocab_fit(spark, sf_dir):
+    return FE.vocab_fit(train_part(spark, sf_dir), "row_id")
+
+
+@query
+def q_vocab_size(spark, sf_dir):
+    return FE.vocab_size(train_part(spark, sf_dir), "row_id")
+
+
+def _encoded(spark, sf_dir):
+    s = split(spark, sf_dir)
+    vocab = FE.vocab_fit(s.filter(F.col("split") == "train"), "row_id")
+    return FE.encode(s, vocab, "row_id")
+
+
+@query
+def q_encode_sequences(spark, sf_dir):
+    e = _encoded(spark, sf_dir)
+    return e.select(
+        "row_id",
+        F.size("ids").cast("bigint").alias("n_ids"),
+        F.size(F.filter("ids", lambda x: x == 1)).cast("bigint").alias("n_oov"),
+        F.array_join("ids", " ").alias("ids"),
+    )
+
+
+@query
+def q_pad_sequences(spark, sf_dir):
+    e = _encoded(spark, sf_dir)
+    p = e.select("row_id", FE.pad("ids", MAX_SEQ_LEN).alias("padded"))
+    return p.select(
+        "row_id",
+        F.size("padded").cast("bigint").alias("length"),
+        F.array_join("padded", " ").alias("padded"),
+    )
+
+
+@query
+def q_one_hot(spark, sf_dir):
+    p = prepared(spark, sf_dir)
+    oh = FE.one_hot("label")
+    return p.select("row_id", "label", F.array_join(F.transform(oh, lambda x: x.cast("int")), " ").alias("one_hot"))
+
+
+# ---------------------------------------------------------------------------
+# Probability arrays: softmax, repair, fallback
+# ---------------------------------------------------------------------------
+
+
+@query
+def q_softmax(spark, sf_dir):
+    e = load_table(spark, sf_dir, "embeddings")
+    p = e.select("vec_id", S.softmax("embedding").alias("p"))
+    return p.select(
+        "vec_id",
+        (F.array_position("p", F.array_max("p")) - 1).cast("bigint").alias("top_index"),
+        r6(F.array_max("p")).alias("top_prob"),
+        r6(F.aggregate("p", F.lit(0.0), lambda a, x: a + x)).alias("total"),
+    )
+
+
+@query
+def q_prob_repair(spark, sf_dir):
+    e = load_table(spark, sf_dir, "embeddings")
+    relu = F.transform("embedding", lambda x: F.greatest(x.cast("double"), F.lit(0.0)))
+    p = e.select("vec_id", S.prob_repair(relu).alias("p"))
+    return p.select(
+        "vec_id",
+        S.argmax_from_probs("p").alias("emotion"),
+        r6(F.array_max("p")).alias("confidence"),
+        r6(F.element_at("p", 1)).alias("p_happy"),
+        r6(F.element_at("p", 7)).alias("p_neutral"),
+    )
+
+
+def external_scores(spark, sf_dir):
+    """An external model-B output table keyed by doc_id: softmax of the stored
+    embedding, repaired to the seven labels (documents without one get none)."""
+    e = load_table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("doc_id"), S.prob_repair(S.softmax("embedding")).alias("probs"))
+
+
+@query
+def q_predict_with_fallback(spark, sf_dir):
+    from moodframe.operators.modeling import with_fallback
+
+    kw = scored_docs(spark, sf_dir)
+    ext = external_scores(spark, sf_dir)
+    out = with_fallback(kw, ext, "doc_id", "BiLSTM")
+    return out.select("doc_id", "emotion", r6("confidence").alias("confidence"), "model")
+
+
+# ---------------------------------------------------------------------------
+# Evaluation: labelled truth vs keyword prediction
+# ---------------------------------------------------------------------------
+
+
+def eval_pairs(spark, sf_dir):
+    p = prepared(spark, sf_dir).select("row_id", F.col("label").alias("actual"))
+    kw = P.predict_keyword(V.texts(spark, sf_dir), ["doc_id"]).select(
+        F.col("doc_id").alias("row_id"), D.label_id("emotion").alias("predicted")
+    )
+    return p.join(kw, "row_id")
+
+
+@query
+def q_confusion_matrix(spark, sf_dir):
+    return EV.confusion_long(eval_pairs(spark, sf_dir)).select(
+        F.col("actual").cast("bigint").alias("actual"), F.col("predicted").cast("bigint").alias("predicted"), "n"
+    )
+
+
+@query
+def q_confusion_matrix_wide(spark, sf_dir):
+    w = EV.confusion_wide(eval_pairs(spark, sf_dir))
+    return w.select(F.col("actual").cast("bigint").alias("actual"), *[F.col(f"pred_{i}").cast("bigint").alias(f"pred_{i}") for i in range(7)])
+
+
+@query
+def q_classification_report(spark, sf_dir):
+    r = EV.classification_report(eval_pairs(spark, sf_dir))
+    return r.select(
+        F.col("label_id").cast("bigint").alias("label_id"), "emotion", r6("precision").alias("precision"),
+        r6("recall").alias("recall"), r6("f1").alias("f1"), "support",
+    )
+
+
+@query
+def q_weighted_metrics(spark, sf_dir):
+    m = EV.weighted_metrics(eval_pairs(spark, sf_dir))
+    return m.select(*[r6(c).alias(c) for c in ["accuracy", "precision", "recall", "f1"]])

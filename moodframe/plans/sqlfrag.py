@@ -97,6 +97,7 @@ LABELLED_VIEW = f"""
           WHEN 2 THEN ' ' || {pick_sql(EMOTIONS, 'doc_id % 7')} || chr(9)
           WHEN 3 THEN 'Bored'
           WHEN 4 THEN NULL
+          WHEN 5 THEN 'NA'
           ELSE {pick_sql(EMOTIONS, 'doc_id % 7')} END AS emotion
      FROM documents)
 """

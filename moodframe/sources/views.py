@@ -37,7 +37,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, text, emotion) with a raw label string per document.
 
     label = EMOTIONS[doc_id % 7]; by doc_id % 11: 1 lower case, 2 padded with a
-    space and a tab, 3 unsupported ('Bored'), 4 missing (NULL).
+    space and a tab, 3 unsupported ('Bored'), 4 missing (NULL), 5 the CSV
+    null token 'NA'.
     """
     d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     base = _pick(EMOTIONS, F.pmod("doc_id", F.lit(len(EMOTIONS))))
@@ -47,6 +48,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 2, F.concat(F.lit(" "), base, F.lit("\t")))
         .when(k == 3, F.lit("Bored"))
         .when(k == 4, F.lit(None).cast("string"))
+        .when(k == 5, F.lit("NA"))
         .otherwise(base)
     )
     return d.select(F.col("doc_id").alias("row_id"), "text", label.alias("emotion"))
