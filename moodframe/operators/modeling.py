@@ -3,7 +3,7 @@ for the two trained models, and a pluggable Arrow-batched scorer."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodframe.functions import scoring as S
@@ -28,3 +28,128 @@ def with_fallback(keyword_pred: DataFrame, model_probs: DataFrame, key: str, slo
     ).drop("emotion", "confidence", "model", "_p").withColumnRenamed("_emotion", "emotion").withColumnRenamed(
         "_confidence", "confidence"
     ).withColumnRenamed("_model", "model")
+
+
+# ---------------------------------------------------------------------------
+# MLlib text classifiers in the two model slots
+# ---------------------------------------------------------------------------
+
+from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
+from pyspark.ml.classification import LogisticRegression  # noqa: E402
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator  # noqa: E402
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, RegexTokenizer, VectorAssembler  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit  # noqa: E402
+
+from moodframe.functions.constants import EMOTIONS, VOCAB_NUM_WORDS  # noqa: E402
+
+
+def _tokenizer(text_col: str) -> RegexTokenizer:
+    return RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=" ", gaps=True, toLowercase=False)
+
+
+def fit_model_b(train: DataFrame, text_col: str = "clean_text", label_col: str = "label", max_iter: int = 30) -> PipelineModel:
+    """Slot B: bag of words over a fitted vocabulary (≤ 20,000 terms), IDF,
+    multinomial logistic regression.  Gradients are tree-aggregated across
+    executors; only the coefficient matrix lives on the driver."""
+    pipe = Pipeline(
+        stages=[
+            _tokenizer(text_col),
+            CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=VOCAB_NUM_WORDS),
+            IDF(inputCol="_tf", outputCol="_features"),
+            LogisticRegression(
+                featuresCol="_features", labelCol=label_col, family="multinomial", maxIter=max_iter, regParam=0.01
+            ),
+        ]
+    )
+    return pipe.fit(train)
+
+
+def fit_model_a(train: DataFrame, text_col: str = "clean_text", label_col: str = "label", max_iter: int = 20, seed: int = 42):
+    """Slot A: hashed unigrams + bigrams, logistic regression; the
+    regularisation is chosen on a held-out part by weighted F1 (the metric
+    used to keep the best model)."""
+    tok = _tokenizer(text_col)
+    bigrams = NGram(n=2, inputCol="_tokens", outputCol="_bigrams")
+    tf1 = HashingTF(inputCol="_tokens", outputCol="_tf1", numFeatures=1 << 15)
+    tf2 = HashingTF(inputCol="_bigrams", outputCol="_tf2", numFeatures=1 << 15)
+    asm = VectorAssembler(inputCols=["_tf1", "_tf2"], outputCol="_features")
+    lr = LogisticRegression(featuresCol="_features", labelCol=label_col, family="multinomial", maxIter=max_iter)
+    pipe = Pipeline(stages=[tok, bigrams, tf1, tf2, asm, lr])
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).build()
+    ev = MulticlassClassificationEvaluator(labelCol=label_col, predictionCol="prediction", metricName="f1")
+    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, trainRatio=0.8, seed=seed)
+    return tvs.fit(train).bestModel
+
+
+def score_model(
+    model: PipelineModel,
+    df: DataFrame,
+    key: str,
+    slot_name: str,
+    text_col: str = "clean_text",
+    labels: list[str] = EMOTIONS,
+) -> DataFrame:
+    """(key, probs, emotion, confidence, model): model probabilities repaired
+    to the label count, argmax first-wins.  A narrow map over the input."""
+    from moodframe.functions import scoring as S
+
+    out = model.transform(df.select(key, text_col))
+    p = out.select(key, S.prob_repair(vector_to_array("probability"), len(labels)).alias("probs"))
+    return p.select(
+        key,
+        "probs",
+        S.argmax_from_probs("probs", labels).alias("emotion"),
+        F.array_max("probs").alias("confidence"),
+        F.lit(slot_name).alias("model"),
+    )
+
+
+def predictions_for_eval(model: PipelineModel, df: DataFrame, label_col: str = "label", text_col: str = "clean_text") -> DataFrame:
+    out = model.transform(df.select(label_col, text_col))
+    return out.select(F.col(label_col).cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"))
+
+
+def training_history(model: PipelineModel) -> DataFrame:
+    """(iteration, loss) of the final logistic regression stage."""
+    lr = model.stages[-1]
+    hist = list(lr.summary.objectiveHistory)
+    spark = SparkSession.getActiveSession()
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(hist)], "iteration int, loss double")
+
+
+# ---------------------------------------------------------------------------
+# Pluggable Arrow-batched scorer
+# ---------------------------------------------------------------------------
+
+_SCORERS: dict = {}
+
+
+def score_with_pandas(df: DataFrame, scorer_factory, key: str, text_col: str, slot_name: str, n_labels: int = len(EMOTIONS)) -> DataFrame:
+    """Apply an external text classifier with ``mapInPandas``.
+
+    ``scorer_factory()`` builds a callable ``list[str] -> 2-D array`` of
+    probabilities; it is built once per Python worker and reused for every
+    Arrow batch.  A batch that raises yields NULL probabilities, which
+    ``with_fallback`` turns into keyword predictions for those rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    factory_id = id(scorer_factory)
+
+    def run(batches):
+        scorer = _SCORERS.get(factory_id)
+        if scorer is None:
+            scorer = scorer_factory()
+            _SCORERS[factory_id] = scorer
+        for pdf in batches:
+            try:
+                probs = np.asarray(scorer(pdf[text_col].fillna("").tolist()), dtype="float64")
+                col = [list(row) for row in probs.reshape(len(pdf), -1)]
+            except Exception:  # noqa: BLE001 - any scoring error falls back per batch
+                col = [None] * len(pdf)
+            yield pd.DataFrame({key: pdf[key], "probs": col})
+
+    key_type = df.schema[key].dataType.simpleString()
+    return df.select(key, text_col).mapInPandas(run, f"{key} {key_type}, probs array<double>")

@@ -45,9 +45,13 @@ def predict_keyword(
     """Prediction struct in flat form: emotion (first maximum in label order),
     confidence = max / total, plus the tenths for later steps."""
     scored = score_texts(df, keys, text_col, balance)
+    # The argmax always finds a label; coalesce makes that visible to Catalyst
+    # (non-nullable), so a later join on the label does not infer an
+    # ``isnotnull`` filter and push it — with the whole scoring expression —
+    # down to the scan.
     return scored.select(
         "*",
-        S.argmax_label().alias("emotion"),
+        F.coalesce(S.argmax_label(), F.lit(S.EMOTIONS[0])).alias("emotion"),
         (S.max_tenths() / F.col("total_tenths").cast("double")).alias("confidence"),
         F.lit(model_name).alias("model"),
     )

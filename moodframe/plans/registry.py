@@ -636,7 +636,7 @@ def q_predict_with_fallback(spark, sf_dir):
 def eval_pairs(spark, sf_dir):
     p = prepared(spark, sf_dir).select("row_id", F.col("label").alias("actual"))
     kw = P.predict_keyword(V.texts(spark, sf_dir), ["doc_id"]).select(
-        F.col("doc_id").alias("row_id"), D.label_id("emotion").alias("predicted")
+        F.col("doc_id").alias("row_id"), F.coalesce(D.label_id("emotion"), F.lit(-1)).alias("predicted")
     )
     return p.join(kw, "row_id")
 
@@ -667,3 +667,85 @@ def q_classification_report(spark, sf_dir):
 def q_weighted_metrics(spark, sf_dir):
     m = EV.weighted_metrics(eval_pairs(spark, sf_dir))
     return m.select(*[r6(c).alias(c) for c in ["accuracy", "precision", "recall", "f1"]])
+
+
+# ---------------------------------------------------------------------------
+# Model training and scoring (MLlib; rows-only checks)
+# ---------------------------------------------------------------------------
+
+
+def binary_split(spark, sf_dir):
+    """documents ⋈ labels (quality 0/1): a truth that text can predict."""
+    b = V.binary(spark, sf_dir)
+    cleaned = D.training_text(b, "doc_id")
+    prep = b.select("doc_id", "label").join(cleaned, "doc_id").filter(F.length("clean_text") > 0)
+    return D.split_stratified(prep, key="doc_id").persist()
+
+
+def _metrics_row(pairs, n_train):
+    m = EV.weighted_metrics(pairs)
+    return m.select(
+        *[r6(c).alias(c) for c in ["accuracy", "precision", "recall", "f1"]],
+        F.lit(n_train).cast("bigint").alias("n_train"),
+    )
+
+
+@query
+def q_train_model_b(spark, sf_dir):
+    from moodframe.operators import modeling as M
+
+    s = binary_split(spark, sf_dir)
+    train = s.filter(F.col("split") == "train")
+    model = M.fit_model_b(train)
+    pairs = M.predictions_for_eval(model, s.filter(F.col("split") == "validation"))
+    return _metrics_row(pairs, train.count())
+
+
+@query
+def q_train_model_a(spark, sf_dir):
+    from moodframe.operators import modeling as M
+
+    s = binary_split(spark, sf_dir)
+    train = s.filter(F.col("split") == "train")
+    model = M.fit_model_a(train)
+    pairs = M.predictions_for_eval(model, s.filter(F.col("split") == "validation"))
+    return _metrics_row(pairs, train.count())
+
+
+@query
+def q_evaluate_model(spark, sf_dir):
+    from moodframe.operators import modeling as M
+
+    s = binary_split(spark, sf_dir)
+    model = M.fit_model_b(s.filter(F.col("split") == "train"))
+    pairs = M.predictions_for_eval(model, s.filter(F.col("split") == "validation"))
+    return EV.confusion_long(pairs, ["low", "high"])
+
+
+@query
+def q_training_history(spark, sf_dir):
+    from moodframe.operators import modeling as M
+
+    s = binary_split(spark, sf_dir)
+    return M.training_history(M.fit_model_b(s.filter(F.col("split") == "train")))
+
+
+def _emotion_model(spark, sf_dir, slot):
+    from moodframe.operators import modeling as M
+
+    s = split(spark, sf_dir).persist()
+    train = s.filter(F.col("split") == "train")
+    model = M.fit_model_a(train) if slot == "a" else M.fit_model_b(train)
+    texts = D.training_text(V.texts(spark, sf_dir), "doc_id")
+    name = "BERT" if slot == "a" else "BiLSTM"
+    return M.score_model(model, texts, "doc_id", name)
+
+
+@query
+def q_predict_model_a(spark, sf_dir):
+    return _emotion_model(spark, sf_dir, "a").select("doc_id", "emotion", r6("confidence").alias("confidence"), "model")
+
+
+@query
+def q_predict_model_b(spark, sf_dir):
+    return _emotion_model(spark, sf_dir, "b").select("doc_id", "emotion", r6("confidence").alias("confidence"), "model")
