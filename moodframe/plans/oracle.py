@@ -515,3 +515,11 @@ ORACLE["weighted_metrics"] = with_eval(
               round(sum(recall * support) / sum(support), 6) AS recall,
               round(sum(f1 * support) / sum(support), 6) AS f1 FROM pc"""
 )
+
+
+# Streaming jobs equal their batch counterparts.
+ORACLE["stream_score_records"] = ORACLE["records_all"]
+ORACLE["stream_users"] = ORACLE["users_upsert_batch"]
+ORACLE["stream_emotion_counts"] = ORACLE["emotion_counts"]
+ORACLE["stream_examples"] = ORACLE["examples_append"]
+ORACLE["stream_mapping"] = ORACLE["mapping_insert_if_absent"]

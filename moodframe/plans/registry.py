@@ -749,3 +749,46 @@ def q_predict_model_a(spark, sf_dir):
 @query
 def q_predict_model_b(spark, sf_dir):
     return _emotion_model(spark, sf_dir, "b").select("doc_id", "emotion", r6("confidence").alias("confidence"), "model")
+
+
+# ---------------------------------------------------------------------------
+# Streaming (run to completion with availableNow, then read the sink back)
+# ---------------------------------------------------------------------------
+
+
+@query
+def q_stream_score_records(spark, sf_dir):
+    from moodframe.streaming import jobs as J
+
+    out = J.stream_records(spark, sf_dir)
+    return _records_out(spark.read.parquet(out))
+
+
+@query
+def q_stream_users(spark, sf_dir):
+    from moodframe.streaming import jobs as J
+
+    return _users_out(J.latest_snapshot(spark, J.stream_users(spark, sf_dir)))
+
+
+@query
+def q_stream_emotion_counts(spark, sf_dir):
+    from moodframe.streaming import jobs as J
+
+    return J.latest_snapshot(spark, J.stream_emotion_counts(spark, sf_dir))
+
+
+@query
+def q_stream_examples(spark, sf_dir):
+    from moodframe.streaming import jobs as J
+
+    out = J.stream_logs(spark, sf_dir)
+    return _examples_out(spark.read.parquet(f"{out}/examples"))
+
+
+@query
+def q_stream_mapping(spark, sf_dir):
+    from moodframe.streaming import jobs as J
+
+    out = J.stream_logs(spark, sf_dir)
+    return spark.read.parquet(f"{out}/mapping").select("emotion", "response")

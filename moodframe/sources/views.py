@@ -54,17 +54,21 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("row_id"), "text", label.alias("emotion"))
 
 
-def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def submissions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, n_docs=None) -> DataFrame:
     """One submission per event.
 
     The event is matched to document ``event_id mod count(documents)`` (doc_id
     is dense 0..n-1).  The count is a scalar subquery, so the plan stays lazy
     and the join is an ordinary equi-join on doc_id that Spark can shuffle or
-    broadcast by size.
+    broadcast by size.  A streaming ``events`` frame can be passed instead of
+    the table (then ``n_docs`` is given as a number).
     """
-    ev = load_table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    ev = (events if events is not None else load_table(spark, sf_dir, "events")).select("event_id", "ts", "user_id")
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
+    if n_docs is None:
+        n_docs = docs.select(F.count(F.lit(1))).scalar()
+    else:
+        n_docs = F.lit(n_docs)
     e = ev.select(
         "event_id",
         "ts",
