@@ -22,6 +22,7 @@ WS_CLASS = (
 URL_PATTERN = rf"https?://[^{WS_CLASS}]+|www\.[^{WS_CLASS}]+"
 # The 32 ASCII punctuation characters: deleted, not spaced.
 PUNCT_PATTERN = r"[!-/:-@\[-`{-~]"
+PUNCT_CHARS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 # Anything left that is not a lowercase ASCII letter or digit separates words.
 NON_WORD_PATTERN = r"[^a-z0-9]+"
 WS_RUN_PATTERN = rf"^[{WS_CLASS}]+|[{WS_CLASS}]+$"
@@ -37,15 +38,22 @@ def trim_ws(col: Column | str) -> Column:
 
 
 def expand_contractions(col: Column | str) -> Column:
-    """Literal replacements, in the fixed order (``can't`` before ``n't`` before ``'t``)."""
-    out = _c(col)
+    """Literal replacements, in the fixed order (``can't`` before ``n't`` before ``'t``).
+
+    Every contraction has an apostrophe, so texts without one skip the ten
+    string copies."""
+    src = _c(col)
+    out = src
     for short, long in CONTRACTIONS:
         out = F.replace(out, F.lit(short), F.lit(long))
-    return out
+    return F.when(F.instr(src, "'") > 0, out).otherwise(src)
 
 
 def strip_urls(col: Column | str) -> Column:
-    return F.regexp_replace(_c(col), URL_PATTERN, " ")
+    """URLs → one space; the regex runs only on texts that can hold one."""
+    c = _c(col)
+    maybe = (F.instr(c, "http") > 0) | (F.instr(c, "www.") > 0)
+    return F.when(maybe, F.regexp_replace(c, URL_PATTERN, " ")).otherwise(c)
 
 
 def basic_clean(col: Column | str) -> Column:
@@ -57,7 +65,7 @@ def basic_clean(col: Column | str) -> Column:
     out = F.lower(_c(col))
     out = expand_contractions(out)
     out = strip_urls(out)
-    out = F.regexp_replace(out, PUNCT_PATTERN, "")
+    out = F.translate(out, PUNCT_CHARS, "")  # delete punctuation (char map, no regex)
     out = F.regexp_replace(out, NON_WORD_PATTERN, " ")
     return F.trim(out)
 

@@ -21,7 +21,7 @@ from moodframe.functions.constants import (
     MODEL_A,
     MODEL_B,
 )
-from moodframe.functions.text import iso_seconds, trim_ws
+from moodframe.functions.text import WS_CLASS, iso_seconds, trim_ws
 from moodframe.operators import predict as P
 from moodframe.operators.indexing import with_dense_index
 
@@ -35,16 +35,23 @@ PRED_FIELDS = ["slot", "emotion", "confidence", "probs", "model", "cleaned_text"
 
 
 def is_blank(col: Column | str) -> Column:
+    """NULL, or nothing but (Unicode) whitespace.  ``rlike`` stops at the first
+    non-space character, so this does not scan whole texts."""
     c = F.col(col) if isinstance(col, str) else col
-    return c.isNull() | (trim_ws(c) == "")
+    return c.isNull() | ~c.rlike(f"[^{WS_CLASS}]")
+
+
+def _blank(subs: DataFrame) -> Column:
+    # a precomputed flag lets Catalyst prune the text column from upstream joins
+    return F.col("text_blank") if "text_blank" in subs.columns else is_blank("text")
 
 
 def valid_submissions(subs: DataFrame) -> DataFrame:
-    return subs.filter(~is_blank("text"))
+    return subs.filter(~_blank(subs))
 
 
 def rejected_submissions(subs: DataFrame) -> DataFrame:
-    return subs.filter(is_blank("text"))
+    return subs.filter(_blank(subs))
 
 
 def clean_identity(subs: DataFrame) -> DataFrame:

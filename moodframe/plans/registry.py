@@ -42,7 +42,9 @@ def scored_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_clean_text(spark, sf_dir):
-    d = V.texts(spark, sf_dir)
+    from moodframe.operators.partitioning import spread
+
+    d = spread(V.texts(spark, sf_dir))
     return d.select("doc_id", T.basic_clean("text").alias("cleaned_text"))
 
 

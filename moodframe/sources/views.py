@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodframe.functions.constants import ACADEMIC_FIELDS, EMOTIONS, ROLES
+from moodframe.functions.text import WS_CLASS
 from moodframe.sources.tables import load_table
 
 MODEL_CHOICES = ["bert", "bilstm", "compare"]
@@ -65,6 +66,10 @@ def submissions(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
     """
     ev = (events if events is not None else load_table(spark, sf_dir, "events")).select("event_id", "ts", "user_id")
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    # blank-text flag computed once per document, before the join: jobs that
+    # only need the flag never carry the text through the shuffle
+    nonspace = f"[^{WS_CLASS}]"
+    docs = docs.select("doc_id", "text", (F.col("text").isNull() | ~F.col("text").rlike(nonspace)).alias("doc_blank"))
     if n_docs is None:
         n_docs = docs.select(F.count(F.lit(1))).scalar()
     else:
@@ -82,7 +87,8 @@ def submissions(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
         .when(F.pmod(eid, F.lit(17)) == 0, F.lit("   "))
         .otherwise(F.concat(F.lit("  User "), F.col("user_id").cast("string")))
     )
-    text = F.when(F.pmod(eid, F.lit(53)) == 0, F.lit(" \t ")).otherwise(F.col("text"))
+    event_blank = F.pmod(eid, F.lit(53)) == 0
+    text = F.when(event_blank, F.lit(" \t ")).otherwise(F.col("text"))
     return j.select(
         F.col("event_id").alias("seq"),
         "ts",
@@ -92,6 +98,7 @@ def submissions(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
         _pick(ROLES, F.pmod(eid + F.col("user_id"), F.lit(3))).alias("role"),
         _pick(ACADEMIC_FIELDS, F.pmod(eid, F.lit(11))).alias("field"),
         text.alias("text"),
+        (event_blank | F.col("doc_blank")).alias("text_blank"),
         _pick(MODEL_CHOICES, F.pmod(eid, F.lit(3))).alias("model_choice"),
         (F.pmod(eid, F.lit(10)) != 0).alias("save"),
     )
