@@ -70,8 +70,11 @@ def basic_clean(col: Column | str) -> Column:
 
 
 def tokenize(cleaned: Column | str) -> Column:
-    """Whitespace tokens of cleaned text; empty text gives an empty array."""
-    return F.filter(F.split(_c(cleaned), " "), lambda t: t != "")
+    """Tokens of cleaned text (single-spaced, trimmed); empty text gives an
+    empty array rather than ``['']``.  No lambda: higher-order functions run
+    interpreted, a plain ``split`` stays in generated code."""
+    c = _c(cleaned)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
 
 
 def remove_stopwords(tokens: Column | str, stop_words: list[str]) -> Column:
@@ -114,3 +117,8 @@ def clean_text(
 def iso_seconds(ts: Column | str) -> Column:
     """Timestamp as ISO text to whole seconds (fraction truncated)."""
     return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def percent(col: Column | str) -> Column:
+    """0.4567 → '45.7%' (formatting at the edge only; tables keep doubles)."""
+    return F.format_string("%.1f%%", _c(col) * 100)

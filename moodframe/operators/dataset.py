@@ -17,8 +17,9 @@ from moodframe.functions.constants import (
     SPLIT_SEED,
     VALIDATION_SIZE,
 )
-from moodframe.functions.text import basic_clean, lemmatize_tokens, remove_stopwords, tokenize, trim_ws
+from moodframe.functions.text import basic_clean, lemmatize_tokens, tokenize, trim_ws
 from moodframe.operators.indexing import with_dense_index
+from moodframe.operators.partitioning import fence, spread
 
 log = logging.getLogger(__name__)
 
@@ -73,6 +74,16 @@ def corpus_lemma_table(tokens: DataFrame, token_col: str = "tokens") -> DataFram
     return best.filter(F.length("lemma") < F.length("word")).select(F.col("word").alias("surface"), "lemma")
 
 
+def drop_stop_words(df: DataFrame, key: str, tokens_col: str, stop_words: list[str] = DEFAULT_STOP_WORDS) -> DataFrame:
+    """Remove stop words keeping order and duplicates.  MLlib's transformer
+    filters against a hash set on the JVM (a per-token lambda would run
+    interpreted)."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    remover = StopWordsRemover(inputCol=tokens_col, outputCol="_kept", stopWords=list(stop_words), caseSensitive=True)
+    return remover.transform(df.select(key, tokens_col)).select(key, F.col("_kept").alias(tokens_col))
+
+
 def training_text(
     df: DataFrame,
     key: str,
@@ -83,14 +94,14 @@ def training_text(
     """(key, clean_text) with stop-word removal and optional lemma lookup.
 
     Without a lemma table the lemma step is the identity (logged)."""
-    toks = df.select(key, tokenize(basic_clean(text_col)).alias("tokens"))
+    toks = spread(df.select(key, text_col)).select(key, tokenize(basic_clean(text_col)).alias("tokens"))
     if stop_words is not None:
-        toks = toks.select(key, remove_stopwords("tokens", stop_words).alias("tokens"))
+        toks = drop_stop_words(toks, key, "tokens", stop_words)
     if lemmas is not None:
         toks = lemmatize_tokens(toks, key, "tokens", lemmas)
     else:
         log.info("no lemma table given: lemmatisation is the identity")
-    return toks.select(key, F.array_join("tokens", " ").alias("clean_text"))
+    return fence(toks.select(key, F.array_join("tokens", " ").alias("clean_text")))
 
 
 def prepare_dataset(
@@ -109,7 +120,8 @@ def prepare_dataset(
     d = supported_labels(d) if check_nonempty else d.filter(F.col("emotion").isin(EMOTIONS))
     cleaned = training_text(d, key, "text", stop_words, lemmas)
     j = d.join(cleaned, key)
-    return j.filter(F.length("clean_text") > 0).withColumn("label", label_id("emotion"))
+    kept = j.filter(F.length("clean_text") > 0)
+    return kept.select(key, "text", "emotion", "clean_text", label_id("emotion").alias("label"))
 
 
 # ---------------------------------------------------------------------------
@@ -174,24 +186,25 @@ def split_stratified(
     When the smallest class has fewer than two rows the split is not
     stratified: the first n_val rows by hash go to validation.
     """
-    quotas = split_quotas(df, validation_size, label_col)
+    h = df.withColumn("_h", split_hash(key, seed))
+    # one materialisation (checkpoint) of the input; everything below reads it
+    idx = with_dense_index(h, [label_col, "_h", key], "_idx", 0)
+    quotas = split_quotas(idx, validation_size, label_col)
     q = quotas.collect()  # ≤ 7 rows: one per label
     if not q:
         return df.withColumn("split", F.lit(None).cast("string"))
     stratified = q[0]["stratified"]
     n_val, n_train, k = q[0]["n_val_total"], q[0]["n_train_total"], q[0]["k"]
-    h = df.withColumn("_h", split_hash(key, seed))
     if stratified:
         if n_val < k or n_train < k:
             raise ValueError(
                 f"validation ({n_val}) and train ({n_train}) sizes must be at least the number of classes ({k})"
             )
-        idx = with_dense_index(h, [label_col, "_h", key], "_idx", 0)
         first = idx.groupBy(label_col).agg(F.min("_idx").alias("_first"))
-        qt = quotas.select(label_col, "train_q")
+        qt = idx.sparkSession.createDataFrame([(r[label_col], r["train_q"]) for r in q], f"{label_col} int, train_q bigint")
         j = idx.join(F.broadcast(first), label_col).join(F.broadcast(qt), label_col)
         split = F.when(F.col("_idx") - F.col("_first") < F.col("train_q"), "train").otherwise("validation")
-        return j.withColumn("split", split).drop("_h", "_idx", "_first", "train_q")
-    idx = with_dense_index(h, ["_h", key], "_idx", 0)
+        return j.select(*df.columns, split.alias("split"))
+    idx2 = with_dense_index(idx.drop("_idx"), ["_h", key], "_idx", 0)
     split = F.when(F.col("_idx") < F.lit(n_val), "validation").otherwise("train")
-    return idx.withColumn("split", split).drop("_h", "_idx")
+    return idx2.select(*df.columns, split.alias("split"))

@@ -49,10 +49,10 @@ def per_class(pairs: DataFrame, labels: list[str] = EMOTIONS) -> DataFrame:
     j = tp.join(sup, "label_id").join(pred, "label_id")
     prec = F.when(F.col("predicted_n") > 0, F.col("tp") / F.col("predicted_n")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
-    out = j.select("label_id", prec.alias("precision"), rec.alias("recall"), F.col("support").cast("bigint").alias("support"))
+    out = j.select("label_id", "tp", prec.alias("precision"), rec.alias("recall"), F.col("support").cast("bigint").alias("support"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
     names = F.element_at(F.array(*[F.lit(e) for e in labels]), F.col("label_id") + 1)
-    return out.select("label_id", names.alias("emotion"), "precision", "recall", f1.alias("f1"), "support")
+    return out.select("label_id", names.alias("emotion"), "precision", "recall", f1.alias("f1"), "support", "tp")
 
 
 def classification_report(pairs: DataFrame, labels: list[str] = EMOTIONS) -> DataFrame:
@@ -71,20 +71,21 @@ def classification_report(pairs: DataFrame, labels: list[str] = EMOTIONS) -> Dat
     macro = tot.select(F.lit(-2).alias("label_id"), F.lit("macro avg").alias("emotion"), F.col("mp").alias("precision"), F.col("mr").alias("recall"), F.col("mf").alias("f1"), "support")
     weighted = tot.select(F.lit(-1).alias("label_id"), F.lit("weighted avg").alias("emotion"), F.col("wp").alias("precision"), F.col("wr").alias("recall"), F.col("wf").alias("f1"), "support")
     accuracy = acc.select(F.lit(-3).alias("label_id"), F.lit("accuracy").alias("emotion"), F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"), F.col("acc").alias("f1"), F.col("n").cast("bigint").alias("support"))
-    return pc.unionByName(accuracy).unionByName(macro).unionByName(weighted)
+    return pc.drop("tp").unionByName(accuracy).unionByName(macro).unionByName(weighted)
 
 
 def weighted_metrics(pairs: DataFrame, labels: list[str] = EMOTIONS) -> DataFrame:
-    """One row: accuracy, weighted precision / recall / F1 (zero_division=0)."""
+    """One row: accuracy, weighted precision / recall / F1 (zero_division=0).
+
+    A single aggregation over the per-class table (k rows); accuracy is
+    Σ tp / Σ support over the same rows."""
     pc = per_class(pairs, labels)
-    w = pc.agg(
+    return pc.agg(
+        (F.sum("tp") / F.sum("support")).alias("accuracy"),
         (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("precision"),
         (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("recall"),
         (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1"),
     )
-    acc = pairs.agg(F.avg((F.col("actual") == F.col("predicted")).cast("double")).alias("accuracy"))
-    # both sides are single-row aggregates; join on a constant key
-    return acc.withColumn("_k", F.lit(1)).join(w.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def mllib_weighted_metrics(pairs: DataFrame) -> dict[str, float]:

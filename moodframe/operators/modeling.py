@@ -153,3 +153,10 @@ def score_with_pandas(df: DataFrame, scorer_factory, key: str, text_col: str, sl
 
     key_type = df.schema[key].dataType.simpleString()
     return df.select(key, text_col).mapInPandas(run, f"{key} {key_type}, probs array<double>")
+
+
+def model_status(slot_b_loaded: bool, slot_a_loaded: bool) -> str:
+    """Status line of the scorer registry: 'BiLSTM, BERT' or with 'fallback'."""
+    b = "BiLSTM" if slot_b_loaded else "BiLSTM fallback"
+    a = "BERT" if slot_a_loaded else "BERT fallback"
+    return f"{b}, {a}"

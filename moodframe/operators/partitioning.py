@@ -18,3 +18,19 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def fence(df: DataFrame) -> DataFrame:
+    """Stop Catalyst from pushing later filters below this point.
+
+    A filter on a column derived from expensive expressions (cleaned text,
+    scores) is otherwise pushed down through the projections — and through a
+    repartition — to the scan, where the whole expression is evaluated a
+    second time inside the filter.  A projection holding a nondeterministic
+    expression is not crossed by predicate pushdown; ``spark_partition_id()``
+    is the cheapest such expression.  The marker column is dropped by the
+    caller's final projection.
+    """
+    from pyspark.sql import functions as F
+
+    return df.withColumn("_fence", F.spark_partition_id())

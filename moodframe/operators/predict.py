@@ -20,7 +20,7 @@ from moodframe.functions.constants import (
     RESPONSE_TYPE,
 )
 from moodframe.functions.text import basic_clean
-from moodframe.operators.partitioning import spread
+from moodframe.operators.partitioning import fence, spread
 
 
 def score_texts(df: DataFrame, keys: list[str], text_col: str = "text", balance: bool = True) -> DataFrame:
@@ -31,7 +31,8 @@ def score_texts(df: DataFrame, keys: list[str], text_col: str = "text", balance:
     """
     src = spread(df.select(*keys, text_col)) if balance else df.select(*keys, text_col)
     cleaned = src.select(*keys, basic_clean(text_col).alias("cleaned_text"))
-    tenths = cleaned.select(*keys, "cleaned_text", *S.tenths_columns("cleaned_text"))
+    tenths = fence(cleaned.select(*keys, "cleaned_text", *S.tenths_columns("cleaned_text")))
+    # ``_fence`` stays until the caller's final projection (see ``fence``)
     return tenths.withColumn("total_tenths", S.total_tenths())
 
 

@@ -302,3 +302,8 @@ def keyword_history(subs: DataFrame, texts: DataFrame, key: str = "doc_id") -> D
     to the submissions, instead of cleaning the same text per event."""
     scored = P.predict_keyword(texts, [key], model_name=KEYWORD_MODEL)
     return history_rows(subs, keyword_slot_predictions(scored, key), key)
+
+
+def clear_history(history: DataFrame) -> DataFrame:
+    """An empty history with the same schema (write it over the table to clear)."""
+    return history.limit(0)

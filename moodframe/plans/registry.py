@@ -478,12 +478,14 @@ def q_label_encode(spark, sf_dir):
 
 @query
 def q_remove_stopwords(spark, sf_dir):
-    return D.training_text(V.texts(spark, sf_dir), "doc_id", stop_words=DEFAULT_STOP_WORDS)
+    return D.training_text(V.texts(spark, sf_dir), "doc_id", stop_words=DEFAULT_STOP_WORDS).select("doc_id", "clean_text")
 
 
 def _tokens_no_stop(spark, sf_dir):
-    d = V.texts(spark, sf_dir)
-    return d.select("doc_id", T.remove_stopwords(T.tokenize(T.basic_clean("text")), DEFAULT_STOP_WORDS).alias("tokens"))
+    from moodframe.operators.partitioning import spread
+
+    d = spread(V.texts(spark, sf_dir)).select("doc_id", T.tokenize(T.basic_clean("text")).alias("tokens"))
+    return D.drop_stop_words(d, "doc_id", "tokens", DEFAULT_STOP_WORDS)
 
 
 @query
@@ -504,7 +506,8 @@ def q_lemmatize_lookup(spark, sf_dir):
 def q_clean_text_full(spark, sf_dir):
     toks = _tokens_no_stop(spark, sf_dir)
     lem = D.corpus_lemma_table(toks)
-    return D.training_text(V.texts(spark, sf_dir), "doc_id", stop_words=DEFAULT_STOP_WORDS, lemmas=lem)
+    out = D.training_text(V.texts(spark, sf_dir), "doc_id", stop_words=DEFAULT_STOP_WORDS, lemmas=lem)
+    return out.select("doc_id", "clean_text")
 
 
 @query

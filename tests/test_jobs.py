@@ -161,3 +161,22 @@ def test_model_save_load_roundtrip(spark):
     a = M.score_model(model, p, "row_id", "BiLSTM").select("row_id", "emotion").collect()
     b = M.score_model(again, p, "row_id", "BiLSTM").select("row_id", "emotion").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_writers_and_helpers(spark):
+    from moodframe.functions.text import percent
+    from moodframe.operators.modeling import model_status
+
+    d = tempfile.mkdtemp(prefix="mf-out-")
+    p = D.split_stratified(D.prepare_dataset(V.labelled(spark, SF)))
+    FS.write_splits(p.select("row_id", "clean_text", "label", "split"), f"{d}/splits")
+    back = spark.read.parquet(f"{d}/splits")
+    assert back.count() == p.count()
+    assert {r[0] for r in back.select("split").distinct().collect()} == {"train", "validation"}
+    FS.write_label_mappings(spark, f"{d}/labels")
+    assert [r["emotion"] for r in spark.read.json(f"{d}/labels").orderBy("id").collect()][:2] == ["Happy", "Sad"]
+    v = FE.vocab_fit(p.filter(F.col("split") == "train"), "row_id")
+    v.write.parquet(f"{d}/vocab")
+    assert FS.read_vocab(spark, f"{d}/vocab").count() == v.count()
+    assert spark.range(1).select(percent(F.lit(0.4567))).first()[0] == "45.7%"
+    assert model_status(False, False) == "BiLSTM fallback, BERT fallback"
