@@ -74,14 +74,15 @@ def corpus_lemma_table(tokens: DataFrame, token_col: str = "tokens") -> DataFram
     return best.filter(F.length("lemma") < F.length("word")).select(F.col("word").alias("surface"), "lemma")
 
 
-def drop_stop_words(df: DataFrame, key: str, tokens_col: str, stop_words: list[str] = DEFAULT_STOP_WORDS) -> DataFrame:
+def drop_stop_words(df: DataFrame, key, tokens_col: str, stop_words: list[str] = DEFAULT_STOP_WORDS) -> DataFrame:
     """Remove stop words keeping order and duplicates.  MLlib's transformer
     filters against a hash set on the JVM (a per-token lambda would run
     interpreted)."""
     from pyspark.ml.feature import StopWordsRemover
 
     remover = StopWordsRemover(inputCol=tokens_col, outputCol="_kept", stopWords=list(stop_words), caseSensitive=True)
-    return remover.transform(df.select(key, tokens_col)).select(key, F.col("_kept").alias(tokens_col))
+    keys = [key] if isinstance(key, str) else list(key)
+    return remover.transform(df.select(*keys, tokens_col)).select(*keys, F.col("_kept").alias(tokens_col))
 
 
 def training_text(
@@ -90,18 +91,23 @@ def training_text(
     text_col: str = "text",
     stop_words: list[str] | None = DEFAULT_STOP_WORDS,
     lemmas: DataFrame | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """(key, clean_text) with stop-word removal and optional lemma lookup.
+    """(key, *keep, clean_text) with stop-word removal and optional lemma lookup.
 
+    ``keep`` columns ride along (no self-join needed to get them back).
     Without a lemma table the lemma step is the identity (logged)."""
-    toks = spread(df.select(key, text_col)).select(key, tokenize(basic_clean(text_col)).alias("tokens"))
+    extra = [c for c in dict.fromkeys(keep or []) if c != key]
+    cols = list(dict.fromkeys([key, *extra, text_col]))
+    toks = spread(df.select(*cols)).select(key, *extra, tokenize(basic_clean(text_col)).alias("tokens"))
     if stop_words is not None:
-        toks = drop_stop_words(toks, key, "tokens", stop_words)
+        toks = drop_stop_words(toks, [key, *extra], "tokens", stop_words)
     if lemmas is not None:
-        toks = lemmatize_tokens(toks, key, "tokens", lemmas)
+        lem = lemmatize_tokens(toks.select(key, "tokens"), key, "tokens", lemmas)
+        toks = toks.drop("tokens").join(lem, key) if extra else lem
     else:
         log.info("no lemma table given: lemmatisation is the identity")
-    return fence(toks.select(key, F.array_join("tokens", " ").alias("clean_text")))
+    return fence(toks.select(key, *extra, F.array_join("tokens", " ").alias("clean_text")))
 
 
 def prepare_dataset(
@@ -118,9 +124,8 @@ def prepare_dataset(
     d = d.withColumn("text", null_tokens_to_null("text")).dropna(subset=["text", "emotion"])
     d = d.withColumn("emotion", normalize_label("emotion"))
     d = supported_labels(d) if check_nonempty else d.filter(F.col("emotion").isin(EMOTIONS))
-    cleaned = training_text(d, key, "text", stop_words, lemmas)
-    j = d.join(cleaned, key)
-    kept = j.filter(F.length("clean_text") > 0)
+    cleaned = training_text(d, key, "text", stop_words, lemmas, keep=["text", "emotion"])
+    kept = cleaned.filter(F.length("clean_text") > 0)
     return kept.select(key, "text", "emotion", "clean_text", label_id("emotion").alias("label"))
 
 
