@@ -31,73 +31,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodframe.llm.store import written
-from moodframe.llm.words import hashes, owners, slices, utf8, word_bounds
-
-#: Words kept in a worker's table before it starts afresh.
-TABLE_WORDS = 1 << 21
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_PUNCT = np.zeros(256, bool)
-_PUNCT[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
-
+from moodframe.llm.words import WordTable, cut_at_punctuation, hashes, slices, utf8, word_bounds
 
 class WordIds:
-    """Token ids of words by hash; a worker keeps one per tokenizer file."""
+    """Token ids of whole texts; a worker keeps one per tokenizer file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [s.content.encode().lower() for s in self.tokenizer.get_added_tokens_decoder().values()]
-        self.clear()
+        self.table = WordTable(self.encode)
 
-    def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted
-        self.at = np.zeros(0, np.int64)  # where a key's ids begin
-        self.n = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """One call for all words: an id belongs to the word its offset lies in."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        n = np.bincount(np.searchsorted(ends, [a for a, _ in found.offsets], "right"), minlength=len(words))
+        return np.array(found.ids, np.uint32), n
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        # one call for all words: an id belongs to the word its offset lies in
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        n = np.bincount(np.searchsorted(ends, [a for a, _ in found.offsets], "right"), minlength=len(words)).astype(np.int64)
-        keys = np.concatenate([self.keys, keys])
-        at = np.concatenate([self.at, len(self.pool) + np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)])
-        n = np.concatenate([self.n, n])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.n = keys[order], at[order], n[order]
-        self.pool = np.concatenate([self.pool, np.array(found.ids, np.uint32)])
-
     def ids(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a string column (null: none)."""
         data, offsets = utf8(column)
-        starts, ends = word_bounds(data, offsets)
-        starts, ends = cut_at_punctuation(data, starts, ends)
-        word = hashes(data, starts, ends)
-        distinct, first, inverse = np.unique(word, return_index=True, return_inverse=True)
-        if len(self.keys) > TABLE_WORDS:
-            self.clear()
-        new = np.ones(len(distinct), bool)
-        if len(self.keys):
-            near = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-            new = self.keys[near] != distinct
-        if new.any():
-            raw = data.tobytes()
-            i = first[new]
-            self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[i].tolist(), ends[i].tolist())])
-        out = np.zeros(0, np.uint32)
-        n = np.zeros(0, np.int64)
-        if len(word):
-            row = np.searchsorted(self.keys, distinct)[inverse]
-            n = self.n[row]
-            out = self.pool[np.repeat(self.at[row] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        starts, ends, _ = cut_at_punctuation(data, *word_bounds(data, offsets))
+        raw = data.tobytes()
+        words = lambda at: [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        out, n = self.table.ids(self.table.rows(hashes(data, starts, ends), words))
         bounds = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, offsets)]
         texts = [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        low = data.tobytes().lower()
+        low = raw.lower()
         if any(s in low for s in self.special):
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                 if any(s in low[a:b] for s in self.special):
@@ -105,17 +70,6 @@ class WordIds:
         return texts
 
 
-def cut_at_punctuation(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Also end a word where an ASCII letter is followed by ASCII punctuation."""
-    if not len(starts):
-        return starts, ends
-    cuts = np.flatnonzero(_LETTER[data[:-1]] & _PUNCT[data[1:]]) + 1
-    within = owners(cuts, starts)  # index of the word that a cut falls into
-    ok = (within >= 0) & (cuts > starts[within]) & (cuts < ends[within])
-    cuts = cuts[ok]
-    return np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
-
-
 _tables: dict[str, WordIds] = {}
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm import chat, langid, mixing, packing, pii
+from moodframe.llm import ann, chat, langid, mixing, neardup_text, neardup_vectors, packing, pii, quality
 from moodframe.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,26 @@ def query(fn):
     return fn
 
 
+@query
+def op1_nn_descent(spark, sf_dir):
+    return neardup_vectors.near_duplicates(load_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op2_minhash_bayes(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup_text.near_duplicates(docs)
+
+
+@query
+def op3_nb_svm(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = langid.held_out("doc_id", 5, 0)
+    labels = load_table(spark, sf_dir, "labels").filter(~held)
+    model = quality.fit(quality.with_labels(docs, labels, "doc_id", "quality", "text"), "id")
+    return quality.score(docs.select("doc_id", "text", held.alias("held_out")), model, keep=["doc_id", "held_out"])
+
+
 @query
 def op4_language_by_compression(spark, sf_dir):
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -37,6 +57,12 @@ def op4_language_by_compression(spark, sf_dir):
     return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), dictionaries, keep=["doc_id", "held_out"])
 
 
+@query
+def op5_pruned_graph_search(spark, sf_dir):
+    vectors = ann.usable(load_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 @query
 def op6_semicrf_pii(spark, sf_dir):
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")

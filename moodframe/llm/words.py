@@ -112,6 +112,109 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
     return hashes(data, starts, ends, lower), np.searchsorted(starts, offsets)
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_PUNCT = np.zeros(256, bool)
+_PUNCT[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+
+
+def cut_at_punctuation(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Also end a word where an ASCII letter is followed by ASCII punctuation
+    other than an apostrophe.  (starts, ends, whether a word begins there)."""
+    if not len(starts):
+        return starts, ends, np.zeros(0, bool)
+    cuts = np.flatnonzero(_LETTER[data[:-1]] & _PUNCT[data[1:]]) + 1
+    within = owners(cuts, starts)  # the word that a cut falls into
+    cuts = cuts[(within >= 0) & (cuts > starts[within]) & (cuts < ends[within])]
+    begins = np.ones(len(starts) + len(cuts), bool)
+    all_starts = np.concatenate([starts, cuts])
+    order = np.argsort(all_starts, kind="stable")
+    begins[len(starts) :] = False
+    return all_starts[order], np.sort(np.concatenate([ends, cuts])), begins[order]
+
+
+class WordTable:
+    """Token ids of words by 64-bit hash: open addressing over numpy arrays.
+
+    ``encode`` turns a list of words into (all ids, number of ids per word).
+    The table starts afresh when it holds ``limit`` words, so its memory is
+    bounded and what it returns does not depend on it.
+    """
+
+    def __init__(self, encode, limit: int = 1 << 21):
+        self.encode, self.limit = encode, limit
+        self.slots = 2 * limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.key = np.zeros(self.slots, np.uint64)
+        self.row = np.zeros(self.slots, np.int32)
+        self.size = 0
+        self.at = np.zeros(self.limit, np.int64)
+        self.n = np.zeros(self.limit, np.int32)
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where it is not held."""
+        out = np.full(len(keys), -1, np.int64)
+        todo = np.arange(len(keys))
+        place = (keys % np.uint64(self.slots)).astype(np.int64)
+        while len(todo):
+            held = self.key[place[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.row[place[todo[hit]]]
+            todo = todo[~hit & (held != 0)]
+            place[todo] = (place[todo] + 1) % self.slots
+        return out
+
+    def _add(self, keys: np.ndarray, words: list[str]) -> None:
+        ids, n = self.encode(words)
+        rows = np.arange(self.size, self.size + len(keys))
+        self.at[rows] = self.used + np.cumsum(n) - n
+        self.n[rows] = n
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.size += len(keys)
+        place = (keys % np.uint64(self.slots)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = self.key[place[todo]] == 0
+            _, first = np.unique(place[todo], return_index=True)
+            mine = np.zeros(len(todo), bool)
+            mine[first] = True
+            mine &= free
+            self.key[place[todo[mine]]] = keys[todo[mine]]
+            self.row[place[todo[mine]]] = rows[todo[mine]]
+            todo = todo[~mine]
+            place[todo] = (place[todo] + 1) % self.slots
+
+    def rows(self, keys: np.ndarray, words) -> np.ndarray:
+        """Row of each key (0 is no key); ``words(positions)`` gives the words
+        at those positions of ``keys``."""
+        keys = np.where(keys == 0, np.uint64(1), keys)
+        found = self._find(keys)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new, first = np.unique(keys[missing], return_index=True)
+            if self.size + len(new) > self.limit:
+                self.clear()
+                missing = np.arange(len(keys))
+                new, first = np.unique(keys, return_index=True)
+            for i in range(0, len(new), self.limit):
+                self._add(new[i : i + self.limit], words(missing[first[i : i + self.limit]]))
+            found[missing] = self._find(keys[missing])
+        return found
+
+    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the rows one after another, number of ids per row)."""
+        n = self.n[rows].astype(np.int64)
+        total = int(n.sum())
+        return self.pool[np.repeat(self.at[rows] - np.cumsum(n) + n, n) + np.arange(total)], n
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SEGMENT):
     """Cut a batch into runs of rows whose texts hold about ``limit`` bytes."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
