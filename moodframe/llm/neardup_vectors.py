@@ -289,7 +289,7 @@ def counted(classes: DataFrame, nodes: DataFrame, dim: int, threshold: float) ->
         inner = a["copies"].to_numpy() @ sim[:, is_core]
         return pd.DataFrame({"doc": np.concatenate([a["doc"], b["doc"][is_core]]), "linked": np.concatenate([outer, inner])})
 
-    columns = ["component", "l", "r", "doc", "copies", "vec", "core"]
+    columns = [F.col(c).alias(c) for c in ("component", "l", "r", "doc", "copies", "vec", "core")]
     met = left.select(*columns).groupBy("component", "l", "r").cogroup(right.select(*columns).groupBy("component", "l", "r"))
     compared = met.applyInPandas(count, "doc long, linked long")
     return certain.unionByName(compared).groupBy("doc").agg(F.sum("linked").alias("linked"))
