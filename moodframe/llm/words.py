@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT = 2 << 20
 SPACES = np.zeros(256, bool)
@@ -217,7 +218,7 @@ class WordTable:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SEGMENT):
     """Cut a batch into runs of rows whose texts hold about ``limit`` bytes."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, begin = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if total and total + n > limit:
