@@ -27,6 +27,8 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from moodframe.llm.store import with_columns
+
 LETTER = regex.compile(r"\p{L}")
 LEVEL = 7
 #: A whole text is compressed in parts of so many bytes, so that the dictionary
@@ -115,26 +117,20 @@ def identify(
     text_col: str = "text",
     keep: list[str] | None = None,
     min_margin: float = 0.004,
+    names: tuple[str, str, str] = ("lang_pred", "score", "accepted"),
 ) -> DataFrame:
-    """``keep`` columns of ``docs`` plus lang_pred, score, accepted."""
-    keep = docs.columns if keep is None else keep
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
+    """``keep`` columns of ``docs`` plus language, score and acceptance."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = compressors(shared.value, LEVEL), compressors(shared.value, SHORT_LEVEL)
-        for b in batches:
-            got = classify(b.column(b.num_columns - 1).to_pylist(), *coders)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *b.columns[:-1],
-                    pa.array([g[0] for g in got], pa.string()),
-                    pa.array([g[1] for g in got], pa.float64()),
-                    pa.array([g[2] and g[1] >= min_margin for g in got], pa.bool_()),
-                ],
-                names=[*b.schema.names[:-1], "lang_pred", "score", "accepted"],
-            )
-
-    found = [F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("accepted")]
-    schema = frame.select(*[f"`{c}`" for c in keep], *found).schema
-    return frame.mapInArrow(run, schema)
+    made: list[tuple[Coders, Coders]] = []
+
+    def each(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        if not made:
+            made.append((compressors(shared.value, LEVEL), compressors(shared.value, SHORT_LEVEL)))
+        got = classify(batch.column(at).to_pylist(), *made[0])
+        yield batch, [
+            pa.array([g[0] for g in got], pa.string()),
+            pa.array([g[1] for g in got], pa.float64()),
+            pa.array([g[2] and g[1] >= min_margin for g in got], pa.bool_()),
+        ]
+
+    return with_columns(docs, text_col, docs.columns if keep is None else keep, dict(zip(names, ("string", "double", "boolean"))), each)

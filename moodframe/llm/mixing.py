@@ -29,7 +29,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodframe.llm.store import written
@@ -37,6 +37,15 @@ from moodframe.llm.store import written
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def row_key(doc_id: Column, source: Column, text: Column) -> Column:
+    """The ``row`` of ``mix_sources``."""
+    return F.xxhash64(doc_id, source.cast("string"), words(text))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
     """(source, n_docs, source_size, target) from (source, size) rows.
 
@@ -139,7 +148,7 @@ def mix_sources(
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        words(F.col(text_col)).alias("size"),
     ).withColumn("row", F.xxhash64("doc_id", "source", "size"))
     base = written(base, "mix-sizes")
     targets = written(source_targets(base, weights, max_repeats), "mix-targets")

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moodframe.llm.store import with_columns
 from moodframe.llm.words import hashes, mix, slices, utf8, word_bounds
 
 WIDTH = 17
@@ -202,23 +203,16 @@ def fit(
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``keep`` columns of ``docs`` plus score and predicted."""
-    keep = docs.columns if keep is None else keep
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "__text"):
-                got = shared.value.score(b.column("__text"))
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:-1], pa.array(got), pa.array((got >= threshold).astype(np.int32))],
-                    names=[*b.schema.names[:-1], "score", "predicted"],
-                )
-
-    found = [F.lit(0.0).alias("score"), F.lit(0).alias("predicted")]
-    return frame.mapInArrow(run, frame.select(*[f"`{c}`" for c in keep], *found).schema)
+    def each(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for b in slices(batch, at):
+            got = shared.value.score(b.column(at))
+            yield b, [pa.array(got), pa.array((got >= threshold).astype(np.int32))]
+
+    return with_columns(docs, text_col, docs.columns if keep is None else keep, dict(zip(names, ("double", "int"))), each)
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, text_col: str) -> DataFrame:

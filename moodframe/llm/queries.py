@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm import ann, chat, langid, mixing, neardup_text, neardup_vectors, packing, pii, quality
+from moodframe.llm import ann, chat, langid, lm, mixing, neardup_text, neardup_vectors, packing, pii, quality
 from moodframe.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,14 @@ def op6_semicrf_pii(spark, sf_dir):
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+@query
+def op7_attention_lm(spark, sf_dir):
+    import public_tokenizers
+
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_corpus(docs, langid.held_out("doc_id", 10, 0), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query
 def op8_shortest_pack_first(spark, sf_dir):
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")

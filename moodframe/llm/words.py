@@ -216,7 +216,7 @@ class WordTable:
         return self.pool[np.repeat(self.at[rows] - np.cumsum(n) + n, n) + np.arange(total)], n
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SEGMENT):
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = SEGMENT):
     """Cut a batch into runs of rows whose texts hold about ``limit`` bytes."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, begin = 0, 0
