@@ -15,9 +15,8 @@ fewer words, the whole sequence is the one shingle.  Documents are linked when
    member, and no link between components is left out.
 4. A pair's signatures are compared batch by batch; it is dropped as soon as
    the posterior probability of a similarity of at least the threshold (uniform
-   prior) falls under ``miss``.  What survives is confirmed on the full sets:
-   each document's likeliest partner first, and again until no pair of
-   different components is left untested.
+   prior) falls under ``miss``.  What survives is confirmed on the full sets;
+   with hubs each document's likeliest one, in the last round every pair.
 
 Parameters: 24 bands of 4 of 128 hashes miss a pair at similarity 0.75 with a
 probability of 1.1e-4 (less above); ``miss`` is 1e-4 a batch.
@@ -46,6 +45,7 @@ WORDS = 5
 HASHES, BANDS, BAND_ROWS, BATCH = 128, 24, 4, 16
 PERCENT = 75
 MISS = 1e-4
+HUB_ROUNDS = 2
 #: At most so many ids (8 bytes each) are broadcast to pick out candidate texts.
 BROADCAST_IDS = 1_000_000
 
@@ -233,37 +233,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def linked_classes(members: DataFrame, signed: DataFrame, sets: DataFrame, n_ids: int) -> DataFrame:
-    """(vertex, component) of every document with a link, in rounds."""
+    """(vertex, component) of every document with a link, in ``HUB_ROUNDS``
+    rounds with hubs and one over all pairs that still cross components."""
     sets = written(sets, "neardup-sets")
     tested = edges = labels = None
-    star = 0
-    while True:
+    for turn in range(HUB_ROUNDS + 1):
         if labels is None:
             placed = members.withColumn("component", F.col("doc"))
         else:
             known = labels.withColumnRenamed("vertex", "doc")
             placed = written(members.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "neardup-placed")
-        pairs = hub_pairs(placed, star) if star < 2 else crossing_pairs(placed)
+        pairs = hub_pairs(placed, turn) if turn < HUB_ROUNDS else crossing_pairs(placed)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         found = written(judged(pairs, signed), "neardup-judged")
         alive = found.filter("matches >= 0")
-        # each document's likeliest partner first; the rest may turn out to be inside one component
-        best = alive.groupBy("a").agg(F.max_by("b", F.struct("matches", F.negative("b"))).alias("b"))
-        exact = written(confirmed(best, sets), "neardup-exact")
-        counts = found.agg(F.count(F.lit(1)), F.count(F.when(F.col("matches") >= 0, 1))).first()
-        # size-pruned pairs are not in ``found``; they come again and are pruned again
+        if turn < HUB_ROUNDS:
+            # a document's likeliest hub is enough: the rest may turn out to be inside one component
+            alive = alive.groupBy("a").agg(F.max_by("b", F.struct("matches", F.negative("b"))).alias("b"))
+        exact = written(confirmed(alive, sets), "neardup-exact")
+        new = exact.filter("linked").select("a", "b")
+        edges = new if edges is None else edges.unionByName(new)
+        labels = written(components(edges), "neardup-labels")
         done = found.filter("matches < 0").select("a", "b").unionByName(exact.filter("not linked").select("a", "b"))
         tested = done if tested is None else tested.unionByName(done)
-        if counts[1] == 0 and star >= 2:
-            break
-        if counts[1]:
-            new = exact.filter("linked").select("a", "b")
-            edges = new if edges is None else edges.unionByName(new)
-            labels = written(components(edges), "neardup-labels")
-        star += 1
-    if labels is None:
-        labels = members.sparkSession.createDataFrame([], "vertex long, component long")
     return labels
 
 
