@@ -126,3 +126,44 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(text_chars + mark_chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+_REACH = """
+walk(id, other) AS (
+  SELECT a, b FROM links UNION SELECT w.id, l.b FROM walk w JOIN links l ON l.a = w.other),
+low AS (SELECT id, min(other) AS least_id FROM walk GROUP BY id)
+"""
+
+ORACLE["op1_nn_descent"] = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM u p, u q
+  WHERE p.vec_id <> q.vec_id AND list_inner_product(p.e, q.e) / (p.norm * q.norm) >= 0.9),
+{_REACH},
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(low.least_id, e.vec_id)) AS component_id,
+  e.vec_id <= coalesce(low.least_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN low ON low.id = e.vec_id
+"""
+
+ORACLE["op2_minhash_bayes"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
+one AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+common AS (
+  SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM one p JOIN one q ON q.shingle = p.shingle AND q.doc_id <> p.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT c.a, c.b FROM common c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b
+  WHERE 100 * c.n >= 75 * (len(x.shingles) + len(y.shingles) - c.n)),
+{_REACH}
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(low.least_id, s.doc_id)) AS component_id,
+  s.doc_id <= coalesce(low.least_id, s.doc_id) AS kept
+FROM s LEFT JOIN low ON low.id = s.doc_id
+"""
