@@ -34,6 +34,11 @@ from pyspark.sql import functions as F
 from moodframe.llm.store import written
 
 
+#: Partitions per shard (or shard and block of queries).  A shard is little data
+#: and much work: few bytes must not put several of them into one task.
+SPREAD = 4
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, vector array<double>, norm) of the rows that take part."""
     v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -225,6 +230,7 @@ def search(
     shard = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(shards)).cast("int")
     index = written(
         points.select(shard.alias("shard"), "vec_id", "vector")
+        .repartition(SPREAD * shards, "shard")
         .groupBy("shard")
         .applyInPandas(build, "shard int, vec_id long, vector array<double>, place int, links binary, entry int"),
         "ann-index",
@@ -240,10 +246,12 @@ def search(
     block = F.pmod(F.xxhash64(F.lit(6), "vec_id"), F.lit(blocks)).cast("int")
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    parts = SPREAD * shards * blocks
+    left = index.select("*", every_block).repartition(parts, "shard", "block")
+    right = asked.select("vec_id", "vector", block.alias("block"), every_shard).repartition(parts, "shard", "block")
     found = (
-        index.select("*", every_block)
-        .groupBy("shard", "block")
-        .cogroup(asked.select("vec_id", "vector", block.alias("block"), every_shard).groupBy("shard", "block"))
+        left.groupBy("shard", "block")
+        .cogroup(right.groupBy("shard", "block"))
         .applyInPandas(answer, "query_id long, vec_id long, score double")
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
