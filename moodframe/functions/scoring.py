@@ -26,18 +26,14 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def label_tenths(cleaned: Column | str, emotion: str) -> Column:
+def label_tenths(cleaned: Column | str, emotion: str, lexicon: dict[str, list[str]] = KEYWORDS) -> Column:
     c = _c(cleaned)
     total = F.lit(BASE_TENTHS)
-    for kw in KEYWORDS[emotion]:
+    for kw in lexicon.get(emotion, []):
         total = total + F.when(c.contains(kw), F.lit(keyword_weight(emotion, kw))).otherwise(F.lit(0))
     return total.cast("int")
 
 
-def tenths_columns(cleaned: Column | str) -> list[Column]:
-    return [label_tenths(cleaned, e).alias(name) for e, name in zip(EMOTIONS, TENTH_COLS)]
-
-
 def total_tenths(cols: list[str] = TENTH_COLS) -> Column:
     out = F.col(cols[0])
     for c in cols[1:]:

@@ -77,41 +77,22 @@ def tokenize(cleaned: Column | str) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
 
 
-def remove_stopwords(tokens: Column | str, stop_words: list[str]) -> Column:
-    """Drop tokens in the stop list, keeping order and duplicates."""
-    stops = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-    return F.filter(_c(tokens), lambda t: ~F.array_contains(stops, t))
-
-
 def lemmatize_tokens(df: DataFrame, key: str, tokens_col: str, lemmas: DataFrame) -> DataFrame:
-    """Replace each token by its lemma from a (surface, lemma) table; unknown stays.
-
-    Token order is kept via the position from ``posexplode``.  The lemma table
-    is joined by key (it can be large), so it is not broadcast blindly: AQE
-    turns it into a broadcast join only when its runtime size is small.
+    """Replace each token of ``tokens_col`` by its lemma from a (surface, lemma)
+    table with one row per surface; unknown tokens and all other columns stay.
+
+    Only a row's distinct tokens are exploded, and only those that the table
+    changes come out of the join: a row's changes meet again as a small map.
+    A word that stands in nearly every row is thus met once per row, and its
+    join partition is an ordinary sort-merge one that AQE can split.  ``df``
+    is read twice: pass a written table.
     """
-    exploded = df.select(key, F.posexplode_outer(tokens_col).alias("_pos", "_tok"))
-    lem = lemmas.select(F.col("surface").alias("_tok"), F.col("lemma").alias("_lemma")).dropDuplicates(["_tok"])
-    mapped = exploded.join(lem, "_tok", "left").select(
-        key, "_pos", F.coalesce("_lemma", "_tok").alias("_tok")
-    )
-    regrouped = mapped.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_tok"))).alias("_pairs")
-    )
-    kept = F.filter("_pairs", lambda p: p["_pos"].isNotNull())
-    return regrouped.select(key, F.transform(kept, lambda p: p["_tok"]).alias(tokens_col))
-
-
-def clean_text(
-    col: Column | str,
-    stop_words: list[str] | None = None,
-) -> Column:
-    """Full cleaning with optional stop-word removal (lemmatising needs a table join,
-    see :func:`lemmatize_tokens`)."""
-    cleaned = basic_clean(col)
-    if stop_words is None:
-        return cleaned
-    return F.array_join(remove_stopwords(tokenize(cleaned), stop_words), " ")
+    each = df.select(key, F.explode_outer(F.array_distinct(tokens_col)).alias("_tok"))
+    lem = lemmas.select(F.col("surface").alias("_tok"), F.col("lemma").alias("_lemma")).filter("_tok <> _lemma").dropDuplicates(["_tok"])
+    changes = each.join(lem, "_tok").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_tok", "_lemma"))).alias("_map"))
+    new = F.transform(tokens_col, lambda t: F.coalesce(F.col("_map")[t], t))
+    out = df.join(changes, key, "left").withColumn(tokens_col, F.when(F.col("_map").isNull(), F.col(tokens_col)).otherwise(new))
+    return out.select(*df.columns)
 
 
 def iso_seconds(ts: Column | str) -> Column:

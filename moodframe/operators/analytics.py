@@ -43,9 +43,8 @@ def history_kpis(history: DataFrame) -> DataFrame:
 
 def confidence_series(history: DataFrame) -> DataFrame:
     """Confidence in interaction order, with the HH:mm:ss time label."""
-    return history.select(
-        "seq", "slot", F.date_format("ts", "HH:mm:ss").alias("time"), "confidence"
-    ).orderBy("seq", "slot")
+    ordered = history.select("ts", "seq", "slot", F.date_format("ts", "HH:mm:ss").alias("time"), "confidence")
+    return ordered.orderBy("ts", "seq", "slot").drop("ts")
 
 
 def recent_sessions(history: DataFrame, n: int = 3) -> DataFrame:

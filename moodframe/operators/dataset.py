@@ -19,7 +19,7 @@ from moodframe.functions.constants import (
 )
 from moodframe.functions.text import basic_clean, lemmatize_tokens, tokenize, trim_ws
 from moodframe.operators.indexing import with_dense_index
-from moodframe.operators.partitioning import fence, spread
+from moodframe.operators.partitioning import fenced, materialised, spread
 
 log = logging.getLogger(__name__)
 
@@ -45,7 +45,7 @@ def label_id(col: Column | str) -> Column:
 def supported_labels(df: DataFrame, col: str = "emotion") -> DataFrame:
     out = df.filter(F.col(col).isin(EMOTIONS))
     if out.isEmpty():
-        raise ValueError(f"No rows matched supported emotions: {EMOTIONS}")
+        raise ValueError(f"none of the rows carries one of the labels {', '.join(EMOTIONS)}")
     return out
 
 
@@ -57,7 +57,7 @@ def corpus_lemma_table(tokens: DataFrame, token_col: str = "tokens") -> DataFram
     Distinct words are one shuffle by word; candidates join back to them by
     an equi-join (shuffle by candidate).
     """
-    words = tokens.select(F.explode(token_col).alias("word")).distinct()
+    words = tokens.select(F.explode_outer(token_col).alias("word")).distinct().filter(F.col("word").isNotNull())
     rules = F.array(
         *[F.struct(F.lit(i + 1).alias("r"), F.lit(s).alias("suf"), F.lit(rep).alias("rep")) for i, (s, rep) in enumerate(NOUN_SUFFIX_RULES)]
     )
@@ -85,36 +85,67 @@ def drop_stop_words(df: DataFrame, key, tokens_col: str, stop_words: list[str] =
     return remover.transform(df.select(*keys, tokens_col)).select(*keys, F.col("_kept").alias(tokens_col))
 
 
+def check_stop_words(stop_words: list[str]) -> None:
+    """Raise, before any job runs, on a stop list that cannot be meant."""
+    bad = [w for w in stop_words if not isinstance(w, str) or not w or w != w.strip()]
+    if not stop_words or bad:
+        raise ValueError(f"stop list is empty or holds blank or padded words: {bad[:5]}")
+
+
+def check_lemmas(lemmas: DataFrame) -> None:
+    """Raise on a lemma table without its columns, with nulls, or with two
+    lemmas for one surface."""
+    missing = {"surface", "lemma"} - set(lemmas.columns)
+    if missing:
+        raise ValueError(f"lemma table lacks {sorted(missing)}")
+    per = lemmas.groupBy("surface").agg(F.count_distinct("lemma").alias("n"), F.count(F.when(F.col("lemma").isNull(), 1)).alias("nulls"))
+    bad = per.filter((F.col("n") > 1) | (F.col("nulls") > 0) | F.col("surface").isNull()).limit(5).collect()
+    if bad:
+        raise ValueError(f"lemma table is ambiguous or has nulls for: {[r['surface'] for r in bad]}")
+
+
+def training_tokens(df: DataFrame, keep: list[str], text_col: str = "text", stop_words: list[str] | None = DEFAULT_STOP_WORDS) -> DataFrame:
+    """(keep, tokens) after cleaning and stop-word removal."""
+    cols = list(dict.fromkeys([*keep, text_col]))
+    toks = spread(df.select(*cols)).select(*keep, fenced(tokenize(basic_clean(text_col))).alias("tokens"))
+    if stop_words is None:
+        return toks
+    check_stop_words(stop_words)
+    return drop_stop_words(toks, keep, "tokens", stop_words)
+
+
 def training_text(
     df: DataFrame,
     key: str,
     text_col: str = "text",
     stop_words: list[str] | None = DEFAULT_STOP_WORDS,
-    lemmas: DataFrame | None = None,
+    lemmas: DataFrame | str | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """(key, *keep, clean_text) with stop-word removal and optional lemma lookup.
 
     ``keep`` columns ride along (no self-join needed to get them back).
-    Without a lemma table the lemma step is the identity (logged)."""
-    extra = [c for c in dict.fromkeys(keep or []) if c != key]
-    cols = list(dict.fromkeys([key, *extra, text_col]))
-    toks = spread(df.select(*cols)).select(key, *extra, tokenize(basic_clean(text_col)).alias("tokens"))
-    if stop_words is not None:
-        toks = drop_stop_words(toks, [key, *extra], "tokens", stop_words)
-    if lemmas is not None:
-        lem = lemmatize_tokens(toks.select(key, "tokens"), key, "tokens", lemmas)
-        toks = toks.drop("tokens").join(lem, key) if extra else lem
-    else:
+    ``lemmas`` is a (surface, lemma) table, ``"corpus"`` for the table derived
+    from these very texts, or None: then the lemma step is the identity."""
+    columns = list(dict.fromkeys([key, *(keep or [])]))
+    toks = training_tokens(df, columns, text_col, stop_words)
+    if lemmas is None:
         log.info("no lemma table given: lemmatisation is the identity")
-    return fence(toks.select(key, *extra, F.array_join("tokens", " ").alias("clean_text")))
+    else:
+        toks = materialised(toks, "tokens")  # read by the lemma table and by the lookup
+        if isinstance(lemmas, str):
+            lemmas = materialised(corpus_lemma_table(toks), "lemmas")
+        else:
+            check_lemmas(lemmas)
+        toks = lemmatize_tokens(toks, key, "tokens", lemmas)
+    return toks.select(*columns, fenced(F.array_join("tokens", " ")).alias("clean_text"))
 
 
 def prepare_dataset(
     raw: DataFrame,
     key: str = "row_id",
     stop_words: list[str] | None = DEFAULT_STOP_WORDS,
-    lemmas: DataFrame | None = None,
+    lemmas: DataFrame | str | None = None,
     check_nonempty: bool = True,
 ) -> DataFrame:
     """(row_id, text, emotion, clean_text, label): drop nulls, normalise and
@@ -191,8 +222,8 @@ def split_stratified(
     When the smallest class has fewer than two rows the split is not
     stratified: the first n_val rows by hash go to validation.
     """
-    h = df.withColumn("_h", split_hash(key, seed))
-    # one materialisation (checkpoint) of the input; everything below reads it
+    # the input is written once; everything below reads it
+    h = materialised(df.withColumn("_h", split_hash(key, seed)), "split-input")
     idx = with_dense_index(h, [label_col, "_h", key], "_idx", 0)
     quotas = split_quotas(idx, validation_size, label_col)
     q = quotas.collect()  # ≤ 7 rows: one per label
@@ -210,6 +241,6 @@ def split_stratified(
         j = idx.join(F.broadcast(first), label_col).join(F.broadcast(qt), label_col)
         split = F.when(F.col("_idx") - F.col("_first") < F.col("train_q"), "train").otherwise("validation")
         return j.select(*df.columns, split.alias("split"))
-    idx2 = with_dense_index(idx.drop("_idx"), ["_h", key], "_idx", 0)
+    idx2 = with_dense_index(h, ["_h", key], "_idx", 0)
     split = F.when(F.col("_idx") < F.lit(n_val), "validation").otherwise("train")
     return idx2.select(*df.columns, split.alias("split"))

@@ -1,6 +1,6 @@
 """Vocabulary and sequence features.
 
-vocab_fit      word → index (1 = OOV, words from 2 by count desc, ties by
+vocab_fit      every word → index (1 = OOV, words from 2 by count desc, ties by
                first appearance), with word and document counts
 encode         tokens → indices (unknown or index ≥ num_words → OOV)
 pad            post-pad / post-truncate to a fixed length with 0
@@ -9,15 +9,18 @@ one_hot        label id → 0/1 array
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodframe.functions.constants import EMOTIONS, MAX_SEQ_LEN, OOV_INDEX, PAD_INDEX, VOCAB_NUM_WORDS
 from moodframe.functions.text import tokenize
+from moodframe.operators.indexing import with_dense_index
+from moodframe.operators.partitioning import materialised
 
 
 def word_positions(df: DataFrame, key: str, text_col: str = "clean_text") -> DataFrame:
-    return df.select(key, F.posexplode(tokenize(text_col)).alias("pos", "word"))
+    # the ``_outer`` form infers no size filter that would be pushed into the text expression
+    return df.select(key, F.posexplode_outer(tokenize(text_col)).alias("pos", "word")).filter(F.col("word").isNotNull())
 
 
 def word_stats(df: DataFrame, key: str, text_col: str = "clean_text") -> DataFrame:
@@ -34,20 +37,15 @@ def word_stats(df: DataFrame, key: str, text_col: str = "clean_text") -> DataFra
     )
 
 
-def vocab_fit(train: DataFrame, key: str, text_col: str = "clean_text", num_words: int = VOCAB_NUM_WORDS) -> DataFrame:
-    """Words with index 2 … num_words-1 (the indices an encoder can emit).
-
-    The top-(num_words-2) words are taken with ``orderBy().limit()`` — a
-    distributed top-k (each partition keeps its best k, then one merge) — so
-    the numbering window below only ever sees at most num_words rows.
-    """
-    stats = word_stats(train, key, text_col)
-    order = [F.col("word_count").desc(), F.col("first.k"), F.col("first.p")]
-    top = stats.orderBy(*order).limit(num_words - 2)
-    w = Window.orderBy(*order)
-    return top.select(
+def vocab_fit(train: DataFrame, key: str, text_col: str = "clean_text") -> DataFrame:
+    """All words with their index, from 2 by count descending, ties by first
+    appearance.  The numbers come from a range partition, not a global window;
+    how many of them an encoder uses is the encoder's choice."""
+    stats = word_stats(train, key, text_col).select("word", "word_count", "doc_count", F.negative("word_count").alias("_n"), "first.k", "first.p")
+    numbered = with_dense_index(materialised(stats, "word-stats"), ["_n", "k", "p"], "index", 2)
+    return numbered.select(
         "word",
-        (F.row_number().over(w) + 1).cast("int").alias("index"),
+        F.col("index").cast("int").alias("index"),
         F.col("word_count").cast("bigint").alias("word_count"),
         F.col("doc_count").cast("bigint").alias("doc_count"),
     )
@@ -62,18 +60,21 @@ def vocab_size(train: DataFrame, key: str, text_col: str = "clean_text", num_wor
     )
 
 
-def encode(df: DataFrame, vocab: DataFrame, key: str, text_col: str = "clean_text", max_len: int | None = None) -> DataFrame:
-    """(key, ids) with ids in token order; unknown words → OOV.
+def encode(
+    df: DataFrame, vocab: DataFrame, key: str, text_col: str = "clean_text", max_len: int | None = None, num_words: int = VOCAB_NUM_WORDS
+) -> DataFrame:
+    """(key, ids) with ids in token order; unknown words and words numbered
+    ``num_words`` or more → OOV.
 
-    ``vocab`` holds at most num_words rows by construction, so broadcasting it
-    is bounded.  When ``max_len`` is given, positions at or beyond it are
-    dropped before the join: post-truncation keeps exactly the first
-    ``max_len`` ids, and every token maps to exactly one id.
+    At most ``num_words`` rows of ``vocab`` are used, so broadcasting them is
+    bounded.  When ``max_len`` is given, positions at or beyond it are dropped
+    before the join: post-truncation keeps exactly the first ``max_len`` ids,
+    and every token maps to exactly one id.
     """
     wp = word_positions(df, key, text_col)
     if max_len is not None:
         wp = wp.filter(F.col("pos") < max_len)
-    v = F.broadcast(vocab.select("word", F.col("index").alias("idx")))
+    v = F.broadcast(vocab.filter(F.col("index") < num_words).select("word", F.col("index").alias("idx")))
     j = wp.join(v, "word", "left").select(key, "pos", F.coalesce("idx", F.lit(OOV_INDEX)).alias("idx"))
     grouped = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("pairs"))
     seqs = grouped.select(key, F.transform("pairs", lambda p: p["idx"]).alias("ids"))

@@ -1,11 +1,11 @@
 """Dense, ordered row numbers without a single-partition window.
 
 ``row_number() over (order by …)`` with no partition moves every row into one
-task.  Instead: range-partition and sort, tag each row with its partition id
-and its position inside the partition, checkpoint (so both uses below see the
-same tagging, and lineage is cut in the shared checkpoint folder), count rows
-per partition (one small row per partition), turn the counts into offsets and
-add them back through a broadcast of that per-partition table.
+task.  Instead the order columns alone are range-partitioned, sorted and
+written with their partition and position; per-partition counts (one row per
+partition) become offsets; and the numbers are joined back by the order
+columns.  The rows themselves are neither sorted nor written, so a caller that
+needs few columns reads few.
 """
 
 from __future__ import annotations
@@ -13,21 +13,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodframe.session import checkpoint_root
+from moodframe.operators.partitioning import materialised
 
 
 def with_dense_index(df: DataFrame, order_cols: list[str], name: str = "row_index", start: int = 1) -> DataFrame:
-    checkpoint_root(df.sparkSession)
-    ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-    tagged = ordered.select(
-        "*",
-        F.spark_partition_id().alias("_pid"),
-        F.monotonically_increasing_id().alias("_mid"),
-    ).checkpoint(eager=True)
+    """``df`` plus ``name``: start, start + 1, … in the order of ``order_cols``,
+    which together identify a row (nulls first, as Spark sorts)."""
+    keys = df.select(*order_cols).repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    tagged = materialised(
+        keys.select(*order_cols, F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")), "dense-index"
+    )
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     # One row per partition: a global window here is over a few hundred rows.
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    j = tagged.join(F.broadcast(offsets), "_pid")
     idx = (F.col("_off") + (F.col("_mid") - F.col("_first")) + F.lit(start)).cast("bigint")
-    return j.select(*df.columns, idx.alias(name))
+    renamed = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)]
+    numbers = tagged.join(F.broadcast(offsets), "_pid").select(*renamed, idx.alias(name))
+    same = None
+    for i, c in enumerate(order_cols):
+        eq = df[c].eqNullSafe(numbers[f"_o{i}"])
+        same = eq if same is None else same & eq
+    return df.join(numbers, same).select(*[df[c] for c in df.columns], name)

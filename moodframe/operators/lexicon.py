@@ -1,4 +1,4 @@
-"""Lexicon as data: the keyword table and a theta join on containment.
+"""Lexicon as data: the keyword table and its join on containment.
 
 The wide expression form (``moodframe.functions.scoring``) is faster for the
 fixed lexicon; the join form takes any caller-supplied lexicon table.
@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.functions.constants import EMOTIONS, KEYWORDS, keyword_weight
+from moodframe.functions.constants import BASE_TENTHS, EMOTIONS, KEYWORDS, keyword_weight
+
+#: Up to so many keywords each text is tested against the broadcast lexicon;
+#: beyond, texts' substrings meet the lexicon in an ordinary equi-join.
+BROADCAST_KEYWORDS = 1_000
 
 
 def lexicon_table(spark: SparkSession) -> DataFrame:
@@ -21,21 +25,49 @@ def lexicon_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "label_id int, emotion string, keyword string, weight int")
 
 
-def keyword_hits(spark: SparkSession, cleaned: DataFrame, keys: list[str], lexicon: DataFrame | None = None) -> DataFrame:
-    """(keys, emotion, n_hits, tenths) for every (text, label) with a hit.
+def contained(cleaned: DataFrame, keys: list[str], lexicon: DataFrame, broadcast_keywords: int = BROADCAST_KEYWORDS) -> DataFrame:
+    """(keys, emotion, weight) for every keyword found in a text, once each.
 
-    Broadcast nested-loop join on ``contains``: the lexicon is the small,
-    bounded side (checked below), the texts stream through without a shuffle;
-    the following aggregation groups by the text key, partially aggregated
-    map-side.
+    A small lexicon is broadcast and the texts stream past it.  A larger one is
+    joined by equality with the texts' distinct substrings of the keyword
+    lengths that occur (a few dozen numbers), which works at any size.
     """
+    words = lexicon.select("emotion", "keyword", "weight").filter(F.length("keyword") > 0)
+    texts = cleaned.select(*keys, "cleaned_text")
+    if words.count() <= broadcast_keywords:
+        j = texts.join(F.broadcast(words), F.col("cleaned_text").contains(F.col("keyword")))
+        return j.select(*keys, "emotion", "weight")
+    lengths = sorted(r[0] for r in words.select(F.length("keyword")).distinct().collect())
+    grams = F.array_distinct(
+        F.flatten(
+            F.array(
+                *[
+                    F.when(
+                        F.length("cleaned_text") >= n,
+                        F.transform(F.sequence(F.lit(1), F.length("cleaned_text") - (n - 1)), lambda i, n=n: F.substring(F.col("cleaned_text"), i, F.lit(n))),
+                    ).otherwise(F.array().cast("array<string>"))
+                    for n in lengths
+                ]
+            )
+        )
+    )
+    parts = texts.select(*keys, F.explode_outer(grams).alias("keyword"))
+    return parts.join(words, "keyword").select(*keys, "emotion", "weight")
+
+
+def keyword_hits(spark: SparkSession, cleaned: DataFrame, keys: list[str], lexicon: DataFrame | None = None, broadcast_keywords: int = BROADCAST_KEYWORDS) -> DataFrame:
+    """(keys, emotion, n_hits, tenths) for every text and every label, labels
+    without a hit included at the base weight."""
     lex = lexicon if lexicon is not None else lexicon_table(spark)
-    if lexicon is not None:
-        n = lex.count()
-        if n > 100_000:
-            raise ValueError(f"lexicon of {n} rows is too large to broadcast for a containment join")
-    j = cleaned.join(F.broadcast(lex), F.col("cleaned_text").contains(F.col("keyword")))
-    return j.groupBy(*keys, "emotion").agg(
-        F.count(F.lit(1)).alias("n_hits"),
-        (F.lit(2) + F.sum("weight")).alias("tenths"),
+    hits = contained(cleaned, keys, lex, broadcast_keywords).groupBy(*keys, "emotion").agg(
+        F.count(F.lit(1)).alias("n_hits"), F.sum("weight").alias("weight")
+    )
+    # the labels are few by nature: they ride along as an array, without a join
+    labels = [r[0] for r in lex.select("emotion").distinct().collect()] if lexicon is not None else EMOTIONS
+    every = cleaned.select(*keys, F.explode(F.array(*[F.lit(e) for e in sorted(labels)])).alias("emotion"))
+    return every.join(hits, [*keys, "emotion"], "left").select(
+        *keys,
+        "emotion",
+        F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
+        (F.lit(BASE_TENTHS) + F.coalesce("weight", F.lit(0))).alias("tenths"),
     )

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodframe.functions import scoring as S
+from moodframe.functions.text import trim_ws
+from moodframe.operators import features as FE
+from moodframe.operators.partitioning import materialised
+from moodframe.operators.predict import predict_keyword
 
 
 def with_fallback(keyword_pred: DataFrame, model_probs: DataFrame, key: str, slot_name: str) -> DataFrame:
@@ -41,20 +45,28 @@ from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, RegexToke
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit  # noqa: E402
 
-from moodframe.functions.constants import EMOTIONS, VOCAB_NUM_WORDS  # noqa: E402
+from moodframe.functions.constants import EMOTIONS, MODEL_A, VOCAB_NUM_WORDS  # noqa: E402
 
 
 def _tokenizer(text_col: str) -> RegexTokenizer:
-    return RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=" ", gaps=True, toLowercase=False)
+    return RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="\\s+", gaps=True, toLowercase=False)
 
 
-def fit_model_b(train: DataFrame, text_col: str = "clean_text", label_col: str = "label", max_iter: int = 30) -> PipelineModel:
-    """Slot B: bag of words over a fitted vocabulary (≤ 20,000 terms), IDF,
-    multinomial logistic regression.  Gradients are tree-aggregated across
+def as_ids(df: DataFrame, vocab: DataFrame, key: str, text_col: str = "clean_text") -> DataFrame:
+    """``df`` plus ``ids``: slot B's input, the text's word numbers as a string,
+    words outside the encoder's vocabulary as the OOV number."""
+    coded = FE.encode(df, vocab, key, text_col).select(key, F.array_join("ids", " ").alias("ids"))
+    return df.join(coded, key)
+
+
+def fit_model_b(train: DataFrame, ids_col: str = "ids", label_col: str = "label", max_iter: int = 30) -> PipelineModel:
+    """Slot B: bag of word numbers (see ``as_ids``), IDF, multinomial logistic
+    regression.  The vocabulary is the encoder's: every rarer word counts as
+    the OOV number, none is lost.  Gradients are tree-aggregated across
     executors; only the coefficient matrix lives on the driver."""
     pipe = Pipeline(
         stages=[
-            _tokenizer(text_col),
+            _tokenizer(ids_col),
             CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=VOCAB_NUM_WORDS),
             IDF(inputCol="_tf", outputCol="_features"),
             LogisticRegression(
@@ -65,14 +77,17 @@ def fit_model_b(train: DataFrame, text_col: str = "clean_text", label_col: str =
     return pipe.fit(train)
 
 
-def fit_model_a(train: DataFrame, text_col: str = "clean_text", label_col: str = "label", max_iter: int = 20, seed: int = 42):
-    """Slot A: hashed unigrams + bigrams, logistic regression; the
-    regularisation is chosen on a held-out part by weighted F1 (the metric
-    used to keep the best model)."""
+def fit_model_a(
+    train: DataFrame, text_col: str = "text", label_col: str = "label", max_iter: int = 20, seed: int = 42, hashed_features: int = 1 << 15
+):
+    """Slot A: hashed unigrams + bigrams of the raw text, logistic regression;
+    the regularisation is chosen on a held-out part by weighted F1 (the metric
+    used to keep the best model).  ``hashed_features`` is the width of each
+    hash: raise it with the vocabulary."""
     tok = _tokenizer(text_col)
     bigrams = NGram(n=2, inputCol="_tokens", outputCol="_bigrams")
-    tf1 = HashingTF(inputCol="_tokens", outputCol="_tf1", numFeatures=1 << 15)
-    tf2 = HashingTF(inputCol="_bigrams", outputCol="_tf2", numFeatures=1 << 15)
+    tf1 = HashingTF(inputCol="_tokens", outputCol="_tf1", numFeatures=hashed_features)
+    tf2 = HashingTF(inputCol="_bigrams", outputCol="_tf2", numFeatures=hashed_features)
     asm = VectorAssembler(inputCols=["_tf1", "_tf2"], outputCol="_features")
     lr = LogisticRegression(featuresCol="_features", labelCol=label_col, family="multinomial", maxIter=max_iter)
     pipe = Pipeline(stages=[tok, bigrams, tf1, tf2, asm, lr])
@@ -82,31 +97,41 @@ def fit_model_a(train: DataFrame, text_col: str = "clean_text", label_col: str =
     return tvs.fit(train).bestModel
 
 
-def score_model(
-    model: PipelineModel,
-    df: DataFrame,
+def model_probs(model: PipelineModel, df: DataFrame, key: str, input_col: str) -> DataFrame:
+    """(key, probs): a narrow map over the input."""
+    return model.transform(df.select(key, input_col)).select(key, vector_to_array("probability").alias("probs"))
+
+
+def score_slot(
+    model: PipelineModel | None,
+    texts: DataFrame,
     key: str,
-    slot_name: str,
-    text_col: str = "clean_text",
-    labels: list[str] = EMOTIONS,
+    slot: str,
+    text_col: str = "text",
+    vocab: DataFrame | None = None,
 ) -> DataFrame:
-    """(key, probs, emotion, confidence, model): model probabilities repaired
-    to the label count, argmax first-wins.  A narrow map over the input."""
-    from moodframe.functions import scoring as S
-
-    out = model.transform(df.select(key, text_col))
-    p = out.select(key, S.prob_repair(vector_to_array("probability"), len(labels)).alias("probs"))
-    return p.select(
-        key,
-        "probs",
-        S.argmax_from_probs("probs", labels).alias("emotion"),
-        F.array_max("probs").alias("confidence"),
-        F.lit(slot_name).alias("model"),
-    )
+    """(key, emotion, confidence, scores, cleaned_text, model) of every text.
 
-
-def predictions_for_eval(model: PipelineModel, df: DataFrame, label_col: str = "label", text_col: str = "clean_text") -> DataFrame:
-    out = model.transform(df.select(label_col, text_col))
+    Slot A reads the raw text and reports it stripped; slot B reads the plainly
+    cleaned text as word numbers of ``vocab`` and reports the cleaned text.
+    Without a model, or where it gives nothing usable, the keyword scorer
+    stands in under the name '<slot> Fallback'.
+    """
+    base = materialised(predict_keyword(texts, [key], text_col), "slot-keyword")
+    shown = texts.select(key, trim_ws(text_col).alias("_shown")) if slot == MODEL_A else base.select(key, F.col("cleaned_text").alias("_shown"))
+    if model is None:
+        probs = base.select(key, F.lit(None).cast("array<double>").alias("probs"))
+    elif slot == MODEL_A:
+        probs = model_probs(model, texts, key, text_col)
+    else:
+        probs = model_probs(model, as_ids(base.select(key, "cleaned_text"), vocab, key, "cleaned_text"), key, "ids")
+    out = with_fallback(base, probs, key, slot).join(shown, key)
+    scores = F.map_from_arrays(F.array(*[F.lit(e) for e in EMOTIONS]), F.col("probs"))
+    return out.select(key, "emotion", "confidence", scores.alias("scores"), F.col("_shown").alias("cleaned_text"), "model")
+
+
+def predictions_for_eval(model: PipelineModel, df: DataFrame, input_col: str, label_col: str = "label") -> DataFrame:
+    out = model.transform(df.select(label_col, input_col))
     return out.select(F.col(label_col).cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"))
 
 
@@ -122,34 +147,21 @@ def training_history(model: PipelineModel) -> DataFrame:
 # Pluggable Arrow-batched scorer
 # ---------------------------------------------------------------------------
 
-_SCORERS: dict = {}
-
-
-def score_with_pandas(df: DataFrame, scorer_factory, key: str, text_col: str, slot_name: str, n_labels: int = len(EMOTIONS)) -> DataFrame:
+def score_with_pandas(df: DataFrame, scorer: str, key: str, text_col: str, n_labels: int = len(EMOTIONS)) -> DataFrame:
     """Apply an external text classifier with ``mapInPandas``.
 
-    ``scorer_factory()`` builds a callable ``list[str] -> 2-D array`` of
-    probabilities; it is built once per Python worker and reused for every
-    Arrow batch.  A batch that raises yields NULL probabilities, which
-    ``with_fallback`` turns into keyword predictions for those rows.
+    ``scorer`` names an importable factory, ``package.module:function``; it
+    builds a callable ``list[str] -> 2-D array`` of probabilities, once per
+    Python worker (``moodframe.operators.scorers`` keeps it between tasks).
+    Where a batch raises, its texts are scored one by one, and only a text
+    that raises alone gets NULL probabilities, which ``with_fallback`` turns
+    into a keyword prediction: batch sizes change nothing.
     """
-    import numpy as np
-    import pandas as pd
-
-    factory_id = id(scorer_factory)
+    from moodframe.operators.scorers import probabilities
 
     def run(batches):
-        scorer = _SCORERS.get(factory_id)
-        if scorer is None:
-            scorer = scorer_factory()
-            _SCORERS[factory_id] = scorer
         for pdf in batches:
-            try:
-                probs = np.asarray(scorer(pdf[text_col].fillna("").tolist()), dtype="float64")
-                col = [list(row) for row in probs.reshape(len(pdf), -1)]
-            except Exception:  # noqa: BLE001 - any scoring error falls back per batch
-                col = [None] * len(pdf)
-            yield pd.DataFrame({key: pdf[key], "probs": col})
+            yield pdf[[key]].assign(probs=probabilities(scorer, pdf[text_col].fillna("").tolist()))
 
     key_type = df.schema[key].dataType.simpleString()
     return df.select(key, text_col).mapInPandas(run, f"{key} {key_type}, probs array<double>")

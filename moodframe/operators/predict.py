@@ -15,25 +15,27 @@ from moodframe.functions import scoring as S
 from moodframe.functions.constants import (
     EMOTIONS,
     GUIDANCE,
+    KEYWORDS,
     KEYWORD_MODEL,
     MIXED_EMOTION_THRESHOLD,
     RESPONSE_TYPE,
 )
 from moodframe.functions.text import basic_clean
-from moodframe.operators.partitioning import fence, spread
+from moodframe.operators.partitioning import fenced, spread
 
 
-def score_texts(df: DataFrame, keys: list[str], text_col: str = "text", balance: bool = True) -> DataFrame:
+def score_texts(
+    df: DataFrame, keys: list[str], text_col: str = "text", balance: bool = True, lexicon: dict[str, list[str]] = KEYWORDS
+) -> DataFrame:
     """keys + cleaned_text + seven tenths + total_tenths.
 
-    The cleaned text is its own projection: the 48 ``contains`` tests read the
-    column, the cleaning expression is evaluated once per row.
+    Cleaned text and tenths are fenced values: each is evaluated once per row,
+    whatever is filtered, joined or read several times above.
     """
     src = spread(df.select(*keys, text_col)) if balance else df.select(*keys, text_col)
-    cleaned = src.select(*keys, basic_clean(text_col).alias("cleaned_text"))
-    tenths = fence(cleaned.select(*keys, "cleaned_text", *S.tenths_columns("cleaned_text")))
-    # ``_fence`` stays until the caller's final projection (see ``fence``)
-    return tenths.withColumn("total_tenths", S.total_tenths())
+    cleaned = src.select(*keys, fenced(basic_clean(text_col)).alias("cleaned_text"))
+    tenths = [fenced(S.label_tenths("cleaned_text", e, lexicon)).alias(c) for e, c in zip(EMOTIONS, S.TENTH_COLS)]
+    return cleaned.select(*keys, "cleaned_text", *tenths).withColumn("total_tenths", S.total_tenths())
 
 
 def predict_keyword(
@@ -42,14 +44,11 @@ def predict_keyword(
     text_col: str = "text",
     model_name: str = KEYWORD_MODEL,
     balance: bool = True,
+    lexicon: dict[str, list[str]] = KEYWORDS,
 ) -> DataFrame:
     """Prediction struct in flat form: emotion (first maximum in label order),
     confidence = max / total, plus the tenths for later steps."""
-    scored = score_texts(df, keys, text_col, balance)
-    # The argmax always finds a label; coalesce makes that visible to Catalyst
-    # (non-nullable), so a later join on the label does not infer an
-    # ``isnotnull`` filter and push it — with the whole scoring expression —
-    # down to the scan.
+    scored = score_texts(df, keys, text_col, balance, lexicon)
     return scored.select(
         "*",
         F.coalesce(S.argmax_label(), F.lit(S.EMOTIONS[0])).alias("emotion"),

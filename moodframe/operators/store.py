@@ -84,15 +84,16 @@ def keyword_slot_predictions(scored: DataFrame, key: str) -> DataFrame:
     return scored.select(key, slot(SLOT_A, MODEL_A).alias("pred_a"), slot(SLOT_B, MODEL_B).alias("pred_b"))
 
 
-def model_slot_struct(slot: int, emotion: str, confidence: str, probs: str, model: str, cleaned: str) -> Column:
-    return F.struct(
-        F.lit(slot).alias("slot"),
-        F.col(emotion).alias("emotion"),
-        F.col(confidence).alias("confidence"),
-        F.col(probs).alias("probs"),
-        F.col(model).alias("model"),
-        F.col(cleaned).alias("cleaned_text"),
+def with_slot_b(slots: DataFrame, scored: DataFrame, key: str, name: str = MODEL_B) -> DataFrame:
+    """Slot predictions with slot B taken from a scored table (key, emotion,
+    confidence, probs); rows it does not score keep their fallback."""
+    b = scored.select(key, F.col("emotion").alias("_e"), F.col("confidence").alias("_c"), F.col("probs").alias("_p"), F.lit(name).alias("_m"))
+    old = F.col("pred_b")
+    new = F.struct(
+        old["slot"].alias("slot"), F.col("_e").alias("emotion"), F.col("_c").alias("confidence"), F.col("_p").alias("probs"),
+        F.col("_m").alias("model"), old["cleaned_text"].alias("cleaned_text"),
     )
+    return slots.join(b, key, "left").select(key, "pred_a", F.when(F.col("_e").isNull(), old).otherwise(new).alias("pred_b"))
 
 
 # ---------------------------------------------------------------------------
@@ -238,12 +239,22 @@ def users_from_logins(logins: DataFrame) -> DataFrame:
     count is the number of logins, created_at the first login.  All three
     aggregates are partial-aggregatable, so a user with a huge share of
     logins is combined map-side before the shuffle by email."""
-    agg = logins.groupBy("email").agg(
-        F.max_by(F.struct("name", "role"), F.struct("ts", "seq")).alias("last"),
+    return login_summary(logins).select("email", "last.name", "last.role", "login_count", "created_at")
+
+
+def login_summary(logins: DataFrame) -> DataFrame:
+    """(email, last (ts, seq, name, role), login_count, created_at)."""
+    return logins.groupBy("email").agg(
+        F.max(F.struct("ts", "seq", "name", "role")).alias("last"),
         F.count(F.lit(1)).alias("login_count"),
         F.min("ts").alias("created_at"),
     )
-    return agg.select("email", "last.name", "last.role", "login_count", "created_at")
+
+
+def merge_login_summaries(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).groupBy("email").agg(
+        F.max("last").alias("last"), F.sum("login_count").alias("login_count"), F.min("created_at").alias("created_at")
+    )
 
 
 def upsert_users(prior: DataFrame, logins: DataFrame) -> DataFrame:

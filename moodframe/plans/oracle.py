@@ -9,6 +9,7 @@ from __future__ import annotations
 from moodframe.functions.constants import EMOTIONS, GUIDANCE, KEYWORDS, RESPONSE_TYPE, keyword_weight
 from moodframe.plans.sqlfrag import (
     LABELLED_VIEW,
+    PHRASES_VIEW,
     SUBMISSIONS_VIEW,
     clean_sql,
     q,
@@ -19,7 +20,7 @@ from moodframe.plans.sqlfrag import (
 ORACLE: dict[str, str] = {}
 
 SCORED_DOCS = scored_cte("documents", ["doc_id"])
-SCORED_CHAT = scored_cte("(SELECT * FROM conversations WHERE role = 'user')", ["conv_id", "turn"])
+SCORED_CHAT = scored_cte("conversations", ["conv_id", "turn"])
 LABEL_DIM = "(VALUES " + ", ".join(f"({i}, {q(e)})" for i, e in enumerate(EMOTIONS)) + ") AS emotions(label_id, emotion)"
 GUIDANCE_DIM = (
     "(VALUES "
@@ -50,7 +51,7 @@ def _mixed_long(src_alias: str = "sd") -> str:
 
 ORACLE["clean_text"] = f"SELECT doc_id, {clean_sql('text')} AS cleaned_text FROM documents"
 ORACLE["clean_text_chat"] = (
-    f"SELECT conv_id, turn, {clean_sql('text')} AS cleaned_text FROM conversations WHERE role = 'user'"
+    f"SELECT conv_id, turn, {clean_sql('text')} AS cleaned_text FROM conversations"
 )
 
 
@@ -64,8 +65,9 @@ def _contractions_sql(col: str) -> str:
 
 
 ORACLE["expand_contractions"] = (
-    f"SELECT conv_id, turn, {_contractions_sql('lower(text)')} AS expanded FROM conversations"
+    f"SELECT conv_id, turn, {_contractions_sql('lower(text)')} AS expanded FROM {PHRASES_VIEW} ph"
 )
+ORACLE["clean_text_phrases"] = f"SELECT conv_id, turn, {clean_sql('text')} AS cleaned_text FROM {PHRASES_VIEW} ph"
 
 
 def _url_sql(col: str) -> str:
@@ -130,18 +132,19 @@ ORACLE["ranked_scores"] = f"""
     FROM {RANKED_LONG} r
 """
 ORACLE["dense_scores"] = f"""
-    WITH sc AS {SCORED_CHAT}
-    SELECT conv_id, turn, CAST(label_id AS BIGINT) AS label_id, emotion,
-           round(CAST(tenths AS DOUBLE) / total_tenths, 6) AS score
-    FROM {unpivot_sql('sc', ['conv_id', 'turn'])} u
+    WITH sd AS {SCORED_DOCS}
+    SELECT doc_id, CAST(label_id AS BIGINT) AS label_id, emotion,
+           CASE WHEN tenths > 2 THEN round(CAST(tenths AS DOUBLE) / total_tenths, 6) ELSE 0.0 END AS score
+    FROM {unpivot_sql('sd', ['doc_id'])} u
 """
 ORACLE["guidance_join"] = f"""
     SELECT sd.doc_id, sd.emotion, g.response, g.action, {q(RESPONSE_TYPE)} AS response_type
     FROM {SCORED_DOCS} sd LEFT JOIN {GUIDANCE_DIM} ON g.emotion = sd.emotion
 """.replace("AS guidance(", "AS g(")
 ORACLE["keyword_hits_join"] = f"""
-    SELECT sd.doc_id, lx.emotion, count(*) AS n_hits, CAST(2 + sum(lx.weight) AS BIGINT) AS tenths
-    FROM {SCORED_DOCS} sd JOIN {LEXICON_DIM} ON contains(sd.cleaned_text, lx.keyword)
+    SELECT sd.doc_id, lx.emotion, CAST(sum(CASE WHEN contains(sd.cleaned_text, lx.keyword) THEN 1 ELSE 0 END) AS BIGINT) AS n_hits,
+           CAST(2 + sum(CASE WHEN contains(sd.cleaned_text, lx.keyword) THEN lx.weight ELSE 0 END) AS BIGINT) AS tenths
+    FROM {SCORED_DOCS} sd, {LEXICON_DIM}
     GROUP BY sd.doc_id, lx.emotion
 """.replace("AS lexicon(", "AS lx(")
 
@@ -232,17 +235,24 @@ ORACLE["history_rows"] = with_history(
                primary_emotion, secondary_emotion, round(confidence, 6) AS confidence, ai_response,
                model, response_type FROM h"""
 )
-ORACLE["select_best_model"] = with_history(
-    """SELECT seq, CAST(min(slot) AS BIGINT) AS slot, any_value(primary_emotion) AS emotion,
-              round(any_value(confidence), 6) AS confidence,
-              CASE min(slot) WHEN 0 THEN 'BERT Fallback' ELSE 'BiLSTM Fallback' END AS model
-       FROM h GROUP BY seq"""
-)
-ORACLE["compare_models"] = with_history(
-    """SELECT seq, CASE slot WHEN 0 THEN 'bert' ELSE 'bilstm' END AS model_key, primary_emotion AS emotion,
-              round(confidence, 6) AS confidence, model
-       FROM h WHERE lower(model_choice) = 'compare'"""
-)
+TWO_SLOTS = f"""
+    e1 AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 8.0) AS e FROM embeddings),
+    e2 AS (SELECT vec_id, list_transform(e, lambda x: exp(x - list_max(e))) AS ex FROM e1),
+    e3 AS (SELECT vec_id, list_slice(ex, 1, 7) AS s7 FROM e2),
+    ext AS (SELECT vec_id AS doc_id, list_transform(s7, lambda x: x / list_sum(s7)) AS p FROM e3),
+    two AS (SELECT h.seq, h.slot, h.model_choice,
+                   CASE WHEN h.slot = 1 AND ext.p IS NOT NULL
+                        THEN ([{", ".join(q(e) for e in EMOTIONS)}])[list_position(ext.p, list_max(ext.p))] ELSE h.primary_emotion END AS emotion,
+                   CASE WHEN h.slot = 1 AND ext.p IS NOT NULL THEN list_max(ext.p) ELSE h.confidence END AS confidence,
+                   CASE WHEN h.slot = 0 THEN 'BERT Fallback' WHEN ext.p IS NOT NULL THEN 'BiLSTM' ELSE 'BiLSTM Fallback' END AS model
+            FROM h LEFT JOIN ext ON ext.doc_id = h.doc_id)
+"""
+ORACLE["select_best_model"] = f"""WITH {HISTORY_CTES}, {TWO_SLOTS}
+    SELECT seq, CAST(slot AS BIGINT) AS slot, emotion, round(confidence, 6) AS confidence, model FROM
+      (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY confidence DESC, slot) AS k FROM two) t WHERE k = 1"""
+ORACLE["compare_models"] = f"""WITH {HISTORY_CTES}, {TWO_SLOTS}
+    SELECT seq, CASE slot WHEN 0 THEN 'bert' ELSE 'bilstm' END AS model_key, emotion, round(confidence, 6) AS confidence, model
+    FROM two WHERE lower(model_choice) = 'compare'"""
 ORACLE["records_build"] = with_history(f"SELECT {REC_COLS}, input_text FROM rec")
 ORACLE["records_all"] = with_history(f"SELECT {REC_COLS} FROM rec")
 ORACLE["records_by_user"] = with_history(f"SELECT {REC_COLS} FROM rec WHERE email = {q(SAMPLE_EMAIL)}")
@@ -337,10 +347,18 @@ PREP_CTES = f"""
            FROM (SELECT row_id, text, {trim_ws_sql('emotion')} AS e FROM l1
                  WHERE text IS NOT NULL AND emotion IS NOT NULL) t),
     l3 AS (SELECT * FROM l2 WHERE emotion IN (SELECT unnest({EMO_LIST}))),
-    prep AS (SELECT row_id, text, emotion, clean_text, CAST(list_position({EMO_LIST}, emotion) - 1 AS INTEGER) AS label
-             FROM (SELECT row_id, text, emotion, array_to_string({nostop_sql(clean_sql('text'))}, ' ') AS clean_text
-                   FROM l3) t
-             WHERE length(clean_text) > 0),
+    tk AS (SELECT row_id, {nostop_sql(clean_sql('text'))} AS toks FROM l3),
+    words AS (SELECT DISTINCT unnest(toks) AS word FROM tk),
+    cands AS (SELECT w.word, rules.r, left(w.word, length(w.word) - length(rules.suf)) || rules.rep AS cand
+              FROM words w JOIN {RULES_DIM} ON suffix(w.word, rules.suf) AND length(w.word) > length(rules.suf)),
+    lem AS (SELECT word AS surface, lemma FROM
+              (SELECT c.word, arg_min(c.cand, (length(c.cand), c.r)) AS lemma
+               FROM cands c JOIN words w2 ON w2.word = c.cand GROUP BY c.word) b WHERE length(lemma) < length(word)),
+    tp AS (SELECT row_id, unnest(generate_series(0, len(toks) - 1)) AS pos, unnest(toks) AS tok FROM tk),
+    lt AS (SELECT tp.row_id, string_agg(coalesce(lem.lemma, tp.tok), ' ' ORDER BY tp.pos) AS clean_text
+           FROM tp LEFT JOIN lem ON lem.surface = tp.tok GROUP BY tp.row_id),
+    prep AS (SELECT l3.row_id, l3.text, l3.emotion, lt.clean_text, CAST(list_position({EMO_LIST}, l3.emotion) - 1 AS INTEGER) AS label
+             FROM l3 JOIN lt ON lt.row_id = l3.row_id),
     cnt AS (SELECT label, count(*) AS c FROM prep GROUP BY label),
     tot AS (SELECT CAST(sum(c) AS BIGINT) AS n, min(c) AS c_min, count(*) AS k FROM cnt),
     q0 AS (SELECT cnt.label, cnt.c, tot.n, tot.c_min,
@@ -361,10 +379,10 @@ PREP_CTES = f"""
     perdoc AS (SELECT word, row_id, count(*) AS n, min(pos) AS p FROM wp WHERE split = 'train' GROUP BY word, row_id),
     stats AS (SELECT word, sum(n) AS word_count, count(*) AS doc_count, min(row_id) AS fk, arg_min(p, row_id) AS fp
               FROM perdoc GROUP BY word),
-    vocab AS (SELECT * FROM (SELECT word, CAST(row_number() OVER (ORDER BY word_count DESC, fk, fp) + 1 AS INTEGER) AS index,
+    vocab AS (SELECT word, CAST(row_number() OVER (ORDER BY word_count DESC, fk, fp) + 1 AS INTEGER) AS index,
                                     CAST(word_count AS BIGINT) AS word_count, CAST(doc_count AS BIGINT) AS doc_count
-                             FROM stats) t WHERE index < {VOCAB_NUM_WORDS}),
-    enc AS (SELECT wp.row_id, list(coalesce(v.index, 1) ORDER BY wp.pos) AS ids
+              FROM stats),
+    enc AS (SELECT wp.row_id, list(CASE WHEN v.index < {VOCAB_NUM_WORDS} THEN v.index ELSE 1 END ORDER BY wp.pos) AS ids
             FROM wp LEFT JOIN vocab v ON v.word = wp.word GROUP BY wp.row_id)
 """
 
@@ -430,13 +448,10 @@ ORACLE["one_hot"] = with_prep(
     "SELECT row_id, label, array_to_string(list_transform(range(7), lambda i: CASE WHEN i = label THEN 1 ELSE 0 END), ' ') AS one_hot FROM prep"
 )
 
-SOFTMAX_SQL = """list_transform(ex, lambda x: x / list_sum(ex))"""
-ORACLE["softmax"] = f"""
-    SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS BIGINT) AS top_index,
-           round(list_max(p), 6) AS top_prob, round(list_sum(p), 6) AS total
-    FROM (SELECT vec_id, {SOFTMAX_SQL} AS p
-          FROM (SELECT vec_id, list_transform(e, lambda x: exp(x - list_max(e))) AS ex
-                FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) a) b) c
+ORACLE["softmax"] = """
+    SELECT vec_id, CAST(unnest(range(len(ex))) AS BIGINT) AS i, round(unnest(list_transform(ex, lambda x: x / list_sum(ex))), 6) AS prob
+    FROM (SELECT vec_id, list_transform(e, lambda x: exp(x - list_max(e))) AS ex
+          FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) a) b
 """
 
 
@@ -447,22 +462,21 @@ def repair_sql(arr: str) -> str:
 
 
 ORACLE["prob_repair"] = f"""
-    SELECT vec_id, ({EMO_LIST})[list_position(p, list_max(p))] AS emotion, round(list_max(p), 6) AS confidence,
-           round(p[1], 6) AS p_happy, round(p[7], 6) AS p_neutral
-    FROM (SELECT vec_id, {repair_sql('r')} AS p
-          FROM (SELECT vec_id, list_transform(embedding, lambda x: greatest(CAST(x AS DOUBLE), 0.0)) AS r FROM embeddings) a) b
+    SELECT doc_id, CAST(unnest(range(7)) AS BIGINT) AS i, round(unnest(p), 6) AS prob FROM
+      (SELECT doc_id, {repair_sql('v')} AS p FROM
+        (SELECT vec_id AS doc_id, list_transform(list_slice(embedding, 1, CASE WHEN vec_id % 5 = 0 THEN 64 ELSE vec_id % 9 END),
+                  lambda x: CASE WHEN vec_id % 13 = 0 THEN 0.0 ELSE greatest(CAST(x AS DOUBLE), 0.0) END) AS v FROM embeddings) a
+       WHERE len(v) > 0) b
 """
 ORACLE["predict_with_fallback"] = f"""
-    WITH sm AS (SELECT vec_id AS doc_id, {SOFTMAX_SQL} AS s
-                FROM (SELECT vec_id, list_transform(e, lambda x: exp(x - list_max(e))) AS ex
-                      FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) a) b),
-         ext AS (SELECT doc_id, {repair_sql('s')} AS p FROM sm),
-         sd AS {SCORED_DOCS}
+    WITH {HISTORY_CTES}, {TWO_SLOTS},
+         used AS (SELECT doc_id, CASE WHEN doc_id % 17 = 9 THEN {repair_sql('list_slice(p, 1, 3)')} ELSE p END AS p
+                  FROM ext WHERE doc_id % 17 NOT IN (3, 5, 7))
     SELECT sd.doc_id,
-           CASE WHEN ext.p IS NULL THEN sd.emotion ELSE ({EMO_LIST})[list_position(ext.p, list_max(ext.p))] END AS emotion,
-           round(CASE WHEN ext.p IS NULL THEN sd.confidence ELSE list_max(ext.p) END, 6) AS confidence,
-           CASE WHEN ext.p IS NULL THEN 'BiLSTM Fallback' ELSE 'BiLSTM' END AS model
-    FROM sd LEFT JOIN ext ON ext.doc_id = sd.doc_id
+           CASE WHEN used.p IS NULL THEN sd.emotion ELSE ({EMO_LIST})[list_position(used.p, list_max(used.p))] END AS emotion,
+           round(CASE WHEN used.p IS NULL THEN sd.confidence ELSE list_max(used.p) END, 6) AS confidence,
+           CASE WHEN used.p IS NULL THEN 'BiLSTM Fallback' ELSE 'BiLSTM' END AS model
+    FROM sd LEFT JOIN used ON used.doc_id = sd.doc_id
 """
 
 EVAL_CTES = f"""
@@ -523,3 +537,13 @@ ORACLE["stream_users"] = ORACLE["users_upsert_batch"]
 ORACLE["stream_emotion_counts"] = ORACLE["emotion_counts"]
 ORACLE["stream_examples"] = ORACLE["examples_append"]
 ORACLE["stream_mapping"] = ORACLE["mapping_insert_if_absent"]
+ORACLE["stream_field_emotion_model_counts"] = ORACLE["field_emotion_model_counts"]
+ORACLE["stream_mean_confidence"] = with_history("SELECT count(*) AS interactions, round(avg(confidence), 6) AS avg_confidence FROM h")
+
+# Whatever the weights are, a slot's output has this structure.
+ORACLE["predict_model_a"] = f"""
+    SELECT doc_id, CAST(7 AS BIGINT) AS n_scores, 1.0 AS total, true AS is_top, {trim_ws_sql('text')} AS cleaned_text, 'BERT' AS model FROM documents
+"""
+ORACLE["predict_model_b"] = f"""
+    SELECT doc_id, CAST(7 AS BIGINT) AS n_scores, 1.0 AS total, true AS is_top, {clean_sql('text')} AS cleaned_text, 'BiLSTM' AS model FROM documents
+"""

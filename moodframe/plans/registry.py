@@ -56,10 +56,16 @@ def q_clean_text_chat(spark, sf_dir):
 
 @query
 def q_expand_contractions(spark, sf_dir):
-    c = load_table(spark, sf_dir, "conversations")
+    c = V.phrases(spark, sf_dir)
     return c.select("conv_id", "turn", T.expand_contractions(F.lower("text")).alias("expanded"))
 
 
+@query
+def q_clean_text_phrases(spark, sf_dir):
+    c = V.phrases(spark, sf_dir)
+    return c.select("conv_id", "turn", T.basic_clean("text").alias("cleaned_text"))
+
+
 @query
 def q_strip_urls(spark, sf_dir):
     p = load_table(spark, sf_dir, "pages")
@@ -155,9 +161,14 @@ def q_ranked_scores(spark, sf_dir):
 
 @query
 def q_dense_scores(spark, sf_dir):
-    s = P.with_scores_map(P.predict_keyword(V.chat(spark, sf_dir), ["conv_id", "turn"]))
-    d = P.dense_scores(s, ["conv_id", "turn"])
-    return d.select("conv_id", "turn", F.col("label_id").cast("bigint").alias("label_id"), "emotion", r6("score").alias("score"))
+    """Scores of labels without a keyword hit are left out of the maps first:
+    the dense form gives them back as 0.0."""
+    s = scored_docs(spark, sf_dir)
+    hits = F.filter(S.sorted_label_array(), lambda x: x["tenths"] > S.BASE_TENTHS)
+    total = F.col("total_tenths").cast("double")
+    gaps = F.map_from_entries(F.transform(hits, lambda x: F.struct(x["emotion"], x["tenths"] / total)))
+    d = P.dense_scores(s.select("doc_id", gaps.alias("scores")), ["doc_id"])
+    return d.select("doc_id", F.col("label_id").cast("bigint").alias("label_id"), "emotion", r6("score").alias("score"))
 
 
 @query
@@ -169,13 +180,13 @@ def q_guidance_join(spark, sf_dir):
 
 @query
 def q_keyword_hits_join(spark, sf_dir):
-    """Lexicon as a table, joined on substring containment (theta join).
-
-    The lexicon has a fixed 48 rows, so it is broadcast; the result is the
-    per-(doc, label) hit count and tenths, for documents with any hit."""
+    """Lexicon as a table, joined on substring containment: hit count and
+    tenths of every document and label."""
     from moodframe.operators.lexicon import keyword_hits
+    from moodframe.operators.partitioning import materialised
 
-    hits = keyword_hits(spark, scored_docs(spark, sf_dir).select("doc_id", "cleaned_text"), ["doc_id"])
+    cleaned = materialised(scored_docs(spark, sf_dir).select("doc_id", "cleaned_text"), "cleaned")
+    hits = keyword_hits(spark, cleaned, ["doc_id"])
     return hits.select("doc_id", "emotion", F.col("n_hits").cast("bigint").alias("n_hits"), F.col("tenths").cast("bigint").alias("tenths"))
 
 
@@ -196,6 +207,16 @@ def history(spark, sf_dir):
     return ST.keyword_history(V.submissions(spark, sf_dir), V.texts(spark, sf_dir))
 
 
+def history_two_slots(spark, sf_dir):
+    """History in which slot B has a model: the external score table."""
+    scored = P.predict_keyword(V.texts(spark, sf_dir), ["doc_id"])
+    ext = external_scores(spark, sf_dir).filter(F.col("probs").isNotNull()).select(
+        "doc_id", S.argmax_from_probs("probs").alias("emotion"), F.array_max("probs").alias("confidence"), "probs"
+    )
+    slots = ST.with_slot_b(ST.keyword_slot_predictions(scored, "doc_id"), ext, "doc_id")
+    return ST.history_rows(V.submissions(spark, sf_dir), slots, "doc_id")
+
+
 def records(spark, sf_dir):
     return ST.build_records(history(spark, sf_dir))
 
@@ -253,7 +274,7 @@ def q_history_rows(spark, sf_dir):
 @query
 def q_select_best_model(spark, sf_dir):
     """Per submission, the result whose guidance is shown."""
-    h = history(spark, sf_dir)
+    h = history_two_slots(spark, sf_dir)
     best = P.select_best(h, ["seq"], ["primary_emotion", "confidence", "model"])
     return best.select(
         "seq",
@@ -267,7 +288,7 @@ def q_select_best_model(spark, sf_dir):
 @query
 def q_compare_models(spark, sf_dir):
     """Compare submissions: nested map per text, flattened back for checking."""
-    h = history(spark, sf_dir).filter(F.lower("model_choice") == "compare")
+    h = history_two_slots(spark, sf_dir).filter(F.lower("model_choice") == "compare")
     keyed = h.select(
         "seq",
         F.when(F.col("slot") == ST.SLOT_A, F.lit("bert")).otherwise(F.lit("bilstm")).alias("model_key"),
@@ -289,14 +310,13 @@ RECORD_COLS = [
 ]
 
 
-def _records_out(r):
-    return r.select(*[r6(c).alias(c) if c == "confidence_score" else F.col(c) for c in RECORD_COLS])
+def _records_out(r, *more):
+    return r.select(*[r6(c).alias(c) if c == "confidence_score" else F.col(c) for c in [*RECORD_COLS, *more]])
 
 
 @query
 def q_records_build(spark, sf_dir):
-    r = records(spark, sf_dir)
-    return _records_out(r).join(r.select("record_id", "input_text"), "record_id")
+    return _records_out(records(spark, sf_dir), "input_text")
 
 
 @query
@@ -446,7 +466,7 @@ from moodframe.operators import features as FE  # noqa: E402
 
 
 def prepared(spark, sf_dir):
-    return D.prepare_dataset(V.labelled(spark, sf_dir))
+    return D.prepare_dataset(V.labelled(spark, sf_dir), lemmas="corpus")
 
 
 def split(spark, sf_dir):
@@ -482,10 +502,9 @@ def q_remove_stopwords(spark, sf_dir):
 
 
 def _tokens_no_stop(spark, sf_dir):
-    from moodframe.operators.partitioning import spread
+    from moodframe.operators.partitioning import materialised
 
-    d = spread(V.texts(spark, sf_dir)).select("doc_id", T.tokenize(T.basic_clean("text")).alias("tokens"))
-    return D.drop_stop_words(d, "doc_id", "tokens", DEFAULT_STOP_WORDS)
+    return materialised(D.training_tokens(V.texts(spark, sf_dir), ["doc_id"]), "tokens")
 
 
 @query
@@ -497,17 +516,13 @@ def q_lemma_table(spark, sf_dir):
 @query
 def q_lemmatize_lookup(spark, sf_dir):
     toks = _tokens_no_stop(spark, sf_dir)
-    lem = D.corpus_lemma_table(toks)
-    out = T.lemmatize_tokens(toks, "doc_id", "tokens", lem)
+    out = T.lemmatize_tokens(toks, "doc_id", "tokens", D.corpus_lemma_table(toks))
     return out.select("doc_id", F.array_join("tokens", " ").alias("clean_text"))
 
 
 @query
 def q_clean_text_full(spark, sf_dir):
-    toks = _tokens_no_stop(spark, sf_dir)
-    lem = D.corpus_lemma_table(toks)
-    out = D.training_text(V.texts(spark, sf_dir), "doc_id", stop_words=DEFAULT_STOP_WORDS, lemmas=lem)
-    return out.select("doc_id", "clean_text")
+    return D.training_text(V.texts(spark, sf_dir), "doc_id", lemmas="corpus").select("doc_id", "clean_text")
 
 
 @query
@@ -550,10 +565,10 @@ def q_vocab_size(spark, sf_dir):
     return FE.vocab_size(train_part(spark, sf_dir), "row_id")
 
 
-def _encoded(spark, sf_dir):
+def _encoded(spark, sf_dir, max_len=None):
     s = split(spark, sf_dir)
     vocab = FE.vocab_fit(s.filter(F.col("split") == "train"), "row_id")
-    return FE.encode(s, vocab, "row_id")
+    return FE.encode(s, vocab, "row_id", max_len=max_len)
 
 
 @query
@@ -569,7 +584,7 @@ def q_encode_sequences(spark, sf_dir):
 
 @query
 def q_pad_sequences(spark, sf_dir):
-    e = _encoded(spark, sf_dir)
+    e = _encoded(spark, sf_dir, MAX_SEQ_LEN)
     p = e.select("row_id", FE.pad("ids", MAX_SEQ_LEN).alias("padded"))
     return p.select(
         "row_id",
@@ -592,44 +607,54 @@ def q_one_hot(spark, sf_dir):
 
 @query
 def q_softmax(spark, sf_dir):
+    """Every entry of every softmax vector."""
+    p = load_table(spark, sf_dir, "embeddings").select("vec_id", S.softmax("embedding").alias("p"))
+    return p.select("vec_id", F.posexplode("p").alias("i", "v")).select("vec_id", F.col("i").cast("bigint").alias("i"), r6("v").alias("prob"))
+
+
+def raw_vectors(spark, sf_dir):
+    """(doc_id, v): non-negative vectors of 0 to 64 entries; every 13th sums to 0."""
     e = load_table(spark, sf_dir, "embeddings")
-    p = e.select("vec_id", S.softmax("embedding").alias("p"))
-    return p.select(
-        "vec_id",
-        (F.array_position("p", F.array_max("p")) - 1).cast("bigint").alias("top_index"),
-        r6(F.array_max("p")).alias("top_prob"),
-        r6(F.aggregate("p", F.lit(0.0), lambda a, x: a + x)).alias("total"),
-    )
+    keep = F.when(F.pmod("vec_id", F.lit(5)) == 0, F.lit(64)).otherwise(F.pmod("vec_id", F.lit(9))).cast("int")
+    value = lambda x: F.when(F.pmod("vec_id", F.lit(13)) == 0, F.lit(0.0)).otherwise(F.greatest(x.cast("double"), F.lit(0.0)))
+    return e.select(F.col("vec_id").alias("doc_id"), F.transform(F.slice("embedding", F.lit(1), keep), value).alias("v"))
 
 
 @query
 def q_prob_repair(spark, sf_dir):
-    e = load_table(spark, sf_dir, "embeddings")
-    relu = F.transform("embedding", lambda x: F.greatest(x.cast("double"), F.lit(0.0)))
-    p = e.select("vec_id", S.prob_repair(relu).alias("p"))
-    return p.select(
-        "vec_id",
-        S.argmax_from_probs("p").alias("emotion"),
-        r6(F.array_max("p")).alias("confidence"),
-        r6(F.element_at("p", 1)).alias("p_happy"),
-        r6(F.element_at("p", 7)).alias("p_neutral"),
-    )
+    """Every entry of the repaired vectors; an empty vector gives none."""
+    p = raw_vectors(spark, sf_dir).select("doc_id", S.prob_repair("v").alias("p"))
+    return p.select("doc_id", F.posexplode("p").alias("i", "v")).select("doc_id", F.col("i").cast("bigint").alias("i"), r6("v").alias("prob"))
 
 
 def external_scores(spark, sf_dir):
     """An external model-B output table keyed by doc_id: softmax of the stored
-    embedding, repaired to the seven labels (documents without one get none)."""
+    embedding, sharpened and repaired to the seven labels (documents without
+    one get none)."""
     e = load_table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("doc_id"), S.prob_repair(S.softmax("embedding")).alias("probs"))
+    sharp = F.transform("embedding", lambda x: x.cast("double") * F.lit(8.0))
+    return e.select(F.col("vec_id").alias("doc_id"), S.prob_repair(S.softmax(sharp)).alias("probs"))
+
+
+def broken_scores(spark, sf_dir):
+    """The external table with NaN, negative, null and short vectors in it."""
+    k = F.pmod("doc_id", F.lit(17))
+    first = lambda x: F.concat(F.array(F.lit(x)), F.slice("probs", 2, 6))
+    probs = (
+        F.when(k == 3, first(float("nan")))
+        .when(k == 5, first(-1.0))
+        .when(k == 7, F.lit(None).cast("array<double>"))
+        .when(k == 9, F.slice("probs", 1, 3))
+        .otherwise(F.col("probs"))
+    )
+    return external_scores(spark, sf_dir).select("doc_id", probs.alias("probs"))
 
 
 @query
 def q_predict_with_fallback(spark, sf_dir):
     from moodframe.operators.modeling import with_fallback
 
-    kw = scored_docs(spark, sf_dir)
-    ext = external_scores(spark, sf_dir)
-    out = with_fallback(kw, ext, "doc_id", "BiLSTM")
+    out = with_fallback(scored_docs(spark, sf_dir), broken_scores(spark, sf_dir), "doc_id", "BiLSTM")
     return out.select("doc_id", "emotion", r6("confidence").alias("confidence"), "model")
 
 
@@ -680,11 +705,32 @@ def q_weighted_metrics(spark, sf_dir):
 
 
 def binary_split(spark, sf_dir):
-    """documents ⋈ labels (quality 0/1): a truth that text can predict."""
-    b = V.binary(spark, sf_dir)
-    cleaned = D.training_text(b, "doc_id")
-    prep = b.select("doc_id", "label").join(cleaned, "doc_id").filter(F.length("clean_text") > 0)
-    return D.split_stratified(prep, key="doc_id").persist()
+    """documents ⋈ labels (quality 0/1): a truth that text can predict.
+    (doc_id, text, label, clean_text, split), written once."""
+    from moodframe.operators.partitioning import materialised
+
+    cleaned = D.training_text(V.binary(spark, sf_dir), "doc_id", keep=["label", "text"])
+    return materialised(D.split_stratified(cleaned.filter(F.length("clean_text") > 0), key="doc_id"), "binary-split")
+
+
+def _fitted(s, key, slot):
+    """(model, vocabulary or None, input column, frame with that column)."""
+    from moodframe.operators import modeling as M
+    from moodframe.operators.partitioning import materialised
+
+    train = s.filter(F.col("split") == "train")
+    if slot == "a":
+        return M.fit_model_a(train), None, "text", s
+    vocab = materialised(FE.vocab_fit(train, key), "vocabulary")
+    coded = materialised(M.as_ids(s, vocab, key), "coded")
+    return M.fit_model_b(coded.filter(F.col("split") == "train")), vocab, "ids", coded
+
+
+def _validated(spark, sf_dir, slot):
+    from moodframe.operators import modeling as M
+
+    model, _, column, s = _fitted(binary_split(spark, sf_dir), "doc_id", slot)
+    return M.predictions_for_eval(model, s.filter(F.col("split") == "validation"), column), s
 
 
 def _metrics_row(pairs, n_train):
@@ -697,63 +743,63 @@ def _metrics_row(pairs, n_train):
 
 @query
 def q_train_model_b(spark, sf_dir):
-    from moodframe.operators import modeling as M
-
-    s = binary_split(spark, sf_dir)
-    train = s.filter(F.col("split") == "train")
-    model = M.fit_model_b(train)
-    pairs = M.predictions_for_eval(model, s.filter(F.col("split") == "validation"))
-    return _metrics_row(pairs, train.count())
+    pairs, s = _validated(spark, sf_dir, "b")
+    return _metrics_row(pairs, s.filter(F.col("split") == "train").count())
 
 
 @query
 def q_train_model_a(spark, sf_dir):
-    from moodframe.operators import modeling as M
-
-    s = binary_split(spark, sf_dir)
-    train = s.filter(F.col("split") == "train")
-    model = M.fit_model_a(train)
-    pairs = M.predictions_for_eval(model, s.filter(F.col("split") == "validation"))
-    return _metrics_row(pairs, train.count())
+    pairs, s = _validated(spark, sf_dir, "a")
+    return _metrics_row(pairs, s.filter(F.col("split") == "train").count())
 
 
 @query
 def q_evaluate_model(spark, sf_dir):
-    from moodframe.operators import modeling as M
-
-    s = binary_split(spark, sf_dir)
-    model = M.fit_model_b(s.filter(F.col("split") == "train"))
-    pairs = M.predictions_for_eval(model, s.filter(F.col("split") == "validation"))
-    return EV.confusion_long(pairs, ["low", "high"])
+    """Report of the validation part: a row per class and the averages."""
+    pairs, _ = _validated(spark, sf_dir, "b")
+    return EV.classification_report(pairs, ["low", "high"])
 
 
 @query
 def q_training_history(spark, sf_dir):
     from moodframe.operators import modeling as M
 
-    s = binary_split(spark, sf_dir)
-    return M.training_history(M.fit_model_b(s.filter(F.col("split") == "train")))
+    return M.training_history(_fitted(binary_split(spark, sf_dir), "doc_id", "b")[0])
 
 
-def _emotion_model(spark, sf_dir, slot):
+def _slot_rows(spark, sf_dir, slot):
     from moodframe.operators import modeling as M
+    from moodframe.operators.partitioning import materialised
 
-    s = split(spark, sf_dir).persist()
-    train = s.filter(F.col("split") == "train")
-    model = M.fit_model_a(train) if slot == "a" else M.fit_model_b(train)
-    texts = D.training_text(V.texts(spark, sf_dir), "doc_id")
-    name = "BERT" if slot == "a" else "BiLSTM"
-    return M.score_model(model, texts, "doc_id", name)
+    s = materialised(split(spark, sf_dir), "emotion-split")
+    model, vocab, _, _ = _fitted(s, "row_id", slot)
+    return M.score_slot(model, V.texts(spark, sf_dir), "doc_id", "BERT" if slot == "a" else "BiLSTM", vocab=vocab)
+
+
+def _slot_checked(rows):
+    """What must hold whatever the weights: seven scores that sum to 1, the
+    emotion being the first of the largest, and the text as shown."""
+    from moodframe.functions.constants import EMOTIONS
+
+    values = F.transform(F.array(*[F.lit(e) for e in EMOTIONS]), lambda e: F.col("scores")[e])
+    return rows.select(
+        "doc_id",
+        F.size("scores").cast("bigint").alias("n_scores"),
+        r6(F.aggregate(values, F.lit(0.0), lambda a, x: a + x)).alias("total"),
+        ((S.argmax_from_probs(values) == F.col("emotion")) & (F.array_max(values) == F.col("confidence"))).alias("is_top"),
+        "cleaned_text",
+        "model",
+    )
 
 
 @query
 def q_predict_model_a(spark, sf_dir):
-    return _emotion_model(spark, sf_dir, "a").select("doc_id", "emotion", r6("confidence").alias("confidence"), "model")
+    return _slot_checked(_slot_rows(spark, sf_dir, "a"))
 
 
 @query
 def q_predict_model_b(spark, sf_dir):
-    return _emotion_model(spark, sf_dir, "b").select("doc_id", "emotion", r6("confidence").alias("confidence"), "model")
+    return _slot_checked(_slot_rows(spark, sf_dir, "b"))
 
 
 # ---------------------------------------------------------------------------
@@ -773,7 +819,8 @@ def q_stream_score_records(spark, sf_dir):
 def q_stream_users(spark, sf_dir):
     from moodframe.streaming import jobs as J
 
-    return _users_out(J.latest_snapshot(spark, J.stream_users(spark, sf_dir)))
+    u = J.latest_snapshot(spark, J.stream_users(spark, sf_dir))
+    return _users_out(u.select("email", "last.name", "last.role", "login_count", "created_at"))
 
 
 @query
@@ -783,6 +830,21 @@ def q_stream_emotion_counts(spark, sf_dir):
     return J.latest_snapshot(spark, J.stream_emotion_counts(spark, sf_dir))
 
 
+@query
+def q_stream_field_emotion_model_counts(spark, sf_dir):
+    from moodframe.streaming import jobs as J
+
+    return J.latest_snapshot(spark, J.stream_field_emotion_model_counts(spark, sf_dir))
+
+
+@query
+def q_stream_mean_confidence(spark, sf_dir):
+    from moodframe.streaming import jobs as J
+
+    m = J.mean_confidence(J.latest_snapshot(spark, J.stream_mean_confidence(spark, sf_dir)))
+    return m.select("interactions", r6("avg_confidence").alias("avg_confidence"))
+
+
 @query
 def q_stream_examples(spark, sf_dir):
     from moodframe.streaming import jobs as J

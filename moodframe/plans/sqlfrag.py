@@ -17,6 +17,7 @@ from moodframe.functions.constants import (
     keyword_weight,
 )
 from moodframe.functions.text import NON_WORD_PATTERN, PUNCT_PATTERN, URL_PATTERN
+from moodframe.sources.views import PHRASES
 
 TENTH_COLS = [f"t_{e.lower()}" for e in EMOTIONS]
 MODEL_CHOICES = ["bert", "bilstm", "compare"]
@@ -116,3 +117,7 @@ SUBMISSIONS_VIEW = f"""
      FROM events e
      JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents))
 """
+
+PHRASES_VIEW = f"""
+    (SELECT conv_id, turn, concat_ws(' ', text, {pick_sql(PHRASES, f'(conv_id + turn) % {len(PHRASES)}')}) AS text FROM conversations)
+"""

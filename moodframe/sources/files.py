@@ -18,42 +18,42 @@ def _csv(spark: SparkSession):
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.exists(p)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def read_labelled_csv(spark: SparkSession, path: str, null_tokens: list[str] = CSV_NULL_TOKENS) -> DataFrame:
     """(text, emotion) as strings (never inferred); CSV null tokens → NULL.
 
     Raises FileNotFoundError when the path is missing and ValueError naming
     the missing required columns."""
-    if not _exists(spark, path):
-        raise FileNotFoundError(f"Dataset not found: {path}")
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no labelled file at {path}")
     df = _csv(spark).csv(path)
     missing = sorted(set(REQUIRED) - set(df.columns))
     if missing:
-        raise ValueError(f"Dataset must contain columns: {sorted(REQUIRED)}. Missing: {missing}")
+        raise ValueError(f"{path}: column(s) {', '.join(missing)} not there")
     return df.select(
         *[F.when(F.col(c).isin(null_tokens), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c) for c in REQUIRED]
     )
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """A stable row id for inputs without one: hash of the content plus the
-    rank among identical rows (identical rows are interchangeable)."""
-    from pyspark.sql import Window
-
-    h = F.xxhash64("text", "emotion")
-    w = Window.partitionBy(h, "text", "emotion").orderBy(F.lit(1))
-    return df.withColumn("row_id", F.concat_ws(":", h.cast("string"), F.row_number().over(w).cast("string")))
-
-
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log written by the jobs, or an empty frame with the known columns."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return _csv(spark).schema(schema).csv(path)
 
@@ -84,5 +84,26 @@ def write_label_mappings(spark: SparkSession, path: str) -> None:
     spark.createDataFrame(rows, "id int, emotion string").coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_vocab(vocab: DataFrame, path: str) -> None:
+    vocab.select("word", "index", "word_count", "doc_count").write.mode("overwrite").parquet(path)
+
+
+def read_label_mappings(spark: SparkSession, path: str) -> list[str]:
+    """Label names in id order, as written by ``write_label_mappings``."""
+    rows = spark.read.schema("id int, emotion string").json(path).orderBy("id").collect()  # a row per label
+    return [r["emotion"] for r in rows]
+
+
+def write_model(model, path: str) -> None:
+    """A fitted pipeline through MLlib's writer."""
+    model.write().overwrite().save(path)
+
+
+def read_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("word", "index", "word_count", "doc_count")

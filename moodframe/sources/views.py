@@ -7,7 +7,9 @@ tables (their work grows with the tables):
 ``labelled``     texts + a label string per row (synthetic truth, with dirty
                  variants: lower case, padded, unsupported, missing)
 ``submissions``  one form submission per event, text taken from a document
-``chat``         user turns of conversations
+``chat``         all turns of conversations
+``phrases``      all turns, each with one of a few phrases that hold
+                 apostrophes, curly quotes, symbols and emoji
 ``binary``       documents with their quality label
 
 The same definitions are restated in SQL in ``moodframe.plans.oracle``.
@@ -105,8 +107,24 @@ def submissions(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+
+
+#: Own phrases: every contraction, both quote forms, symbols, emoji, a URL.
+PHRASES = [
+    "I can't see why it won't run, but I'm sure it's fine",
+    "they\u2019re here, don't worry \U0001F600 okay",
+    "we'll go where you'd go; y'all shan't wait",
+    "she's GLAD he's back \u2014 we've won!",
+    "look at www.example.org/a?b=1 \u2728 isn't it neat",
+    "no marks here",
+]
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load_table(spark, sf_dir, "conversations")
-    return c.filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    phrase = _pick(PHRASES, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(PHRASES))))
+    return c.select("conv_id", "turn", F.concat_ws(" ", "text", phrase).alias("text"))
 
 
 def binary(spark: SparkSession, sf_dir: str) -> DataFrame:

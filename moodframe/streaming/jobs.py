@@ -1,50 +1,64 @@
 """Structured Streaming versions of the interaction jobs.
 
-Q1  score submissions as they arrive → records (append, per-batch dense ids)
-Q2  running users table (stateful aggregation by email, complete snapshots)
-Q3  running analytics: interactions per emotion label (complete snapshots)
-Q4  example log append + mapping insert-if-absent, idempotent per batch id
-
-The source is the events table read as a file stream; documents are a
-static side (stream-static joins).  Checkpoints and outputs live under the
-shared folder named by ``spark.checkpoint.dir``.  State grows with distinct
-users / labels only, so no watermark is needed for correctness.
+Q1  score submissions as they arrive → records (append, ids continue)
+Q2  running users table
+Q3  running analytics: interactions per emotion label; per field, emotion and
+    model; mean confidence
+Q4  example log append + mapping insert-if-absent
+
+The source is the events table, one file or a folder of files.  Documents are a
+static side, scored once into a written table before the stream starts.  Every
+micro-batch writes only into folders named after its batch id (overwrite), so a
+replayed batch rewrites its own rows.  Running results are kept as small
+tables: a batch merges what it saw into the table of the batch before it and
+writes the next, and older ones are dropped.  Checkpoints and outputs live
+under the shared folder named by ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodframe.operators import predict as P
 from moodframe.operators import store as ST
+from moodframe.operators.partitioning import materialised
 from moodframe.session import scratch_path
 from moodframe.sources import views as V
+from moodframe.sources.files import delete, exists, is_file
 from moodframe.sources.tables import load_table
 
+#: Running tables kept besides the newest (a replay needs the one before).
+KEPT_SNAPSHOTS = 2
+
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    schema = load_table(spark, sf_dir, "events").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(sf_dir)
-    )
+    """The events table as a file stream.  A folder of part files is streamed
+    as it is; a single file through its folder, by name."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    files = spark.readStream.schema(load_table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", max_files)
+    if is_file(spark, path):
+        return files.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return files.parquet(path)
 
 
-def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History rows as a stream: events (stream) ⋈ documents (static), scored
-    documents (static, scored once) joined by doc_id."""
+def submissions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_docs = load_table(spark, sf_dir, "documents").count()
-    subs = V.submissions(spark, sf_dir, events=events_stream(spark, sf_dir), n_docs=n_docs)
-    texts = V.texts(spark, sf_dir)
-    scored = P.predict_keyword(texts, ["doc_id"])
-    return ST.history_rows(subs, ST.keyword_slot_predictions(scored, "doc_id"), "doc_id")
+    return V.submissions(spark, sf_dir, events=events_stream(spark, sf_dir), n_docs=n_docs)
+
+
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History rows as a stream: events (stream) ⋈ documents (static), with
+    the slot predictions of every document read from a written table."""
+    scored = P.predict_keyword(V.texts(spark, sf_dir), ["doc_id"])
+    slots = materialised(ST.keyword_slot_predictions(scored, "doc_id"), "scored-documents")
+    return ST.history_rows(submissions_stream(spark, sf_dir), slots, "doc_id")
 
 
-def _run(query_builder, name: str) -> None:
-    q = query_builder.trigger(availableNow=True).start()
+def _run(rows: DataFrame, write: Callable[[DataFrame, int], None], out: str, name: str) -> None:
+    q = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
@@ -54,87 +68,107 @@ def _run(query_builder, name: str) -> None:
         raise RuntimeError(f"streaming job {name} failed: {q.exception()}")
 
 
+def _earlier(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
+    """What batches before ``batch_id`` wrote below ``out``; None if nothing."""
+    if not any(exists(spark, f"{out}/batch_id={i}") for i in range(max(0, batch_id - 1), batch_id)):
+        return None
+    return spark.read.parquet(out).filter(F.col("batch_id") < batch_id)
+
+
 def stream_records(spark: SparkSession, sf_dir: str, out: str | None = None) -> str:
-    """Q1: append records per micro-batch.  Record ids continue from the
-    largest id already written, dense in (ts, seq, slot) order inside each
-    batch; a replayed batch id overwrites its own folder (idempotent)."""
+    """Q1: append records per micro-batch, with ids dense in (ts, seq, slot)
+    order inside each batch.  The next free id is a one-row table beside the
+    records, so no history is read."""
     out = out or scratch_path(spark, "records")
     hist = history_stream(spark, sf_dir)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        start = 1
-        try:
-            prev = s.read.parquet(out).filter(F.col("batch_id") < batch_id)
-            mx = prev.agg(F.max("record_id")).first()[0]
-            start = (mx or 0) + 1
-        except Exception:  # noqa: BLE001 - first batch: nothing written yet
-            start = 1
-        recs = ST.build_records(batch, start)
-        recs.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    _run(
-        hist.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/_checkpoint"),
-        "records",
-    )
+        before = f"{out}/next_id/batch_id={batch_id - 1}"
+        start = s.read.parquet(before).first()["next_id"] if exists(s, before) else 1
+        recs = ST.build_records(materialised(batch, "record-batch"), start)
+        recs.write.mode("overwrite").parquet(f"{out}/records/batch_id={batch_id}")
+        written = s.read.schema(recs.schema).parquet(f"{out}/records/batch_id={batch_id}")
+        written.agg((F.coalesce(F.max("record_id"), F.lit(start - 1)) + 1).alias("next_id")).write.mode("overwrite").parquet(
+            f"{out}/next_id/batch_id={batch_id}"
+        )
+
+    _run(hist, write, out, "records")
+    return f"{out}/records"
+
+
+def _running(rows: DataFrame, out: str, name: str, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> str:
+    """Keep a running table: each batch's ``partial`` result merged into the
+    table of the batch before."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        now = partial(batch)
+        before = f"{out}/snapshot={batch_id - 1}"
+        if exists(s, before):
+            now = merge(s.read.schema(now.schema).parquet(before), now)
+        now.write.mode("overwrite").parquet(f"{out}/snapshot={batch_id}")
+        old = f"{out}/snapshot={batch_id - KEPT_SNAPSHOTS}"
+        if exists(s, old):
+            delete(s, old)
+
+    _run(rows, write, out, name)
     return out
 
 
 def stream_users(spark: SparkSession, sf_dir: str, out: str | None = None) -> str:
-    """Q2: running users table; each trigger writes the complete snapshot."""
-    out = out or scratch_path(spark, "users")
-    n_docs = load_table(spark, sf_dir, "documents").count()
-    subs = V.submissions(spark, sf_dir, events=events_stream(spark, sf_dir), n_docs=n_docs)
-    users = ST.users_from_logins(ST.login_log(subs))
+    """Q2: running users table.  (ts, seq) of the last login stay in the table,
+    so files may come in any order."""
+    logins = ST.login_log(submissions_stream(spark, sf_dir))
+    return _running(logins, out or scratch_path(spark, "users"), "users", ST.login_summary, ST.merge_login_summaries)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/snapshot={batch_id}")
 
-    _run(
-        users.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/_checkpoint"),
-        "users",
-    )
-    return out
+def _counted(*by: str):
+    partial = lambda b: b.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
+    merge = lambda a, b: a.unionByName(b).groupBy(*by).agg(F.sum("count").alias("count"))
+    return partial, merge
 
 
 def stream_emotion_counts(spark: SparkSession, sf_dir: str, out: str | None = None) -> str:
-    """Q3: running interactions per emotion label (complete snapshots)."""
-    out = out or scratch_path(spark, "emotion_counts")
-    counts = history_stream(spark, sf_dir).groupBy("emotion").agg(F.count(F.lit(1)).alias("count"))
+    """Q3: running interactions per emotion label."""
+    return _running(history_stream(spark, sf_dir), out or scratch_path(spark, "emotion_counts"), "emotion_counts", *_counted("emotion"))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/snapshot={batch_id}")
 
-    _run(
-        counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/_checkpoint"),
-        "emotion_counts",
-    )
-    return out
+def stream_field_emotion_model_counts(spark: SparkSession, sf_dir: str, out: str | None = None) -> str:
+    """Q3: running interactions per field, emotion and model."""
+    out = out or scratch_path(spark, "field_emotion_model_counts")
+    return _running(history_stream(spark, sf_dir), out, "field_emotion_model_counts", *_counted("field", "emotion", "model"))
+
+
+def stream_mean_confidence(spark: SparkSession, sf_dir: str, out: str | None = None) -> str:
+    """Q3: running number of interactions and sum of confidences (their
+    quotient is the mean; see ``mean_confidence``)."""
+    partial = lambda b: b.agg(F.count("confidence").alias("interactions"), F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("confidence_sum"))
+    merge = lambda a, b: a.unionByName(b).agg(F.sum("interactions").alias("interactions"), F.sum("confidence_sum").alias("confidence_sum"))
+    return _running(history_stream(spark, sf_dir), out or scratch_path(spark, "mean_confidence"), "mean_confidence", partial, merge)
+
+
+def mean_confidence(snapshot: DataFrame) -> DataFrame:
+    return snapshot.select("interactions", F.try_divide("confidence_sum", "interactions").alias("avg_confidence"))
 
 
 def stream_logs(spark: SparkSession, sf_dir: str, out: str | None = None) -> str:
     """Q4: per micro-batch, append the example rows and insert mapping rows
-    for emotions not yet mapped.  Each batch writes only into its own
-    ``batch_id=`` folders (overwrite), so a replay after a failure rewrites
-    the same rows instead of duplicating them; the mapping anti-join reads
-    only earlier batches."""
+    for emotions that no earlier batch has mapped."""
     out = out or scratch_path(spark, "logs")
     hist = history_stream(spark, sf_dir)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        batch = batch.persist()
-        ST.examples_log(batch).write.mode("overwrite").parquet(f"{out}/examples/batch_id={batch_id}")
-        try:
-            existing = s.read.parquet(f"{out}/mapping").filter(F.col("batch_id") < batch_id).select("emotion", "response")
-        except Exception:  # noqa: BLE001 - no mapping yet
-            existing = s.createDataFrame([], "emotion string, response string")
-        merged = ST.mapping_insert_if_absent(existing, ST.mapping_batch(batch))
+        rows = materialised(batch, "log-batch")
+        ST.examples_log(rows).write.mode("overwrite").parquet(f"{out}/examples/batch_id={batch_id}")
+        earlier = _earlier(s, f"{out}/mapping", batch_id)
+        existing = s.createDataFrame([], "emotion string, response string") if earlier is None else earlier.select("emotion", "response")
+        merged = ST.mapping_insert_if_absent(existing, ST.mapping_batch(rows))
         new = merged.join(existing.select("emotion"), "emotion", "left_anti")
         new.write.mode("overwrite").parquet(f"{out}/mapping/batch_id={batch_id}")
-        batch.unpersist()
 
-    _run(hist.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/_checkpoint"), "logs")
+    _run(hist, write, out, "logs")
     return out
 
 

@@ -10,12 +10,10 @@ from moodframe.operators import predict as P
 
 # text, cleaned, tenths (label order), emotion, mixed label
 GOLDEN = [
-    ("I am confused about recursion", "i am confused about recursion", [2, 2, 2, 2, 2, 2, 2], "Happy", "Happy"),
-    ("Debugging is frustrating", "debugging is frustrating", [2, 2, 2, 2, 2, 2, 2], "Happy", "Happy"),
-    ("I am curious about machine learning", "i am curious about machine learning", [2, 2, 2, 2, 2, 14, 2], "Love", "Love"),
-    ("I am excited to solve this problem", "i am excited to solve this problem", [14, 2, 2, 2, 2, 2, 2], "Happy", "Happy"),
-    ("I am nervous about the exam", "i am nervous about the exam", [2, 2, 2, 14, 2, 2, 2], "Fear", "Fear"),
-    ("I am anxious but motivated to learn", "i am anxious but motivated to learn", [14, 2, 2, 14, 2, 2, 2], "Happy", "Happy + Fear"),
+    ("Seven boats on grey water", "seven boats on grey water", [2, 2, 2, 2, 2, 2, 2], "Happy", "Happy"),
+    ("How curious, a second door", "how curious a second door", [2, 2, 2, 2, 2, 14, 2], "Love", "Love"),
+    ("So excited!", "so excited", [14, 2, 2, 2, 2, 2, 2], "Happy", "Happy"),
+    ("nervous... then motivated", "nervous then motivated", [14, 2, 2, 14, 2, 2, 2], "Happy", "Happy + Fear"),
     ("I'm UNHAPPY!!! https://x.io/love", "i am unhappy", [32, 14, 2, 2, 2, 2, 2], "Happy", "Happy + Sad"),
     ("Whatever, it's made of glass", "whatever it is made of glass", [2, 2, 26, 2, 2, 2, 2], "Angry", "Angry"),
     ("fear and panic, sad and angry; okay fine", "fear and panic sad and angry okay fine", [2, 32, 32, 44, 2, 2, 26], "Fear", "Fear + Sad + Angry + Neutral"),
@@ -99,12 +97,29 @@ def test_scores_sum_to_one_and_secondary(spark):
 
 def test_no_python_udf_and_single_clean_in_plan(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    s = P.mixed_long(P.predict_keyword(d, ["doc_id"]), ["doc_id"])
+    s = P.mixed_long(P.predict_keyword(d, ["doc_id"]), ["doc_id"]).filter("emotion = 'Sad' and rank = 1")
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
     assert plan.count("lower(") == 1
 
 
+def test_cleaning_is_never_in_a_filter(spark):
+    """No query's optimised plan tests the cleaning expression in a filter, or
+    holds it more than once for each scan of texts."""
+    from moodframe.plans.registry import QUERIES
+
+    slow = ("train_", "evaluate_", "training_", "predict_model", "stream_")
+    for name, fn in QUERIES.items():
+        if name.startswith(slow):
+            continue
+        plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.splitlines():
+            if "Filter" in line.split("(")[0]:
+                assert "translate(" not in line, (name, line[:300])
+        scans = plan.count("Relation [") + plan.count("RelationV2[")
+        assert plan.count("translate(") <= max(1, scans), name
+
+
 def test_guidance_rejects_unknown(spark):
     df = spark.createDataFrame([(1, "Bored")], "id int, emotion string")
     with pytest.raises(Exception):
