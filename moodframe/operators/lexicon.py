@@ -6,7 +6,7 @@ fixed lexicon; the join form takes any caller-supplied lexicon table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodframe.functions.constants import BASE_TENTHS, EMOTIONS, KEYWORDS, keyword_weight
@@ -25,6 +25,11 @@ def lexicon_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "label_id int, emotion string, keyword string, weight int")
 
 
+def _substrings(text: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def contained(cleaned: DataFrame, keys: list[str], lexicon: DataFrame, broadcast_keywords: int = BROADCAST_KEYWORDS) -> DataFrame:
     """(keys, emotion, weight) for every keyword found in a text, once each.
 
@@ -38,19 +43,7 @@ def contained(cleaned: DataFrame, keys: list[str], lexicon: DataFrame, broadcast
         j = texts.join(F.broadcast(words), F.col("cleaned_text").contains(F.col("keyword")))
         return j.select(*keys, "emotion", "weight")
     lengths = sorted(r[0] for r in words.select(F.length("keyword")).distinct().collect())
-    grams = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.when(
-                        F.length("cleaned_text") >= n,
-                        F.transform(F.sequence(F.lit(1), F.length("cleaned_text") - (n - 1)), lambda i, n=n: F.substring(F.col("cleaned_text"), i, F.lit(n))),
-                    ).otherwise(F.array().cast("array<string>"))
-                    for n in lengths
-                ]
-            )
-        )
-    )
+    grams = F.array_distinct(F.flatten(F.array(*[_substrings(F.col("cleaned_text"), n) for n in lengths])))
     parts = texts.select(*keys, F.explode_outer(grams).alias("keyword"))
     return parts.join(words, "keyword").select(*keys, "emotion", "weight")
 
