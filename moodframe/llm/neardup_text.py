@@ -8,15 +8,17 @@ fewer words, the whole sequence is the one shingle.  Documents are linked when
    the whole set and a MinHash signature.  Equal sets collapse to their
    smallest doc_id before anything is paired.
 2. Signatures are banded; only buckets with two documents or more go on.
-3. Candidate pairs come in rounds.  First every document of a bucket meets one
-   hub of its bucket (two rounds, with different hubs); then all pairs of a
-   bucket that still lie in different components.  Pairs inside one component
-   need no test, so a group of thousands of near copies costs a few tests a
-   member, and no link between components is left out.
+3. Candidate pairs come in two rounds.  First every document of a bucket meets
+   two hubs of the bucket, its smallest id and one by hash; then the members
+   outside a bucket's largest component meet all of the bucket, in blocks whose
+   pairs are compared inside a task.  Pairs inside one component need no test,
+   so a group of thousands of near copies costs a few tests a member, and no
+   link between components is left out.
 4. A pair's signatures are compared batch by batch; it is dropped as soon as
    the posterior probability of a similarity of at least the threshold (uniform
    prior) falls under ``miss``.  What survives is confirmed on the full sets;
-   with hubs each document's likeliest one, in the last round every pair.
+   a document's likeliest partner first, then every pair that still
+   lies in different components.
 
 Parameters: 24 bands of 4 of 128 hashes miss a pair at similarity 0.75 with a
 probability of 1.1e-4 (less above); ``miss`` is 1e-4 a batch.
@@ -45,7 +47,8 @@ WORDS = 5
 HASHES, BANDS, BAND_ROWS, BATCH = 128, 24, 4, 16
 PERCENT = 75
 MISS = 1e-4
-HUB_ROUNDS = 2
+#: Members of a left and a right block of a bucket.
+LEFT, RIGHT = 256, 2048
 #: At most so many ids (8 bytes each) are broadcast to pick out candidate texts.
 BROADCAST_IDS = 1_000_000
 
@@ -119,17 +122,22 @@ def banded(signed: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = _matrix(b.column("sig"))[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                total = (sig * _PLACE[:BAND_ROWS]).sum(2) + mix(np.arange(BANDS, dtype=np.uint64), 9)
-            bucket = mix(total, 4).view(np.int64)
+            bucket = _buckets(_matrix(b.column("sig")))
             doc = np.repeat(b.column("doc").to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(bucket.reshape(-1))], names=["doc", "bucket"])
 
     return signed.select("doc", "sig").mapInArrow(run, "doc long, bucket long")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _buckets(sig: np.ndarray) -> np.ndarray:
+    """Bucket of each signature and band, int64 [n, BANDS]."""
+    rows = sig[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        total = (rows * _PLACE[:BAND_ROWS]).sum(2) + mix(np.arange(BANDS, dtype=np.uint64), 9)
+    return mix(total, 4).view(np.int64)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
@@ -145,8 +153,7 @@ def fewest_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
 
 
 def judged(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b, matches) of the pairs that survive every batch; ``matches`` is -1
-    for those pruned."""
+    """(a, b, kind, matches) of the (a, b, kind) pairs that survive every batch."""
     steps = [(n, fewest_matches(n)) for n in range(BATCH, HASHES + 1, BATCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +166,7 @@ def judged(pairs: DataFrame, signed: DataFrame) -> DataFrame:
             for n, fewest in steps:
                 matches[alive] += (x[alive, n - BATCH : n] == y[alive, n - BATCH : n]).sum(1)
                 alive = alive[matches[alive] >= fewest]
-            out = np.full(len(x), -1, np.int64)
-            out[alive] = matches[alive]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out)], names=["a", "b", "matches"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(alive)) for c in ("a", "b", "kind")], pa.array(matches[alive])], names=["a", "b", "kind", "matches"])
 
     both = (
         pairs.join(signed.select(F.col("doc").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a")
@@ -169,7 +174,7 @@ def judged(pairs: DataFrame, signed: DataFrame) -> DataFrame:
         # sets of too different sizes cannot reach the threshold
         .filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
     )
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, matches long")
+    return both.select("a", "b", "kind", "sig_a", "sig_b").mapInArrow(run, "a long, b long, kind int, matches long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -233,49 +238,121 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def linked_classes(members: DataFrame, signed: DataFrame, sets: DataFrame, n_ids: int) -> DataFrame:
-    """(vertex, component) of every document with a link, in ``HUB_ROUNDS``
-    rounds with hubs and one over all pairs that still cross components."""
+    """(vertex, component) of every document with a link."""
     sets = written(sets, "neardup-sets")
-    tested = edges = labels = None
-    for turn in range(HUB_ROUNDS + 1):
-        if labels is None:
-            placed = members.withColumn("component", F.col("doc"))
-        else:
-            known = labels.withColumnRenamed("vertex", "doc")
-            placed = written(members.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "neardup-placed")
-        pairs = hub_pairs(placed, turn) if turn < HUB_ROUNDS else crossing_pairs(placed)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = written(judged(pairs, signed), "neardup-judged")
-        alive = found.filter("matches >= 0")
-        if turn < HUB_ROUNDS:
-            # a document's likeliest hub is enough: the rest may turn out to be inside one component
-            alive = alive.groupBy("a").agg(F.max_by("b", F.struct("matches", F.negative("b"))).alias("b"))
-        exact = written(confirmed(alive, sets), "neardup-exact")
-        new = exact.filter("linked").select("a", "b")
-        edges = new if edges is None else edges.unionByName(new)
-        labels = written(components(edges), "neardup-labels")
-        done = found.filter("matches < 0").select("a", "b").unionByName(exact.filter("not linked").select("a", "b"))
-        tested = done if tested is None else tested.unionByName(done)
-    return labels
-
-
-def hub_pairs(placed: DataFrame, star: int) -> DataFrame:
-    """Each member with its bucket's hub: the smallest id, then one by hash."""
-    by = F.col("doc") if star == 0 else F.xxhash64("doc", F.lit(star))
-    hub = placed.groupBy("bucket").agg(
-        F.min_by(F.struct("doc", "component"), by).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    found = written(judged(hub_pairs(members), signed), "neardup-judged")
+    # a document's likeliest hub of either kind is enough: the rest may turn out to be inside one component
+    best = found.groupBy("a", "kind").agg(F.max_by("b", F.struct("matches", F.negative("b"))).alias("b"))
+    labels = merged(None, written(confirmed(best.select("a", "b").distinct(), sets), "neardup-exact"))
+
+    rest = written(crossing_pairs(with_component(members, "doc", labels), signed), "neardup-crossing")
+    best = rest.groupBy("a").agg(F.max_by("b", F.struct("matches", F.negative("b"))).alias("b"))
+    first = written(confirmed(best, sets), "neardup-exact")
+    labels = merged(labels, first)
+
+    of = lambda side: labels.select(F.col("vertex").alias(side), F.col("component").alias(f"{side}_class"))
+    known = rest.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = known.filter(F.coalesce("a_class", "a") != F.coalesce("b_class", "b")).select("a", "b")
+    last = written(confirmed(apart.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets), "neardup-exact")
+    return merged(labels, last)
+
+
+def merged(labels: DataFrame | None, exact: DataFrame) -> DataFrame:
+    """Classes after the links of ``exact``: classes found so far count as
+    vertices linked to their smallest."""
+    links = exact.filter("linked").select("a", "b")
+    if labels is not None:
+        if links.isEmpty():
+            return labels
+        links = links.unionByName(labels.select(F.col("vertex").alias("a"), F.col("component").alias("b")))
+    return written(components(links), "neardup-labels")
+
+
+def with_component(rows: DataFrame, doc: str, labels: DataFrame) -> DataFrame:
+    known = labels.withColumnRenamed("vertex", doc)
+    return rows.join(known, doc, "left").withColumn("component", F.coalesce("component", doc))
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b, kind): each member with the hubs of its buckets, which are the
+    smallest id (kind 0) and one by hash (kind 1)."""
+    hubs = members.groupBy("bucket").agg(F.min("doc").alias("low"), F.min_by("doc", F.xxhash64("doc")).alias("other"))
+    each = F.array(F.struct(F.lit(0).alias("kind"), F.col("low").alias("b")), F.struct(F.lit(1).alias("kind"), F.col("other").alias("b")))
+    met = members.join(hubs, "bucket").select(F.col("doc").alias("a"), F.inline(each))
+    return met.filter("a <> b").select("a", "b", "kind").distinct()
+
+
+def crossing_pairs(placed: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b, matches) of the pairs of a bucket's members in different
+    components whose signatures survive.
+
+    In each bucket the members outside its largest component meet all members,
+    in blocks of ``LEFT`` and ``RIGHT``; a block's pairs are compared inside the
+    task and only survivors leave it, once, in the first band that they share.
+    """
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")
     )
-    met = placed.join(hub.filter("lo < hi").select("bucket", "hub"), "bucket").filter("component <> hub.component")
-    return met.select(F.greatest("doc", "hub.doc").alias("a"), F.least("doc", "hub.doc").alias("b")).distinct()
+    mixed = placed.join(main.filter("parts > 1"), "bucket").join(signed.select("doc", "n_shingles", "sig"), "doc")
+    lefts, rights = F.ceil((F.col("all") - F.col("most")) / F.lit(LEFT)).cast("int"), F.ceil(F.col("all") / F.lit(RIGHT)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    stray = F.col("component") != F.col("main")
+    # a stray goes to one left block (side 0) with every right one, any member to one right block (side 1) with every left one
+    as_left = F.transform(every(rights), lambda r: F.struct(F.lit(0).alias("side"), part(lefts).alias("l"), r.alias("r")))
+    as_right = F.transform(every(lefts), lambda l: F.struct(F.lit(1).alias("side"), l.alias("l"), part(rights).alias("r")))
+    blocks = F.when(stray, F.concat(as_left, as_right)).otherwise(as_right)
+    dealt = mixed.select("bucket", "doc", "component", "n_shingles", stray.alias("stray"), "sig", F.inline(blocks))
+    steps = [(n, fewest_matches(n)) for n in range(BATCH, HASHES + 1, BATCH)]
 
+    def group(t: pa.Table) -> list[np.ndarray]:
+        side, doc, own = (t[c].to_numpy() for c in ("side", "doc", "component"))
+        n, lone, sig = t["n_shingles"].to_numpy(), t["stray"].to_numpy(), _matrix(t["sig"])
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(x) or not len(y):
+            return []
+        i, j = (k.ravel() for k in np.meshgrid(x, y, indexing="ij"))
+        ok = (own[i] != own[j]) & (~lone[j] | (doc[i] > doc[j])) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        matches = np.zeros(len(i), np.int64)
+        for k, (to, fewest) in enumerate(steps):
+            matches += (sig[i, to - BATCH : to] == sig[j, to - BATCH : to]).sum(1)
+            alive = matches >= fewest
+            i, j, matches = i[alive], j[alive], matches[alive]
+            if k == 0 and len(i):
+                wide = BANDS * BAND_ROWS
+                shared = (sig[i, :wide] == sig[j, :wide]).reshape(-1, BANDS, BAND_ROWS).all(2)
+                here = int(np.argmax(_buckets(sig[:1])[0] == t["bucket"][0].as_py()))
+                alive = shared.argmax(1) == here
+                i, j, matches = i[alive], j[alive], matches[alive]
+        return [doc[i], doc[j], matches] if len(i) else []
 
-def crossing_pairs(placed: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members in different components: the members outside
-    the bucket's largest component, each with all others of the bucket."""
-    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed = placed.join(main.filter("parts > 1").select("bucket", "main"), "bucket")
-    strays = mixed.filter("component <> main").select("bucket", F.col("doc").alias("x"), F.col("component").alias("x_component"))
-    met = mixed.select("bucket", "doc", "component").join(strays, "bucket").filter("component <> x_component")
-    return met.select(F.greatest("doc", "x").alias("a"), F.least("doc", "x").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["bucket", "l", "r"]):
+            out = group(t)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b", "matches"])
+
+    ordered = dealt.repartition("bucket", "l", "r").sortWithinPartitions("bucket", "l", "r")
+    return ordered.mapInArrow(run, "a long, b long, matches long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of the rows with equal ``keys``, from batches sorted by them."""
+    held: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        change = np.zeros(t.num_rows - 1, bool)
+        for k in keys:
+            v = t[k].to_numpy()
+            change |= v[1:] != v[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            yield t.slice(a, z - a)
+        held = t.slice(cuts[-1])
+    if held is not None:
+        yield held
