@@ -47,6 +47,8 @@ WORDS = 5
 HASHES, BANDS, BAND_ROWS, BATCH = 128, 24, 4, 16
 PERCENT = 75
 MISS = 1e-4
+#: Hubs of either kind that a document is compared with.
+HUBS = 3
 #: Members of a left and a right block of a bucket.
 LEFT, RIGHT = 256, 2048
 #: At most so many ids (8 bytes each) are broadcast to pick out candidate texts.
@@ -274,12 +276,23 @@ def with_component(rows: DataFrame, doc: str, labels: DataFrame) -> DataFrame:
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
-    """(a, b, kind): each member with the hubs of its buckets, which are the
-    smallest id (kind 0) and one by hash (kind 1)."""
+    """(a, b, kind): each member with hubs of its buckets, which are a bucket's
+    smallest id (kind 0) and one by hash (kind 1).  Of either kind the ``HUBS``
+    that it shares most buckets with are enough, as nothing is given up here:
+    what stays apart meets in ``crossing_pairs``."""
     hubs = members.groupBy("bucket").agg(F.min("doc").alias("low"), F.min_by("doc", F.xxhash64("doc")).alias("other"))
-    each = F.array(F.struct(F.lit(0).alias("kind"), F.col("low").alias("b")), F.struct(F.lit(1).alias("kind"), F.col("other").alias("b")))
-    met = members.join(hubs, "bucket").select(F.col("doc").alias("a"), F.inline(each))
-    return met.filter("a <> b").select("a", "b", "kind").distinct()
+    met = members.join(hubs, "bucket").groupBy("doc").agg(F.collect_list("low").alias("low"), F.collect_list("other").alias("other"))  # <= BANDS each
+
+    def most_shared(c: str):
+        counted = F.transform(F.array_distinct(c), lambda h: F.struct(F.size(F.filter(c, lambda x: x == h)).alias("n"), F.negative(h).alias("b")))
+        return F.slice(F.sort_array(F.filter(counted, lambda s: s["b"] != F.negative("doc")), asc=False), 1, HUBS)
+
+    each = F.concat(_kind(most_shared("low"), 0), _kind(most_shared("other"), 1))
+    return met.select(F.col("doc").alias("a"), F.inline_outer(each)).filter("b is not null").select("a", "b", "kind")
+
+
+def _kind(hubs, kind: int):
+    return F.transform(hubs, lambda s: F.struct(F.negative(s["b"]).alias("b"), F.lit(kind).alias("kind")))
 
 
 def crossing_pairs(placed: DataFrame, signed: DataFrame) -> DataFrame:
