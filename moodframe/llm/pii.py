@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moodframe.llm.store import with_columns
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 24
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -438,15 +440,13 @@ def find_pii(docs: DataFrame, model: SemiCRF, id_col: str = "doc_id", text_col:
 
 def redact_pii(docs: DataFrame, model: SemiCRF, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by ``[KIND]``."""
-    columns = docs.columns
-    at = columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast((model.w, model.t))
+    crf = SemiCRF()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = SemiCRF()
+    def each(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         crf.w, crf.t = shared.value
-        for b in batches:
-            texts = [t if t is None else redact(t, find(t, crf)[1]) for t in b.column(at).to_pylist()]
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+        yield batch, [pa.array([t if t is None else redact(t, find(t, crf)[1]) for t in batch.column(at).to_pylist()], pa.string())]
 
-    return docs.mapInArrow(run, docs.schema)
+    others = [c for c in docs.columns if c != text_col]
+    out = with_columns(docs, text_col, others, {"__redacted": "string"}, each)
+    return out.select(*[F.col("__redacted").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
