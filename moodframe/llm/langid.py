@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodframe.llm.store import with_columns
+from moodframe.llm.words import slices
 
 LETTER = regex.compile(r"\p{L}")
 LEVEL = 7
@@ -126,11 +127,12 @@ def identify(
     def each(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         if not made:
             made.append((compressors(shared.value, LEVEL), compressors(shared.value, SHORT_LEVEL)))
-        got = classify(batch.column(at).to_pylist(), *made[0])
-        yield batch, [
-            pa.array([g[0] for g in got], pa.string()),
-            pa.array([g[1] for g in got], pa.float64()),
-            pa.array([g[2] and g[1] >= min_margin for g in got], pa.bool_()),
-        ]
+        for b in slices(batch, at):
+            got = classify(b.column(at).to_pylist(), *made[0])
+            yield b, [
+                pa.array([g[0] for g in got], pa.string()),
+                pa.array([g[1] for g in got], pa.float64()),
+                pa.array([g[2] and g[1] >= min_margin for g in got], pa.bool_()),
+            ]
 
     return with_columns(docs, text_col, docs.columns if keep is None else keep, dict(zip(names, ("string", "double", "boolean"))), each)

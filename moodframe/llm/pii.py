@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodframe.llm.store import with_columns
+from moodframe.llm.words import slices
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 24
@@ -421,7 +422,7 @@ def find_pii(docs: DataFrame, model: SemiCRF, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = SemiCRF()
         crf.w, crf.t = shared.value
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1)):
             found = [find(t, crf) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -445,7 +446,8 @@ def redact_pii(docs: DataFrame, model: SemiCRF, text_col: str = "text") -> DataF
 
     def each(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         crf.w, crf.t = shared.value
-        yield batch, [pa.array([t if t is None else redact(t, find(t, crf)[1]) for t in batch.column(at).to_pylist()], pa.string())]
+        for b in slices(batch, at):
+            yield b, [pa.array([t if t is None else redact(t, find(t, crf)[1]) for t in b.column(at).to_pylist()], pa.string())]
 
     others = [c for c in docs.columns if c != text_col]
     out = with_columns(docs, text_col, others, {"__redacted": "string"}, each)

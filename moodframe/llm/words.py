@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -142,7 +142,7 @@ class WordTable:
     bounded and what it returns does not depend on it.
     """
 
-    def __init__(self, encode, limit: int = 1 << 21):
+    def __init__(self, encode, limit: int = 1 << 20):
         self.encode, self.limit = encode, limit
         self.slots = 2 * limit
         self.clear()
