@@ -8,8 +8,8 @@
 3. NN-descent: a vector's neighbours and those it is a neighbour of meet in a
    join through it and are compared; better ones replace worse ones.  Rounds
    go on while an audit (brute force for a bounded sample of vectors against
-   all rows) finds less than ``target`` of the sample's links, up to
-   ``max_rounds``.
+   all rows) finds a mean recall per linked vector below ``target``, over all
+   or over those outside large components, up to ``max_rounds``.
 4. Pairs at or above the threshold are links; connected components follow.
    Next to neighbour lists, every comparison block also reports which of its
    vectors are joined by links, so a saturated list loses no connection.
@@ -44,7 +44,9 @@ from moodframe.llm.words import mix
 TREES, BLOCK, NEIGHBOURS, GROUP = 6, 96, 10, 48
 #: Rows of a left and a right block in the exact count.
 LEFT, RIGHT = 256, 4096
-AUDIT_ROWS = 512
+#: Vectors an audit starts with, linked ones outside components of more than
+#: ``LARGE`` vectors that it wants, and the most that it samples.
+AUDIT_ROWS, AUDIT_LINKED, AUDIT_MOST, LARGE = 512, 256, 1 << 14, 64
 
 
 def _keyed(dim: int):
@@ -222,27 +224,48 @@ def refine(lists: DataFrame, nodes: DataFrame, dim: int, threshold: float, salt:
     )
 
 
-def audit(nodes: DataFrame, links: DataFrame, n: int, dim: int, threshold: float) -> float:
-    """Share of the true links of at most ``AUDIT_ROWS`` sampled vectors that lie
-    inside one found component (links: vertex, component)."""
-    share = F.pmod(F.xxhash64(F.lit(23), "doc"), F.lit(1 << 30)) / float(1 << 30)
-    sample = nodes.select("doc", "vec").filter(share <= 2.0 * AUDIT_ROWS / max(1, n)).orderBy(F.xxhash64(F.lit(23), "doc")).limit(AUDIT_ROWS).collect()
-    if not sample:
-        return 1.0
-    ids, unit = np.array([r["doc"] for r in sample], np.int64), _units([bytes(r["vec"]) for r in sample], dim)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                other = b.column("doc").to_numpy()
-                row, col = np.nonzero((_units(b.column("vec"), dim) @ unit.T) >= threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[col]), pa.array(other[row])], names=["a", "b"])
-
-    true = nodes.select("doc", "vec").mapInArrow(run, "a long, b long").filter("a <> b")
-    label = lambda c: links.select(F.col("vertex").alias(c), F.col("component").alias(f"{c}_component"))
-    both = true.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    total, got = both.agg(F.count(F.lit(1)), F.count(F.when(F.col("a_component") == F.col("b_component"), 1))).first()
-    return got / total if total else 1.0
+def audit(nodes: DataFrame, links: DataFrame, n: int, dim: int, threshold: float, rows: int = AUDIT_ROWS) -> tuple[float, int, int]:
+    """(recall, linked vectors it rests on, sampled vectors).
+
+    A sampled vector's recall is the share of its true links (brute force
+    against all rows) that lie in its found component (links: vertex,
+    component).  Vectors weigh alike, whatever their number of links, and the
+    mean over those outside found components of more than ``LARGE`` vectors
+    counts by itself, so that large groups do not hide lost pairs: the smaller
+    of both means is returned.  The sample grows from ``rows`` until it holds
+    ``AUDIT_LINKED`` linked vectors outside large components, up to
+    ``AUDIT_MOST`` vectors or all."""
+    size = links.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    placed = nodes.select("doc", "vec").join(links.withColumnRenamed("vertex", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    drawn = F.xxhash64(F.lit(23), "doc")
+    share = F.pmod(drawn, F.lit(1 << 30)) / float(1 << 30)
+    while True:
+        few = placed.filter(share <= 2.0 * rows / max(1, n)).orderBy(drawn).limit(rows).join(size, "component", "left")
+        sample = few.select("doc", "vec", "component", F.coalesce("size", F.lit(1)).alias("size")).collect()
+        if not sample:
+            return 1.0, 0, 0
+        ids, own = (np.array([r[c] for r in sample], np.int64) for c in ("doc", "component"))
+        unit = _units([bytes(r["vec"]) for r in sample], dim)
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, own=own, unit=unit) -> Iterator[pa.RecordBatch]:
+            total, got = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            for b in batches:
+                for at in range(0, b.num_rows, AUDIT_ROWS):
+                    part = b.slice(at, AUDIT_ROWS)
+                    true = _units(part.column("vec"), dim) @ unit.T >= threshold
+                    true &= part.column("doc").to_numpy()[:, None] != ids[None, :]
+                    total += true.sum(0)
+                    got += (true & (part.column("component").to_numpy()[:, None] == own[None, :])).sum(0)
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen]), pa.array(got[seen])], names=["at", "total", "got"])
+
+        found = placed.mapInArrow(run, "at long, total long, got long").groupBy("at").agg((F.sum("got") / F.sum("total")).alias("recall")).collect()
+        recall = np.array([r["recall"] for r in found])
+        small = np.array([sample[r["at"]]["size"] <= LARGE for r in found], bool)
+        if small.sum() >= AUDIT_LINKED or rows >= min(n, AUDIT_MOST):
+            means = [float(recall[m].mean()) for m in (small, small | True) if m.any()]
+            return min(means, default=1.0), len(found), len(sample)
+        rows = min(4 * rows, n, AUDIT_MOST)
 
 
 def counted(classes: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
@@ -320,7 +343,7 @@ def near_duplicates(
     while edges is not None:
         linked = edges.filter(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b"))
         links = written(components(linked), "vector-components")
-        if rounds >= max_rounds or (rounds >= min_rounds and audit(nodes, links, n, dim, threshold) >= target):
+        if rounds >= max_rounds or (rounds >= min_rounds and audit(nodes, links, n, dim, threshold)[0] >= target):
             break
         lists = written(nearest(edges), "vector-lists")
         more = refine(lists, nodes, dim, threshold, rounds)

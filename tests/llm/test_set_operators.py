@@ -275,3 +275,35 @@ def test_chat_stays_native(spark):
     turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     plan = chat.digests(chat.format_chat(turns))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def vector_frame(spark, rows):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+
+
+def pair_vectors(n, pairs, seed, dim=64):
+    """n random vectors; the first ``pairs`` have a partner at cosine 0.90 to 0.95."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.standard_normal((pairs, dim))
+    y -= (y * x[:pairs]).sum(1)[:, None] * x[:pairs]
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    c = rng.uniform(0.901, 0.95, pairs)[:, None]
+    return np.concatenate([x, c * x[:pairs] + np.sqrt(1 - c * c) * y]).astype(np.float32)
+
+
+def test_audit_sees_pairs_beside_a_hot_group(spark):
+    rng = np.random.default_rng(6)
+    x = pair_vectors(1500, 300, 6)
+    hot = x[1499] / np.linalg.norm(x[1499]) + rng.standard_normal((600, 64)) * 0.01
+    n = len(x) + len(hot)
+    nodes = vector_frame(spark, np.concatenate([x, hot])).select(F.col("vec_id").alias("doc"), "embedding")
+    keyed = nodes.select(F.col("doc").alias("vec_id"), F.col("embedding").alias("vector")).mapInArrow(neardup_vectors._keyed(64), "vec_id long, k1 long, k2 long, vec binary")
+    nodes = keyed.select(F.col("vec_id").alias("doc"), "vec")
+    # the hot group is whole, every second pair is lost
+    members = [(i, 1499) for i in [1499, *range(1800, n)]]
+    found = [(i, i % 1500) for i in range(1800) if i % 1500 < 300 and i % 2]
+    links = spark.createDataFrame(members + found, "vertex long, component long")
+    recall, linked, _ = neardup_vectors.audit(nodes, links, n, 64, 0.9)
+    assert 0.4 < recall < 0.6 and linked >= 256
