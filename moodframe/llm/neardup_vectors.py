@@ -1,15 +1,19 @@
 """Embedding near-duplicates on a neighbour graph refined by NN-descent.
 
 1. Identical vectors collapse to their smallest vec_id.
-2. Random hyperplane codes order the vectors ``TREES`` times; consecutive
-   blocks of an order are compared in full and give each vector its first
-   nearest neighbours.  A range partition over (order, code, projection) cuts
-   a code that very many vectors share into as many blocks as it needs.
+2. Random hyperplane codes order the vectors.  Codes grow with the table, and
+   the number of orders with them: ``orders_needed`` are made, so many that two
+   vectors at the threshold share a code in one of them with probability
+   ``target``.  Blocks of an order are compared in full and give each vector
+   its first nearest neighbours; they end where a code ends, and a code that
+   very many vectors share is cut, by a range partition over (order, code,
+   projection), into as many half overlapping blocks as it needs.
 3. NN-descent: a vector's neighbours and those it is a neighbour of meet in a
-   join through it and are compared; better ones replace worse ones.  Rounds
-   go on while an audit (brute force for a bounded sample of vectors against
+   join through it and are compared; better ones replace worse ones.  Each
+   round also compares the blocks of new random orders.  Rounds go on while an audit (brute force for a bounded sample of vectors against
    all rows) finds a mean recall per linked vector below ``target``, over all
-   or over those outside large components, up to ``max_rounds``.
+   or over those outside large components.  If that is still so after
+   ``max_rounds``, an error names the measured recall.
 4. Pairs at or above the threshold are links; connected components follow.
    Next to neighbour lists, every comparison block also reports which of its
    vectors are joined by links, so a saturated list loses no connection.
@@ -41,7 +45,9 @@ from moodframe.llm.graph import components
 from moodframe.llm.store import written
 from moodframe.llm.words import mix
 
-TREES, BLOCK, NEIGHBOURS, GROUP = 6, 96, 10, 48
+BLOCK, NEIGHBOURS, GROUP = 256, 10, 48
+#: Orders whose edges are made before they are merged into the lists.
+TREES = 12
 #: Rows of a left and a right block in the exact count.
 LEFT, RIGHT = 256, 4096
 #: Vectors an audit starts with, linked ones outside components of more than
@@ -127,18 +133,28 @@ def _edges(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["src", "dst", "sim"])
 
 
-def first_graph(nodes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
-    """Edges from blocks of ``TREES`` hyperplane orders."""
-    bits = min(24, max(1, math.ceil(math.log2(max(2, n / BLOCK)))))
-    rng = np.random.default_rng(17)
-    planes = rng.standard_normal((TREES, bits + 1, dim))
+def code_bits(n: int) -> int:
+    return min(24, max(1, math.ceil(math.log2(max(2, n / BLOCK)))))
+
+
+def orders_needed(n: int, threshold: float, target: float) -> int:
+    """Orders in one of which a pair at the threshold shares its code with
+    probability ``target``."""
+    share = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** code_bits(n)
+    return max(1, math.ceil(math.log(1 - target) / math.log1p(-share))) if 0 < share < 1 else 1
+
+
+def order_graph(nodes: DataFrame, n: int, dim: int, threshold: float, first: int, count: int) -> DataFrame:
+    """Edges from blocks of the hyperplane orders from ``first`` on."""
+    bits = code_bits(n)
+    planes = [np.random.default_rng((17, first + t)).standard_normal((bits + 1, dim)) for t in range(count)]
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             unit = _units(b.column("vec"), dim)
-            for tree in range(TREES):
+            for tree in range(count):
                 side = unit @ planes[tree].T
                 code = ((side[:, :bits] > 0) << np.arange(bits)).sum(1)
                 yield pa.RecordBatch.from_arrays(
@@ -150,9 +166,15 @@ def first_graph(nodes: DataFrame, n: int, dim: int, threshold: float) -> DataFra
         held = None
         for b in batches:
             held = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            while held.num_rows >= 2 * BLOCK:
-                yield from _block(held.slice(0, BLOCK))
-                held = held.slice(BLOCK)
+            while held.num_rows > 2 * BLOCK:
+                tree, code = (held.column(c).to_numpy()[: 2 * BLOCK + 1] for c in ("tree", "code"))
+                ends = np.flatnonzero((tree[1:] != tree[:-1]) | (code[1:] != code[:-1])) + 1
+                if len(ends):
+                    yield from _block(held.slice(0, int(ends[-1])))
+                    held = held.slice(int(ends[-1]))
+                else:
+                    yield from _block(held.slice(0, 2 * BLOCK))
+                    held = held.slice(BLOCK)
         if held is not None and held.num_rows > 1:
             yield from _block(held)
 
@@ -177,6 +199,17 @@ def nearest(edges: DataFrame) -> DataFrame:
     return listed.select("src", F.slice("near", 1, NEIGHBOURS).alias("near"))
 
 
+def _merged(flat: DataFrame | None, stars: DataFrame | None, found: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(neighbour lists one row an edge, links as stars (a, b), components) with
+    the edges ``found`` added."""
+    found = written(found, "vector-edges")
+    near = nearest(found if flat is None else flat.unionByName(found))
+    flat = written(near.select("src", F.explode("near").alias("e")).select("src", F.col("e.dst").alias("dst"), F.col("e.sim").alias("sim")), "vector-lists")
+    linked = found.filter(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    links = written(components(linked if stars is None else stars.unionByName(linked)), "vector-components")
+    return flat, links.select(F.col("vertex").alias("a"), F.col("component").alias("b")), links
+
+
 def refine(lists: DataFrame, nodes: DataFrame, dim: int, threshold: float, salt: int) -> DataFrame:
     """Edges found among the neighbours (both ways) of each vector."""
     edges = lists.select("src", F.explode("near").alias("e")).select("src", F.col("e.dst").alias("dst"))
@@ -325,7 +358,7 @@ def near_duplicates(
     threshold: float = 0.9,
     target: float = 0.99,
     min_rounds: int = 1,
-    max_rounds: int = 4,
+    max_rounds: int = 6,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row."""
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"))
@@ -337,19 +370,25 @@ def near_duplicates(
     )
     n = nodes.count()
     # fewer than two different vectors: nothing to compare
-    edges = written(first_graph(nodes, n, dim, threshold), "vector-edges") if n > 1 else None
-    links = None
-    rounds = 0
-    while edges is not None:
-        linked = edges.filter(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        links = written(components(linked), "vector-components")
-        if rounds >= max_rounds or (rounds >= min_rounds and audit(nodes, links, n, dim, threshold)[0] >= target):
-            break
-        lists = written(nearest(edges), "vector-lists")
-        more = refine(lists, nodes, dim, threshold, rounds)
-        flat = lists.select("src", F.explode("near").alias("e")).select("src", F.col("e.dst").alias("dst"), F.col("e.sim").alias("sim"))
-        edges = written(flat.unionByName(edges.filter(F.col("sim") >= threshold)).unionByName(more).distinct(), "vector-edges")
+    flat = stars = links = None
+    orders, rounds, due = 0, 0, orders_needed(n, threshold, target) if n > 1 else 0
+    while n > 1:
+        for _ in range(0, due, TREES):
+            count = min(TREES, due)
+            found = order_graph(nodes, n, dim, threshold, orders, count)
+            orders, due = orders + count, due - count
+            flat, stars, links = _merged(flat, stars, found, threshold)
+        if rounds >= min_rounds:
+            recall, linked, sampled = audit(nodes, links, n, dim, threshold)
+            if recall >= target:
+                break
+            if rounds >= max_rounds:
+                raise RuntimeError(f"recall {recall:.4f} of {linked} linked vectors among {sampled} is below {target} after {orders} orders and {rounds} rounds; raise max_rounds")
+        lists = written(flat.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("sim", "dst")), asc=False).alias("near")), "vector-lists")
+        flat, stars, links = _merged(flat, stars, refine(lists, nodes, dim, threshold, rounds), threshold)
         rounds += 1
+        # as many new orders as there were, from the second round on
+        due = orders if rounds > min_rounds else 0
 
     known = nodes.select("k1", "k2", "doc", "copies")
     if links is not None:

@@ -307,3 +307,19 @@ def test_audit_sees_pairs_beside_a_hot_group(spark):
     links = spark.createDataFrame(members + found, "vertex long, component long")
     recall, linked, _ = neardup_vectors.audit(nodes, links, n, 64, 0.9)
     assert 0.4 < recall < 0.6 and linked >= 256
+
+
+def test_orders_grow_until_the_audit_holds(spark, monkeypatch):
+    n, pairs = 20000, 1500
+    x = pair_vectors(n, pairs, 8)
+    x = np.concatenate([x, x[n - 1] / np.linalg.norm(x[n - 1]) + np.random.default_rng(9).standard_normal((600, 64)) * 0.01])
+    frame = vector_frame(spark, x).repartition(8)
+    got = {r["vec_id"]: r["component_id"] for r in neardup_vectors.near_duplicates(frame).collect()}
+    assert sum(got[n + i] == i for i in range(pairs)) >= 0.98 * pairs
+    assert all(got[n + pairs + i] == n - 1 for i in range(600))
+    needed = [neardup_vectors.orders_needed(10**k, 0.9, 0.99) for k in (3, 5, 7)]
+    assert needed == sorted(set(needed))
+    # a bound that is reached is an error, not a smaller result
+    monkeypatch.setattr(neardup_vectors, "orders_needed", lambda *a: 1)
+    with pytest.raises(RuntimeError, match="recall 0"):
+        neardup_vectors.near_duplicates(frame, min_rounds=0, max_rounds=0)
