@@ -225,3 +225,26 @@ def test_lm_beats_an_id_model():
     got = lm.score_texts(model, rest, bounds, sub.end).sum()
     plain = np.log((counts + 0.1) / (counts + 0.1).sum())
     assert got > plain[rest].sum() + 200 * plain[sub.end]
+
+
+def test_lm_trains_beyond_the_sample(spark):
+    """Vectors of ids outside the bounded sample are trained, the same however the table is split."""
+    import public_tokenizers
+
+    path, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    sub = lm.subwords(path, pattern)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text").filter("text is not null")
+    long = spark.range(1, 41).select(F.col("id") + 10**6, F.expr("repeat('zebra quagga okapi ', 2500)"))
+    train = docs.unionByName(long.toDF("id", "text"))
+    texts = [r["text"] for r in train.collect()]
+    _, _, ids, _ = lm._laid_out(sub, pa.array(texts, pa.string()))
+    counts = np.bincount(ids, minlength=sub.size)
+    counts[sub.end] = len(texts)
+    model, other = (lm.fit_model(t, len(texts), counts, path, pattern, fit_rows=1, steps=1) for t in (train, train.repartition(7)))
+    moved = (model.emb != lm.Model(sub.size, 7).emb).any(1)
+    assert moved[counts > 0].mean() > 0.2 and not moved[counts == 0].any()
+    # ids of texts that are too long for the sample
+    _, _, rare, _ = lm._laid_out(sub, pa.array([" zebra quagga okapi"]))
+    assert moved[rare].all()
+    for name in model.NAMES:
+        assert np.allclose(getattr(model, name), getattr(other, name), atol=1e-4)
