@@ -6,8 +6,8 @@ smallest.  The margin is how much larger the second-smallest is; a text whose
 margin is below ``min_margin`` is rejected.
 
 Bounds (documented parameters): a dictionary holds at most ``dict_bytes``
-bytes, cut from at most ``sample_rows`` training rows a language, chosen by
-the hash of their id; every row is classified on its whole text.  There are as many dictionaries as
+bytes, cut from at most ``sample_rows`` texts and pieces of long texts a
+language, chosen by the hash of their row's id; every row is classified on its whole text.  There are as many dictionaries as
 language values, and they are broadcast, so ``max_languages`` bounds that (an
 error is raised beyond it, nothing is dropped).
 
@@ -38,6 +38,8 @@ PART = 2048
 #: Texts of at most so many bytes are compressed at a level with shorter
 #: matches, where whole bytes would else tie.
 SHORT, SHORT_LEVEL = 64, 19
+#: Pieces that a long training text gives at most.
+PIECES = 8
 
 
 def held_out(id_col: str, modulus: int, remainder: int):
@@ -60,11 +62,11 @@ def fit_dictionaries(
     ``sample_rows`` rows, so that only a bounded sample meets in the ranking
     window whatever the size of a language.  A dictionary is made of whole
     sampled texts, in hash order, as far as they fit; a text of more than an
-    eighth of a dictionary is not sampled.
+    eighth of a dictionary gives pieces of that size at hashed places, the first
+    in its turn and up to ``PIECES`` - 1 more after all other texts.
     """
     rows = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.filter(F.octet_length("text") <= dict_bytes // 8)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages; raise max_languages")
@@ -74,8 +76,16 @@ def fit_dictionaries(
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     for lang, n in counts.items():
         keep = keep | ((F.col("lang") == F.lit(lang)) & (share <= F.lit(3.0 * sample_rows / n)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    few = rows.filter(keep).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_rows)
+    long = F.octet_length("text") > dict_bytes // 8
+    count = F.when(long, F.least(F.lit(PIECES), F.floor(F.octet_length("text") / F.lit(dict_bytes // 8)).cast("int"))).otherwise(1)
+    cut = rows.filter(keep).withColumn("count", count).withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    # a piece lies in its own of ``count`` equal parts; bytes are spread over characters evenly
+    part = F.floor(F.char_length("text") / F.col("count")).cast("int")
+    size = F.least(part, F.floor(F.lit(dict_bytes // 8) * F.char_length("text") / F.octet_length("text")).cast("int"))
+    start = F.col("nth") * part + F.pmod(F.xxhash64("id", "nth"), (part - size + 1).cast("long")).cast("int") + 1
+    cut = cut.withColumn("text", F.when(long, F.substring("text", start, size)).otherwise(F.col("text")))
+    order = Window.partitionBy("lang").orderBy("nth", F.xxhash64("id"), "id", "text")
+    few = cut.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_rows)
     found: dict[str, bytes] = {}
     for r in few.select("lang", "text").orderBy("lang", "rank").collect():
         more = found.get(r["lang"], b"") + r["text"].lower().encode() + b"\n"

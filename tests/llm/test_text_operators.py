@@ -248,3 +248,16 @@ def test_lm_trains_beyond_the_sample(spark):
     assert moved[rare].all()
     for name in model.NAMES:
         assert np.allclose(getattr(model, name), getattr(other, name), atol=1e-4)
+
+
+def test_language_of_long_documents_alone(spark):
+    words = {"en": "the house of people and river runs through old town", "xx": "zorum qatil ebbo vunra séki molta druhn pali"}
+    rng = np.random.default_rng(4)
+    say = lambda lang, n: " ".join(rng.choice(words[lang].split(), n))
+    rows = [(i, say("en", 40), "en") for i in range(50)] + [(100 + i, say("xx", 9000), "xx") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    d = langid.fit_dictionaries(docs)
+    assert set(d) == {"en", "xx"} and 48 << 10 < len(d["xx"]) <= 96 << 10
+    held = spark.createDataFrame([(1, say("xx", 30)), (2, say("en", 30)), (3, say("xx", 5000))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["accepted"]) for r in langid.identify(held, d, keep=["doc_id"]).collect()}
+    assert got == {1: ("xx", True), 2: ("en", True), 3: ("xx", True)}
