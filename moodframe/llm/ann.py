@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by inner product on a robust-pruned graph.
 
-Vectors are dealt to shards by the hash of their id.  In each shard a directed
+Identical vectors are one point of the index, which carries the smallest
+``k`` + 1 ids that have it: no more of them can be among a query's ``k``.
+Points are dealt to shards by the hash of their smallest id.  In each shard a directed
 graph is built: greedy searches from an entry point propose neighbours for a
 batch of vectors, relaxed-distance pruning keeps diverse edges (an edge to c is
 dropped when a kept neighbour p has slack * d(p, c) <= d(v, c)), and reverse
@@ -170,8 +172,12 @@ def lifted(vectors: np.ndarray, largest: float) -> np.ndarray:
     return np.concatenate([vectors, np.sqrt(np.maximum(largest * largest - sq, 0))[:, None]], 1)
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, links: np.ndarray | None, entry: int, q_ids: np.ndarray, q: np.ndarray, k: int, beam: int, largest: float) -> pd.DataFrame:
-    """Best ``k`` rows of one shard for each query, by exact inner product."""
+def search_shard(ids: np.ndarray, x: np.ndarray, links: np.ndarray | None, entry: int, q_ids: np.ndarray, q: np.ndarray, k: int, beam: int, largest: float, members: list[np.ndarray] | None = None) -> pd.DataFrame:
+    """Best ``k`` rows of one shard for each query, by exact inner product.
+    ``members``: the ids that share a point, smallest first."""
+    lens = np.ones(len(ids), np.int64) if members is None else np.array([len(m) for m in members], np.int64)
+    flat = ids if members is None else np.concatenate(members).astype(np.int64)
+    begin = np.cumsum(lens) - lens
     x64 = x.astype(np.float64)
     out = []
     graph = None
@@ -186,12 +192,18 @@ def search_shard(ids: np.ndarray, x: np.ndarray, links: np.ndarray | None, entry
             found = np.broadcast_to(np.arange(len(x)), (len(qs), len(x)))
         else:
             found, _ = graph.search(np.concatenate([qs, np.zeros((len(qs), 1))], 1).astype(np.float32), beam)
-        blank = (found < 0) | (ids[found] == who[:, None])
-        score = np.where(blank, -np.inf, np.einsum("bd,bmd->bm", qs, x64[np.maximum(found, 0)]))
-        order = np.lexsort((ids[found], -score), 1)[:, :k]
+        score = np.where(found < 0, -np.inf, np.einsum("bd,bmd->bm", qs, x64[np.maximum(found, 0)]))
+        order = np.lexsort((ids[found], -score), 1)[:, : k + 1]
         best = np.take_along_axis(score, order, 1)
         row, col = np.nonzero(best > -np.inf)
-        out.append(pd.DataFrame({"query_id": who[row], "vec_id": ids[np.take_along_axis(found, order, 1)[row, col]], "score": best[row, col]}))
+        point = np.take_along_axis(found, order, 1)[row, col]
+        # the point at place col (from 0) has col ids before its own, the query's at most among them
+        n = np.minimum(lens[point], k + 1 - col)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        one = pd.DataFrame({"row": np.repeat(row, n), "vec_id": flat[np.repeat(begin[point], n) + nth], "score": np.repeat(best[row, col], n)})
+        one = one[one["vec_id"].to_numpy() != who[one["row"].to_numpy()]].sort_values(["row", "score", "vec_id"], ascending=[True, False, True])
+        one = one[one.groupby("row").cumcount().to_numpy() < k]
+        out.append(pd.DataFrame({"query_id": who[one["row"].to_numpy()], "vec_id": one["vec_id"].to_numpy(), "score": one["score"].to_numpy()}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
@@ -208,10 +220,21 @@ def search(
     query_rows: int = 8192,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score); both inputs as returned by ``usable``."""
-    points = written(vectors.dropDuplicates(["vec_id"]), "ann-points")
+    rows = written(vectors.dropDuplicates(["vec_id"]), "ann-rows")
     asked = written(queries.dropDuplicates(["vec_id"]).select("vec_id", "vector"), "ann-queries")
-    size = points.agg(F.count(F.lit(1)), F.max("norm"), F.max(F.size("vector"))).first()
-    n, largest, dim = size[0], size[1] or 0.0, max(size[2] or 0, asked.agg(F.max(F.size("vector"))).first()[0] or 0)
+    size = rows.agg(F.max("norm"), F.max(F.size("vector"))).first()
+    largest, dim = size[0] or 0.0, max(size[1] or 0, asked.agg(F.max(F.size("vector"))).first()[0] or 0)
+    # -0.0 equals 0.0, and shorter vectors are padded
+    same = F.transform(F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("vector"))), lambda v: v + F.lit(0.0))
+    keyed = rows.select("vec_id", same.alias("vector")).withColumn("k1", F.xxhash64(F.lit(1), "vector")).withColumn("k2", F.xxhash64(F.lit(2), "vector"))
+    # a limit on row numbers also holds before the shuffle
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
+    grouped = keyed.withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("k1", "k2")
+    points = written(
+        grouped.agg(F.min("vec_id").alias("vec_id"), F.min_by("vector", "vec_id").alias("vector"), F.sort_array(F.collect_list("vec_id")).alias("members")).drop("k1", "k2"),
+        "ann-points",
+    )
+    n = points.count()
     shards = max(shards, math.ceil(n / shard_rows))
     blocks = max(1, math.ceil(asked.count() / query_rows))
     pad = lambda v: np.stack([np.pad(np.asarray(r, np.float64), (0, dim - len(r))) for r in v]) if len(v) else np.zeros((0, dim))
@@ -219,7 +242,7 @@ def search(
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id").reset_index(drop=True)
         x = pad(pdf["vector"])
-        out = pdf[["shard", "vec_id", "vector"]].copy()
+        out = pdf[["shard", "vec_id", "vector", "members"]].copy()
         out["place"] = np.arange(len(pdf))
         out["links"], out["entry"] = None, 0
         if len(pdf) > beam:
@@ -229,10 +252,10 @@ def search(
 
     shard = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(shards)).cast("int")
     index = written(
-        points.select(shard.alias("shard"), "vec_id", "vector")
+        points.select(shard.alias("shard"), "vec_id", "vector", "members")
         .repartition(SPREAD * shards, "shard")
         .groupBy("shard")
-        .applyInPandas(build, "shard int, vec_id long, vector array<double>, place int, links binary, entry int"),
+        .applyInPandas(build, "shard int, vec_id long, vector array<double>, members array<long>, place int, links binary, entry int"),
         "ann-index",
     )
 
@@ -241,7 +264,7 @@ def search(
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         left = left.sort_values("place")
         links = None if left["links"].isna().any() else np.stack([np.frombuffer(r, np.int32) for r in left["links"]])
-        return search_shard(left["vec_id"].to_numpy(), pad(left["vector"]), links, int(left["entry"].iloc[0]), right["vec_id"].to_numpy(), pad(right["vector"]), k, beam, largest)
+        return search_shard(left["vec_id"].to_numpy(), pad(left["vector"]), links, int(left["entry"].iloc[0]), right["vec_id"].to_numpy(), pad(right["vector"]), k, beam, largest, list(left["members"]))
 
     block = F.pmod(F.xxhash64(F.lit(6), "vec_id"), F.lit(blocks)).cast("int")
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")

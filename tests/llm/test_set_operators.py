@@ -323,3 +323,19 @@ def test_orders_grow_until_the_audit_holds(spark, monkeypatch):
     monkeypatch.setattr(neardup_vectors, "orders_needed", lambda *a: 1)
     with pytest.raises(RuntimeError, match="recall 0"):
         neardup_vectors.near_duplicates(frame, min_rounds=0, max_rounds=0)
+
+
+def test_search_finds_all_copies(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1200, 32)).astype(np.float32)
+    x[100:500] = x[100]  # copies, and rows near them
+    x[500:540] = x[100] + rng.standard_normal((40, 32)).astype(np.float32) * 0.05
+    x[600:620] = x[600]
+    vectors = ann.usable(vector_frame(spark, x))
+    asked = vectors.filter("vec_id % 10 = 0")
+    found = ann.search(vectors, asked, shards=2)
+    exact = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 9)) for r in ann.exact_neighbours(vectors, asked).collect()}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 9)) for r in found.collect()}
+    assert len(got) == len(exact) == 120 * 20
+    for q in [*range(100, 540, 10), 600, 610]:
+        assert [got[q, i] for i in range(1, 21)] == [exact[q, i] for i in range(1, 21)]
