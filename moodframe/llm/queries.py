@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm import ann, chat, langid, lm, mixing, neardup_text, neardup_vectors, packing, pii, quality
+from moodframe.llm import ann, chat, langid, lm, mixing, neardup_text, neardup_vectors, packing, pii, quality, repair
 from moodframe.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,12 @@ def op10_chat_format(spark, sf_dir):
     return chat.digests(chat.format_chat(turns.unionByName(more)))
 
 
+@query
+def op13_structure_repair(spark, sf_dir):
+    turns = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damage(turns), ids=turns.select("conv_id"))
+
+
 # formatted_chars counts template characters: 11 + 11 + 7 around the role of each run of
 # one role, 8 between turns, one backslash for each control string in a role or text.
 ORACLE["op10_chat_format"] = r"""
@@ -167,3 +173,74 @@ SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, least(s.doc_id,
   s.doc_id <= coalesce(low.least_id, s.doc_id) AS kept
 FROM s LEFT JOIN low ON low.id = s.doc_id
 """
+
+# Each step of the recursion takes one row of every conversation and keeps, for each
+# state, the cheapest edits so far (ties: least in ASCII).
+ORACLE["op13_structure_repair"] = r"""
+WITH RECURSIVE byte AS (
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT)) AS c FROM range(256) t(i))),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+fated AS (
+  SELECT k.*, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(ord(key[i]) AS BIGINT)),
+    lambda c, b: xor(c >> 8, byte.crc[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS fate
+  FROM keyed k, byte),
+spoiled AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM fated WHERE fate <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM spoiled),
+marked AS (
+  SELECT *, said = '' AS blank,
+    said <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS repeated,
+    right(said, 1) NOT IN ('.', '!', '?') AS open_end,
+    left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM ordered),
+summed AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE repeated) AS duplicate,
+    count(*) FILTER (WHERE NOT blank AND NOT repeated AND open_end) AS truncated,
+    count(*) FILTER (WHERE n > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n_rows
+  FROM marked GROUP BY conv_id),
+edit(e, worth, f, t, initial) AS (VALUES
+  ('D', 2, 0, 0, ''), ('D', 2, 1, 1, ''), ('D', 2, 2, 2, ''), ('D', 2, 3, 3, ''),
+  ('R', 1, 0, 2, ''), ('R', 1, 1, 2, ''), ('R', 1, 2, 3, ''), ('R', 1, 3, 2, ''),
+  ('K', 0, 0, 1, 's'), ('K', 0, 0, 2, 'u'), ('K', 0, 1, 2, 'u'), ('K', 0, 2, 3, 'a'), ('K', 0, 3, 2, 'u')),
+put(i, worth, f, t) AS (VALUES
+  ('', 0, 0, 0), ('', 0, 1, 1), ('', 0, 2, 2), ('', 0, 3, 3), ('I', 5, 0, 2), ('I', 5, 1, 2), ('I', 5, 2, 3), ('I', 5, 3, 2), ('II', 10, 0, 3), ('II', 10, 1, 3)),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, 0 AS state, CAST(0 AS BIGINT) AS cost, '' AS audit FROM summed
+  UNION ALL
+  SELECT conv_id, n, state, min(cost), arg_min(audit, (cost, audit)) FROM (
+    SELECT w.conv_id, w.n + 1 AS n, e.t AS state, w.cost + p.worth + e.worth + CASE WHEN m.open_end AND e.e <> 'D' THEN 5 ELSE 0 END AS cost, w.audit || p.i || e.e AS audit
+    FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.n = w.n + 1
+      JOIN put p ON p.f = w.state
+      JOIN edit e ON e.f = p.t AND (e.e <> 'K' OR e.initial = m.initial) AND (e.e = 'D' OR NOT (m.blank OR m.repeated))) c
+  GROUP BY conv_id, n, state),
+closed AS (
+  SELECT w.conv_id, min(cost + 5 * more) AS cost, arg_min(audit || repeat('I', more), (cost + 5 * more, audit || repeat('I', more))) AS audit
+  FROM (SELECT *, CASE state WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS more FROM walk) w
+    JOIN summed s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n_rows = w.n GROUP BY w.conv_id),
+step AS (
+  SELECT conv_id, audit, k, audit[k] AS e, length(replace(audit[1:k], 'I', '')) AS n
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM closed) c),
+-- after a system row or none the user is due, then turn about: legal rows alternate
+kept AS (
+  SELECT s.conv_id, s.k, CASE WHEN s.e = 'I' THEN '' ELSE m.text END AS text,
+    CASE WHEN s.e = 'K' THEN m.role END AS own, s.e = 'K' AND m.initial = 's' AS system
+  FROM step s LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.n = s.n AND s.e <> 'I' WHERE s.e <> 'D'),
+named AS (
+  SELECT conv_id, k, text, coalesce(own, CASE WHEN sum(CASE WHEN system THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY k) % 2 = 1 THEN 'user' ELSE 'assistant' END) AS role FROM kept),
+joined AS (SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY k) AS lines FROM named GROUP BY conv_id)
+SELECT i.conv_id, CAST(coalesce(s.gaps, 0) AS BIGINT) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate,
+  coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal, CAST(coalesce(c.cost, 0) AS BIGINT) AS cost,
+  coalesce(c.audit, '') AS audit, sha256(coalesce(j.lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+  LEFT JOIN summed s ON s.conv_id IS NOT DISTINCT FROM i.conv_id
+  LEFT JOIN closed c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+  LEFT JOIN joined j ON j.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
