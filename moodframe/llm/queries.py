@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm import ann, chat, langid, lm, mixing, neardup_text, neardup_vectors, packing, pii, quality, repair
+from moodframe.llm import alignment, ann, chat, langid, lm, mixing, neardup_text, neardup_vectors, packing, pii, quality, repair, toxicity
 from moodframe.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,21 @@ def op10_chat_format(spark, sf_dir):
     return chat.digests(chat.format_chat(turns.unionByName(more)))
 
 
+@query
+def op11_galloping_alignment(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op12_toxic_spans(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = langid.held_out("doc_id", 5, 0)
+    labels = load_table(spark, sf_dir, "labels").filter(~held)
+    model = toxicity.fit(quality.with_labels(docs, labels, "doc_id", "toxic", "text"), "id")
+    return toxicity.score(docs.select("doc_id", "text", held.alias("held_out")), model, keep=["doc_id", "held_out"])
+
+
 @query
 def op13_structure_repair(spark, sf_dir):
     turns = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
