@@ -85,7 +85,7 @@ def odd():
     made = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 90))) for _ in range(120)]
     return [
         None, "", " ", "  ", "a ", " a", "a  b   c", "<|endoftext|> </s> <s>", "▁ bar", "foo▁bar", "the cat sat on the mat", "the cat sat on the mat",
-        "Tab\tand\r\nlines\n\n", "🙂" * 400, "aaaaaaa" * 300, "0123456789" * 50, "word " * 30000 + "end", "x  y" * 20000, "a" * 70000, *made,
+        "Tab\tand\r\nlines\n\n", "🙂" * 400, "aaaaaaa" * 300, "0123456789" * 50, "word " * 30000 + "end", "x  y" * 20000, "a" * 70000, " a", "a.", " a. a", "é.è, ×. ÷ б. 日。x", "it's.I'll", "a.\n b", "no\u00a0 break", "a\u180e b", *made,
     ]
 
 
@@ -106,10 +106,11 @@ def test_blocks_do_not_matter(spark, odd, plain_tokenizers, monkeypatch):
     monkeypatch.setattr(alignment, "LINKS", 7)
     monkeypatch.setattr(alignment, "WIDE", 2)
     monkeypatch.setattr(alignment, "STRIDE", 3)
-    monkeypatch.setattr(alignment, "PART", 20)
+    monkeypatch.setattr(alignment, "TOGETHER", 20)
+    monkeypatch.setattr(alignment, "REMEMBERED", 50)
     texts = [t for t in odd if not t or len(t) < 500]
     tok = alignment.Tokenizers(*PATHS)
-    found = alignment.Aligned(tok, texts)
+    found = alignment.Aligned(tok, *tok.encode(texts))
     want = plain(texts, plain_tokenizers)
     assert np.diff(found.bounds).tolist() == [w[2] for w in want]
     assert found.sums(found.many).tolist() == [w[3] for w in want]
@@ -118,6 +119,22 @@ def test_blocks_do_not_matter(spark, odd, plain_tokenizers, monkeypatch):
     assert [hashlib.sha256(s[:-1].encode()).hexdigest() if s else "" for s in map("".join, found.groups())] == [w[6] for w in want]
 
 
+def test_chunks_are_those_of_whole_texts(plain_tokenizers):
+    """Random texts of every kind of boundary, encoded in chunks and whole."""
+    a, b, _, bytes_b = plain_tokenizers
+    tok = alignment.Tokenizers(*PATHS)
+    assert tok.spaces[[32, 10]].all() and tok.marks.any()
+    rng = random.Random(9)
+    units = ["a", "The", "é", "ß", "ŝ", "б", "日", "×", "'s", "'ll", "12", ".", ",", "!?", ";", ":", "-", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "\u200b", "🙂", "<s>"]
+    texts = ["".join(rng.choice(units) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    ids_a, ids_b, at_a, at_b = tok.encode(texts)
+    for i, t in enumerate(texts):
+        want_a, want_b = a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)
+        if b"".join(map(bytes_b, want_b)) != (" " + t).encode():
+            want_a = want_b = []
+        assert ids_a[at_a[i] : at_a[i + 1]].tolist() == want_a and ids_b[at_b[i] : at_b[i + 1]].tolist() == want_b, repr(t)
+
+
 def test_groups_and_empty_table(spark, plain_tokenizers):
     docs = spark.createDataFrame([(1, "the cat"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in alignment.align(docs, *PATHS, keep_groups=True).collect()}
