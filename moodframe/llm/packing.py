@@ -12,7 +12,7 @@ Ids come from a public tokenizer file whose path is a parameter.  A text's ids
 are the ids of its words (the tokenizer drops white space, and its rules never
 reach across it; a letter followed by ASCII punctuation other than an
 apostrophe is a boundary too), so each distinct word is encoded once per
-worker and looked up by hash afterwards.  Texts that hold a string of the
+worker and looked up by its bytes afterwards.  Texts that hold a string of the
 tokenizer's special tokens are encoded whole.
 
 Defined results: null or empty text is the end id alone; null ids and repeated
@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodframe.llm.store import written
-from moodframe.llm.words import WordTable, cut_at_punctuation, hashes, slices, utf8, word_bounds
+from moodframe.llm.words import WordTable, cut_at_punctuation, slices, utf8, word_bounds
+
 
 class WordIds:
     """Token ids of whole texts; a worker keeps one per tokenizer file."""
@@ -58,8 +59,7 @@ class WordIds:
         data, offsets = utf8(column)
         starts, ends, _ = cut_at_punctuation(data, *word_bounds(data, offsets))
         raw = data.tobytes()
-        words = lambda at: [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        out, n = self.table.ids(self.table.rows(hashes(data, starts, ends), words))
+        out, n = self.table.ids(self.table.rows([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]))
         bounds = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, offsets)]
         texts = [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         low = raw.lower()

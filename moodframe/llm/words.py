@@ -1,13 +1,16 @@
 """Vectorised word scanning over Arrow string columns.
 
 Words are maximal runs of bytes outside 0x20 and 0x09-0x0D.  A word's 64-bit
-hash is a polynomial over its bytes (optionally with A-Z lowered) passed
-through a bit mixer; equal words have equal hashes in every process.  Whole
+hash takes its length and its bytes (optionally with A-Z lowered), eight at a
+time, through a bit mixer after each step; very long words go through a
+cryptographic hash.  Equal words have equal hashes in every process.  Whole
 texts are scanned, in segments of bounded size that end between words.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,22 +35,12 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(256, dtype=np.uint64), 11)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, SEGMENT + 4096)
-        inv = pow(_P, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _powers[:] = [
-                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, p, np.uint64)]))
-                for p in (_P, inv)
-            ]
-    return _powers[0], _powers[1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Words of more bytes than this are hashed one by one.
+LONG = 512
+#: Keeps the first n of eight little-endian bytes.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,18 +78,26 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hash of data[start:end] for sorted, disjoint spans."""
     out = np.empty(len(starts), np.uint64)
-    table = _LOWER if lower else _BYTE
     i = 0
     while i < len(starts):
-        lo = starts[i]
+        lo = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, lo + SEGMENT, "right")))
-        hi = ends[j - 1]
-        power, inverse = _power_tables(int(hi - lo) + 1)
-        with np.errstate(over="ignore"):
-            c = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(table[data[lo:hi]] * power[: hi - lo], out=c[1:])
-            s, e = starts[i:j] - lo, ends[i:j] - lo
-            out[i:j] = mix((c[e] - c[s]) * inverse[s] + (e - s).astype(np.uint64))
+        hi = int(ends[j - 1])
+        part = np.zeros(hi - lo + 8, np.uint8)
+        part[: hi - lo] = _LOWER[data[lo:hi]] if lower else data[lo:hi]
+        # the eight bytes from each place on
+        eight = np.ndarray(shape=(hi - lo + 1,), dtype="<u8", buffer=part.data, strides=(1,))
+        at, left = starts[i:j] - lo, ends[i:j] - starts[i:j]
+        h = mix(left.astype(np.uint64), 17)
+        for k in np.flatnonzero(left > LONG).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(part[at[k] : at[k] + left[k]].tobytes(), digest_size=8).digest(), "little")
+        todo = np.flatnonzero((left > 0) & (left <= LONG))
+        at, left = at[todo], left[todo]
+        while len(todo):
+            h[todo] = mix(h[todo] ^ mix(eight[at] & _FIRST[np.minimum(left, 8)], 18), 19)
+            more = left > 8
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+        out[i:j] = h
         i = j
     return out
 
@@ -135,85 +136,43 @@ def cut_at_punctuation(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
 
 
 class WordTable:
-    """Token ids of words by 64-bit hash: open addressing over numpy arrays.
+    """Token ids of words, each encoded once: a dictionary by the words' bytes
+    over ids in one array.
 
     ``encode`` turns a list of words into (all ids, number of ids per word).
     The table starts afresh when it holds ``limit`` words, so its memory is
     bounded and what it returns does not depend on it.
     """
 
-    def __init__(self, encode, limit: int = 1 << 20):
+    def __init__(self, encode, limit: int = 1 << 19):
         self.encode, self.limit = encode, limit
-        self.slots = 2 * limit
         self.clear()
 
     def clear(self) -> None:
-        self.key = np.zeros(self.slots, np.uint64)
-        self.row = np.zeros(self.slots, np.int32)
-        self.size = 0
-        self.at = np.zeros(self.limit, np.int64)
-        self.n = np.zeros(self.limit, np.int32)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 where it is not held."""
-        out = np.full(len(keys), -1, np.int64)
-        todo = np.arange(len(keys))
-        place = (keys % np.uint64(self.slots)).astype(np.int64)
-        while len(todo):
-            held = self.key[place[todo]]
-            hit = held == keys[todo]
-            out[todo[hit]] = self.row[place[todo[hit]]]
-            todo = todo[~hit & (held != 0)]
-            place[todo] = (place[todo] + 1) % self.slots
-        return out
-
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
-        ids, n = self.encode(words)
-        rows = np.arange(self.size, self.size + len(keys))
-        self.at[rows] = self.used + np.cumsum(n) - n
-        self.n[rows] = n
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.size += len(keys)
-        place = (keys % np.uint64(self.slots)).astype(np.int64)
-        todo = np.arange(len(keys))
-        while len(todo):
-            free = self.key[place[todo]] == 0
-            _, first = np.unique(place[todo], return_index=True)
-            mine = np.zeros(len(todo), bool)
-            mine[first] = True
-            mine &= free
-            self.key[place[todo[mine]]] = keys[todo[mine]]
-            self.row[place[todo[mine]]] = rows[todo[mine]]
-            todo = todo[~mine]
-            place[todo] = (place[todo] + 1) % self.slots
-
-    def rows(self, keys: np.ndarray, words) -> np.ndarray:
-        """Row of each key (0 is no key); ``words(positions)`` gives the words
-        at those positions of ``keys``."""
-        keys = np.where(keys == 0, np.uint64(1), keys)
-        found = self._find(keys)
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            new, first = np.unique(keys[missing], return_index=True)
-            if self.size + len(new) > self.limit:
-                self.clear()
-                missing = np.arange(len(keys))
-                new, first = np.unique(keys, return_index=True)
-            for i in range(0, len(new), self.limit):
-                self._add(new[i : i + self.limit], words(missing[first[i : i + self.limit]]))
-            found[missing] = self._find(keys[missing])
-        return found
+        self.row: dict[bytes, int] = {}
+        self.at = np.zeros(1, np.int64)
+        self.pool = [np.zeros(0, np.uint32)]
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """Row of each word; rows hold until the next call."""
+        if len(self.row) > self.limit:
+            self.clear()
+        known = self.row
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            ids, n = self.encode([w.decode() for w in new])
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
+            self.pool.append(ids.astype(np.uint32))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the rows one after another, number of ids per row)."""
-        n = self.n[rows].astype(np.int64)
-        total = int(n.sum())
-        return self.pool[np.repeat(self.at[rows] - np.cumsum(n) + n, n) + np.arange(total)], n
+        if len(self.pool) > 1:
+            self.pool = [np.concatenate(self.pool)]
+        n = self.at[rows + 1] - self.at[rows]
+        total = np.cumsum(n)
+        return self.pool[0][np.repeat(self.at[rows] - total + n, n) + np.arange(int(n.sum()))], n
 
 
 def slices(batch: pa.RecordBatch, column: str | int, limit: int = SEGMENT):
