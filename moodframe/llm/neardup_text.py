@@ -4,29 +4,33 @@ A document's set holds its distinct five-word shingles (A-Z lowered); with
 fewer words, the whole sequence is the one shingle.  Documents are linked when
 100 * intersection >= 75 * union, and a component is everything reachable.
 
-1. One pass over the texts gives each document its set size, a 128-bit key of
-   the whole set and a MinHash signature.  Equal sets collapse to their
-   smallest doc_id before anything is paired.
-2. Signatures are banded; only buckets with two documents or more go on.
-3. Candidate pairs come in two rounds.  First every document of a bucket meets
-   two hubs of the bucket, its smallest id and one by hash; then the members
-   outside a bucket's largest component meet all of the bucket, in blocks whose
-   pairs are compared inside a task.  Pairs inside one component need no test,
-   so a group of thousands of near copies costs a few tests a member, and no
-   link between components is left out.
-4. A pair's signatures are compared batch by batch; it is dropped as soon as
+1. One pass over the texts gives each row its set size, a 128-bit key of the
+   whole set and a MinHash signature.  Equal sets collapse to one vertex before
+   anything is paired, whatever the rows' ids.
+2. Signatures are banded; only buckets with two vertices or more go on.
+3. A pair's signatures are compared batch by batch; it is dropped as soon as
    the posterior probability of a similarity of at least the threshold (uniform
-   prior) falls under ``miss``.  What survives is confirmed on the full sets;
-   a document's likeliest partner first, then every pair that still
-   lies in different components.
+   prior) falls under ``miss``.
+4. First every member of a bucket meets a few hubs of its buckets, and its
+   likeliest hub of either kind is confirmed on the full sets.  Then the members
+   outside a bucket's largest component meet all of the bucket, in blocks whose
+   signatures are compared inside a task; what leaves the task are the members
+   that have a partner, not the pairs.  Their full sets meet once a block, where
+   a member's intersections with all others are counted at once through the
+   block's shingles, and only links that join two components leave the task.
+   Pairs inside one component need no test, so a group of thousands of near
+   copies costs a few tests a member, no pair is ever a row, and no link between
+   components is left out.
 
 Parameters: 24 bands of 4 of 128 hashes miss a pair at similarity 0.75 with a
 probability of 1.1e-4 (less above); ``miss`` is 1e-4 a batch.
 
 Defined results: null, empty or blank text has the empty set and is linked
-with nothing; rows that repeat a doc_id are taken to repeat its text and share
-a component; a row with null doc_id takes the component of its set but is
-nobody's smallest id; an empty table gives no rows; other columns are ignored.
+with nothing; rows that repeat a doc_id are rows of their own, with equal or
+with different texts; rows with null doc_id are compared like others, but are
+nobody's smallest id, so a component of such rows alone has a null one; a row
+without doc_id is kept where its component has no other; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodframe.llm.graph import components
-from moodframe.llm.store import written
+from moodframe.llm.store import with_columns, written
 from moodframe.llm.words import mix, slices, word_hashes
 
 WORDS = 5
@@ -51,6 +55,8 @@ MISS = 1e-4
 HUBS = 3
 #: Members of a left and a right block of a bucket.
 LEFT, RIGHT = 256, 2048
+#: Shingles (8 bytes each) of a left or right block, and pairs compared at once.
+SHINGLES, PAIRS = 1 << 20, 1 << 19
 #: At most so many ids (8 bytes each) are broadcast to pick out candidate texts.
 BROADCAST_IDS = 1_000_000
 
@@ -89,12 +95,19 @@ def sign(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         for k in range(HASHES):
             out[:, k] = np.minimum.reduceat(((x * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), first)
-        keys = np.stack([np.add.reduceat(mix(x, salt), first) for salt in (21, 22)], 1)
-    return out, keys
+    return out, set_keys(sets)
+
+
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """128-bit keys, uint64 [n, 2], of non-empty sets."""
+    x = np.concatenate(sets)
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    with np.errstate(over="ignore"):
+        return np.stack([np.add.reduceat(mix(x, salt), first) for salt in (21, 22)], 1)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, sig) of (doc_id, text) rows."""
+    """(row, doc_id, n_shingles, k1, k2, sig) of (row, doc_id, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,25 +123,25 @@ def signatures(docs: DataFrame) -> DataFrame:
                         sig[i] = s.tobytes()
                 keys = keys.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sig, pa.binary())],
-                    names=["doc_id", "n_shingles", "k1", "k2", "sig"],
+                    [b.column("row"), b.column("doc_id"), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sig, pa.binary())],
+                    names=["row", "doc_id", "n_shingles", "k1", "k2", "sig"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
+    return docs.mapInArrow(run, "row long, doc_id long, n_shingles long, k1 long, k2 long, sig binary")
 
 
 def banded(signed: DataFrame) -> DataFrame:
-    """(doc, bucket): a bucket is a hash of a band's number and values."""
+    """(doc, n_shingles, bucket): a bucket is a hash of a band's number and values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             bucket = _buckets(_matrix(b.column("sig")))
-            doc = np.repeat(b.column("doc").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(bucket.reshape(-1))], names=["doc", "bucket"])
+            each = [pa.array(np.repeat(b.column(c).to_numpy(), BANDS)) for c in ("doc", "n_shingles")]
+            yield pa.RecordBatch.from_arrays([*each, pa.array(bucket.reshape(-1))], names=["doc", "n_shingles", "bucket"])
 
-    return signed.select("doc", "sig").mapInArrow(run, "doc long, bucket long")
+    return signed.select("doc", "n_shingles", "sig").mapInArrow(run, "doc long, n_shingles long, bucket long")
 
 
 def _buckets(sig: np.ndarray) -> np.ndarray:
@@ -198,71 +211,95 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
-    """(doc, shingles) of the documents named in ``ids`` (doc)."""
-    wanted = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
-    few = docs.join(wanted, docs["doc_id"] == ids["doc"], "left_semi").dropDuplicates(["doc_id"])
+def full_sets(texts: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """(doc, shingles) of the vertices in ``wanted`` (doc, doc_id, k1, k2,
+    n_shingles): the sets of the rows with their ids are made again, and found
+    by their keys, as an id may stand for several texts."""
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    ids = F.broadcast(ids) if n_wanted <= BROADCAST_IDS else ids
+    few = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
-                sets = [s.tobytes() for s in shingle_sets(b.column("text"))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["doc", "shingles"])
-
-    return few.mapInArrow(run, "doc long, shingles binary")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(signatures(texts), "neardup-rows")
+                sets = [x for x in shingle_sets(b.column("text")) if len(x)]
+                if sets:
+                    keys = set_keys(sets).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                        names=["k1", "k2", "n_shingles", "shingles"],
+                    )
+
+    made = few.select("text").mapInArrow(run, "k1 long, k2 long, n_shingles long, shingles binary")
+    keyed = wanted.select("doc", "k1", "k2", "n_shingles")
+    keyed = F.broadcast(keyed) if n_wanted <= BROADCAST_IDS // 4 else keyed
+    return made.join(keyed, ["k1", "k2", "n_shingles"]).select("doc", "shingles").dropDuplicates(["doc"])
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, vertices): rows are (row, doc_id, n_shingles, k1, k2); vertices
+    are (k1, k2, n_shingles, doc, doc_id, component, low), one for each
+    different set, with its smallest doc_id and that of its component."""
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = written(signatures(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")), "neardup-rows")
     signed = written(
-        rows.filter("n_shingles > 0 and doc_id is not null")
-        .groupBy("k1", "k2", "n_shingles")
-        .agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")),
+        rows.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("row").alias("doc"), F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")),
         "neardup-signed",
     )
     buckets = banded(signed)
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = written(buckets.join(shared, "bucket"), "neardup-members")
-    ids = written(members.select("doc").distinct(), "neardup-ids")
-    n_ids = ids.count()
-    labels = linked_classes(members, signed, full_sets(texts, ids, n_ids), n_ids) if n_ids else None
-
-    by_set = signed.select("k1", "k2", "n_shingles", "doc")
-    out = rows.select("doc_id", "n_shingles", "k1", "k2").join(by_set, ["k1", "k2", "n_shingles"], "left")
-    if labels is None:
-        out = out.withColumn("component", F.col("doc"))
+    wanted = written(signed.join(members.select("doc").distinct(), "doc", "left_semi").select("doc", "doc_id", "k1", "k2", "n_shingles"), "neardup-wanted")
+    n_wanted = wanted.count()
+    vertices = signed.select("k1", "k2", "n_shingles", "doc", "doc_id")
+    if n_wanted:
+        labels = linked_classes(members, signed, full_sets(texts, wanted, n_wanted))
+        placed = with_component(vertices, "doc", labels)
+        low = placed.join(labels.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("doc_id").alias("low"))
+        placed = placed.join(low, "component", "left").withColumn("low", F.coalesce("low", "doc_id"))
     else:
-        out = out.join(labels.withColumnRenamed("vertex", "doc"), "doc", "left")
-    component = F.coalesce("component", "doc", "doc_id")
+        placed = vertices.withColumn("component", F.col("doc")).withColumn("low", F.col("doc_id"))
+    return rows.drop("sig"), placed.select("k1", "k2", "n_shingles", "doc", "doc_id", "component", "low")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row."""
+    rows, vertices = classes(docs, id_col, text_col)
+    out = rows.join(vertices.drop("doc_id"), ["k1", "k2", "n_shingles"], "left")
+    component = F.when(F.col("doc").isNull(), F.col("doc_id")).otherwise(F.col("low"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def linked_classes(members: DataFrame, signed: DataFrame, sets: DataFrame, n_ids: int) -> DataFrame:
-    """(vertex, component) of every document with a link."""
+def with_set_keys(docs: DataFrame, text_col: str = "text", names: tuple[str, str, str] = ("n_shingles", "k1", "k2")) -> DataFrame:
+    """``docs`` plus the size and the key of each text's set."""
+
+    def each(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for b in slices(batch, at):
+            sets = shingle_sets(b.column(at))
+            n = np.array([len(x) for x in sets], np.int64)
+            keys = np.zeros((len(sets), 2), np.uint64)
+            if n.any():
+                keys[n > 0] = set_keys([x for x in sets if len(x)])
+            yield b, [pa.array(n), *[pa.array(keys.view(np.int64)[:, k].copy()) for k in (0, 1)]]
+
+    return with_columns(docs, text_col, docs.columns, dict.fromkeys(names, "long"), each)
+
+
+def linked_classes(members: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(vertex, component) of every vertex with a link."""
     sets = written(sets, "neardup-sets")
     found = written(judged(hub_pairs(members), signed), "neardup-judged")
-    # a document's likeliest hub of either kind is enough: the rest may turn out to be inside one component
+    # a member's likeliest hub of either kind is enough: what stays apart meets in blocks
     best = found.groupBy("a", "kind").agg(F.max_by("b", F.struct("matches", F.negative("b"))).alias("b"))
     labels = merged(None, written(confirmed(best.select("a", "b").distinct(), sets), "neardup-exact"))
-
-    rest = written(crossing_pairs(with_component(members, "doc", labels), signed), "neardup-crossing")
-    best = rest.groupBy("a").agg(F.max_by("b", F.struct("matches", F.negative("b"))).alias("b"))
-    first = written(confirmed(best, sets), "neardup-exact")
-    labels = merged(labels, first)
-
-    of = lambda side: labels.select(F.col("vertex").alias(side), F.col("component").alias(f"{side}_class"))
-    known = rest.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = known.filter(F.coalesce("a_class", "a") != F.coalesce("b_class", "b")).select("a", "b")
-    last = written(confirmed(apart.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets), "neardup-exact")
-    return merged(labels, last)
+    partnered = written(crossing_members(with_component(members, "doc", labels), signed), "neardup-crossing")
+    return merged(labels, written(settled(partnered, sets), "neardup-settled"))
 
 
 def merged(labels: DataFrame | None, exact: DataFrame) -> DataFrame:
     """Classes after the links of ``exact``: classes found so far count as
     vertices linked to their smallest."""
-    links = exact.filter("linked").select("a", "b")
+    links = (exact.filter("linked") if "linked" in exact.columns else exact).select("a", "b")
     if labels is not None:
         if links.isEmpty():
             return labels
@@ -295,20 +332,23 @@ def _kind(hubs, kind: int):
     return F.transform(hubs, lambda s: F.struct(F.negative(s["b"]).alias("b"), F.lit(kind).alias("kind")))
 
 
-def crossing_pairs(placed: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b, matches) of the pairs of a bucket's members in different
-    components whose signatures survive.
+def crossing_members(placed: DataFrame, signed: DataFrame) -> DataFrame:
+    """(bucket, l, r, doc, component) of the members of blocks with a partner
+    in another component whose signature survives.
 
     In each bucket the members outside its largest component meet all members,
-    in blocks of ``LEFT`` and ``RIGHT``; a block's pairs are compared inside the
-    task and only survivors leave it, once, in the first band that they share.
+    in blocks of at most about ``LEFT`` and ``RIGHT`` members and ``SHINGLES``
+    shingles; a block's pairs are compared inside the task, each in the first
+    band that it shares.
     """
-    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     main = sizes.groupBy("bucket").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")
-    )
-    mixed = placed.join(main.filter("parts > 1"), "bucket").join(signed.select("doc", "n_shingles", "sig"), "doc")
-    lefts, rights = F.ceil((F.col("all") - F.col("most")) / F.lit(LEFT)).cast("int"), F.ceil(F.col("all") / F.lit(RIGHT)).cast("int")
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.max_by("s", F.struct("n", "component")).alias("most_s"),
+        F.max("n").alias("most"), F.sum("n").alias("all"), F.sum("s").alias("all_s"), F.count(F.lit(1)).alias("parts"),
+    )
+    mixed = placed.drop("n_shingles").join(main.filter("parts > 1"), "bucket").join(signed.select("doc", "n_shingles", "sig"), "doc")
+    parts = lambda n, most, s: F.greatest(F.ceil(n / F.lit(most)), F.ceil(s / F.lit(SHINGLES))).cast("int")
+    lefts, rights = parts(F.col("all") - F.col("most"), LEFT, F.col("all_s") - F.col("most_s")), parts(F.col("all"), RIGHT, F.col("all_s"))
     part = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     stray = F.col("component") != F.col("main")
@@ -319,36 +359,97 @@ def crossing_pairs(placed: DataFrame, signed: DataFrame) -> DataFrame:
     dealt = mixed.select("bucket", "doc", "component", "n_shingles", stray.alias("stray"), "sig", F.inline(blocks))
     steps = [(n, fewest_matches(n)) for n in range(BATCH, HASHES + 1, BATCH)]
 
-    def group(t: pa.Table) -> list[np.ndarray]:
+    def partnered(t: pa.Table) -> np.ndarray:
+        """Positions of the rows with a partner."""
         side, doc, own = (t[c].to_numpy() for c in ("side", "doc", "component"))
         n, lone, sig = t["n_shingles"].to_numpy(), t["stray"].to_numpy(), _matrix(t["sig"])
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        has = np.zeros(t.num_rows, bool)
         if not len(x) or not len(y):
-            return []
-        i, j = (k.ravel() for k in np.meshgrid(x, y, indexing="ij"))
-        ok = (own[i] != own[j]) & (~lone[j] | (doc[i] > doc[j])) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-        i, j = i[ok], j[ok]
-        matches = np.zeros(len(i), np.int64)
-        for k, (to, fewest) in enumerate(steps):
-            matches += (sig[i, to - BATCH : to] == sig[j, to - BATCH : to]).sum(1)
-            alive = matches >= fewest
-            i, j, matches = i[alive], j[alive], matches[alive]
-            if k == 0 and len(i):
-                wide = BANDS * BAND_ROWS
-                shared = (sig[i, :wide] == sig[j, :wide]).reshape(-1, BANDS, BAND_ROWS).all(2)
-                here = int(np.argmax(_buckets(sig[:1])[0] == t["bucket"][0].as_py()))
-                alive = shared.argmax(1) == here
+            return np.flatnonzero(has)
+        here = int(np.argmax(_buckets(sig[:1])[0] == t["bucket"][0].as_py()))
+        # some left rows at a time: their pairs are at most PAIRS
+        for lo in range(0, len(x), max(1, PAIRS // len(y))):
+            i, j = (k.ravel() for k in np.meshgrid(x[lo : lo + max(1, PAIRS // len(y))], y, indexing="ij"))
+            ok = (own[i] != own[j]) & (~lone[j] | (doc[i] > doc[j])) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            matches = np.zeros(len(i), np.int64)
+            for k, (to, fewest) in enumerate(steps):
+                matches += (sig[i, to - BATCH : to] == sig[j, to - BATCH : to]).sum(1)
+                alive = matches >= fewest
                 i, j, matches = i[alive], j[alive], matches[alive]
-        return [doc[i], doc[j], matches] if len(i) else []
+                if k == 0 and len(i):
+                    wide = BANDS * BAND_ROWS
+                    shared = (sig[i, :wide] == sig[j, :wide]).reshape(-1, BANDS, BAND_ROWS).all(2)
+                    alive = shared.argmax(1) == here
+                    i, j, matches = i[alive], j[alive], matches[alive]
+            has[i] = has[j] = True
+        at = np.flatnonzero(has)
+        return at[np.unique(doc[at], return_index=True)[1]]  # a stray may stand on both sides
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["bucket", "l", "r"]):
-            out = group(t)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b", "matches"])
+            at = partnered(t)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([t[c].take(pa.array(at)).combine_chunks() for c in names], names=names)
 
+    names = ["bucket", "l", "r", "doc", "component"]
     ordered = dealt.repartition("bucket", "l", "r").sortWithinPartitions("bucket", "l", "r")
-    return ordered.mapInArrow(run, "a long, b long, matches long")
+    return ordered.mapInArrow(run, "bucket long, l int, r int, doc long, component long")
+
+
+def settled(partnered: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) links between components, from the full sets of each block's
+    members: at most one fewer than it has components."""
+
+    def links(t: pa.Table) -> list[tuple[int, int]]:
+        doc, own = t["doc"].to_numpy(), np.unique(t["component"].to_numpy(), return_inverse=True)[1]
+        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"].combine_chunks()]
+        n = np.array([len(x) for x in each])
+        # postings: for each shingle the members that hold it
+        key = np.concatenate(each)
+        member = np.repeat(np.arange(len(each)), n)
+        order = np.argsort(key, kind="stable")
+        key, member = key[order], member[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        length = np.diff(np.append(first, len(key)))
+        slot = np.empty(len(key), np.int64)
+        slot[order] = np.repeat(np.arange(len(first)), length)
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        root = np.arange(own.max() + 1)
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        # a pair of two components has a member outside the block's largest one
+        for i in np.flatnonzero(own != np.bincount(own).argmax()).tolist():
+            mine = slot[bounds[i] : bounds[i + 1]]
+            count = length[mine]
+            total = np.cumsum(count)
+            held = member[np.repeat(first[mine] - total + count, count) + np.arange(int(total[-1]))]
+            common = np.bincount(held, minlength=len(each))
+            near = np.flatnonzero(100 * common >= PERCENT * (n[i] + n - common))
+            for j in near.tolist():
+                p, q = find(own[i]), find(own[j])
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((int(doc[i]), int(doc[j])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["bucket", "l", "r"]):
+            if t.num_rows > 1:
+                found = links(t)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    carried = partnered.join(sets, "doc").select("bucket", "l", "r", "doc", "component", "shingles")
+    ordered = carried.repartition("bucket", "l", "r").sortWithinPartitions("bucket", "l", "r")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
