@@ -13,9 +13,10 @@ one document.
 Distribution: documents are dealt by hash into leaves of about ``leaf_rows``
 rows per source; each leaf runs the pivotal pass over its documents from the
 longest down and leaves at most one fractional document.  Those residuals are
-combined in a tree of ``fan_in`` leaves a node until one is left per source,
-which goes to the nearer side.  Leaves, order and draws depend only on the rows
-and ``seed``, so reruns agree.
+combined in a tree of ``fan_in`` leaves a node until one is left per source.
+That last one goes to the nearer side, which keeps the source closer to its
+target; all other documents keep their expected copies exactly.  Leaves, order
+and draws depend only on the rows and ``seed``, so reruns agree.
 
 Defined results: null or blank text has size 0 and is taken 0 words (0
 copies); null source is a source of its own, last; repeated rows are separate
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 
 from moodframe.llm.store import written
 
+#: Equal rows that are made again in one go.
+RUN = 4096
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -109,26 +112,29 @@ def _rng(*key) -> np.random.Generator:
 
 
 def _round_group(pdf: pd.DataFrame, seed: int, level: int) -> pd.DataFrame:
-    """One pivotal pass over a group.  Of a few passes with different draws the
-    one is kept whose fractional document would miss by the fewest words."""
-    pdf = pdf.sort_values(["size", "row"], ascending=[False, True], kind="stable")
+    """One pivotal pass over a group, from the longest document down."""
+    pdf = pdf.sort_values(["size", "row", "nth"], ascending=[False, True, True], kind="stable")
     first = pdf.iloc[0]
     key = (seed, level, None if pd.isna(first["source"]) else first["source"], int(first["node"]))
-    share, size = pdf["share"].to_numpy(), pdf["size"].to_numpy(float)
-    best = None
-    for attempt in range(16 if len(pdf) <= 512 else 3):
-        p, held = pivotal(share, size, _rng(*key, attempt))
-        miss = 0.0 if held < 0 else min(p[held], 1 - p[held]) * size[held]
-        if best is None or miss < best[0]:
-            best = miss, p, held
-    _, p, held = best
-    pdf["share"] = p
+    pdf["share"], held = pivotal(pdf["share"].to_numpy(), pdf["size"].to_numpy(float), _rng(*key))
     pdf["open"] = False
     if held >= 0:
         pdf.iloc[held, pdf.columns.get_loc("open")] = True
     return pdf
 
 
+def counted_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, source, size, row) with ``nth``, which numbers equal
+    ones from 0.  They are counted first and made again from their count, in
+    runs of ``RUN``, so that no task holds all rows without an id."""
+    counts = rows.groupBy("doc_id", "source", "size", "row").agg(F.count(F.lit(1)).alias("n"))
+    run = F.lit(RUN)
+    runs = counts.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / run))).alias("run"))
+    dealt = runs.repartition(F.xxhash64("row", "run"))
+    nth = F.explode(F.sequence(F.col("run") * run, F.least(F.col("n"), (F.col("run") + 1) * run) - 1))
+    return dealt.select("doc_id", "source", "size", "row", nth.alias("nth"))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -140,29 +146,30 @@ def mix_sources(
     fan_in: int = 64,
     seed: int = 9,
 ) -> DataFrame:
-    """(doc_id, row, source, size, source_size, target, copies) per row.
+    """(doc_id, row, nth, source, size, source_size, target, copies) per row.
 
-    ``row`` is the hash of (id, source, size): it deals the rows to leaves and
-    orders equal sizes.  Repeated rows share it and are interchangeable.
+    ``row`` is the hash of (id, source, size), ``nth`` numbers the rows that
+    share these and are interchangeable: together they deal the rows to leaves
+    and order equal sizes.
     """
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         words(F.col(text_col)).alias("size"),
     ).withColumn("row", F.xxhash64("doc_id", "source", "size"))
-    base = written(base, "mix-sizes")
+    base = written(counted_rows(base), "mix-sizes")
     targets = written(source_targets(base, weights, max_repeats), "mix-targets")
     by_source = F.col("s.source").eqNullSafe(F.col("t.source"))
     # one row per source; Spark broadcasts it when its measured size allows
-    rows = base.alias("s").join(targets.alias("t"), by_source).select("s.doc_id", "s.source", "s.size", "s.row", "t.n_docs", "t.source_size", "t.target")
+    rows = base.alias("s").join(targets.alias("t"), by_source).select("s.doc_id", "s.source", "s.size", "s.row", "s.nth", "t.n_docs", "t.source_size", "t.target")
     ratio = F.least(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0), F.lit(float(max_repeats)))
     rows = rows.withColumn("whole", F.floor(ratio)).withColumn("share", ratio - F.col("whole"))
     fractional = (F.col("size") > 0) & (F.col("share") > 0)
     sure = rows.filter(~fractional).withColumn("copies", F.when(F.col("size") > 0, F.col("whole")).otherwise(F.lit(0)))
 
     leaves = F.ceil(F.col("n_docs") / F.lit(leaf_rows))
-    work = rows.filter(fractional).withColumn("node", F.pmod(F.xxhash64(F.lit(seed), "row"), leaves))
-    kept = ["doc_id", "source", "size", "row", "source_size", "target", "whole", "share", "node"]
+    work = rows.filter(fractional).withColumn("node", F.pmod(F.xxhash64(F.lit(seed), "row", "nth"), leaves))
+    kept = ["doc_id", "source", "size", "row", "nth", "source_size", "target", "whole", "share", "node"]
     work = work.select(*kept)
     schema = work.withColumn("open", F.lit(True)).schema
 
@@ -182,7 +189,7 @@ def mix_sources(
     # one row per source at most, rounded to the nearer side
     last = residual.withColumn("share", F.when(F.col("share") >= 0.5, 1.0).otherwise(0.0))
     rounded = out.unionByName(last).withColumn("copies", F.col("whole") + F.round("share").cast("bigint"))
-    columns = ["doc_id", "row", "source", "size", "source_size", "target", F.col("copies").cast("bigint").alias("copies")]
+    columns = ["doc_id", "row", "nth", "source", "size", "source_size", "target", F.col("copies").cast("bigint").alias("copies")]
     return sure.select(*columns).unionByName(rounded.select(*columns))
 
 
