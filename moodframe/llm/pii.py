@@ -37,7 +37,7 @@ from moodframe.llm.words import slices
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 24
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
@@ -87,10 +87,25 @@ def emails(text: str) -> Iterator[Span]:
         at = text.find("@", max(at + 1, done))
 
 
+def ips(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of four numbers joined by dots: of a whole dotted run
+    of numbers, each next four."""
+    for m in _DOTTED.finditer(text):
+        at, run = m.start(), m.group()
+        if run.count(".") < 3:
+            continue
+        numbers = run.split(".")
+        for i in range(0, len(numbers) - 3, 4):
+            size = sum(map(len, numbers[i : i + 4])) + 3
+            yield at, at + size
+            at += size + 1
+
+
 def base_spans(text: str) -> list[Span]:
     out = list(emails(text))
     if _DIGITS.search(text):
-        for kind, pattern, ok in (("ip", _IP, _ip_ok), ("card", _CARD, _card_ok), ("phone", _PHONE, _phone_ok)):
+        out += [(a, b, "ip") for a, b in ips(text) if _ip_ok(text[a:b])]
+        for kind, pattern, ok in (("card", _CARD, _card_ok), ("phone", _PHONE, _phone_ok)):
             out += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if ok(m.group())]
     return in_order(out)
 
@@ -166,7 +181,7 @@ def candidates(s: str, bounds: list[tuple[int, int]]) -> list[tuple[int, int, np
             f[4] = first == "("
             f[5] = dots == 3 and groups == 4 and digits + 3 == len(raw)
             f[6] = bool(f[5]) and _ip_ok(raw)
-            f[7] = _card_ok(raw) if not letters and not ats else False
+            f[7] = digits <= 19 and not letters and not ats and _card_ok(raw)
             f[8] = dots > 0
             f[9] = dots > 1
             f[10] = mail and "." in raw[raw.index("@") :]
