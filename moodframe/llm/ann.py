@@ -51,19 +51,25 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 class Graph:
-    """Robust-pruned graph over the rows of ``points`` (float32)."""
+    """Robust-pruned graph over the rows of ``points`` (float32).
+
+    While it is built a list may hold half as many edges again as ``degree``:
+    a reverse edge is appended where there is room, and a full list is pruned
+    back to ``degree``, so a row costs a few prunings whatever the shard's size.
+    """
 
     def __init__(self, points: np.ndarray, degree: int, beam: int, slack: float, seed: int):
         self.x = np.ascontiguousarray(points, np.float32)
         self.n = len(points)
         self.degree = min(degree, max(1, self.n - 1))
-        self.links = np.full((self.n, self.degree), -1, np.int32)
+        self.width = self.degree + self.degree // 2
         self.sq = (self.x * self.x).sum(1)
         mean = self.x.mean(0)
         self.entry = int(np.argmin(((self.x - mean) ** 2).sum(1)))
         self.beam, self.slack = beam, slack
         rng = np.random.default_rng(seed)
-        self.links[:] = rng.integers(0, self.n, self.links.shape)
+        self.links = np.full((self.n, self.width), -1, np.int32)
+        self.links[:, : self.degree] = rng.integers(0, self.n, (self.n, self.degree))
         self.links[self.links == np.arange(self.n)[:, None]] = -1
 
     def build(self, batch: int = 256) -> Graph:
@@ -73,10 +79,19 @@ class Graph:
                 rows = order[i : i + batch]
                 seen, _ = self.search(self.x[rows], self.beam)
                 cands = np.concatenate([seen, self.links[rows]], 1)
-                self.links[rows] = self.prune(rows, cands, round_slack)
+                self._set(rows, self.prune(rows, cands, round_slack))
                 self._reverse(rows, round_slack)
+        for i in range(0, self.n, 4 * batch):
+            rows = np.arange(i, min(i + 4 * batch, self.n))
+            rows = rows[(self.links[rows] >= 0).sum(1) > self.degree]
+            self._set(rows, self.prune(rows, self.links[rows], self.slack))
+        self.links = np.ascontiguousarray(self.links[:, : self.degree])
         return self
 
+    def _set(self, rows: np.ndarray, lists: np.ndarray) -> None:
+        self.links[rows, : self.degree] = lists
+        self.links[rows, self.degree :] = -1
+
     def _distance(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances from q [b, d] to points ids [b, m], without |q|^2."""
         return self.sq[ids] - 2 * np.einsum("bd,bmd->bm", q, self.x[ids], optimize=False)
@@ -147,23 +162,35 @@ class Graph:
             left[at, best] = np.inf
         return out
 
-    def _reverse(self, rows: np.ndarray, slack: float, width: int = 48) -> None:
-        """Add row -> neighbour edges backwards, pruning where a list is full."""
+    def _reverse(self, rows: np.ndarray, slack: float, most: int = 48) -> None:
+        """Add row -> neighbour edges backwards; a list without room for its
+        new edges (the nearest ``most`` of them) is pruned."""
         target = self.links[rows].reshape(-1)
-        source = np.repeat(rows, self.degree)
+        source = np.repeat(rows, self.width)
         ok = target >= 0
         target, source = target[ok], source[ok]
+        new = (self.links[target] != source[:, None]).all(1)
+        target, source = target[new], source[new]
         if not len(target):
             return
         d = ((self.x[target] - self.x[source]) ** 2).sum(1)
         order = np.lexsort((d, target))
         target, source = target[order], source[order]
         nodes, first = np.unique(target, return_index=True)
-        place = np.arange(len(target)) - np.repeat(first, np.diff(np.append(first, len(target))))
-        near = place < width
-        incoming = np.full((len(nodes), width), -1, np.int64)
-        incoming[np.searchsorted(nodes, target[near]), place[near]] = source[near]
-        self.links[nodes] = self.prune(nodes, np.concatenate([self.links[nodes], incoming], 1), slack)
+        number = np.diff(np.append(first, len(target)))
+        place = np.arange(len(target)) - np.repeat(first, number)
+        held = self.links[nodes] >= 0
+        # blanks lie behind the edges, besides those of the random beginning
+        free = np.where(held.any(1), self.width - held[:, ::-1].argmax(1), 0)
+        fits = free + number <= self.width
+        easy = np.repeat(fits, number)
+        self.links[target[easy], np.repeat(free, number)[easy] + place[easy]] = source[easy]
+        near = ~easy & (place < most)
+        full = nodes[~fits]
+        if len(full):
+            incoming = np.full((len(full), most), -1, np.int64)
+            incoming[np.searchsorted(full, target[near]), place[near]] = source[near]
+            self._set(full, self.prune(full, np.concatenate([self.links[full], incoming], 1), slack))
 
 
 def lifted(vectors: np.ndarray, largest: float) -> np.ndarray:
@@ -216,7 +243,7 @@ def search(
     beam: int = 128,
     slack: float = 1.2,
     shards: int = 12,
-    shard_rows: int = 200_000,
+    shard_rows: int = 20_000,
     query_rows: int = 8192,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score); both inputs as returned by ``usable``."""
