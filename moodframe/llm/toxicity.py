@@ -274,8 +274,13 @@ def labelled(tokens: Tokens, toxic: np.ndarray, known: np.ndarray) -> np.ndarray
 def train_field(features: np.ndarray, tag: np.ndarray, first: np.ndarray, rounds: int, rate: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights and chain that maximise the likelihood of the tags, by full
     gradients with step sizes adapted to each parameter."""
-    used, number = np.unique(features, return_inverse=True)
-    number = number.reshape(features.shape)
+    seen_at = np.zeros((1 << WIDTH) + 1, bool)
+    seen_at[features] = True
+    used = np.flatnonzero(seen_at)
+    place = np.zeros(len(seen_at), np.int32)
+    place[used] = np.arange(len(used))
+    # one feature of all tokens at a time, so that no array is larger than they
+    columns = [place[c] for c in features.T]
     w, chain = np.zeros(len(used)), np.array([-3.0, 0.0, -3.0, -3.0])
     live = used != (1 << WIDTH)
     square_w, square_c = np.full(len(used), 1e-8), np.full(4, 1e-8)
@@ -284,10 +289,14 @@ def train_field(features: np.ndarray, tag: np.ndarray, first: np.ndarray, rounds
     inner[0] = False
     at = np.flatnonzero(inner)
     for _ in range(rounds):
-        evidence = w[number].sum(1)
+        evidence = np.zeros(len(y))
+        for c in columns:
+            evidence += w[c]
         a0, a1, b0, b1 = messages(evidence, first, chain)
         p = a1 * b1 / (a0 * b0 + a1 * b1)
-        slope = np.bincount(number.ravel(), np.repeat(y - p, number.shape[1]), len(used)) - ridge * w
+        slope = -ridge * w
+        for c in columns:
+            slope += np.bincount(c, y - p, len(used))
         slope[~live] = 0
         x = np.exp(np.clip(evidence[at], -30, 30))
         move = np.exp(chain)

@@ -93,6 +93,59 @@ def test_near_duplicate_documents(spark):
     assert got == want
 
 
+def test_rows_without_an_id_and_ids_with_two_texts(spark):
+    """Links run through rows without id; rows that share an id are told apart."""
+    rng = np.random.default_rng(15)
+    words = [f"w{i}" for i in range(400)]
+    base = list(rng.choice(words, 120))
+
+    def edited(first):  # 110 of 116 shingles stay
+        return " ".join(base[:first] + ["new", *base[first + 1 :]])
+
+    far = [*base[:60], *rng.choice(words, 60)]
+    rows = [(8, " ".join(base)), (None, edited(30)), (None, edited(90)), (3, edited(60)), (5, " ".join(far)), (5, " ".join(base)), (None, " ".join(far)), (None, "lone words here"), (None, "lone words here"), (None, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"] > 0, r["component_id"], r["kept"]) for r in neardup_text.near_duplicates(docs).collect()), key=str)
+    want = [(8, True, 3, False), (None, True, 3, False), (None, True, 3, False), (3, True, 3, True), (5, True, 5, True), (5, True, 3, False), (None, True, 5, False),
+            (None, True, None, True), (None, True, None, True), (None, False, None, True), (6, False, 6, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_near_copies_below_the_threshold_stay_apart(spark):
+    """A group whose members are alike but mostly unlinked: no pair is a row."""
+    rng = np.random.default_rng(16)
+    words = [f"w{i}" for i in range(2000)]
+    base = list(rng.choice(words, 160))
+    rows = []
+    for i in range(260):
+        copy = list(base)
+        for k in rng.choice(160, int(rng.choice([1, 5, 6, 7, 8])), replace=False):
+            copy[k] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(copy)))
+    _, want = brute_text(rows)
+    got = {r["doc_id"]: r["component_id"] for r in neardup_text.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 20 < len(set(want.values())) < 250
+
+
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    from tokenizers import Tokenizer
+
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"x {one} y z {two} q"), (4, f"x {two} y z {one} q")], "doc_id long, text string")
+    assert {r["component_id"] for r in neardup_text.near_duplicates(docs).collect()} == {1, 2, 3, 4}
+    path = tokenizer_path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    packed_rows(packing.pack(docs, path).collect(), {r["doc_id"]: [*t.encode(r["text"], add_special_tokens=False).ids, 1] for r in docs.collect()}, 2048)
+
+
 def test_pruning_rarely_misses():
     """A pair at the threshold falls below a batch's bound about once in 1e4."""
     rng = np.random.default_rng(0)
@@ -140,6 +193,34 @@ def test_search_recall(spark):
             assert r["score"] == pytest.approx(scores[r["query_id"], r["vec_id"]], abs=1e-12)
 
 
+def test_search_equals_plain_products(spark):
+    """Against numpy alone, with repeats, nulls, non-finite values and mixed lengths."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((3000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1000:1040] = x[20]  # a group of copies of a query
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(9000, None), (9020, [float("nan")] * 24), (9040, [0.0] * 24), (None, [1.0] * 24), (9060, [1.0, 2.0]), (40, [float(a) for a in x[40]])]
+    vectors = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = {}
+    for r in ann.search(vectors, vectors.filter("vec_id % 20 = 0"), shards=2).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    ids = np.array([*range(3000), 9060])
+    full = np.concatenate([x, [[1.0, 2.0, *[0.0] * 22]]])
+    asked = [i for i in ids if i % 20 == 0]
+    assert sorted(found) == asked
+    hits = 0
+    for q in asked:
+        own = full[3000] if q == 9060 else x[q]
+        score = full @ own
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
+        got = found[q]
+        assert sorted(got) == list(range(1, 21))
+        assert all(got[k][1] == pytest.approx(score[np.flatnonzero(ids == got[k][0])[0]], abs=1e-12) for k in got)
+        assert [(-got[k][1], got[k][0]) for k in range(1, 21)] == sorted((-s, i) for i, s in got.values())
+        hits += len({v for v, _ in got.values()} & {int(ids[i]) for i in order})
+    assert hits >= 0.95 * 20 * len(asked)
+
+
 def test_search_edges(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 3.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("inf"), 1.0]), (6, [])]
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
@@ -237,6 +318,33 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.limit(0)).collect() == []
 
 
+def test_mixing_keeps_expected_copies():
+    """Leaves and tree together round each document by its share."""
+    import pandas as pd
+
+    size, share = np.array([9, 7, 6, 5, 4, 3, 2] * 20), 0.37
+    runs = []
+    for seed in range(1500):
+        pdf = pd.DataFrame({"source": "a", "size": size, "row": np.arange(len(size)), "nth": 0, "share": share, "node": 0})
+        out = mixing._round_group(pdf, seed, 0).sort_values("row")
+        runs.append(out["share"].to_numpy())
+    assert np.allclose(np.mean(runs, 0), share, atol=0.06) and abs(np.mean(runs) - share) < 0.005
+
+
+def test_mixing_deals_out_equal_rows(spark):
+    """Rows without an id and of one size are spread over the leaves."""
+    n = 100_000
+    docs = spark.range(n).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    docs = docs.unionByName(spark.createDataFrame([(i, "w " * 50, "t") for i in range(200)], "doc_id long, text string, source string"))
+    base = mixing.counted_rows(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size")).withColumn("row", F.xxhash64("doc_id", "source", "size")))
+    made = base.filter("source = 's'").agg(F.count(F.lit(1)), F.countDistinct("nth"), F.max("nth")).first()
+    assert tuple(made) == (n, n, n - 1)
+    got = mixing.mix_sources(docs, leaf_rows=1024)
+    taken = {r["source"]: (r["t"], r["target"], r["n"]) for r in got.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n")).collect()}
+    assert taken["s"][2] == n and taken["t"][2] == 200
+    assert all(abs(t - target) <= 50 for t, target, _ in taken.values())
+
+
 def test_pivotal_keeps_expected_copies():
     share, size = np.array([0.2, 0.5, 0.7, 0.35, 0.9]), np.array([50.0, 40.0, 30.0, 20.0, 10.0])
     runs = []

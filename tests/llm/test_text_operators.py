@@ -261,3 +261,37 @@ def test_language_of_long_documents_alone(spark):
     held = spark.createDataFrame([(1, say("xx", 30)), (2, say("en", 30)), (3, say("xx", 5000))], "doc_id long, text string")
     got = {r["doc_id"]: (r["lang_pred"], r["accepted"]) for r in langid.identify(held, d, keep=["doc_id"]).collect()}
     assert got == {1: ("xx", True), 2: ("en", True), 3: ("xx", True)}
+
+
+def plain_spans(text):
+    """The stated patterns, applied as they are written."""
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card = re.compile(r"[0-9]([\x20-]?[0-9])+")
+    phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+    def is_card(s):
+        d = [int(c) for c in s if c.isdigit()][::-1]
+        doubled = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d))
+        return 12 <= len(d) <= 19 and doubled % 10 == 0
+
+    tests = {"email": (email, lambda s: True), "ip": (ip, lambda s: all(int(p) <= 255 for p in s.split("."))), "card": (card, is_card), "phone": (phone, lambda s: 9 <= sum(c.isdigit() for c in s) <= 15)}
+    found = [(m.start(), m.end(), k) for k, (p, ok) in tests.items() for m in p.finditer(text) if ok(m.group())]
+    return sorted(found, key=lambda s: (s[0], list(tests).index(s[2])))
+
+
+def test_base_spans_equal_the_patterns():
+    rng = np.random.default_rng(11)
+    units = ["1", "12", "255", "256", "0", "000", ".", ".", "..", " ", "-", "+", "(", ")", "a", "@", "b.c", "4111111111111111", "4111 1111 1111 1111", "+44 20 7946 0958", "1.2.3.4", "٣"]
+    for _ in range(4000):
+        text = "".join(rng.choice(units, int(rng.integers(1, 25))))
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_a_megabyte_of_digits_is_quick():
+    import time
+
+    began = time.process_time()
+    for text in ("7" * (1 << 20), "1" * (1 << 19) + "." + "2" * (1 << 19), "1234567890 " * 100_000, "+" * (1 << 20)):
+        pii.base_spans(text)
+    assert time.process_time() - began < 4
