@@ -24,6 +24,9 @@ from moodframe.functions.constants import (
 from moodframe.functions.text import WS_CLASS, iso_seconds, trim_ws
 from moodframe.operators import predict as P
 from moodframe.operators.indexing import with_dense_index
+from moodframe.operators.partitioning import materialised
+from moodframe.operators.skew import missing_keys, skewed_join
+from moodframe.sources import layout
 
 SLOT_A, SLOT_B = 0, 1
 PRED_FIELDS = ["slot", "emotion", "confidence", "probs", "model", "cleaned_text"]
@@ -103,7 +106,7 @@ def with_slot_b(slots: DataFrame, scored: DataFrame, key: str, name: str = MODEL
 
 def history_rows(
     subs: DataFrame,
-    slot_preds: DataFrame,
+    slot_preds: DataFrame | None,
     key: str,
     guidance: DataFrame | None = None,
     threshold: float = MIXED_EMOTION_THRESHOLD,
@@ -114,9 +117,10 @@ def history_rows(
     The choice between slots is a per-row expression over the two structs
     (compare picks the higher confidence, slot A on ties), so no grouping or
     second shuffle is needed; only the join to the predictions is keyed.
+    Without ``slot_preds`` the submissions carry their predictions themselves.
     """
     v = clean_identity(valid_submissions(subs))
-    j = v.join(slot_preds, key)
+    j = v if slot_preds is None else v.join(slot_preds, key)
     choice = F.lower(F.col("model_choice"))
     a, b = F.col("pred_a"), F.col("pred_b")
     selected = (
@@ -178,7 +182,7 @@ def build_records(history: DataFrame, start_id: int = 1) -> DataFrame:
         iso_seconds("ts").alias("timestamp"),
         F.lit(True).alias("csv_logged"),
     )
-    return with_dense_index(rec, ["ts", "seq", "slot"], "record_id", start_id)
+    return with_dense_index(materialised(rec, "records"), ["ts", "seq", "slot"], "record_id", start_id)
 
 
 def examples_log(history: DataFrame) -> DataFrame:
@@ -289,19 +293,38 @@ def upsert_users(prior: DataFrame, logins: DataFrame) -> DataFrame:
 
 
 def fk_valid(records: DataFrame, users: DataFrame) -> DataFrame:
-    return records.join(users.select("email"), "email", "left_semi")
+    """Records of known users.  Only distinct emails meet the users; the few
+    unknown ones are then taken out of the records (null is unknown)."""
+    return skewed_join(records.filter(F.col("email").isNotNull()), missing_keys(records, users, "email"), "email", "left_anti")
 
 
 def fk_violations(records: DataFrame, users: DataFrame) -> DataFrame:
-    return records.join(users.select("email"), "email", "left_anti")
+    known = skewed_join(records, missing_keys(records, users, "email"), "email", "left_semi")
+    return known.unionByName(records.filter(F.col("email").isNull()))
 
 
 def cascade_delete(records: DataFrame, deleted_users: DataFrame) -> DataFrame:
-    return records.join(deleted_users.select("email"), "email", "left_anti")
+    return skewed_join(records, deleted_users.select("email").distinct(), "email", "left_anti")
+
+
+def user_records(users: DataFrame, records: DataFrame) -> DataFrame:
+    """Each user's records, with the user's columns first."""
+    met = skewed_join(records, users, "email")
+    return met.select(*users.columns, *[c for c in records.columns if c not in users.columns])
+
+
+RECORD_ORDER = ["timestamp", "record_id"]
+
+
+def write_records(records: DataFrame, path: str, table: str, buckets: int = layout.BUCKETS) -> DataFrame:
+    """The records as a table laid out by user, each user's in order of time:
+    reading one user's opens one bucket."""
+    return layout.write_bucketed(records, path, table, "email", RECORD_ORDER, buckets)
 
 
 def fetch_records(records: DataFrame, email: str | None = None) -> DataFrame:
-    """All records, or one user's when ``email`` is truthy, newest first."""
+    """All records, or one user's when ``email`` is truthy, newest first (of a
+    table by ``write_records`` only that user's bucket is read and sorted)."""
     r = records.filter(F.col("email") == F.lit(email)) if email else records
     return r.orderBy(F.col("timestamp").desc(), F.col("record_id").desc())
 

@@ -57,21 +57,27 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("row_id"), "text", label.alias("emotion"))
 
 
-def submissions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, n_docs=None) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, doc_blank): the flag is computed once per document, so
+    jobs that only need the flag never carry the text through a shuffle."""
+    d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", "text", (F.col("text").isNull() | ~F.col("text").rlike(f"[^{WS_CLASS}]")).alias("doc_blank"))
+
+
+def submissions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, n_docs=None, docs: DataFrame | None = None) -> DataFrame:
     """One submission per event.
 
     The event is matched to document ``event_id mod count(documents)`` (doc_id
     is dense 0..n-1).  The count is a scalar subquery, so the plan stays lazy
     and the join is an ordinary equi-join on doc_id that Spark can shuffle or
     broadcast by size.  A streaming ``events`` frame can be passed instead of
-    the table (then ``n_docs`` is given as a number).
+    the table (then ``n_docs`` is given as a number), and a written table of
+    ``documents`` with further columns, which ride along; one without the text
+    gives submissions without text.
     """
     ev = (events if events is not None else load_table(spark, sf_dir, "events")).select("event_id", "ts", "user_id")
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    # blank-text flag computed once per document, before the join: jobs that
-    # only need the flag never carry the text through the shuffle
-    nonspace = f"[^{WS_CLASS}]"
-    docs = docs.select("doc_id", "text", (F.col("text").isNull() | ~F.col("text").rlike(nonspace)).alias("doc_blank"))
+    docs = documents(spark, sf_dir) if docs is None else docs
+    more = [c for c in docs.columns if c not in ("doc_id", "text", "doc_blank")]
     if n_docs is None:
         n_docs = docs.select(F.count(F.lit(1))).scalar()
     else:
@@ -90,7 +96,7 @@ def submissions(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
         .otherwise(F.concat(F.lit("  User "), F.col("user_id").cast("string")))
     )
     event_blank = F.pmod(eid, F.lit(53)) == 0
-    text = F.when(event_blank, F.lit(" \t ")).otherwise(F.col("text"))
+    text = [F.when(event_blank, F.lit(" \t ")).otherwise(F.col("text")).alias("text")] if "text" in docs.columns else []
     return j.select(
         F.col("event_id").alias("seq"),
         "ts",
@@ -99,10 +105,11 @@ def submissions(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
         name.alias("name"),
         _pick(ROLES, F.pmod(eid + F.col("user_id"), F.lit(3))).alias("role"),
         _pick(ACADEMIC_FIELDS, F.pmod(eid, F.lit(11))).alias("field"),
-        text.alias("text"),
+        *text,
         (event_blank | F.col("doc_blank")).alias("text_blank"),
         _pick(MODEL_CHOICES, F.pmod(eid, F.lit(3))).alias("model_choice"),
         (F.pmod(eid, F.lit(10)) != 0).alias("save"),
+        *more,
     )
 
 

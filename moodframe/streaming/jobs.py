@@ -6,13 +6,17 @@ Q3  running analytics: interactions per emotion label; per field, emotion and
     model; mean confidence
 Q4  example log append + mapping insert-if-absent
 
-The source is the events table, one file or a folder of files.  Documents are a
-static side, scored once into a written table before the stream starts.  Every
-micro-batch writes only into folders named after its batch id (overwrite), so a
-replayed batch rewrites its own rows.  Running results are kept as small
-tables: a batch merges what it saw into the table of the batch before it and
-writes the next, and older ones are dropped.  Checkpoints and outputs live
-under the shared folder named by ``spark.checkpoint.dir``.
+The source is the events table, one file or a folder of files.  A submission
+that arrives again within the watermark's delay is dropped by its key, so a
+replayed file changes nothing.  Documents are a static side, scored once into a
+written table before the stream starts; a trigger reads that table alone.
+
+Results are committed tables (``committed.py``): a batch becomes visible as a
+whole, and a replayed batch takes the place of its first attempt.  Users are
+keyed state: a streaming aggregation keeps one row per user in the state store
+and hands on the users that a batch changed, whose buckets are rewritten.
+Checkpoints and outputs live under the shared folder that
+``spark.checkpoint.dir`` names.
 """
 
 from __future__ import annotations
@@ -27,11 +31,18 @@ from moodframe.operators import store as ST
 from moodframe.operators.partitioning import materialised
 from moodframe.session import scratch_path
 from moodframe.sources import views as V
-from moodframe.sources.files import delete, exists, is_file
+from moodframe.sources.files import is_file
 from moodframe.sources.tables import load_table
+from moodframe.streaming.committed import Committed
 
-#: Running tables kept besides the newest (a replay needs the one before).
-KEPT_SNAPSHOTS = 2
+#: How far behind the newest submission one may arrive.  A submission is
+#: remembered for as long; one that is later still is dropped as too late, so
+#: the delay must cover the disorder of the source's files.
+DELAY = "60 days"
+#: Folders of the users table: a batch rewrites those of the users it changes.
+USER_BUCKETS = 32
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
@@ -44,21 +55,36 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataF
     return files.parquet(path)
 
 
-def submissions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n_docs = load_table(spark, sf_dir, "documents").count()
-    return V.submissions(spark, sf_dir, events=events_stream(spark, sf_dir), n_docs=n_docs)
+def once(events: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Each event once, whatever the number of times its file arrives."""
+    # a watermark needs an instant, not a wall-clock time
+    timed = events.withColumn("_arrived", F.col("ts").cast("timestamp")).withWatermark("_arrived", delay)
+    return timed.dropDuplicatesWithinWatermark(["event_id"]).drop("_arrived")
 
 
-def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History rows as a stream: events (stream) ⋈ documents (static), with
-    the slot predictions of every document read from a written table."""
-    scored = P.predict_keyword(V.texts(spark, sf_dir), ["doc_id"])
-    slots = materialised(ST.keyword_slot_predictions(scored, "doc_id"), "scored-documents")
-    return ST.history_rows(submissions_stream(spark, sf_dir), slots, "doc_id")
+def submissions_stream(spark: SparkSession, sf_dir: str, docs: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Submissions of the events stream against the written ``docs``."""
+    n_docs = load_table(spark, sf_dir, "documents").count()
+    return V.submissions(spark, sf_dir, events=once(events_stream(spark, sf_dir), delay), n_docs=n_docs, docs=docs)
 
 
-def _run(rows: DataFrame, write: Callable[[DataFrame, int], None], out: str, name: str) -> None:
-    q = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start()
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History rows as a stream: events (stream) ⋈ documents (static), with the
+    text, blank flag and slot predictions of every document in one table."""
+    texts = V.documents(spark, sf_dir)
+    scored = ST.keyword_slot_predictions(P.predict_keyword(texts, ["doc_id"]), "doc_id")
+    docs = materialised(texts.join(scored, "doc_id"), "scored-documents")
+    return ST.history_rows(submissions_stream(spark, sf_dir, docs), None, "doc_id")
+
+
+def _run(rows: DataFrame, write: Callable[[DataFrame, int], None], out: str, name: str, mode: str = "append") -> str:
+    spark = rows.sparkSession
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        q = rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STATE_STORE, before)
     try:
         q.awaitTermination()
     finally:
@@ -66,61 +92,68 @@ def _run(rows: DataFrame, write: Callable[[DataFrame, int], None], out: str, nam
             q.stop()
     if q.exception() is not None:
         raise RuntimeError(f"streaming job {name} failed: {q.exception()}")
-
-
-def _earlier(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
-    """What batches before ``batch_id`` wrote below ``out``; None if nothing."""
-    if not any(exists(spark, f"{out}/batch_id={i}") for i in range(max(0, batch_id - 1), batch_id)):
-        return None
-    return spark.read.parquet(out).filter(F.col("batch_id") < batch_id)
+    return out
 
 
 def stream_records(spark: SparkSession, sf_dir: str, out: str | None = None) -> str:
     """Q1: append records per micro-batch, with ids dense in (ts, seq, slot)
-    order inside each batch.  The next free id is a one-row table beside the
-    records, so no history is read."""
+    order inside each batch.  The next free id is a property of the commit, so
+    no history is read."""
     out = out or scratch_path(spark, "records")
-    hist = history_stream(spark, sf_dir)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        before = f"{out}/next_id/batch_id={batch_id - 1}"
-        start = s.read.parquet(before).first()["next_id"] if exists(s, before) else 1
-        recs = ST.build_records(materialised(batch, "record-batch"), start)
-        recs.write.mode("overwrite").parquet(f"{out}/records/batch_id={batch_id}")
-        written = s.read.schema(recs.schema).parquet(f"{out}/records/batch_id={batch_id}")
-        written.agg((F.coalesce(F.max("record_id"), F.lit(start - 1)) + 1).alias("next_id")).write.mode("overwrite").parquet(
-            f"{out}/next_id/batch_id={batch_id}"
-        )
+        table = Committed(batch.sparkSession, out)
+        start = table.state(batch_id).properties.get("next_id", 1)
+        rows = ST.build_records(materialised(batch, "record-batch"), start)
+        table.append(rows, batch_id, lambda r: {"next_id": r.agg(F.coalesce(F.max("record_id"), F.lit(start - 1))).first()[0] + 1})
 
-    _run(hist, write, out, "records")
-    return f"{out}/records"
+    return _run(history_stream(spark, sf_dir), write, out, "records")
 
 
-def _running(rows: DataFrame, out: str, name: str, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> str:
-    """Keep a running table: each batch's ``partial`` result merged into the
-    table of the batch before."""
+RECORDS = (
+    "ts timestamp_ntz, seq long, slot int, email string, field string, input_text string, predicted_emotion string, secondary_emotion string, "
+    "confidence_score double, model_used string, ai_response string, response_type string, emotion_scores string, timestamp string, "
+    "csv_logged boolean, record_id long"
+)
+USERS = "email string, last struct<ts: timestamp_ntz, seq: long, name: string, role: string>, login_count long, created_at timestamp_ntz"
+
+
+def records(spark: SparkSession, out: str) -> DataFrame:
+    """Records of the finished batches."""
+    return Committed(spark, out).read(RECORDS)
+
+
+def stream_users(spark: SparkSession, sf_dir: str, out: str | None = None, buckets: int = USER_BUCKETS) -> str:
+    """Q2: running users table.  One row per user is held in the state store;
+    the rows that a batch changed go into the users' buckets.  (ts, seq) of the
+    last login stay in the table, so files may come in any order."""
+    out = out or scratch_path(spark, "users")
+    docs = materialised(V.documents(spark, sf_dir).select("doc_id", "doc_blank"), "blank-documents")
+    users = ST.login_summary(ST.login_log(submissions_stream(spark, sf_dir, docs)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        now = partial(batch)
-        before = f"{out}/snapshot={batch_id - 1}"
-        if exists(s, before):
-            now = merge(s.read.schema(now.schema).parquet(before), now)
-        now.write.mode("overwrite").parquet(f"{out}/snapshot={batch_id}")
-        old = f"{out}/snapshot={batch_id - KEPT_SNAPSHOTS}"
-        if exists(s, old):
-            delete(s, old)
-
-    _run(rows, write, out, name)
-    return out
+        Committed(batch.sparkSession, out).upsert(batch, "email", batch_id, buckets)
 
+    return _run(users, write, out, "users", "update")
 
-def stream_users(spark: SparkSession, sf_dir: str, out: str | None = None) -> str:
-    """Q2: running users table.  (ts, seq) of the last login stay in the table,
-    so files may come in any order."""
-    logins = ST.login_log(submissions_stream(spark, sf_dir))
-    return _running(logins, out or scratch_path(spark, "users"), "users", ST.login_summary, ST.merge_login_summaries)
+
+def users(spark: SparkSession, out: str) -> DataFrame:
+    """Users after the finished batches."""
+    return Committed(spark, out).read(USERS).select("email", "last.name", "last.role", "login_count", "created_at")
+
+
+def _running(rows: DataFrame, out: str, name: str, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> str:
+    """Keep a small running table: each batch's ``partial`` result merged into
+    the table of the batch before."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table = Committed(batch.sparkSession, out)
+        now, before = partial(batch), table.state(batch_id)
+        if before.folders:
+            now = merge(table.read(now.schema, before), now)
+        table.replace(now, batch_id)
+
+    return _run(rows, write, out, name)
 
 
 def _counted(*by: str):
@@ -152,27 +185,43 @@ def mean_confidence(snapshot: DataFrame) -> DataFrame:
     return snapshot.select("interactions", F.try_divide("confidence_sum", "interactions").alias("avg_confidence"))
 
 
+#: What each running table holds.
+RUNNING = {
+    "emotion_counts": "emotion string, count long",
+    "field_emotion_model_counts": "field string, emotion string, model string, count long",
+    "mean_confidence": "interactions long, confidence_sum double",
+}
+
+
+def latest_snapshot(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A running table after the finished batches."""
+    return Committed(spark, out).read(RUNNING[name])
+
+
+EXAMPLES = "seq long, ts timestamp_ntz, text string, emotion string, confidence double, response string, field string, timestamp string"
+MAPPING = "emotion string, response string"
+
+
 def stream_logs(spark: SparkSession, sf_dir: str, out: str | None = None) -> str:
     """Q4: per micro-batch, append the example rows and insert mapping rows
     for emotions that no earlier batch has mapped."""
     out = out or scratch_path(spark, "logs")
-    hist = history_stream(spark, sf_dir)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         rows = materialised(batch, "log-batch")
-        ST.examples_log(rows).write.mode("overwrite").parquet(f"{out}/examples/batch_id={batch_id}")
-        earlier = _earlier(s, f"{out}/mapping", batch_id)
-        existing = s.createDataFrame([], "emotion string, response string") if earlier is None else earlier.select("emotion", "response")
+        Committed(s, f"{out}/examples").append(ST.examples_log(rows), batch_id)
+        mapping = Committed(s, f"{out}/mapping")
+        existing = mapping.read(MAPPING, mapping.state(batch_id))
         merged = ST.mapping_insert_if_absent(existing, ST.mapping_batch(rows))
-        new = merged.join(existing.select("emotion"), "emotion", "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/mapping/batch_id={batch_id}")
+        mapping.append(merged.join(existing.select("emotion"), "emotion", "left_anti"), batch_id)
 
-    _run(hist, write, out, "logs")
-    return out
+    return _run(history_stream(spark, sf_dir), write, out, "logs")
+
+
+def examples(spark: SparkSession, out: str) -> DataFrame:
+    return Committed(spark, f"{out}/examples").read(EXAMPLES)
 
 
-def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
-    snaps = spark.read.parquet(out)
-    last = snaps.agg(F.max("snapshot")).first()[0]
-    return snaps.filter(F.col("snapshot") == last).drop("snapshot")
+def mapping(spark: SparkSession, out: str) -> DataFrame:
+    return Committed(spark, f"{out}/mapping").read(MAPPING)
