@@ -18,7 +18,6 @@ from moodframe.functions.constants import (
     VALIDATION_SIZE,
 )
 from moodframe.functions.text import basic_clean, lemmatize_tokens, tokenize, trim_ws
-from moodframe.operators.indexing import with_dense_index
 from moodframe.operators.partitioning import fenced, materialised, spread
 
 log = logging.getLogger(__name__)
@@ -207,6 +206,62 @@ def split_quotas(df: DataFrame, validation_size: float = VALIDATION_SIZE, label_
     )
 
 
+#: Hex digits of the hash that one round of the selection looks at, and the
+#: rows of a class among which the cut is then taken directly.
+DIGITS, FEW = 3, 64
+
+
+def split_cuts(h: DataFrame, key: str, label_col: str | None, wanted: dict) -> dict:
+    """For each class the (hash, key) of its last row among the ``wanted`` first
+    by (hash, key); None where none is wanted.
+
+    A class's rows are counted by the first digits of the hash, only the bin
+    that holds the cut is counted by the next digits, and so on until a bin is
+    small: each round is one partly aggregated count, of at most 16^DIGITS rows
+    a class, and no row is moved or sorted.
+    """
+    own = F.col(label_col) if label_col else F.lit(0)
+    left = {c: n for c, n in wanted.items() if n > 0}
+    cuts = dict.fromkeys(wanted)
+    prefix, size = dict.fromkeys(left, ""), {}
+    depth = 0
+    while any(size.get(c, FEW + 1) > FEW for c in left) and depth < 32:
+        open_bins = [c for c in left if size.get(c, FEW + 1) > FEW]
+        depth += DIGITS
+        here = _any((own == F.lit(c)) & F.col("_h").startswith(prefix[c]) for c in open_bins)
+        counts = h.filter(here).groupBy(own.alias("c"), F.substring("_h", 1, depth).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+        by_class: dict = {}
+        for r in counts:
+            by_class.setdefault(r["c"], []).append((r["bin"], r["n"]))
+        for c in open_bins:
+            for name, n in sorted(by_class[c]):
+                if n >= left[c]:
+                    prefix[c], size[c] = name, n
+                    break
+                left[c] -= n
+    if left:
+        here = _any((own == F.lit(c)) & F.col("_h").startswith(prefix[c]) for c in left)
+        rows: dict = {}
+        for r in h.filter(here).select(own.alias("c"), "_h", F.col(key).alias("k")).distinct().collect():  # <= FEW rows a class
+            rows.setdefault(r["c"], []).append((r["_h"], r["k"]))
+        for c, found in rows.items():
+            cuts[c] = sorted(found)[min(left[c], len(found)) - 1]
+    return cuts
+
+
+def _any(tests) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def _up_to(cut, key: str) -> Column:
+    if cut is None:
+        return F.lit(False)
+    return (F.col("_h") < cut[0]) | ((F.col("_h") == cut[0]) & (F.col(key) <= F.lit(cut[1])))
+
+
 def split_stratified(
     df: DataFrame,
     key: str = "row_id",
@@ -216,31 +271,26 @@ def split_stratified(
 ) -> DataFrame:
     """Adds ``split`` ∈ {train, validation} with exact per-class sizes.
 
-    Row order inside a class is md5(seed|key).  The rank of a row inside its
-    class comes from one global dense index over (label, hash, key) — range
-    partitioned, no single-task window — minus the first index of its class.
+    Row order inside a class is md5(seed|key).  The last training row of each
+    class is found by a distributed selection (``split_cuts``), and every row
+    is then told by comparing it with its class's: rows are neither sorted nor
+    joined.  ``key`` identifies a row; rows that repeat it fall on one side.
     When the smallest class has fewer than two rows the split is not
     stratified: the first n_val rows by hash go to validation.
     """
     # the input is written once; everything below reads it
     h = materialised(df.withColumn("_h", split_hash(key, seed)), "split-input")
-    idx = with_dense_index(h, [label_col, "_h", key], "_idx", 0)
-    quotas = split_quotas(idx, validation_size, label_col)
-    q = quotas.collect()  # ≤ 7 rows: one per label
+    q = split_quotas(h, validation_size, label_col).collect()  # ≤ 7 rows: one per label
     if not q:
         return df.withColumn("split", F.lit(None).cast("string"))
-    stratified = q[0]["stratified"]
     n_val, n_train, k = q[0]["n_val_total"], q[0]["n_train_total"], q[0]["k"]
-    if stratified:
+    if q[0]["stratified"]:
         if n_val < k or n_train < k:
             raise ValueError(
                 f"validation ({n_val}) and train ({n_train}) sizes must be at least the number of classes ({k})"
             )
-        first = idx.groupBy(label_col).agg(F.min("_idx").alias("_first"))
-        qt = idx.sparkSession.createDataFrame([(r[label_col], r["train_q"]) for r in q], f"{label_col} int, train_q bigint")
-        j = idx.join(F.broadcast(first), label_col).join(F.broadcast(qt), label_col)
-        split = F.when(F.col("_idx") - F.col("_first") < F.col("train_q"), "train").otherwise("validation")
-        return j.select(*df.columns, split.alias("split"))
-    idx2 = with_dense_index(h, ["_h", key], "_idx", 0)
-    split = F.when(F.col("_idx") < F.lit(n_val), "validation").otherwise("train")
-    return idx2.select(*df.columns, split.alias("split"))
+        cuts = split_cuts(h, key, label_col, {r[label_col]: r["train_q"] for r in q})
+        train = _any((F.col(label_col) == F.lit(c)) & _up_to(cut, key) for c, cut in cuts.items())
+        return h.select(*df.columns, F.when(train, "train").otherwise("validation").alias("split"))
+    cut = split_cuts(h, key, None, {0: n_val})[0]
+    return h.select(*df.columns, F.when(_up_to(cut, key), "validation").otherwise("train").alias("split"))

@@ -1,11 +1,10 @@
 """Dense, ordered row numbers without a single-partition window.
 
 ``row_number() over (order by …)`` with no partition moves every row into one
-task.  Instead the order columns alone are range-partitioned, sorted and
+task.  Instead the rows are range-partitioned by the order columns, sorted and
 written with their partition and position; per-partition counts (one row per
-partition) become offsets; and the numbers are joined back by the order
-columns.  The rows themselves are neither sorted nor written, so a caller that
-needs few columns reads few.
+partition) become offsets that are added to the positions.  The rows move once
+and are not joined.
 """
 
 from __future__ import annotations
@@ -17,21 +16,17 @@ from moodframe.operators.partitioning import materialised
 
 
 def with_dense_index(df: DataFrame, order_cols: list[str], name: str = "row_index", start: int = 1) -> DataFrame:
-    """``df`` plus ``name``: start, start + 1, … in the order of ``order_cols``,
-    which together identify a row (nulls first, as Spark sorts)."""
-    keys = df.select(*order_cols).repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    """``df`` plus ``name``: start, start + 1, … in the order of ``order_cols``
+    (nulls first, as Spark sorts; equal rows in any order).  ``df`` is read
+    twice, once to choose the ranges: pass a written table."""
+    ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    # the position is the low part of the id
     tagged = materialised(
-        keys.select(*order_cols, F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")), "dense-index"
+        ordered.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_nth")), "dense-index"
     )
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: a global window here is over a few hundred rows.
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    idx = (F.col("_off") + (F.col("_mid") - F.col("_first")) + F.lit(start)).cast("bigint")
-    renamed = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)]
-    numbers = tagged.join(F.broadcast(offsets), "_pid").select(*renamed, idx.alias(name))
-    same = None
-    for i, c in enumerate(order_cols):
-        eq = df[c].eqNullSafe(numbers[f"_o{i}"])
-        same = eq if same is None else same & eq
-    return df.join(numbers, same).select(*[df[c] for c in df.columns], name)
+    offsets = counts.select("_pid", (F.coalesce(F.sum("_n").over(w), F.lit(0)) + F.lit(start)).alias("_off"))
+    numbered = tagged.join(F.broadcast(offsets), "_pid")
+    return numbered.select(*df.columns, (F.col("_off") + F.col("_nth")).cast("bigint").alias(name))

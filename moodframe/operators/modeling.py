@@ -41,69 +41,62 @@ def with_fallback(keyword_pred: DataFrame, model_probs: DataFrame, key: str, slo
 from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
 from pyspark.ml.classification import LogisticRegression  # noqa: E402
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator  # noqa: E402
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, RegexTokenizer, VectorAssembler  # noqa: E402
+from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer, VectorAssembler  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit  # noqa: E402
 
-from moodframe.functions.constants import EMOTIONS, MODEL_A, VOCAB_NUM_WORDS  # noqa: E402
+from moodframe.functions.constants import EMOTIONS, MAX_SEQ_LEN, MODEL_A  # noqa: E402
+from moodframe.operators import epochs as E  # noqa: E402
 
 
 def _tokenizer(text_col: str) -> RegexTokenizer:
-    return RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="\\s+", gaps=True, toLowercase=False)
-
-
-def as_ids(df: DataFrame, vocab: DataFrame, key: str, text_col: str = "clean_text") -> DataFrame:
-    """``df`` plus ``ids``: slot B's input, the text's word numbers as a string,
-    words outside the encoder's vocabulary as the OOV number."""
-    coded = FE.encode(df, vocab, key, text_col).select(key, F.array_join("ids", " ").alias("ids"))
-    return df.join(coded, key)
-
-
-def fit_model_b(train: DataFrame, ids_col: str = "ids", label_col: str = "label", max_iter: int = 30) -> PipelineModel:
-    """Slot B: bag of word numbers (see ``as_ids``), IDF, multinomial logistic
-    regression.  The vocabulary is the encoder's: every rarer word counts as
-    the OOV number, none is lost.  Gradients are tree-aggregated across
-    executors; only the coefficient matrix lives on the driver."""
-    pipe = Pipeline(
-        stages=[
-            _tokenizer(ids_col),
-            CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=VOCAB_NUM_WORDS),
-            IDF(inputCol="_tf", outputCol="_features"),
-            LogisticRegression(
-                featuresCol="_features", labelCol=label_col, family="multinomial", maxIter=max_iter, regParam=0.01
-            ),
-        ]
-    )
-    return pipe.fit(train)
+    return RegexTokenizer(inputCol=text_col, outputCol="_words", pattern="\\s+", gaps=True, toLowercase=False)
+
+
+def as_ids(df: DataFrame, vocab: DataFrame, text_col: str = "clean_text", max_len: int = MAX_SEQ_LEN) -> DataFrame:
+    """``df`` plus ``ids``: slot B's input, the text's first ``max_len`` word
+    numbers, padded; words outside the encoder's vocabulary have the OOV number."""
+    tokens = F.slice(F.coalesce(FE.tokenize(text_col), F.array().cast("array<string>")), 1, max_len)
+    return df.withColumn("ids", FE.pad(FE.encoder(vocab)(tokens), max_len))
+
+
+def fit_model_b(train: DataFrame, validation: DataFrame, classes: int = len(EMOTIONS), epochs: int = E.EPOCHS) -> E.SequenceModel:
+    """Slot B: a linear model over the padded sequence (see ``as_ids``), trained
+    epoch by epoch; the epoch with the least validation loss is kept."""
+    return E.fit(train, validation, classes, epochs=epochs)
 
 
 def fit_model_a(
-    train: DataFrame, text_col: str = "text", label_col: str = "label", max_iter: int = 20, seed: int = 42, hashed_features: int = 1 << 15
+    train: DataFrame, text_col: str = "text", label_col: str = "label", max_iter: int = 20, seed: int = 42, hashed_features: int = 1 << 15,
+    max_len: int = MAX_SEQ_LEN,
 ):
-    """Slot A: hashed unigrams + bigrams of the raw text, logistic regression;
-    the regularisation is chosen on a held-out part by weighted F1 (the metric
+    """Slot A: hashed unigrams + bigrams of the raw text's first ``max_len``
+    words, logistic regression; the regularisation is chosen on a held-out part by weighted F1 (the metric
     used to keep the best model).  ``hashed_features`` is the width of each
     hash: raise it with the vocabulary."""
     tok = _tokenizer(text_col)
+    head = SQLTransformer(statement=f"SELECT *, slice(_words, 1, {max_len}) AS _tokens FROM __THIS__")
     bigrams = NGram(n=2, inputCol="_tokens", outputCol="_bigrams")
     tf1 = HashingTF(inputCol="_tokens", outputCol="_tf1", numFeatures=hashed_features)
     tf2 = HashingTF(inputCol="_bigrams", outputCol="_tf2", numFeatures=hashed_features)
     asm = VectorAssembler(inputCols=["_tf1", "_tf2"], outputCol="_features")
     lr = LogisticRegression(featuresCol="_features", labelCol=label_col, family="multinomial", maxIter=max_iter)
-    pipe = Pipeline(stages=[tok, bigrams, tf1, tf2, asm, lr])
+    pipe = Pipeline(stages=[tok, head, bigrams, tf1, tf2, asm, lr])
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).build()
     ev = MulticlassClassificationEvaluator(labelCol=label_col, predictionCol="prediction", metricName="f1")
     tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, trainRatio=0.8, seed=seed)
     return tvs.fit(train).bestModel
 
 
-def model_probs(model: PipelineModel, df: DataFrame, key: str, input_col: str) -> DataFrame:
+def model_probs(model: PipelineModel | E.SequenceModel, df: DataFrame, key: str, input_col: str) -> DataFrame:
     """(key, probs): a narrow map over the input."""
+    if isinstance(model, E.SequenceModel):
+        return E.probabilities(model, df, key, input_col)
     return model.transform(df.select(key, input_col)).select(key, vector_to_array("probability").alias("probs"))
 
 
 def score_slot(
-    model: PipelineModel | None,
+    model: PipelineModel | E.SequenceModel | None,
     texts: DataFrame,
     key: str,
     slot: str,
@@ -113,7 +106,8 @@ def score_slot(
     """(key, emotion, confidence, scores, cleaned_text, model) of every text.
 
     Slot A reads the raw text and reports it stripped; slot B reads the plainly
-    cleaned text as word numbers of ``vocab`` and reports the cleaned text.
+    cleaned text as word numbers of ``vocab`` and reports the cleaned text.  A
+    model reads a text's first ``MAX_SEQ_LEN`` words, as its training did.
     Without a model, or where it gives nothing usable, the keyword scorer
     stands in under the name '<slot> Fallback'.
     """
@@ -124,23 +118,25 @@ def score_slot(
     elif slot == MODEL_A:
         probs = model_probs(model, texts, key, text_col)
     else:
-        probs = model_probs(model, as_ids(base.select(key, "cleaned_text"), vocab, key, "cleaned_text"), key, "ids")
+        probs = model_probs(model, as_ids(base.select(key, "cleaned_text"), vocab, "cleaned_text"), key, "ids")
     out = with_fallback(base, probs, key, slot).join(shown, key)
     scores = F.map_from_arrays(F.array(*[F.lit(e) for e in EMOTIONS]), F.col("probs"))
     return out.select(key, "emotion", "confidence", scores.alias("scores"), F.col("_shown").alias("cleaned_text"), "model")
 
 
-def predictions_for_eval(model: PipelineModel, df: DataFrame, input_col: str, label_col: str = "label") -> DataFrame:
+def predictions_for_eval(model: PipelineModel | E.SequenceModel, df: DataFrame, input_col: str, label_col: str = "label") -> DataFrame:
+    """(actual, predicted) of labelled rows."""
+    if isinstance(model, E.SequenceModel):
+        probs = E.probabilities(model, df.select(F.col(label_col).alias("actual"), input_col), "actual", input_col)
+        return probs.select(F.col("actual").cast("int").alias("actual"), (F.array_position("probs", F.array_max("probs")) - 1).cast("int").alias("predicted"))
     out = model.transform(df.select(label_col, input_col))
     return out.select(F.col(label_col).cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"))
 
 
-def training_history(model: PipelineModel) -> DataFrame:
-    """(iteration, loss) of the final logistic regression stage."""
-    lr = model.stages[-1]
-    hist = list(lr.summary.objectiveHistory)
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(hist)], "iteration int, loss double")
+def training_history(model: E.SequenceModel) -> DataFrame:
+    """(epoch, train_loss, train_accuracy, validation_loss,
+    validation_accuracy, is_best): the kept weights are the best epoch's."""
+    return model.curve(SparkSession.getActiveSession())
 
 
 # ---------------------------------------------------------------------------

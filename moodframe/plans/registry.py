@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from moodframe.functions import scoring as S
 from moodframe.functions import text as T
 from moodframe.operators import predict as P
+from moodframe.session import scratch_path
 from moodframe.sources import views as V
 from moodframe.sources.tables import load_table
 
@@ -326,7 +327,10 @@ def q_records_all(spark, sf_dir):
 
 @query
 def q_records_by_user(spark, sf_dir):
-    return _records_out(ST.fetch_records(records(spark, sf_dir), SAMPLE_EMAIL))
+    """One user's records, read from the layout by user."""
+    path = scratch_path(spark, "records-by-user")
+    laid = ST.write_records(records(spark, sf_dir), path, "records_" + path.rsplit("-", 1)[1])
+    return _records_out(ST.fetch_records(laid, SAMPLE_EMAIL))
 
 
 @query
@@ -406,7 +410,7 @@ def q_cascade_delete(spark, sf_dir):
 @query
 def q_user_records(spark, sf_dir):
     users = ST.users_from_logins(ST.login_log(V.submissions(spark, sf_dir)))
-    j = users.join(records(spark, sf_dir), "email")
+    j = ST.user_records(users, records(spark, sf_dir))
     return j.select(
         "email", "name", "role", F.col("login_count").cast("bigint").alias("login_count"),
         "record_id", "predicted_emotion",
@@ -718,12 +722,12 @@ def _fitted(s, key, slot):
     from moodframe.operators import modeling as M
     from moodframe.operators.partitioning import materialised
 
-    train = s.filter(F.col("split") == "train")
+    of = lambda df, part: df.filter(F.col("split") == part)
     if slot == "a":
-        return M.fit_model_a(train), None, "text", s
-    vocab = materialised(FE.vocab_fit(train, key), "vocabulary")
-    coded = materialised(M.as_ids(s, vocab, key), "coded")
-    return M.fit_model_b(coded.filter(F.col("split") == "train")), vocab, "ids", coded
+        return M.fit_model_a(of(s, "train")), None, "text", s
+    vocab = materialised(FE.vocab_fit(of(s, "train"), key), "vocabulary")
+    coded = materialised(M.as_ids(s.select(key, "label", "split", "clean_text"), vocab), "coded")
+    return M.fit_model_b(of(coded, "train"), of(coded, "validation")), vocab, "ids", coded
 
 
 def _validated(spark, sf_dir, slot):
@@ -811,37 +815,35 @@ def q_predict_model_b(spark, sf_dir):
 def q_stream_score_records(spark, sf_dir):
     from moodframe.streaming import jobs as J
 
-    out = J.stream_records(spark, sf_dir)
-    return _records_out(spark.read.parquet(out))
+    return _records_out(J.records(spark, J.stream_records(spark, sf_dir)))
 
 
 @query
 def q_stream_users(spark, sf_dir):
     from moodframe.streaming import jobs as J
 
-    u = J.latest_snapshot(spark, J.stream_users(spark, sf_dir))
-    return _users_out(u.select("email", "last.name", "last.role", "login_count", "created_at"))
+    return _users_out(J.users(spark, J.stream_users(spark, sf_dir)))
 
 
 @query
 def q_stream_emotion_counts(spark, sf_dir):
     from moodframe.streaming import jobs as J
 
-    return J.latest_snapshot(spark, J.stream_emotion_counts(spark, sf_dir))
+    return J.latest_snapshot(spark, J.stream_emotion_counts(spark, sf_dir), "emotion_counts")
 
 
 @query
 def q_stream_field_emotion_model_counts(spark, sf_dir):
     from moodframe.streaming import jobs as J
 
-    return J.latest_snapshot(spark, J.stream_field_emotion_model_counts(spark, sf_dir))
+    return J.latest_snapshot(spark, J.stream_field_emotion_model_counts(spark, sf_dir), "field_emotion_model_counts")
 
 
 @query
 def q_stream_mean_confidence(spark, sf_dir):
     from moodframe.streaming import jobs as J
 
-    m = J.mean_confidence(J.latest_snapshot(spark, J.stream_mean_confidence(spark, sf_dir)))
+    m = J.mean_confidence(J.latest_snapshot(spark, J.stream_mean_confidence(spark, sf_dir), "mean_confidence"))
     return m.select("interactions", r6("avg_confidence").alias("avg_confidence"))
 
 
@@ -849,13 +851,11 @@ def q_stream_mean_confidence(spark, sf_dir):
 def q_stream_examples(spark, sf_dir):
     from moodframe.streaming import jobs as J
 
-    out = J.stream_logs(spark, sf_dir)
-    return _examples_out(spark.read.parquet(f"{out}/examples"))
+    return _examples_out(J.examples(spark, J.stream_logs(spark, sf_dir)))
 
 
 @query
 def q_stream_mapping(spark, sf_dir):
     from moodframe.streaming import jobs as J
 
-    out = J.stream_logs(spark, sf_dir)
-    return spark.read.parquet(f"{out}/mapping").select("emotion", "response")
+    return J.mapping(spark, J.stream_logs(spark, sf_dir))

@@ -95,14 +95,20 @@ def read_label_mappings(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_model(model, path: str) -> None:
-    """A fitted pipeline through MLlib's writer."""
-    model.write().overwrite().save(path)
+    """A fitted pipeline through MLlib's writer, or a sequence model's tables."""
+    if hasattr(model, "write"):
+        model.write().overwrite().save(path)
+    else:
+        model.save(SparkSession.getActiveSession(), path)
 
 
 def read_model(path: str):
     from pyspark.ml import PipelineModel
 
-    return PipelineModel.load(path)
+    from moodframe.operators import epochs
+
+    spark = SparkSession.getActiveSession()
+    return epochs.load(spark, path) if exists(spark, f"{path}/weights") else PipelineModel.load(path)
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
