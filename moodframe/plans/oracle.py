@@ -430,6 +430,13 @@ ORACLE["prepare_dataset"] = with_prep("SELECT row_id, emotion, clean_text, label
 ORACLE["label_distribution"] = with_prep("SELECT label, emotion, count(*) AS n FROM prep GROUP BY label, emotion")
 ORACLE["split_stratified"] = with_prep("SELECT row_id, label, split FROM split")
 ORACLE["split_sizes"] = with_prep("SELECT label, split, count(*) AS n FROM split GROUP BY label, split")
+ORACLE["evaluate_emotion_model"] = with_prep(
+    """SELECT CAST(label AS BIGINT) AS label_id, emotion, count(*) AS support, true AS agrees FROM prep JOIN split USING (row_id, label)
+       WHERE split = 'validation' GROUP BY ALL
+       UNION ALL SELECT a.label_id, a.emotion, (SELECT count(*) FROM split WHERE split = 'validation'), true
+       FROM (VALUES (-3, 'accuracy'), (-2, 'macro avg'), (-1, 'weighted avg')) a(label_id, emotion)"""
+)
+ORACLE["training_curve"] = "SELECT CAST(unnest(range(1, 11)) AS BIGINT) AS epoch, true AS sound, true AS best_is_least"
 ORACLE["vocab_fit"] = with_prep("SELECT word, index, word_count, doc_count FROM vocab")
 ORACLE["vocab_size"] = with_prep(
     f"""SELECT CAST(count(*) AS BIGINT) AS n_words, CAST(least({VOCAB_NUM_WORDS}, count(*) + 2) AS BIGINT) AS vocab_size

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moodframe.functions import scoring as S
@@ -771,6 +771,33 @@ def q_training_history(spark, sf_dir):
     return M.training_history(_fitted(binary_split(spark, sf_dir), "doc_id", "b")[0])
 
 
+@query
+def q_evaluate_emotion_model(spark, sf_dir):
+    """Report of slot B on the validation part of the emotion dataset: every
+    class's support, and whether its figures agree with each other."""
+    from moodframe.operators import modeling as M
+    from moodframe.operators.partitioning import materialised
+
+    model, _, column, coded = _fitted(materialised(split(spark, sf_dir), "emotion-split"), "row_id", "b")
+    report = EV.classification_report(M.predictions_for_eval(model, coded.filter(F.col("split") == "validation"), column))
+    p, r, f1 = F.col("precision"), F.col("recall"), F.col("f1")
+    share = lambda c: c.between(0.0, 1.0)
+    own = share(p) & share(r) & (F.abs(f1 * (p + r) - 2 * p * r) < 1e-9)
+    agrees = F.when(F.col("label_id") >= 0, own).otherwise(share(f1))
+    return report.select(F.col("label_id").cast("bigint").alias("label_id"), "emotion", "support", agrees.alias("agrees"))
+
+
+@query
+def q_training_curve(spark, sf_dir):
+    """What must hold for each epoch whatever the weights: losses and accuracies
+    in their ranges, and the kept epoch being the one of least validation loss."""
+    h = q_training_history(spark, sf_dir)
+    least = F.min("validation_loss").over(Window.partitionBy())  # a row an epoch
+    share = lambda c: F.col(c).between(0.0, 1.0)
+    sound = (F.col("train_loss") > 0) & (F.col("validation_loss") > 0) & share("train_accuracy") & share("validation_accuracy")
+    return h.select(F.col("epoch").cast("bigint").alias("epoch"), sound.alias("sound"), (F.col("is_best") == (F.col("validation_loss") == least)).alias("best_is_least"))
+
+
 def _slot_rows(spark, sf_dir, slot):
     from moodframe.operators import modeling as M
     from moodframe.operators.partitioning import materialised
