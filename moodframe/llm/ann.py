@@ -73,11 +73,12 @@ class Graph:
         self.links[self.links == np.arange(self.n)[:, None]] = -1
 
     def build(self, batch: int = 256) -> Graph:
-        for round_slack in (1.0, self.slack):
+        # the first round only has to make the graph passable
+        for round_slack, beam in ((1.0, self.beam // 2), (self.slack, self.beam)):
             order = np.random.default_rng(7).permutation(self.n)
             for i in range(0, self.n, batch):
                 rows = order[i : i + batch]
-                seen, _ = self.search(self.x[rows], self.beam)
+                seen, _ = self.search(self.x[rows], beam)
                 cands = np.concatenate([seen, self.links[rows]], 1)
                 self._set(rows, self.prune(rows, cands, round_slack))
                 self._reverse(rows, round_slack)
