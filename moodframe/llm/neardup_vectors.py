@@ -1,6 +1,6 @@
 """Embedding near-duplicates on a neighbour graph refined by NN-descent.
 
-1. Identical vectors collapse to their smallest vec_id.
+1. Identical vectors collapse to one, whatever their ids.
 2. Random hyperplane codes order the vectors.  Codes grow with the table, and
    the number of orders with them: ``orders_needed`` are made, so many that two
    vectors at the threshold share a code in one of them with probability
@@ -9,16 +9,17 @@
    very many vectors share is cut, by a range partition over (order, code,
    projection), into as many half overlapping blocks as it needs.
 3. NN-descent: a vector's neighbours and those it is a neighbour of meet in a
-   join through it and are compared; better ones replace worse ones.  Each
-   round also compares the blocks of new random orders.  Rounds go on while an audit (brute force for a bounded sample of vectors against
+   join through it and are compared; better ones replace worse ones.  A list
+   whose last neighbour is still a link is saturated and is enlarged, twice at
+   most, to ``LISTED`` neighbours, so that a group of near copies does not hide
+   what lies beyond it.  Each round also compares the blocks of new random orders.  Rounds go on while an audit (brute force for a bounded sample of vectors against
    all rows) finds a mean recall per linked vector below ``target``, over all
    or over those outside large components.  If that is still so after
    ``max_rounds``, an error names the measured recall.
 4. Pairs at or above the threshold are links; connected components follow.
    Next to neighbour lists, every comparison block also reports which of its
    vectors are joined by links, so a saturated list loses no connection.
-5. Lists that are full of links are enlarged to the whole component: links are
-   counted exactly, in double precision, inside every component.  Vectors
+5. Links are counted exactly, in double precision, inside every component.  Vectors
    within half the threshold angle of the component's pivot are linked with
    each other for certain and are counted, not compared; all others meet the
    component in blocks of bounded size.
@@ -26,8 +27,9 @@
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components have no links and are their own component; shorter vectors are read
 as padded with zeros; rows repeating a vec_id are vectors of their own and are
-linked like copies; null vec_id is nobody's smallest id; an empty table gives
-no rows; other columns are ignored.
+linked like copies; rows with null vec_id are compared like others but are
+nobody's smallest id, so a component of such rows alone has a null one; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +48,10 @@ from moodframe.llm.graph import components
 from moodframe.llm.store import written
 from moodframe.llm.words import mix
 
-BLOCK, NEIGHBOURS, GROUP = 256, 10, 48
+BLOCK, GROUP = 256, 48
+#: Neighbours listed, and the lengths that a saturated list is enlarged to.
+LISTED = (10, 20, 40)
+NEIGHBOURS = LISTED[0]
 #: Orders whose edges are made before they are merged into the lists.
 TREES = 12
 #: Rows of a left and a right block in the exact count.
@@ -55,42 +61,47 @@ LEFT, RIGHT = 256, 4096
 AUDIT_ROWS, AUDIT_LINKED, AUDIT_MOST, LARGE = 512, 256, 1 << 14, 64
 
 
-def _keyed(dim: int):
+def _keyed(dim: int, kind: str):
     """Valid rows get a 128-bit key of their values and the vector's bytes."""
+    bits_of = {"float32": np.uint32, "float64": np.uint64}[kind]
+    place = mix(np.arange(dim, dtype=np.uint64), 43)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys, vecs = [], [], []
-            for i, v in zip(b.column("vec_id").to_pylist(), b.column("vector").to_pylist()):
-                ids.append(i)
-                x = None
-                if v and None not in v:
-                    x = np.zeros(dim, np.float32)
-                    x[: len(v)] = v
-                    x64 = x.astype(np.float64)
-                    if not np.isfinite(x).all() or not (x64 @ x64) > 0:
-                        x = None
-                if x is None:
-                    keys.append((None, None))
-                    vecs.append(None)
-                    continue
-                x += np.float32(0)  # -0.0 equals 0.0
-                bits = x.view(np.uint32).astype(np.uint64) | (np.arange(dim, dtype=np.uint64) << np.uint64(32))
-                with np.errstate(over="ignore"):
-                    keys.append(tuple(int(mix(bits, s).sum().astype(np.int64)) for s in (41, 42)))
-                vecs.append(x.tobytes())
+            column, n = b.column("vector"), b.num_rows
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            flat = column.flatten()
+            row = np.repeat(np.arange(n), lengths)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            x = np.zeros((n, dim), kind)
+            x[row, at] = flat.to_numpy(zero_copy_only=False)  # a null becomes NaN
+            wide = x.astype(np.float64)
+            with np.errstate(all="ignore"):
+                ok = np.isfinite(wide).all(1) & (wide != 0).any(1)
+                x += x.dtype.type(0)  # -0.0 equals 0.0
+                bits = x.view(bits_of).astype(np.uint64)
+                keys = [mix(mix(bits, salt) + place, salt).sum(1).view(np.int64) for salt in (41, 42)]
+            raw = [v.tobytes() if good else None for v, good in zip(x, ok.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(vecs, pa.binary())],
-                names=["vec_id", "k1", "k2", "vec"],
+                [b.column("row"), b.column("vec_id"), *[pa.array(k, mask=~ok) for k in keys], pa.array(raw, pa.binary())],
+                names=["row", "vec_id", "k1", "k2", "vec"],
             )
 
     return run
 
 
 def _units(column, dim: int) -> np.ndarray:
+    """Unit vectors in double precision from bytes of either precision."""
     raw = column.to_pylist() if isinstance(column, (pa.Array, pa.ChunkedArray)) else list(column)
-    x = np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim).astype(np.float64)
-    return x / np.sqrt((x * x).sum(1))[:, None]
+    kind = np.float64 if raw and len(raw[0]) == 8 * dim else np.float32
+    x = np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64)
+    with np.errstate(over="ignore", under="ignore"):
+        square = (x * x).sum(1)
+        odd = ~np.isfinite(square) | (square < 1e-200)  # out of range: scaled by the largest value first
+        if odd.any():
+            x[odd] /= np.abs(x[odd]).max(1, keepdims=True)
+            square = (x * x).sum(1)
+    return x / np.sqrt(square)[:, None]
 
 
 def _roots(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -192,18 +203,26 @@ def order_graph(nodes: DataFrame, n: int, dim: int, threshold: float, first: int
     return ordered.repartitionByRange("tree", "code", "along").sortWithinPartitions("tree", "code", "along").mapInArrow(blocks, EDGES)
 
 
-def nearest(edges: DataFrame) -> DataFrame:
-    """(src, near): the best ``NEIGHBOURS`` distinct neighbours, best first."""
+def _allowed(near, threshold: float):
+    """Length of a list, best first: enlarged while its last place is a link."""
+    out = F.lit(LISTED[0])
+    for short, longer in zip(LISTED, LISTED[1:]):
+        out = F.when(F.get(near, F.lit(short - 1))["sim"] >= threshold, F.lit(longer)).otherwise(out)
+    return out
+
+
+def nearest(edges: DataFrame, threshold: float) -> DataFrame:
+    """(src, near): the best distinct neighbours, best first."""
     best = edges.filter("sim <= 1.5").groupBy("src", "dst").agg(F.max("sim").alias("sim"))
     listed = best.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("sim", "dst")), asc=False).alias("near"))
-    return listed.select("src", F.slice("near", 1, NEIGHBOURS).alias("near"))
+    return listed.select("src", F.slice("near", F.lit(1), _allowed(F.col("near"), threshold)).alias("near"))
 
 
 def _merged(flat: DataFrame | None, stars: DataFrame | None, found: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(neighbour lists one row an edge, links as stars (a, b), components) with
     the edges ``found`` added."""
     found = written(found, "vector-edges")
-    near = nearest(found if flat is None else flat.unionByName(found))
+    near = nearest(found if flat is None else flat.unionByName(found), threshold)
     flat = written(near.select("src", F.explode("near").alias("e")).select("src", F.col("e.dst").alias("dst"), F.col("e.sim").alias("sim")), "vector-lists")
     linked = found.filter(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     links = written(components(linked if stars is None else stars.unionByName(linked)), "vector-components")
@@ -214,7 +233,7 @@ def refine(lists: DataFrame, nodes: DataFrame, dim: int, threshold: float, salt:
     """Edges found among the neighbours (both ways) of each vector."""
     edges = lists.select("src", F.explode("near").alias("e")).select("src", F.col("e.dst").alias("dst"))
     both = edges.select(F.col("src").alias("mid"), F.col("dst").alias("doc")).unionByName(edges.select(F.col("dst").alias("mid"), F.col("src").alias("doc")))
-    worst = lists.select(F.col("src").alias("doc"), F.when(F.size("near") < NEIGHBOURS, F.lit(-1.0)).otherwise(F.element_at("near", -1)["sim"]).alias("worst"))
+    worst = lists.select(F.col("src").alias("doc"), F.when(F.size("near") < _allowed(F.col("near"), threshold), F.lit(-1.0)).otherwise(F.element_at("near", -1)["sim"]).alias("worst"))
     with_vec = nodes.select("doc", "vec").join(worst, "doc", "left").withColumn("worst", F.coalesce("worst", F.lit(-1.0)))
     met = both.distinct().join(with_vec, "doc")
     # a vector that very many have as neighbour is dealt into groups of bounded size
@@ -361,11 +380,15 @@ def near_duplicates(
     max_rounds: int = 6,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row."""
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"))
-    dim = rows.agg(F.max(F.size("vector"))).first()[0] or 1
-    keyed = written(rows.mapInArrow(_keyed(max(1, dim)), "vec_id long, k1 long, k2 long, vec binary"), "vectors")
+    kind = "float32" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "float64"
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<float>" if kind == "float32" else "array<double>").alias("vector"))
+    dim = max(1, rows.agg(F.max(F.size("vector"))).first()[0] or 1)
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector")
+    keyed = written(numbered.mapInArrow(_keyed(dim, kind), "row long, vec_id long, k1 long, k2 long, vec binary"), "vectors")
     nodes = written(
-        keyed.filter("vec is not null and vec_id is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")),
+        keyed.filter("vec is not null")
+        .groupBy("k1", "k2")
+        .agg(F.min("row").alias("doc"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")),
         "vector-nodes",
     )
     n = nodes.count()
@@ -390,12 +413,14 @@ def near_duplicates(
         # as many new orders as there were, from the second round on
         due = orders if rounds > min_rounds else 0
 
-    known = nodes.select("k1", "k2", "doc", "copies")
+    known = nodes.select("k1", "k2", "doc", "copies", "vec_id")
     if links is not None:
         known = known.join(links.withColumnRenamed("vertex", "doc"), "doc", "left").join(counted(links, nodes, dim, threshold), "doc", "left")
+        low = known.filter("component is not null").groupBy("component").agg(F.min("vec_id").alias("low"))
+        known = known.join(low, "component", "left").withColumn("low", F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("low")))
     else:
-        known = known.withColumn("component", F.col("doc")).withColumn("linked", F.lit(0).cast("bigint"))
-    out = keyed.select("vec_id", "k1", "k2").join(known, ["k1", "k2"], "left")
-    component = F.coalesce("component", "doc", "vec_id")
+        known = known.withColumn("low", F.col("vec_id")).withColumn("linked", F.lit(0).cast("bigint"))
+    out = keyed.select("vec_id", "k1", "k2").join(known.drop("vec_id"), ["k1", "k2"], "left")
+    component = F.when(F.col("doc").isNull(), F.col("vec_id")).otherwise(F.col("low"))
     n_links = F.coalesce(F.col("linked"), F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
     return out.select("vec_id", n_links.cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
