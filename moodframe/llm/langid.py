@@ -7,7 +7,8 @@ margin is below ``min_margin`` is rejected.
 
 Bounds (documented parameters): a dictionary holds at most ``dict_bytes``
 bytes, cut from at most ``sample_rows`` texts and pieces of long texts a
-language, chosen by the hash of their row's id; every row is classified on its whole text.  There are as many dictionaries as
+language, chosen by the hash of their row's id and text; every row is classified
+on its whole text.  There are as many dictionaries as
 language values, and they are broadcast, so ``max_languages`` bounds that (an
 error is raised beyond it, nothing is dropped).
 
@@ -73,7 +74,8 @@ def fit_dictionaries(
     if not counts:
         return {}
     keep = F.lit(False)
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    # rows that repeat an id are drawn by their texts
+    share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
     for lang, n in counts.items():
         keep = keep | ((F.col("lang") == F.lit(lang)) & (share <= F.lit(3.0 * sample_rows / n)))
     long = F.octet_length("text") > dict_bytes // 8
@@ -91,6 +93,11 @@ def fit_dictionaries(
         more = found.get(r["lang"], b"") + r["text"].lower().encode() + b"\n"
         if len(more) <= dict_bytes:
             found[r["lang"]] = more
+    lost = [lang for lang in counts if lang not in found]
+    if lost:  # many equal rows of which the draw took none: their text stands for them
+        text = F.substring(F.min_by("text", F.xxhash64("text")), 1, dict_bytes // 8)
+        for r in rows.filter(F.col("lang").isin(lost)).groupBy("lang").agg(text.alias("text")).collect():  # <= max_languages rows
+            found[r["lang"]] = r["text"].lower().encode() + b"\n"
     return found
 
 
