@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -180,6 +181,28 @@ def test_near_duplicate_vectors(spark):
     assert neardup_vectors.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_vectors_of_double_precision_and_without_ids(spark):
+    """Values beyond single precision, links through rows without an id, one id
+    with two vectors, infinities."""
+    e = np.eye(6)
+    tilt = lambda a, b, c: c * e[a] + math.sqrt(1 - c * c) * e[b]
+    mid = tilt(0, 1, 0.93)
+    far = 0.93 * mid + math.sqrt(1 - 0.93**2) * (e[1] - (e[1] @ mid) * mid) / np.linalg.norm(e[1] - (e[1] @ mid) * mid)
+    rows = [(7, 1e200 * e[0]), (None, 1e-150 * mid), (3, far), (9, e[3]), (9, e[4]), (5, 1e300 * e[4]), (11, [float("inf"), 0, 0, 0, 0, 0]), (12, [float("nan")] * 6), (None, e[5]), (None, e[5])]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in neardup_vectors.near_duplicates(frame).collect())
+    assert far @ e[0] < 0.9 <= far @ mid
+    want = [("7", 1, "3", False), ("None", 2, "3", False), ("3", 1, "3", True), ("9", 0, "9", True), ("9", 1, "5", False), ("5", 1, "5", True), ("11", 0, "11", True),
+            ("12", 0, "12", True), ("None", 1, "None", True), ("None", 1, "None", True)]
+    assert got == sorted(want)
+
+
+def test_saturated_lists_are_enlarged(spark):
+    rows = [(1, k, 0.95 - k / 1000) for k in range(2, 60)] + [(2, k, 0.5 if k > 15 else 0.95) for k in range(20)] + [(3, k, 0.5) for k in range(20)] + [(4, k, 0.99) for k in range(15)]
+    lists = neardup_vectors.nearest(spark.createDataFrame(rows, "src long, dst long, sim double"), 0.9)
+    assert {r["src"]: len(r["near"]) for r in lists.collect()} == {1: 40, 2: 20, 3: 10, 4: 15}
+
+
 def test_search_recall(spark):
     vectors = ann.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
     asked = vectors.filter("vec_id % 20 = 0")
@@ -407,7 +430,7 @@ def test_audit_sees_pairs_beside_a_hot_group(spark):
     hot = x[1499] / np.linalg.norm(x[1499]) + rng.standard_normal((600, 64)) * 0.01
     n = len(x) + len(hot)
     nodes = vector_frame(spark, np.concatenate([x, hot])).select(F.col("vec_id").alias("doc"), "embedding")
-    keyed = nodes.select(F.col("doc").alias("vec_id"), F.col("embedding").alias("vector")).mapInArrow(neardup_vectors._keyed(64), "vec_id long, k1 long, k2 long, vec binary")
+    keyed = nodes.select(F.col("doc").alias("row"), F.col("doc").alias("vec_id"), F.col("embedding").alias("vector")).mapInArrow(neardup_vectors._keyed(64, "float32"), "row long, vec_id long, k1 long, k2 long, vec binary")
     nodes = keyed.select(F.col("vec_id").alias("doc"), "vec")
     # the hot group is whole, every second pair is lost
     members = [(i, 1499) for i in [1499, *range(1800, n)]]

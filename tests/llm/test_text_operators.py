@@ -295,3 +295,71 @@ def test_a_megabyte_of_digits_is_quick():
     for text in ("7" * (1 << 20), "1" * (1 << 19) + "." + "2" * (1 << 19), "1234567890 " * 100_000, "+" * (1 << 20)):
         pii.base_spans(text)
     assert time.process_time() - began < 4
+
+
+def test_languages_equal_plain_compression(spark):
+    """Every text against each dictionary with the compressor itself."""
+    import zstandard as zstd
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    d = langid.fit_dictionaries(docs)
+    got = {r["doc_id"]: r for r in langid.identify(docs, d, names=("lang_pred", "margin", "accepted")).collect()}
+
+    def size(raw, dictionary, level):
+        coder = zstd.ZstdCompressor(level=level, dict_data=zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False)
+        return sum(len(coder.compress(raw[i : i + langid.PART])) for i in range(0, len(raw), langid.PART))
+
+    for r in docs.collect():
+        if r["text"] is None or not any(c.isalpha() for c in r["text"]):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        raw = b" " + r["text"].lower().encode() + b" "
+        level = langid.SHORT_LEVEL if len(raw) <= langid.SHORT else langid.LEVEL
+        sizes = sorted((size(raw, x, level), lang) for lang, x in d.items())
+        margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        assert got[r["doc_id"]]["lang_pred"] == sizes[0][1] and got[r["doc_id"]]["margin"] == pytest.approx(margin, abs=0.02)
+
+
+def test_a_language_of_equal_rows_is_learned(spark):
+    rows = [(1, "uno dos tres cuatro cinco", "es")] * 5000 + [(i, f"one two three {i}", "en") for i in range(2, 60)]
+    assert set(langid.fit_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=2)) == {"es", "en"}
+
+
+def test_quality_counts_and_optimum(spark):
+    """Log-count ratios from plain counts, and weights whose primal value no long plain descent improves."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    train = quality.with_labels(docs, labels, "doc_id", "quality", "text").collect()
+    model = quality.fit(spark.createDataFrame(train, "id long, text string, label int"), "id")
+    size = len(model.ratio)
+    count, n = np.zeros((2, size)), [0, 0]
+    rows, y = [], []
+    for r in train:
+        found, _ = quality.features(pa.array([r["text"]], pa.string()))
+        found = np.unique(found >> np.uint32(quality.MOST_WIDTH - int(np.log2(size))))
+        count[r["label"], found] += 1
+        n[r["label"]] += 1
+        rows.append(found)
+        y.append(2 * r["label"] - 1)
+    p = (count + 1) / (np.array(n)[:, None] + 2)
+    ratio = np.where(count.any(0), np.log(p[1] / p[0]), 0.0)
+    assert np.allclose(model.ratio, ratio, atol=1e-6)
+    y, cost = np.array(y), np.full(len(y), 0.7)
+    x = np.zeros((len(rows), size))
+    for i, r in enumerate(rows):
+        v = ratio[r]
+        x[i, r] = v / max(np.linalg.norm(v), 1e-6)
+
+    def primal(w, b):
+        return (w @ w + b * b) / 2 + (cost * np.maximum(0, 1 - y * (x @ w + b))).sum()
+
+    w, b = quality.descend(rows, y, ratio, cost, 200, 3)
+    value = primal(w, b)
+    used = np.flatnonzero(x.any(0))
+    plain, bias, best = np.zeros(size), 0.0, np.inf
+    for step in range(1, 3001):  # projected subgradients
+        miss = y * (x @ plain + bias) < 1
+        plain[used] -= (plain[used] - (x[miss][:, used] * (cost * y)[miss, None]).sum(0)) / step
+        bias -= (bias - (cost * y)[miss].sum()) / step
+        best = min(best, primal(plain, bias))
+    assert value <= best * 1.001
