@@ -1,7 +1,7 @@
 """Quality classifier: support vectors on Naive Bayes log-count ratios.
 
-Features are indicators of hashed n-grams: lower-cased words, and runs of one
-to three word shapes (capitals, digits, closing sign, repetition of the word
+Features are indicators of hashed n-grams: runs of one and two lower-cased
+words, and of one to three word shapes (capitals, digits, closing sign, repetition of the word
 before).  Their document counts by label over all training rows give log-count
 ratios; a linear hinge-loss model on the scaled, length-normalised indicators
 is fitted by dual coordinate descent.  Platt scaling on sampled rows that the
@@ -9,7 +9,9 @@ descent does not see turns margins into probabilities.
 
 Bounds (documented parameters): ``fit_rows`` training rows, chosen by the hash
 of their id, enter the descent and the scaling; counts take in every training
-row; 2**WIDTH hashed features are collected.  Every row is scored on its whole
+row.  Features are hashed to a width that follows the bytes of the training
+texts, of at least 2**LEAST_WIDTH and at most 2**MOST_WIDTH numbers, which are
+collected.  Every row is scored on its whole
 text.
 
 Defined results: null, empty or blank text has no features and gets the score
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from moodframe.llm.store import with_columns
 from moodframe.llm.words import hashes, mix, slices, utf8, word_bounds
 
-WIDTH = 17
+LEAST_WIDTH, MOST_WIDTH = 17, 21
+#: Bytes of training text for a feature number.
+BYTES_A_NUMBER = 16
 #: At most so many label rows (12 bytes each) are broadcast to the texts.
 BROADCAST_LABELS = 2_000_000
 
@@ -44,8 +48,14 @@ _SIGN = np.arange(256, dtype=np.uint64)
 _SIGN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 0
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(feature numbers, offsets per text), distinct and sorted in each text."""
+def width_for(size: int) -> int:
+    """Bits of a feature number for training texts of ``size`` bytes."""
+    return min(MOST_WIDTH, max(LEAST_WIDTH, int(size // BYTES_A_NUMBER).bit_length()))
+
+
+def features(column: pa.Array, width: int = MOST_WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(feature numbers of ``width`` bits, offsets per text), distinct and
+    sorted in each text."""
     data, offsets = utf8(column)
     starts, ends = word_bounds(data, offsets)
     at = np.searchsorted(starts, offsets)
@@ -65,15 +75,16 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         shape = shape | (mark.astype(np.uint64) << np.uint64(8 + bit))
     odd = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
+        pair = mix(word[:-1] * odd + word[1:], 30)
         one = mix(shape, 32)
         two = mix(one[:-1] * odd + one[1:], 33)
         three = mix(two[:-1] * odd + one[2:], 34)
     inside = [text[k:] == text[: n - k] for k in (1, 2)]
-    grams = [(text, mix(word, 31)), (text, one), (text[1:][inside[0]], two[inside[0]]), (text[2:][inside[1]], three[inside[1]])]
-    packed = np.concatenate([(owner << np.uint64(WIDTH)) | (key >> np.uint64(64 - WIDTH)) for owner, key in grams])
+    grams = [(text, mix(word, 31)), (text[1:][inside[0]], pair[inside[0]]), (text, one), (text[1:][inside[0]], two[inside[0]]), (text[2:][inside[1]], three[inside[1]])]
+    packed = np.concatenate([(owner << np.uint64(width)) | (key >> np.uint64(64 - width)) for owner, key in grams])
     packed = np.unique(packed)
-    bounds = np.searchsorted(packed, np.arange(len(column) + 1, dtype=np.uint64) << np.uint64(WIDTH))
-    return (packed & np.uint64((1 << WIDTH) - 1)).astype(np.uint32), bounds
+    bounds = np.searchsorted(packed, np.arange(len(column) + 1, dtype=np.uint64) << np.uint64(width))
+    return (packed & np.uint64((1 << width) - 1)).astype(np.uint32), bounds
 
 
 @dataclass
@@ -84,10 +95,14 @@ class Model:
     slope: float
     shift: float
 
+    @property
+    def width(self) -> int:
+        return len(self.ratio).bit_length() - 1
+
     def score(self, column: pa.Array) -> np.ndarray:
-        found, at = features(column)
-        dot = np.concatenate([[0.0], np.cumsum(self.weights[found])])
-        norm = np.concatenate([[0.0], np.cumsum(self.ratio[found] ** 2)])
+        found, at = features(column, self.width)
+        dot = np.concatenate([[0.0], np.cumsum(self.weights[found], dtype=np.float64)])
+        norm = np.concatenate([[0.0], np.cumsum(self.ratio[found].astype(np.float64) ** 2)])
         size = np.sqrt(np.maximum(norm[at[1:]] - norm[at[:-1]], 1e-12))
         margin = (dot[at[1:]] - dot[at[:-1]]) / size + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
@@ -95,11 +110,11 @@ class Model:
 
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss with a bias feature of 1."""
-    w, bias = np.zeros_like(ratio), 0.0
+    w, bias = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(rows))
     values = []
     for r in rows:
-        v = ratio[r]
+        v = ratio[r].astype(float)
         values.append(v / max(np.sqrt((v * v).sum()), 1e-6))
     q = np.array([(v * v).sum() + 1 for v in values])
     rng = np.random.default_rng(seed)
@@ -144,16 +159,19 @@ def fit(
     rows = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
     rows = rows.filter("id is not null and label in (0, 1)")
 
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = width_for(size)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << WIDTH), np.int64)
+        total = np.zeros((2, 1 << width), np.int64)
         docs = np.zeros(2, np.int64)
         for batch in batches:
             for b in slices(batch, "text"):
-                found, at = features(b.column("text"))
+                found, at = features(b.column("text"), width)
                 label = b.column("label").to_numpy()
                 owner = np.repeat(label, np.diff(at))
                 for y in (0, 1):
-                    total[y] += np.bincount(found[owner == y], minlength=1 << WIDTH)
+                    total[y] += np.bincount(found[owner == y], minlength=1 << width)
                 docs += np.bincount(label, minlength=2)
         seen = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays(
@@ -162,18 +180,18 @@ def fit(
         )
 
     counts = rows.select("text", "label").mapInArrow(count, "feature long, bad long, good long")
-    table = counts.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()  # <= 2**WIDTH + 1 rows
+    table = counts.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()  # <= 2**MOST_WIDTH + 1 rows
     feature = table["feature"].to_numpy()
-    by_label = np.zeros((2, 1 << WIDTH))
+    by_label = np.zeros((2, 1 << width))
     keep = feature >= 0
     by_label[0, feature[keep]] = table["bad"].to_numpy()[keep]
     by_label[1, feature[keep]] = table["good"].to_numpy()[keep]
     docs = [int(table[c].to_numpy()[~keep].sum()) for c in ("bad", "good")]
     share = docs[1] / sum(docs) if sum(docs) else 0.5
     p = (by_label + alpha) / (np.array(docs)[:, None] + 2 * alpha)
-    ratio = np.log(p[1] / p[0])
+    ratio = np.log(p[1] / p[0]).astype(np.float32)
     ratio[~by_label.any(0)] = 0.0
-    constant = Model(np.zeros(1 << WIDTH), ratio, 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    constant = Model(np.zeros(1 << width, np.float32), ratio, 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     if not all(docs):
         return constant
 
@@ -183,7 +201,7 @@ def fit(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
-                found, at = features(b.column("text"))
+                found, at = features(b.column("text"), width)
                 each = [found[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(each, pa.binary())], names=["label", "features"])
 
@@ -197,8 +215,8 @@ def fit(
     labels = y[~hold]
     weight = np.where(labels > 0, len(labels) / (2 * (labels > 0).sum()), len(labels) / (2 * (labels < 0).sum()))
     w, bias = descend(fitted, labels, ratio, cost * weight, epochs, seed)
-    model = Model(w * ratio, ratio, bias, 1.0, 0.0)
-    margin = np.array([model.weights[r].sum() / np.sqrt(max((ratio[r] ** 2).sum(), 1e-12)) + bias for r in x])
+    model = Model((w * ratio).astype(np.float32), ratio, bias, 1.0, 0.0)
+    margin = np.array([model.weights[r].sum(dtype=float) / np.sqrt(max((ratio[r].astype(float) ** 2).sum(), 1e-12)) + bias for r in x])
     model.slope, model.shift = platt(margin[hold], y[hold])
     return model
 

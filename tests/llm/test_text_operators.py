@@ -335,8 +335,7 @@ def test_quality_counts_and_optimum(spark):
     count, n = np.zeros((2, size)), [0, 0]
     rows, y = [], []
     for r in train:
-        found, _ = quality.features(pa.array([r["text"]], pa.string()))
-        found = np.unique(found >> np.uint32(quality.MOST_WIDTH - int(np.log2(size))))
+        found, _ = quality.features(pa.array([r["text"]], pa.string()), model.width)
         count[r["label"], found] += 1
         n[r["label"]] += 1
         rows.append(found)
