@@ -10,8 +10,8 @@ and types of all segments of a region jointly; those that overlap no base span
 are added.
 
 The field is fitted by conditional likelihood (forward-backward over segments)
-on regions of at most ``sample_rows`` documents chosen by the hash of their
-id, a documented bound.  Their base spans are the labels; copies of the regions
+on pieces of regions of about ``sample_rows`` documents chosen by the hash of
+their id and text, a documented bound.  Their base spans are the labels; copies of the regions
 in which a phone lacks its ``+`` or a card is spaced carry the same labels, and
 copies with a broken check digit, a part too large or a date instead carry
 none, so the model learns such forms.  All rows are searched over their whole
@@ -23,7 +23,9 @@ results; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ from moodframe.llm.words import slices
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 24
+#: Characters of a training piece, and pieces that a document gives at most.
+PIECE, EACH = 256, 4
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -328,16 +332,26 @@ def atoms(s: str) -> list[tuple[int, int]]:
     return [m.span() for m in _ATOM.finditer(s)]
 
 
-def labelled_regions(text: str) -> Iterator[tuple[int, list, dict]]:
-    """Training examples from one text: its regions with base spans as labels,
-    and altered copies of the labelled ones."""
+def pieces(text: str) -> Iterator[tuple[str, list[Span]]]:
+    """The text's regions with their base spans, long ones cut between spans
+    into pieces of about ``PIECE`` characters."""
     base = base_spans(text)
     for a, b in regions(text):
-        inside = [(x - a, y - a, k) for x, y, k in base if a <= x and y <= b]
-        s = text[a:b]
-        yield from _example(s, inside)
-        if len(inside) != 1:
-            continue
+        inside = [s for s in base if a <= s[0] and s[1] <= b]
+        while a < b:
+            end = min(b, a + PIECE)
+            for x, y, _ in inside:
+                if x < end < y:
+                    end = y
+            yield text[a:end], [(x - a, y - a, k) for x, y, k in inside if a <= x and y <= end]
+            a = end
+
+
+def examples(s: str, inside: list[Span]) -> Iterator[tuple[int, list, dict]]:
+    """Training examples from a piece: with its base spans as labels, and as
+    altered copies if it has one."""
+    yield from _example(s, inside)
+    if len(inside) == 1:
         x, y, k = inside[0]
         span = s[x:y]
         likewise, not_so = [], []
@@ -382,17 +396,29 @@ def fit(
     text_col: str = "text",
     sample_rows: int = 1500,
     max_regions: int = 500,
-    max_bytes: int = 32 << 10,
 ) -> SemiCRF:
-    """Fit on at most ``max_regions`` regions of ``sample_rows`` documents (of
-    up to ``max_bytes`` bytes each) that hold a digit or ``@``."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= max_bytes))
-    n = docs.count()
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    few = rows.filter(share <= F.lit(4.0 * sample_rows / max(1, n))).orderBy(F.xxhash64("id"), "id", "text").limit(sample_rows)
+    """Fit on at most ``max_regions`` pieces of regions, at most ``EACH`` a
+    document, of about ``sample_rows`` documents of any length that hold a digit
+    or ``@``; documents and pieces are chosen by hash."""
+    drawn = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    rows = docs.select(drawn.alias("rank"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    n = rows.count()
+    share = F.pmod("rank", F.lit(1 << 30)) / float(1 << 30)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch, 1)):
+            out: list[tuple[int, str, str]] = []
+            for rank, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                # a few pieces of each text, by hash
+                keyed = ((zlib.crc32(f"{rank}:{i}".encode()), s, joined(spans)) for i, (s, spans) in enumerate(pieces(text)))
+                out += heapq.nsmallest(EACH, keyed)
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *[pa.array([o[k] for o in out], pa.string()) for k in (1, 2)]], names=["rank", "piece", "spans"])
+
+    found = rows.filter(share <= F.lit(sample_rows / max(1, n))).mapInArrow(cut, "rank long, piece string, spans string")
     data: list = []
-    for r in few.collect():
-        data.extend(x for x in labelled_regions(r["text"]) if x[0] <= 24)
+    for r in found.orderBy("rank", "piece").limit(max_regions).collect():  # <= max_regions pieces
+        spans = [(int(x), int(y), k) for k, x, y in (s.split(":") for s in r["spans"].split(",") if s)]
+        data.extend(examples(r["piece"], spans))
         if len(data) >= max_regions:
             break
     return SemiCRF().fit(data[:max_regions])

@@ -362,3 +362,54 @@ def test_quality_counts_and_optimum(spark):
         bias -= (bias - (cost * y)[miss].sum()) / step
         best = min(best, primal(plain, bias))
     assert value <= best * 1.001
+
+
+def altered(texts, rng):
+    """(text, spans that are personal, spans that are not) with one altered or broken span each."""
+    out = []
+    for text in texts:
+        base = pii.base_spans(text)
+        if not base:
+            continue
+        a, b, kind = base[int(rng.integers(0, len(base)))]
+        span = text[a:b]
+        if kind == "phone":
+            good, bad = span[1:], span[:6]
+        elif kind == "card":
+            digits = re.sub(r"[ -]", "", span)
+            good, bad = " ".join(digits[i : i + 4] for i in range(0, len(digits), 4)), digits[:-1] + str((int(digits[-1]) + 3) % 10)
+        else:
+            continue
+        out.append((text[:a] + good + text[b:], (a, a + len(good)), None))
+        out.append((text[:a] + bad + text[b:], None, (a, a + len(bad))))
+        out.append((text[:a] + "2029-11-30 17:05" + text[b:], None, (a, a + 16)))
+    return out
+
+
+def test_added_spans_on_held_out_documents(spark):
+    """Forms that the base patterns miss are found, broken ones are left alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model = pii.fit(docs.filter("doc_id % 2 = 0"))
+    texts = [r["text"] for r in docs.filter("doc_id % 2 = 1").filter(F.col("text").rlike("[+][0-9]|[0-9]{4}")).limit(1500).collect()]
+    found = wanted = wrong = broken = 0
+    for text, yes, no in altered(texts, np.random.default_rng(2)):
+        spans = pii.find(text, model)[1]
+        if yes:
+            wanted += 1
+            found += any(a < yes[1] and yes[0] < b for a, b, _ in spans)
+        else:
+            broken += 1
+            wrong += any(a < no[1] and no[0] < b for a, b, _ in spans)
+    assert wanted > 60 and found >= 0.9 * wanted and wrong <= 0.1 * broken, (found, wanted, wrong, broken)
+
+
+def test_pieces_cover_regions():
+    rng = np.random.default_rng(14)
+    units = ["1.2.3.4 ", "x", "+44 20 7946 0958 ", "9" * 300, "a@b.co ", " word ", "4111 1111 1111 1111 "]
+    for _ in range(200):
+        text = "".join(rng.choice(units, int(rng.integers(1, 60))))
+        cut = list(pii.pieces(text))
+        assert "".join(s for s, _ in cut) == "".join(text[a:b] for a, b in pii.regions(text))
+        assert sum(len(spans) for _, spans in cut) == len(pii.base_spans(text)) or any(len(s) > 200 for s, _ in cut)
+        for s, spans in cut:
+            assert all(0 <= x < y <= len(s) for x, y, _ in spans)
