@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodframe.llm.store import written
-from moodframe.llm.words import WordTable, cut_at_punctuation, slices, utf8, word_bounds
+from moodframe.llm.words import WordTable, cut_at_punctuation, lowered, slices, utf8, word_bounds
 
 
 class WordIds:
@@ -59,7 +59,7 @@ class WordIds:
         data, offsets = utf8(column)
         starts, ends, _ = cut_at_punctuation(data, *word_bounds(data, offsets))
         raw = data.tobytes()
-        out, n = self.table.ids(self.table.rows([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]))
+        out, n = self.table.ids(self.table.rows(lowered(data), starts, ends))
         bounds = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, offsets)]
         texts = [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         low = raw.lower()

@@ -83,10 +83,8 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
         lo = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, lo + SEGMENT, "right")))
         hi = int(ends[j - 1])
-        part = np.zeros(hi - lo + 8, np.uint8)
-        part[: hi - lo] = _LOWER[data[lo:hi]] if lower else data[lo:hi]
-        # the eight bytes from each place on
-        eight = np.ndarray(shape=(hi - lo + 1,), dtype="<u8", buffer=part.data, strides=(1,))
+        part = _LOWER[data[lo:hi]] if lower else data[lo:hi]
+        eight = _eight(part)
         at, left = starts[i:j] - lo, ends[i:j] - starts[i:j]
         h = mix(left.astype(np.uint64), 17)
         for k in np.flatnonzero(left > LONG).tolist():
@@ -102,6 +100,11 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
     return out
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lowered."""
+    return _LOWER[data]
+
+
 def owners(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Index of the text that holds each start."""
     return np.searchsorted(offsets, starts, "right") - 1
@@ -135,44 +138,127 @@ def cut_at_punctuation(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
     return all_starts[order], np.sort(np.concatenate([ends, cuts])), begins[order]
 
 
+def _eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on (zeros behind its end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
 class WordTable:
-    """Token ids of words, each encoded once: a dictionary by the words' bytes
-    over ids in one array.
+    """Token ids of words, each encoded once: open addressing over numpy arrays
+    by 64-bit hash, with the words' bytes beside, which are compared.
 
     ``encode`` turns a list of words into (all ids, number of ids per word).
     The table starts afresh when it holds ``limit`` words, so its memory is
     bounded and what it returns does not depend on it.
     """
 
-    def __init__(self, encode, limit: int = 1 << 19):
+    def __init__(self, encode, limit: int = 1 << 20):
         self.encode, self.limit = encode, limit
+        self.slots = 2 * limit
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.at = np.zeros(1, np.int64)
-        self.pool = [np.zeros(0, np.uint32)]
-
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        """Row of each word; rows hold until the next call."""
-        if len(self.row) > self.limit:
-            self.clear()
-        known = self.row
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            ids, n = self.encode([w.decode() for w in new])
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
-            self.pool.append(ids.astype(np.uint32))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.key = np.zeros(self.slots, np.uint64)
+        self.row = np.zeros(self.slots, np.int32)
+        self.at = np.zeros(1, np.int64)  # of the ids
+        self.ids_of = [np.zeros(0, np.uint32)]
+        self.begin = np.zeros(1, np.int64)  # of the bytes
+        self.bytes_of = [np.zeros(0, np.uint8)]
+        self.eight = _eight(self.bytes_of[0])
+        self.apart: dict[bytes, int] = {}  # words whose hash is another's
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where it is not held."""
+        out = np.full(len(keys), -1, np.int64)
+        todo = np.arange(len(keys))
+        place = (keys % np.uint64(self.slots)).astype(np.int64)
+        while len(todo):
+            held = self.key[place[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.row[place[todo[hit]]]
+            todo = todo[~hit & (held != 0)]
+            place[todo] = (place[todo] + 1) % self.slots
+        return out
+
+    def _hold(self, words: list[bytes]) -> np.ndarray:
+        """New rows for words."""
+        ids, n = self.encode([w.decode() for w in words])
+        first = len(self.at) - 1
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
+        self.ids_of.append(ids.astype(np.uint32))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(w) for w in words])])
+        self.bytes_of.append(np.frombuffer(b"".join(words), np.uint8))
+        return np.arange(first, first + len(words))
+
+    def _add(self, keys: np.ndarray, words: list[bytes]) -> None:
+        rows = self._hold(words)
+        place = (keys % np.uint64(self.slots)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = self.key[place[todo]] == 0
+            _, first = np.unique(place[todo], return_index=True)
+            mine = np.zeros(len(todo), bool)
+            mine[first] = True
+            mine &= free
+            self.key[place[todo[mine]]] = keys[todo[mine]]
+            self.row[place[todo[mine]]] = rows[todo[mine]]
+            todo = todo[~mine]
+            place[todo] = (place[todo] + 1) % self.slots
+
+    def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, spaced: np.ndarray | None = None) -> np.ndarray:
+        """Row of each word data[start:end] (``spaced``: a space goes before
+        it); rows hold until the next call."""
+        keys = hashes(data, starts, ends, lower=False)
+        first = np.zeros(len(starts), bool) if spaced is None else spaced
+        keys = np.where(first, ~keys, keys)
+        keys = np.where(keys == 0, np.uint64(1), keys)
+        raw = data.tobytes()
+        word = lambda i: (b" " if first[i] else b"") + raw[starts[i] : ends[i]]
+        found = self._find(keys)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new, one = np.unique(keys[missing], return_index=True)
+            if len(self.at) + len(new) > self.limit:
+                self.clear()
+                missing = np.arange(len(keys))
+                new, one = np.unique(keys, return_index=True)
+            for i in range(0, len(new), self.limit):
+                self._add(new[i : i + self.limit], [word(k) for k in missing[one[i : i + self.limit]].tolist()])
+            found[missing] = self._find(keys[missing])
+        if len(self.bytes_of) > 1:
+            self.bytes_of = [np.concatenate(self.bytes_of)]
+            self.eight = _eight(self.bytes_of[0])
+        for k in np.flatnonzero(~self._same(found, data, starts, ends, first)).tolist():
+            w = word(k)
+            if w not in self.apart:
+                self.apart[w] = int(self._hold([w])[0])
+            found[k] = self.apart[w]
+        return found
+
+    def _same(self, rows: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether the rows' bytes are those of the words."""
+        held, left = self.begin[rows], ends - starts
+        same = self.begin[rows + 1] - held == left + first
+        same &= ~first | (self.bytes_of[0][np.minimum(held, len(self.bytes_of[0]) - 1)] == 32) if len(self.bytes_of[0]) else same
+        eight = _eight(data)
+        todo = np.flatnonzero(same & (left > 0))
+        mine, theirs, left = starts[todo], held[todo] + first[todo], left[todo]
+        while len(todo):
+            equal = (eight[mine] ^ self.eight[theirs]) & _FIRST[np.minimum(left, 8)] == 0
+            same[todo[~equal]] = False
+            more = equal & (left > 8)
+            todo, mine, theirs, left = todo[more], mine[more] + 8, theirs[more] + 8, left[more] - 8
+        return same
 
     def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the rows one after another, number of ids per row)."""
-        if len(self.pool) > 1:
-            self.pool = [np.concatenate(self.pool)]
+        if len(self.ids_of) > 1:
+            self.ids_of = [np.concatenate(self.ids_of)]
         n = self.at[rows + 1] - self.at[rows]
         total = np.cumsum(n)
-        return self.pool[0][np.repeat(self.at[rows] - total + n, n) + np.arange(int(n.sum()))], n
+        return self.ids_of[0][np.repeat(self.at[rows] - total + n, n) + np.arange(int(n.sum()))], n
 
 
 def slices(batch: pa.RecordBatch, column: str | int, limit: int = SEGMENT):
