@@ -66,24 +66,35 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
+#: Rows that share a key and are numbered in one task.
+TOGETHER = 1 << 16
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(docs)
     copies = mixed.groupBy("row").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).withColumnRenamed("row", "__row").filter("__copies > 0")
+    copies = written(copies, "pipeline-copies")
     keyed = docs.withColumn("__row", mixing.row_key(F.col("doc_id"), F.col("source"), F.col("text")))
-    met = keyed.join(copies, "__row")
-    alone = met.filter("__rows = 1").withColumn("__own", F.col("__copies"))
-    # rows that share a key share its copies evenly; very many are numbered in parts
-    part = F.pmod(F.xxhash64("text"), F.ceil(F.col("__rows") / F.lit(1 << 16)))
-    shared = met.filter("__rows > 1").withColumn("__part", part)
-    parts = shared.groupBy("__row", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def repeated(counted: DataFrame) -> DataFrame:
+        """Rows that share a key share its copies evenly."""
+        own = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__nth") <= F.col("__copies") % F.col("__rows")).cast("long")
+        taken = counted.withColumn("__own", own).filter("__own > 0")
+        return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own")))).select(*columns)
+
+    few = keyed.join(copies.filter(F.col("__rows") <= TOGETHER), "__row")
+    out = repeated(few.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))))
+    if copies.filter(F.col("__rows") > TOGETHER).isEmpty():
+        return out
+    # very many rows of one key are numbered in parts, by their texts
+    part = F.pmod(F.xxhash64("text"), F.ceil(F.col("__rows") / F.lit(TOGETHER)))
+    many = keyed.join(copies.filter(F.col("__rows") > TOGETHER), "__row").withColumn("__part", part)
+    parts = many.groupBy("__row", "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("__row").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    placed = shared.join(parts.select("__row", "__part", F.coalesce(before, F.lit(0)).alias("__before")), ["__row", "__part"])
+    placed = many.join(parts.select("__row", "__part", F.coalesce(before, F.lit(0)).alias("__before")), ["__row", "__part"])
     nth = F.col("__before") + F.row_number().over(Window.partitionBy("__row", "__part").orderBy("text"))
-    own = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__nth") <= F.col("__copies") % F.col("__rows")).cast("long")
-    counted = placed.withColumn("__nth", nth).withColumn("__own", own)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    taken = alone.select(*columns, "__own").unionByName(counted.select(*columns, "__own")).filter("__own > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own")))).select(*columns)
+    return out.unionByName(repeated(placed.withColumn("__nth", nth)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
