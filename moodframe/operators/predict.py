@@ -145,12 +145,17 @@ def guidance_table(spark: SparkSession, table: dict[str, tuple[str, str]] | None
 def attach_guidance(df: DataFrame, emotion_col: str = "emotion", table: DataFrame | None = None) -> DataFrame:
     """Join the response/action for the predicted emotion.
 
-    The guidance table has one row per label (seven), so it is broadcast; an
-    unknown label fails the task, as a missing dictionary key would.
+    The own guidance table has one row per label (seven) and is broadcast; a
+    caller's is joined as its size suggests, one row an emotion (the least by
+    response, then action).  An unknown label fails the task, as a missing
+    dictionary key would.
     """
-    g = table if table is not None else guidance_table(df.sparkSession)
-    g = g.select(F.col("emotion").alias("_g_emotion"), "response", "action")
-    j = df.join(F.broadcast(g), F.col(emotion_col) == F.col("_g_emotion"), "left").drop("_g_emotion")
+    if table is None:
+        g = F.broadcast(guidance_table(df.sparkSession).withColumnRenamed("emotion", "_g_emotion"))
+    else:
+        one = table.groupBy(F.col("emotion").alias("_g_emotion")).agg(F.min(F.struct("response", "action")).alias("g"))
+        g = one.select("_g_emotion", "g.response", "g.action")
+    j = df.join(g, F.col(emotion_col) == F.col("_g_emotion"), "left").drop("_g_emotion")
     checked = F.when(
         F.col("response").isNull() & F.col(emotion_col).isNotNull(),
         F.raise_error(F.concat(F.lit("no guidance for emotion "), F.col(emotion_col))),

@@ -120,6 +120,13 @@ def test_cleaning_is_never_in_a_filter(spark):
         assert plan.count("translate(") <= max(1, scans), name
 
 
+def test_guidance_of_a_caller_is_one_row_an_emotion(spark):
+    df = spark.createDataFrame([(1, "Happy"), (2, "Sad"), (3, None)], "id int, emotion string")
+    table = spark.createDataFrame([("Happy", "b", "x"), ("Happy", "a", "y"), ("Sad", "c", "z"), ("Sad", "c", "z")], "emotion string, response string, action string")
+    got = {r["id"]: (r["response"], r["action"]) for r in P.attach_guidance(df, table=table).collect()}
+    assert got == {1: ("a", "y"), 2: ("c", "z"), 3: (None, None)}
+
+
 def test_guidance_rejects_unknown(spark):
     df = spark.createDataFrame([(1, "Bored")], "id int, emotion string")
     with pytest.raises(Exception):
