@@ -3,6 +3,8 @@ shared checkpoint folder from the session's own configuration."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -49,7 +51,32 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+#: Written tables of this process lie under one folder, which goes when it ends.
+_RUN = f"run-{uuid.uuid4().hex}"
+_roots: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
-    root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/moodframe/{name}-{uuid.uuid4().hex}"
+    root = f"{checkpoint_root(spark).rstrip('/')}/moodframe/{_RUN}"
+    if root not in _roots:
+        if not _roots:
+            atexit.register(_drop_at_exit)
+        _roots.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all tables that this process wrote to the shared folder, once
+    their readers are done (a result that still reads them is lost)."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _roots:
+        path = hadoop(_roots.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _drop_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            drop_scratch(spark)

@@ -296,6 +296,26 @@ def test_shared_folder_is_needed_off_local_masters():
         checkpoint_root(SimpleNamespace(sparkContext=context, conf=conf))
 
 
+def test_scratch_tables_go_with_their_process(tmp_path):
+    """A process of its own: nothing of what it wrote is left in the shared folder."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {os.getcwd()!r})
+from moodframe.session import local_session, drop_scratch
+from moodframe.operators.partitioning import materialised
+s = local_session(1)
+assert materialised(s.range(5), "t").count() == 5
+drop_scratch(s)
+assert materialised(s.range(6), "t").count() == 6
+"""
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": f"--conf spark.checkpoint.dir={tmp_path} pyspark-shell"}
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=120, env=env)
+    assert os.listdir(tmp_path)
+    assert [f for _, _, files in os.walk(f"{tmp_path}/moodframe") for f in files] == []
+
+
 def test_writers_and_helpers(spark):
     from moodframe.functions.text import percent
     from moodframe.operators.modeling import model_status
