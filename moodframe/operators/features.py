@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from moodframe.functions.constants import EMOTIONS, MAX_SEQ_LEN, OOV_INDEX, PAD_INDEX, VOCAB_NUM_WORDS
 from moodframe.functions.text import tokenize
-from moodframe.operators.indexing import with_dense_index
+from moodframe.operators.indexing import with_row_numbers
 from moodframe.operators.partitioning import materialised
 
 
@@ -54,7 +54,7 @@ def vocab_fit(train: DataFrame, key: str, text_col: str = "clean_text") -> DataF
     appearance.  The numbers come from a range partition, not a global window;
     how many of them an encoder uses is the encoder's choice."""
     stats = word_stats(train, key, text_col).withColumn("_n", F.negative("word_count"))
-    numbered = with_dense_index(materialised(stats, "word-stats"), ["_n", "first"], "index", 2)
+    numbered = with_row_numbers(materialised(stats, "word-stats"), ["_n", "first"], "index", 2)
     return numbered.select(
         "word",
         F.col("index").cast("int").alias("index"),

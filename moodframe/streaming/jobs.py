@@ -104,7 +104,7 @@ def stream_records(spark: SparkSession, sf_dir: str, out: str | None = None) ->
     def write(batch: DataFrame, batch_id: int) -> None:
         table = Committed(batch.sparkSession, out)
         start = table.state(batch_id).properties.get("next_id", 1)
-        rows = ST.build_records(materialised(batch, "record-batch"), start)
+        rows = ST.build_records(batch, start)  # writes the batch's rows once
         table.append(rows, batch_id, lambda r: {"next_id": r.agg(F.coalesce(F.max("record_id"), F.lit(start - 1))).first()[0] + 1})
 
     return _run(history_stream(spark, sf_dir), write, out, "records")

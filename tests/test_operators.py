@@ -14,7 +14,7 @@ from moodframe.operators import features as FE
 from moodframe.operators import lexicon as L
 from moodframe.operators import skew
 from moodframe.operators import store as ST
-from moodframe.operators.indexing import with_dense_index
+from moodframe.operators.indexing import with_dense_index, with_row_numbers
 from moodframe.sources import layout
 
 SF = "/root/testdata/sf0.001"
@@ -93,9 +93,10 @@ def test_encoding_needs_no_shuffle(spark):
 def test_dense_index(spark):
     rows = [(random.Random(i).randrange(50), i) for i in range(1000)] + [(None, 1000)]
     df = spark.createDataFrame(rows, "a int, b int").repartition(7)
-    got = {r["b"]: r["n"] for r in with_dense_index(df, ["a", "b"], "n", 5).collect()}
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    assert got == {b: 5 + i for i, (_, b) in enumerate(order)}
+    for way in (with_dense_index, with_row_numbers):
+        got = {r["b"]: r["n"] for r in way(df, ["a", "b"], "n", 5).collect()}
+        assert got == {b: 5 + i for i, (_, b) in enumerate(order)}
 
 
 # -- lexicon ---------------------------------------------------------------
