@@ -102,7 +102,7 @@ def fit(
     num_words: int = VOCAB_NUM_WORDS,
     width: int = MAX_SEQ_LEN,
     epochs: int = EPOCHS,
-    rate: float = 0.1,
+    rate: float = 0.3,
     ridge: float = 1e-4,
 ) -> SequenceModel:
     """Train on written tables with padded ``ids`` of ``width`` and labels 0 …
