@@ -10,6 +10,15 @@ from moodframe.streaming import jobs as J
 from moodframe.streaming.committed import KEPT, Committed
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """A state store for each of two partitions is enough here."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def add_events(spark, sf, events):
     events.coalesce(1).write.mode("append").parquet(f"{sf}/events.parquet")
 
