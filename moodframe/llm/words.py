@@ -37,6 +37,8 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of words that a table holds.
+MOST_BYTES = 1 << 26
 #: Words of more bytes than this are hashed one by one.
 LONG = 512
 #: Keeps the first n of eight little-endian bytes.
@@ -142,7 +144,23 @@ def _eight(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place of ``data`` on (zeros behind its end)."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
-    return np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    return _places(padded)
+
+
+def _places(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, without a copy."""
+    return np.ndarray(shape=(len(padded) - 7,), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+def _put(pool: np.ndarray, used: int, new: np.ndarray, spare: int = 0) -> np.ndarray:
+    """``pool`` with ``new`` behind its ``used`` values; it grows by half."""
+    need = used + len(new) + spare
+    if need > len(pool):
+        larger = np.zeros(max(need, len(pool) * 3 // 2), pool.dtype)
+        larger[:used] = pool[:used]
+        pool = larger
+    pool[used : used + len(new)] = new
+    return pool
 
 
 class WordTable:
@@ -150,11 +168,11 @@ class WordTable:
     by 64-bit hash, with the words' bytes beside, which are compared.
 
     ``encode`` turns a list of words into (all ids, number of ids per word).
-    The table starts afresh when it holds ``limit`` words, so its memory is
-    bounded and what it returns does not depend on it.
+    The table starts afresh when it holds ``limit`` words or more than
+    ``MOST_BYTES`` bytes of words, so its memory is bounded and what it returns does not depend on it.
     """
 
-    def __init__(self, encode, limit: int = 1 << 20):
+    def __init__(self, encode, limit: int = 1 << 19):
         self.encode, self.limit = encode, limit
         self.slots = 2 * limit
         self.clear()
@@ -162,11 +180,10 @@ class WordTable:
     def clear(self) -> None:
         self.key = np.zeros(self.slots, np.uint64)
         self.row = np.zeros(self.slots, np.int32)
-        self.at = np.zeros(1, np.int64)  # of the ids
-        self.ids_of = [np.zeros(0, np.uint32)]
-        self.begin = np.zeros(1, np.int64)  # of the bytes
-        self.bytes_of = [np.zeros(0, np.uint8)]
-        self.eight = _eight(self.bytes_of[0])
+        self.size = 0
+        # of each row, where its ids and its bytes begin; the pools behind them
+        self.at, self.begin = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids_of, self.bytes_of = np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.uint8)
         self.apart: dict[bytes, int] = {}  # words whose hash is another's
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
@@ -185,12 +202,14 @@ class WordTable:
     def _hold(self, words: list[bytes]) -> np.ndarray:
         """New rows for words."""
         ids, n = self.encode([w.decode() for w in words])
-        first = len(self.at) - 1
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
-        self.ids_of.append(ids.astype(np.uint32))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(w) for w in words])])
-        self.bytes_of.append(np.frombuffer(b"".join(words), np.uint8))
-        return np.arange(first, first + len(words))
+        first, size = self.size, self.size + len(words)
+        lengths = np.array([len(w) for w in words], np.int64)
+        self.ids_of = _put(self.ids_of, int(self.at[first]), ids.astype(np.uint32))
+        self.bytes_of = _put(self.bytes_of, int(self.begin[first]), np.frombuffer(b"".join(words), np.uint8), 8)
+        self.at = _put(self.at, first + 1, self.at[first] + np.cumsum(n))
+        self.begin = _put(self.begin, first + 1, self.begin[first] + np.cumsum(lengths))
+        self.size = size
+        return np.arange(first, size)
 
     def _add(self, keys: np.ndarray, words: list[bytes]) -> None:
         rows = self._hold(words)
@@ -220,16 +239,13 @@ class WordTable:
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new, one = np.unique(keys[missing], return_index=True)
-            if len(self.at) + len(new) > self.limit:
+            if self.size + len(new) > self.limit or self.begin[self.size] > MOST_BYTES:
                 self.clear()
                 missing = np.arange(len(keys))
                 new, one = np.unique(keys, return_index=True)
             for i in range(0, len(new), self.limit):
                 self._add(new[i : i + self.limit], [word(k) for k in missing[one[i : i + self.limit]].tolist()])
             found[missing] = self._find(keys[missing])
-        if len(self.bytes_of) > 1:
-            self.bytes_of = [np.concatenate(self.bytes_of)]
-            self.eight = _eight(self.bytes_of[0])
         for k in np.flatnonzero(~self._same(found, data, starts, ends, first)).tolist():
             w = word(k)
             if w not in self.apart:
@@ -241,12 +257,12 @@ class WordTable:
         """Whether the rows' bytes are those of the words."""
         held, left = self.begin[rows], ends - starts
         same = self.begin[rows + 1] - held == left + first
-        same &= ~first | (self.bytes_of[0][np.minimum(held, len(self.bytes_of[0]) - 1)] == 32) if len(self.bytes_of[0]) else same
-        eight = _eight(data)
+        same &= ~first | (self.bytes_of[held] == 32)
+        eight, pool = _eight(data), _places(self.bytes_of)
         todo = np.flatnonzero(same & (left > 0))
         mine, theirs, left = starts[todo], held[todo] + first[todo], left[todo]
         while len(todo):
-            equal = (eight[mine] ^ self.eight[theirs]) & _FIRST[np.minimum(left, 8)] == 0
+            equal = (eight[mine] ^ pool[theirs]) & _FIRST[np.minimum(left, 8)] == 0
             same[todo[~equal]] = False
             more = equal & (left > 8)
             todo, mine, theirs, left = todo[more], mine[more] + 8, theirs[more] + 8, left[more] - 8
@@ -254,11 +270,10 @@ class WordTable:
 
     def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the rows one after another, number of ids per row)."""
-        if len(self.ids_of) > 1:
-            self.ids_of = [np.concatenate(self.ids_of)]
-        n = self.at[rows + 1] - self.at[rows]
+        at = self.at[rows]
+        n = self.at[rows + 1] - at
         total = np.cumsum(n)
-        return self.ids_of[0][np.repeat(self.at[rows] - total + n, n) + np.arange(int(n.sum()))], n
+        return self.ids_of[np.repeat(at - total + n, n) + np.arange(int(n.sum()))], n
 
 
 def slices(batch: pa.RecordBatch, column: str | int, limit: int = SEGMENT):
