@@ -73,6 +73,7 @@ def keyword_slot_predictions(scored: DataFrame, key: str) -> DataFrame:
     """Both model slots from one keyword scoring (no trained model loaded):
     slot A named 'BERT Fallback', slot B 'BiLSTM Fallback'."""
     probs = S.probs_from_tenths()
+    cleaned = [F.col("cleaned_text")] if "cleaned_text" in scored.columns else []
 
     def slot(i: int, name: str) -> Column:
         return F.struct(
@@ -81,7 +82,7 @@ def keyword_slot_predictions(scored: DataFrame, key: str) -> DataFrame:
             F.col("confidence"),
             probs.alias("probs"),
             F.lit(f"{name} Fallback").alias("model"),
-            F.col("cleaned_text"),
+            *cleaned,
         )
 
     return scored.select(key, slot(SLOT_A, MODEL_A).alias("pred_a"), slot(SLOT_B, MODEL_B).alias("pred_b"))
@@ -118,9 +119,11 @@ def history_rows(
     (compare picks the higher confidence, slot A on ties), so no grouping or
     second shuffle is needed; only the join to the predictions is keyed.
     Without ``slot_preds`` the submissions carry their predictions themselves.
+    Predictions without a cleaned text give rows without one.
     """
     v = clean_identity(valid_submissions(subs))
     j = v if slot_preds is None else v.join(slot_preds, key)
+    fields = [f for f in PRED_FIELDS if f in j.schema["pred_a"].dataType.names]
     choice = F.lower(F.col("model_choice"))
     a, b = F.col("pred_a"), F.col("pred_b")
     selected = (
@@ -142,7 +145,7 @@ def history_rows(
     ).drop("pred_a", "pred_b")
     flat = routed.select(
         *[c for c in routed.columns if c != "r"],
-        *[F.col(f"r.{f}").alias(f if f != "emotion" else "primary_emotion") for f in PRED_FIELDS],
+        *[F.col(f"r.{f}").alias(f if f != "emotion" else "primary_emotion") for f in fields],
     )
     mixed = S.mixed_from_probs("probs", threshold)
     withm = flat.withColumn("mixed", mixed)
@@ -156,6 +159,33 @@ def history_rows(
     return g.withColumnRenamed("response", "ai_response")
 
 
+# ---------------------------------------------------------------------------
+# Texts beside the rows that name them
+# ---------------------------------------------------------------------------
+
+
+def numbered_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` written once with ``text_id``, a number of each row.  Rows that
+    carry the number instead of the text stay narrow through shuffles and
+    writes, however many of them share a text."""
+    return materialised(docs.withColumn("text_id", F.monotonically_increasing_id()), "numbered-texts")
+
+
+def with_texts(rows: DataFrame, texts: DataFrame, name: str = "text") -> DataFrame:
+    """``rows`` with the text of their ``text_id`` as ``name``: the last step, in
+    which each text is moved once, not once a row."""
+    # The join widens its rows: partitions by number are not merged by the size of what they read.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = texts.select("text_id", F.col("text").alias(name))
+    # Rows of a text lie together, where a written table holds it once.
+    near = rows.repartition(n, "text_id").sortWithinPartitions("text_id")
+    return near.join(told.repartition(n, "text_id"), "text_id").drop("text_id")
+
+
+def _text(history: DataFrame, name: str) -> Column:
+    return F.col("text").alias(name) if "text" in history.columns else F.col("text_id")
+
+
 # ---------------------------------------------------------------------------
 # Records, examples, mapping
 # ---------------------------------------------------------------------------
@@ -163,7 +193,8 @@ def history_rows(
 
 def build_records(history: DataFrame, start_id: int = 1) -> DataFrame:
     """One record per visible result of a saved submission; record ids are
-    dense in (ts, seq, slot) order, starting at ``start_id``."""
+    dense in (ts, seq, slot) order, starting at ``start_id``.  A history that
+    names its texts by number gives records that do (see ``with_texts``)."""
     saved = history.filter(F.col("save"))
     rec = saved.select(
         "ts",
@@ -171,7 +202,7 @@ def build_records(history: DataFrame, start_id: int = 1) -> DataFrame:
         "slot",
         "email",
         "field",
-        F.col("text").alias("input_text"),
+        _text(history, "input_text"),
         F.col("primary_emotion").alias("predicted_emotion"),
         "secondary_emotion",
         F.col("confidence").alias("confidence_score"),
@@ -188,7 +219,7 @@ def build_records(history: DataFrame, start_id: int = 1) -> DataFrame:
 def examples_log(history: DataFrame) -> DataFrame:
     """One example row per saved submission (compare logs one row, for the
     selected result): text, lower-case emotion, confidence, response, field,
-    timestamp to the second."""
+    timestamp to the second.  As in ``build_records``, the text may be a number."""
     saved = history.filter(F.col("save"))
     first_slot = saved.filter(
         (F.lower("model_choice") != "compare") | (F.col("slot") == SLOT_A)
@@ -196,7 +227,7 @@ def examples_log(history: DataFrame) -> DataFrame:
     return first_slot.select(
         "seq",
         "ts",
-        "text",
+        _text(history, "text"),
         F.lower("selected_emotion").alias("emotion"),
         F.col("selected_confidence").alias("confidence"),
         F.col("ai_response").alias("response"),
@@ -318,14 +349,17 @@ RECORD_ORDER = ["timestamp", "record_id"]
 
 def write_records(records: DataFrame, path: str, table: str, buckets: int = layout.BUCKETS) -> DataFrame:
     """The records as a table laid out by user, each user's in order of time:
-    reading one user's opens one bucket."""
+    reading one user's opens one bucket.  Records that name their texts by
+    number are laid out without them: a text lies once beside the layout."""
     return layout.write_bucketed(records, path, table, "email", RECORD_ORDER, buckets)
 
 
-def fetch_records(records: DataFrame, email: str | None = None) -> DataFrame:
+def fetch_records(records: DataFrame, email: str | None = None, texts: DataFrame | None = None) -> DataFrame:
     """All records, or one user's when ``email`` is truthy, newest first (of a
-    table by ``write_records`` only that user's bucket is read and sorted)."""
+    table by ``write_records`` only that user's bucket is read and sorted),
+    with their texts from ``texts`` where they name them by number."""
     r = records.filter(F.col("email") == F.lit(email)) if email else records
+    r = r if texts is None else with_texts(r, texts, "input_text")
     return r.orderBy(F.col("timestamp").desc(), F.col("record_id").desc())
 
 
@@ -333,8 +367,10 @@ def keyword_history(subs: DataFrame, texts: DataFrame, key: str = "doc_id") -> D
     """History rows with both slots falling back to the keyword scorer.
 
     Each distinct text is scored once (``texts`` keyed by ``key``) and joined
-    to the submissions, instead of cleaning the same text per event."""
+    to the submissions, instead of cleaning the same text per event.
+    Submissions without text give rows without any text."""
     scored = P.predict_keyword(texts, [key], model_name=KEYWORD_MODEL)
+    scored = scored if "text" in subs.columns else scored.drop("cleaned_text")
     return history_rows(subs, keyword_slot_predictions(scored, key), key)
 
 

@@ -218,8 +218,17 @@ def history_two_slots(spark, sf_dir):
     return ST.history_rows(V.submissions(spark, sf_dir), slots, "doc_id")
 
 
+def records_and_texts(spark, sf_dir):
+    """(records that name their texts by number, the texts)."""
+    from moodframe.operators.partitioning import spread
+
+    docs = ST.numbered_texts(spread(V.documents(spark, sf_dir)))
+    subs = V.submissions(spark, sf_dir, docs=docs.drop("text"))
+    return ST.build_records(ST.keyword_history(subs, V.texts(spark, sf_dir))), docs
+
+
 def records(spark, sf_dir):
-    return ST.build_records(history(spark, sf_dir))
+    return records_and_texts(spark, sf_dir)[0]
 
 
 def before(df, col="ts"):
@@ -317,7 +326,7 @@ def _records_out(r, *more):
 
 @query
 def q_records_build(spark, sf_dir):
-    return _records_out(records(spark, sf_dir), "input_text")
+    return _records_out(ST.with_texts(*records_and_texts(spark, sf_dir), "input_text"), "input_text")
 
 
 @query
@@ -327,10 +336,11 @@ def q_records_all(spark, sf_dir):
 
 @query
 def q_records_by_user(spark, sf_dir):
-    """One user's records, read from the layout by user."""
+    """One user's records, read from the layout by user, with their texts."""
     path = scratch_path(spark, "records-by-user")
-    laid = ST.write_records(records(spark, sf_dir), path, "records_" + path.rsplit("-", 1)[1])
-    return _records_out(ST.fetch_records(laid, SAMPLE_EMAIL))
+    recs, texts = records_and_texts(spark, sf_dir)
+    laid = ST.write_records(recs, path, "records_" + path.rsplit("-", 1)[1])
+    return _records_out(ST.fetch_records(laid, SAMPLE_EMAIL, texts))
 
 
 @query
