@@ -89,6 +89,33 @@ def test_a_late_submission_within_the_delay_counts(spark, tmp_path):
     assert got.count() == ST.build_records(ST.keyword_history(V.submissions(spark, sf), V.texts(spark, sf))).count()
 
 
+def test_texts_are_named_by_number_until_the_last_step(spark, tmp_path):
+    """No written or numbered row carries a text: one shared by many rows lies
+    once beside them, and meets them when they are written out."""
+    docs = spark.createDataFrame([(0, "so happy today", False), (0, "twice there", False), (1, "I feel stress", False), (2, None, True)], "doc_id long, text string, doc_blank boolean")
+    texts = ST.numbered_texts(docs)
+    events = spark.createDataFrame([(i, i % 3, 7) for i in range(30)], "event_id long, doc_id long, user_id long")
+    subs = events.join(texts.drop("text"), "doc_id").select(
+        "doc_id", "text_id", F.col("doc_blank").alias("text_blank"), F.col("event_id").alias("seq"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"),
+        F.lit("u@x").alias("email"), F.lit("u").alias("name"), F.lit("student").alias("role"), F.lit("Maths").alias("field"),
+        F.lit("compare").alias("model_choice"), F.lit(True).alias("save"),
+    )
+    one_each = docs.dropDuplicates(["doc_id"])
+    h = ST.keyword_history(subs, one_each.select("doc_id", "text"))
+    recs, ex = ST.build_records(h), ST.examples_log(h)
+    for narrow in (h, recs, ex):
+        assert not {"text", "input_text", "cleaned_text"} & set(narrow.columns) and "text_id" in narrow.columns
+    # twenty events, ten of them on two texts, each shown by two models
+    wide = ST.with_texts(recs, texts, "input_text").groupBy("input_text").count()
+    own = dict(map(tuple, wide.collect()))
+    assert set(own) == {"so happy today", "twice there", "I feel stress"} and own["I feel stress"] == 20
+    assert dict(map(tuple, ST.with_texts(ex, texts).groupBy("text").count().collect())) == dict.fromkeys(own, 10)
+    laid = ST.write_records(recs, f"{tmp_path}/narrow", "records_narrow", buckets=2)
+    assert "input_text" not in laid.columns
+    got = ST.fetch_records(laid, "u@x", texts).select("input_text", "record_id").collect()
+    assert [r[1] for r in got] == sorted((r[1] for r in got), reverse=True) and {r[0] for r in got} == set(own)
+
+
 def test_committed_table(spark, tmp_path):
     table = Committed(spark, str(tmp_path / "t"))
     kinds = "k string, v int"
