@@ -12,7 +12,7 @@ frequency and by whether they begin a word, to shared classes.
 
 Distribution: one pass counts words and ids per task and sums them in a
 shuffle.  The layers start from a bounded sample (``fit_rows`` training texts)
-and are then trained on ``FIT_SHARE`` of all training texts, whole, in
+and are then trained on all training texts, whole, each in one of
 ``FIT_ROUNDS`` rounds: windows are dealt by hash to buckets whose number grows
 with the corpus, tasks train a copy of the model on each bucket, and the copies
 are averaged (an id's vector by how often a bucket has the id).  The result does
@@ -43,9 +43,9 @@ from moodframe.llm.words import WordTable, cut_at_punctuation, hashes, lowered,
 
 WINDOW, OVERLAP = 32, 4
 DIM, HIDDEN, CLASSES, OWN = 16, 16, 64, 48
-#: Share of the training texts that the layers are trained on, the rounds it is
-#: split over, windows of a bucket and of a step, and ids of a block of vectors.
-FIT_SHARE, FIT_ROUNDS, BUCKET, STEP, IDS = 1 / 8, 2, 1 << 15, 256, 1024
+#: Rounds that the training texts are split over, windows of a bucket and of a
+#: step, and ids of a block of vectors.
+FIT_ROUNDS, BUCKET, STEP, IDS = 2, 1 << 15, 256, 1024
 RATES = (0.004, 0.002)
 #: Most frequent words that are broadcast (16 bytes each).
 COMMON = 1 << 18
@@ -156,6 +156,14 @@ class Model:
 
     def gradient(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict]:
         """Mean class loss over the real targets and its gradient."""
+        loss, g, rows = self.slopes(x, y, real)
+        sums, g["emb"] = g["emb"], np.zeros_like(self.emb)
+        g["emb"][rows] = sums
+        return loss, g
+
+    def slopes(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict, np.ndarray]:
+        """``gradient`` with the vectors' part for the ids of ``x`` alone, which
+        come third."""
         h, q, k, v, a, s = self.hidden(x)
         u = np.maximum(s @ self.w1 + self.b1, 0)
         z = u @ self.w2 + self.b2
@@ -168,7 +176,7 @@ class Model:
         picked = np.take_along_axis(z, c[:, :, None], 2)[:, :, 0] - np.log(total[:, :, 0])
         loss = -float((picked * real).sum()) / n
         np.put_along_axis(p, c[:, :, None], np.take_along_axis(p, c[:, :, None], 2) - 1, 2)
-        dz = (p * (real / n)[:, :, None]).astype(np.float32)
+        dz = p * (real / n).astype(p.dtype)[:, :, None]
         flat = lambda m: m.reshape(-1, m.shape[2])
         g = {"w2": flat(u).T @ flat(dz), "b2": flat(dz).sum(0)}
         du = (dz @ self.w2.T) * (u > 0)
@@ -180,27 +188,31 @@ class Model:
         dq, dk = da @ k, da.transpose(0, 2, 1) @ q
         dh = ds + dq @ self.wq.T + dk @ self.wk.T + dv @ self.wv.T
         g |= {"wq": flat(h).T @ flat(dq), "wk": flat(h).T @ flat(dk), "wv": flat(h).T @ flat(dv), "pos": dh.sum(0)}
-        g["emb"] = np.zeros_like(self.emb)
-        np.add.at(g["emb"], x.reshape(-1), flat(dh))
-        return loss, g
+        ids = x.reshape(-1)
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        g["emb"] = np.add.reduceat(flat(dh)[order], first)
+        return loss, g, ids[order[first]]
 
     def train(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, steps: int, batch: int = 96, rate: float = 0.01, seed: int = 0, once: bool = False) -> list[float]:
         """Adam over random batches of windows (``once``: over consecutive ones);
-        the rate falls linearly."""
+        the rate falls linearly.  A step moves the vectors of its own ids."""
         rng = np.random.default_rng(seed)
         m1 = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
         m2 = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
         losses = []
         for step in range(1, steps + 1):
             pick = slice((step - 1) * batch, step * batch) if once else rng.integers(0, len(x), batch)
-            loss, g = self.gradient(x[pick], y[pick], real[pick])
+            loss, g, ids = self.slopes(x[pick], y[pick], real[pick])
             losses.append(loss)
             lr = rate * (1 - (step - 1) / steps)
             for name in self.NAMES:
-                a, b = m1[name], m2[name]
-                a += 0.1 * (g[name] - a)
-                b += 0.01 * (g[name] ** 2 - b)
-                getattr(self, name)[...] -= (lr / (1 - 0.9**step)) * a / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+                at = ids if name == "emb" else ...
+                a, b = m1[name][at], m2[name][at]
+                a = a + 0.1 * (g[name] - a)
+                b = b + 0.01 * (g[name] ** 2 - b)
+                m1[name][at], m2[name][at] = a, b
+                getattr(self, name)[at] -= (lr / (1 - 0.9**step)) * a / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
         return losses
 
 
@@ -291,6 +303,7 @@ def count_corpus(train: DataFrame, path: str, pattern: str) -> DataFrame:
 def fit_windows(texts: DataFrame, path: str, pattern: str, buckets: int) -> DataFrame:
     """(bucket, key, window) of all windows of ``texts`` (id, text); a window is
     its WINDOW + 1 ids and the bits of its scored targets."""
+    kind = _id_type(subwords(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = subwords(path, pattern)
@@ -301,7 +314,7 @@ def fit_windows(texts: DataFrame, path: str, pattern: str, buckets: int) -> Data
                 nth = np.arange(len(text)) - np.searchsorted(text, text)
                 own = b.column("key").to_numpy().astype(np.int64).view(np.uint64)[text]
                 key = mix(own + nth.astype(np.uint64), 43)
-                raw = np.concatenate([np.concatenate([x, y[:, -1:]], 1).astype(np.uint32).view(np.uint8), np.packbits(scored, 1)], 1)
+                raw = np.concatenate([np.concatenate([x, y[:, -1:]], 1).astype(kind).view(np.uint8), np.packbits(scored, 1)], 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((key % np.uint64(buckets)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array([r.tobytes() for r in raw], pa.binary())],
                     names=["bucket", "key", "window"],
@@ -311,16 +324,23 @@ def fit_windows(texts: DataFrame, path: str, pattern: str, buckets: int) -> Data
     return keyed.mapInArrow(run, "bucket int, key long, window binary")
 
 
-def _read_windows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _id_type(sub: Subwords) -> type:
+    """The narrowest whole number that holds every id."""
+    return np.uint16 if sub.size <= 1 << 16 else np.uint32
+
+
+def _read_windows(raw: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-    ids = np.ascontiguousarray(rows[:, : 4 * (WINDOW + 1)]).view(np.uint32).astype(np.int64)
-    return ids[:, :-1], ids[:, 1:], np.unpackbits(rows[:, 4 * (WINDOW + 1) :], 1)[:, :WINDOW].astype(bool)
+    width = np.dtype(kind).itemsize * (WINDOW + 1)
+    ids = np.ascontiguousarray(rows[:, :width]).view(kind).astype(np.int64)
+    return ids[:, :-1], ids[:, 1:], np.unpackbits(rows[:, width:], 1)[:, :WINDOW].astype(bool)
 
 
 def train_round(model: Model, texts: DataFrame, path: str, pattern: str, buckets: int, rate: float) -> None:
     """Train ``model`` on all windows of ``texts``: a copy per bucket, averaged."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
     layers = [n for n in Model.NAMES if n != "emb"]
+    kind = _id_type(subwords(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value
@@ -333,7 +353,7 @@ def train_round(model: Model, texts: DataFrame, path: str, pattern: str, buckets
             copy.cls, copy.within = start.cls, start.within
             for name in Model.NAMES:
                 setattr(copy, name, getattr(start, name).copy())
-            x, y, real = _read_windows(raw)
+            x, y, real = _read_windows(raw, kind)
             copy.train(x, y, real, -(-len(x) // STEP), STEP, rate, once=True)
             seen = np.bincount(x.reshape(-1), minlength=len(used)).astype(float)
             emb[:] += (copy.emb - start.emb) * seen[:, None]
@@ -390,7 +410,7 @@ def train_round(model: Model, texts: DataFrame, path: str, pattern: str, buckets
 def fit_model(train: DataFrame, n_train: int, id_counts: np.ndarray, path: str, pattern: str, fit_rows: int = 1200, steps: int = 500, max_bytes: int = 32 << 10, seed: int = 7) -> Model:
     """Start the layers on at most ``fit_rows`` training texts of up to
     ``max_bytes`` bytes each, chosen by the hash of their id, and train them on
-    ``FIT_SHARE`` of all training texts, of any length."""
+    all training texts, of any length, each in one round."""
     sub = subwords(path, pattern)
     model = Model(sub.size, seed)
     model.set_classes(id_counts.astype(float), sub.begins, sub.end)
@@ -401,11 +421,10 @@ def fit_model(train: DataFrame, n_train: int, id_counts: np.ndarray, path: str,
         _, _, ids, at = _laid_out(sub, pa.array(sample, pa.string()))
         x, y, scored, _ = windows(ids, at, sub.end)
         model.train(x, y, scored, steps, seed=seed)
-    share = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1 << 30)) / float(1 << 30)
-    count = (float(id_counts.sum()) / (WINDOW - OVERLAP) + n_train) * FIT_SHARE / FIT_ROUNDS
+    turn = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(FIT_ROUNDS))
+    count = (float(id_counts.sum()) / (WINDOW - OVERLAP) + n_train) / FIT_ROUNDS
     for r in range(FIT_ROUNDS if n_train else 0):
-        low, high = (FIT_SHARE * (r + i) / FIT_ROUNDS for i in (0, 1))
-        train_round(model, train.filter((share >= low) & (share < high)), path, pattern, max(1, math.ceil(count / BUCKET)), RATES[r])
+        train_round(model, train.filter(turn == r), path, pattern, max(1, math.ceil(count / BUCKET)), RATES[r])
     return model
 
 

@@ -250,6 +250,24 @@ def test_lm_trains_beyond_the_sample(spark):
         assert np.allclose(getattr(model, name), getattr(other, name), atol=1e-4)
 
 
+def test_lm_trains_on_every_training_text(spark):
+    """Each text has ids of its own: all of their vectors are trained, in the rounds beyond the sample."""
+    import public_tokenizers
+
+    path, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    sub = lm.subwords(path, pattern)
+    single = [i for i in range(3000, 20000) if sub.begins[i] and sub.bpe.decode_single_token_bytes(i)[1:].isalpha() and sub.bpe.decode_single_token_bytes(i).islower()][:60]
+    texts = [sub.bpe.decode([i])[1:] for i in single]
+    _, _, ids, at = lm._laid_out(sub, pa.array(texts, pa.string()))
+    own = [ids[a:b] for a, b in zip(at, at[1:])]
+    counts = np.bincount(ids, minlength=sub.size)
+    counts[sub.end] = len(texts)
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    model = lm.fit_model(train, len(texts), counts, path, pattern, fit_rows=1, steps=1)
+    moved = (model.emb != lm.Model(sub.size, 7).emb).any(1)
+    assert all(moved[o].all() for o in own) and not moved[counts == 0].any()
+
+
 def test_language_of_long_documents_alone(spark):
     words = {"en": "the house of people and river runs through old town", "xx": "zorum qatil ebbo vunra séki molta druhn pali"}
     rng = np.random.default_rng(4)
