@@ -146,17 +146,20 @@ def prepare_dataset(
     stop_words: list[str] | None = DEFAULT_STOP_WORDS,
     lemmas: DataFrame | str | None = None,
     check_nonempty: bool = True,
+    text: bool = True,
 ) -> DataFrame:
     """(row_id, text, emotion, clean_text, label): drop nulls, normalise and
     filter labels (raising when none is supported), clean, drop empty text,
-    encode the label."""
+    encode the label.  Without ``text`` the raw text is read and cleaned but
+    not carried along."""
     d = raw.select(key, "text", null_tokens_to_null("emotion").alias("emotion"))
     d = d.withColumn("text", null_tokens_to_null("text")).dropna(subset=["text", "emotion"])
     d = d.withColumn("emotion", normalize_label("emotion"))
     d = supported_labels(d) if check_nonempty else d.filter(F.col("emotion").isin(EMOTIONS))
-    cleaned = training_text(d, key, "text", stop_words, lemmas, keep=["text", "emotion"])
+    shown = ["text"] if text else []
+    cleaned = training_text(d, key, "text", stop_words, lemmas, keep=[*shown, "emotion"])
     kept = cleaned.filter(F.length("clean_text") > 0)
-    return kept.select(key, "text", "emotion", "clean_text", label_id("emotion").alias("label"))
+    return kept.select(key, *shown, "emotion", "clean_text", label_id("emotion").alias("label"))
 
 
 # ---------------------------------------------------------------------------

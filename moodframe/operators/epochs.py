@@ -82,10 +82,12 @@ def pass_over(weights: np.ndarray, square: np.ndarray, ids: np.ndarray, label: n
         slope = _softmax(_evidence(weights, part))
         slope[np.arange(len(y)), y] -= 1
         slope /= len(y)
-        number, at = np.unique(part, return_inverse=True)
-        each = np.repeat(slope * _scale(part)[:, None], part.shape[1], axis=0)
-        total = np.zeros((len(number), weights.shape[1]))
-        np.add.at(total, at.ravel(), each)
+        flat = part.ravel()
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        number = flat[order[first]]
+        each = (slope * _scale(part)[:, None])[order // part.shape[1]]
+        total = np.add.reduceat(each, first) if len(first) else np.zeros((0, weights.shape[1]))
         keep = number != PAD_INDEX
         rows = np.append(number[keep], len(weights) - 1)
         step = np.concatenate([total[keep], slope.sum(0, keepdims=True)]) + ridge * weights[rows]

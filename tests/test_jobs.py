@@ -342,3 +342,35 @@ def test_writers_and_helpers(spark):
     assert FS.read_vocab(spark, f"{d}/vocab").count() == v.count()
     assert spark.range(1).select(percent(F.lit(0.4567))).first()[0] == "45.7%"
     assert model_status(False, False) == "BiLSTM fallback, BERT fallback"
+
+
+def test_slot_a_makes_its_features_once(spark, monkeypatch):
+    """The fits read a written table of features, without texts; tokens are the
+    first words, as a whole split gives them."""
+    from pyspark.ml.feature import RegexTokenizer
+
+    from moodframe.operators import modeling as M
+
+    odd = spark.createDataFrame([("  a b\tc\n d ",), ("a b c",), ("a b c d e f",), ("",), (" ",), ("A\u00a0b c",)], "text string")
+    whole = RegexTokenizer(inputCol="text", outputCol="w", pattern="\\s+", gaps=True, toLowercase=False).transform(odd)
+    want = [r["w"][:3] for r in whole.collect()]
+    assert [r["_tokens"] for r in M._tokenizer("text", 3).transform(odd).collect()] == want
+    kept = []
+    real = M.materialised
+    monkeypatch.setattr(M, "materialised", lambda df, name: kept.append(df.columns) or real(df, name))
+    rows = [(("good day " if i % 2 else "bad night ") * (1 + i % 5), i % 2) for i in range(60)]
+    model = M.fit_model_a(spark.createDataFrame(rows, "text string, label int"), hashed_features=64, max_iter=5)
+    assert kept == [["label", "_features"]]
+    pairs = M.predictions_for_eval(model, spark.createDataFrame(rows, "text string, label int"), "text")
+    assert pairs.filter("actual = predicted").count() == 60
+
+
+def test_dataset_without_raw_text(spark):
+    """Slot B's rows carry no raw text through shuffles and writes."""
+    rows = [(i, f"running tests number{i} today", e) for i, e in enumerate(["Happy", " stress ", None, "NA", "Anger"] * 4)]
+    df = spark.createDataFrame(rows, "row_id long, text string, emotion string")
+    whole, lean = D.prepare_dataset(df, lemmas="corpus", check_nonempty=False), D.prepare_dataset(df, lemmas="corpus", check_nonempty=False, text=False)
+    assert "text" not in lean.columns
+    assert rows_of(lean) == rows_of(whole.drop("text"))
+    read = lean._jdf.queryExecution().optimizedPlan().collectLeaves().mkString(" ")
+    assert "tokens" in read and " text#" not in read and "[text#" not in read and ",text#" not in read
