@@ -10,15 +10,16 @@ within a class the share of an id comes from counts over all training texts.
 The most frequent ids are classes of their own; the others are dealt, by
 frequency and by whether they begin a word, to shared classes.
 
-Distribution: one pass counts words and ids per task and sums them in a
-shuffle.  The layers start from a bounded sample (``fit_rows`` training texts)
-and are then trained on all training texts, whole, each in one of
-``FIT_ROUNDS`` rounds: windows are dealt by hash to buckets whose number grows
-with the corpus, tasks train a copy of the model on each bucket, and the copies
-are averaged (an id's vector by how often a bucket has the id).  The result does
-not depend on how the table is split.  The scoring pass keeps a broadcast table of the most
-frequent words (at most ``COMMON`` of them) and sends every other word to a
-join with the counts.
+Distribution: one pass turns each text into ids, which are written; counting,
+both training rounds and scoring read them.  A word's key is a hash of its ids.
+Words and ids are counted per task and summed in a shuffle.  The layers start
+from a bounded sample (``fit_rows`` training texts) and are then trained on all
+training texts, whole, each in one of ``FIT_ROUNDS`` rounds: windows are dealt
+by hash to buckets whose number grows with the corpus, tasks train a copy of the
+model on each bucket, and the copies are averaged (an id's vector by how often a
+bucket has the id).  The result does not depend on how the table is split.  The
+scoring pass keeps a broadcast table of the most frequent words (at most
+``COMMON`` of them) and sends every other word to a join with the counts.
 
 Defined results: null text is empty and scores its end alone; rows with null id
 never train; repeated rows train and score as often as they occur; without
@@ -39,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodframe.llm.store import written
-from moodframe.llm.words import WordTable, cut_at_punctuation, hashes, lowered, mix, slices, utf8, word_bounds
+from moodframe.llm.words import WordTable, cut_at_punctuation, lowered, mix, slices, utf8, word_bounds
 
 WINDOW, OVERLAP = 32, 4
 DIM, HIDDEN, CLASSES, OWN = 16, 16, 64, 48
 #: Rounds that the training texts are split over, windows of a bucket and of a
 #: step, and ids of a block of vectors.
 FIT_ROUNDS, BUCKET, STEP, IDS = 2, 1 << 15, 256, 1024
+#: Windows that go through the layers at once: their arrays stay in a core's cache.
+CHUNK = 64
 RATES = (0.004, 0.002)
 #: Most frequent words that are broadcast (16 bytes each).
 COMMON = 1 << 18
@@ -73,10 +76,22 @@ class Subwords:
         n = np.array([len(f) for f in found], np.int64)
         return np.fromiter((i for f in found for i in f), np.uint32, int(n.sum())), n
 
-    def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(table rows of the pieces of words, starts of the pieces)."""
-        s, e, begins = cut_at_punctuation(data, starts, ends)
-        return self.table.rows(lowered(data), s, e, begins), s
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, id bounds) of a column of texts."""
+        data, offsets = utf8(column)
+        starts, ends, begins = cut_at_punctuation(data, *word_bounds(data, offsets))
+        ids, n = self.table.ids(self.table.rows(lowered(data), starts, ends, begins))
+        return ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, offsets)]
+
+    def words(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each word, word bounds of the texts): a word is the ids from one
+        that begins with a space to the next, and no other word has the same."""
+        starts = np.flatnonzero(self.begins[ids])
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+        place = np.arange(len(ids)) - np.repeat(starts, np.diff(starts, append=len(ids)))
+        each = mix(ids.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(32)), 45)
+        return np.add.reduceat(each, starts), np.searchsorted(starts, bounds)
 
 
 _tables: dict[str, Subwords] = {}
@@ -119,40 +134,50 @@ class Model:
         share = counts + 0.1
         self.within = np.log(share / np.bincount(self.cls, share, CLASSES)[self.cls])
 
-    def hidden(self, x: np.ndarray):
-        h = self.emb[x] + self.pos
-        q, k, v = h @ self.wq, h @ self.wk, h @ self.wv
-        a = q @ k.transpose(0, 2, 1) * np.float32(1 / math.sqrt(DIM))
-        a -= a.max(2, keepdims=True)
-        np.exp(a, out=a)
-        a *= CAUSAL
-        a /= np.maximum(a.sum(2, keepdims=True), np.float32(1e-30))
-        return h, q, k, v, a, h + a @ v
+    def mixing(self) -> np.ndarray:
+        """Attention between two positions is h_i @ mixing @ h_j."""
+        return (self.wq @ self.wk.T) * (1 / math.sqrt(DIM))
 
-    def attended(self, x: np.ndarray) -> np.ndarray:
-        """The last of ``hidden`` alone: weights are bounded instead of lowered
+    def attended(self, x: np.ndarray, mixing: np.ndarray) -> np.ndarray:
+        """Vectors after the attention layer: weights are bounded instead of lowered
         by their largest, and a column of ones sums them in the same product."""
-        h = self.emb[x] + self.pos
-        a = (h @ (self.wq * np.float32(1 / math.sqrt(DIM)))) @ (h @ self.wk).transpose(0, 2, 1)
+        n, kind = len(x), self.emb.dtype
+        room = lambda name, *shape: _room(name, shape, kind)
+        h = np.take(self.emb, x, 0, room("h", n, WINDOW, DIM), "clip")
+        h += self.pos
+        flat = h.reshape(-1, DIM)
+        hm = np.matmul(flat, mixing, out=room("hm", n * WINDOW, DIM)).reshape(h.shape)
+        a = np.matmul(hm, h.transpose(0, 2, 1), out=room("e", n, WINDOW, WINDOW))
         np.minimum(a, np.float32(30), out=a)
         np.exp(a, out=a)
         a *= CAUSAL
-        v = np.ones((*h.shape[:2], DIM + 1), np.float32)
-        v[:, :, :DIM] = h @ self.wv
-        got = a @ v
-        return h + got[:, :, :DIM] / np.maximum(got[:, :, DIM:], np.float32(1e-30))
+        v = room("v", n, WINDOW, DIM + 1)
+        v[:, :, :DIM] = np.matmul(flat, self.wv, out=room("hv", n * WINDOW, DIM)).reshape(h.shape)
+        v[:, :, DIM] = 1
+        got = np.matmul(a, v, out=room("got", n, WINDOW, DIM + 1))
+        h += np.multiply(got[:, :, :DIM], 1 / np.maximum(got[:, :, DIM:], np.float32(1e-30)), out=hm)
+        return h
 
     def class_scores(self, h: np.ndarray) -> np.ndarray:
-        return np.maximum(h @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        """Scores of the classes of the next id, of vectors after attention."""
+        u = np.matmul(h, self.w1, out=_room("hid", (len(h), HIDDEN), h.dtype))
+        u += self.b1
+        one = _room("u", (len(h), HIDDEN + 1), h.dtype)
+        np.maximum(u, 0, out=one[:, :HIDDEN])
+        one[:, HIDDEN] = 1
+        return np.matmul(one, np.vstack([self.w2, self.b2]), out=_room("p", (len(h), CLASSES), h.dtype))
 
     def log_shares(self, x: np.ndarray, y: np.ndarray, first: int) -> np.ndarray:
         """ln P of the next ids ``y`` [b, WINDOW - first] after positions >= first."""
-        z = self.class_scores(np.ascontiguousarray(self.attended(x)[:, first:]).reshape(-1, DIM))
-        np.clip(z, -60, 60, out=z)
-        c = self.cls[y]
-        picked = z[np.arange(len(z)), c.reshape(-1)].reshape(c.shape)
-        np.exp(z, out=z)
-        return picked - np.log(z @ np.ones(CLASSES, np.float32)).reshape(c.shape) + self.within[y]
+        mixing, c, out = self.mixing(), self.cls[y], np.empty(y.shape)
+        for i in range(0, len(x), CHUNK):
+            part = c[i : i + CHUNK]
+            z = self.class_scores(self.attended(x[i : i + CHUNK], mixing)[:, first:].reshape(-1, DIM))
+            np.clip(z, -60, 60, out=z)
+            picked = z.reshape(-1)[np.arange(0, z.size, CLASSES) + part.reshape(-1)]
+            np.exp(z, out=z)
+            out[i : i + CHUNK] = (picked - np.log(z @ np.ones(CLASSES, z.dtype))).reshape(part.shape)
+        return out + self.within[y]
 
     def gradient(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict]:
         """Mean class loss over the real targets and its gradient."""
@@ -163,59 +188,162 @@ class Model:
 
     def slopes(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """``gradient`` with the vectors' part for the ids of ``x`` alone, which
-        come third."""
-        h, q, k, v, a, s = self.hidden(x)
-        u = np.maximum(s @ self.w1 + self.b1, 0)
-        z = u @ self.w2 + self.b2
-        z -= z.max(2, keepdims=True)
-        p = np.exp(z)
-        total = p.sum(2, keepdims=True)
-        p /= total
-        c = self.cls[y]
+        come third.  Windows go through in chunks that a core's cache holds."""
         n = max(1, int(real.sum()))
-        picked = np.take_along_axis(z, c[:, :, None], 2)[:, :, 0] - np.log(total[:, :, 0])
-        loss = -float((picked * real).sum()) / n
-        np.put_along_axis(p, c[:, :, None], np.take_along_axis(p, c[:, :, None], 2) - 1, 2)
-        dz = p * (real / n).astype(p.dtype)[:, :, None]
+        kind = self.emb.dtype
+        mixing, w2 = self.mixing(), np.vstack([self.w2, self.b2])
+        sums = [np.zeros((DIM, DIM), kind), np.zeros((DIM, DIM), kind), np.zeros((DIM, HIDDEN), kind), np.zeros(HIDDEN, kind), np.zeros(CLASSES, kind), np.zeros((HIDDEN, CLASSES), kind)]
+        dh = np.empty((*x.shape, DIM), kind)
+        loss = 0.0
+        for i in range(0, len(x), CHUNK):
+            at = slice(i, i + CHUNK)
+            loss += self._chunk(x[at], self.cls[y[at]], real[at], mixing, w2, sums, dh[at])
+        dh /= n
+        for one in sums:
+            one /= n
+        mix_g, wv, w1, b1, b2, w2 = sums
+        scale = 1 / math.sqrt(DIM)
+        g = {"pos": dh.sum(0), "wq": mix_g @ self.wk * scale, "wk": mix_g.T @ self.wq * scale, "wv": wv, "w1": w1, "b1": b1, "w2": w2, "b2": b2}
+        held = np.zeros(len(self.emb), bool)
+        held[x] = True
+        ids = np.flatnonzero(held)
+        place = np.zeros(len(self.emb), np.int64)
+        place[ids] = np.arange(0, DIM * len(ids), DIM)
+        cell = place[x.reshape(-1)][:, None] + np.arange(DIM)
+        g["emb"] = np.bincount(cell.reshape(-1), dh.reshape(-1), DIM * len(ids)).reshape(-1, DIM).astype(kind)
+        return loss / n, g, ids
+
+    def _chunk(self, x: np.ndarray, c: np.ndarray, real: np.ndarray, mixing: np.ndarray, w2: np.ndarray, sums: list[np.ndarray], dh: np.ndarray) -> float:
+        """Loss of a chunk, summed; adds its slopes to ``sums`` and sets ``dh``, the
+        slopes of its positions' vectors.  Weights stay undivided by their sums
+        (``e``, ``p``): the rows beside them are divided instead."""
+        n, kind = len(x), self.emb.dtype
+        room = lambda name, *shape: _room(name, shape, kind)
         flat = lambda m: m.reshape(-1, m.shape[2])
-        g = {"w2": flat(u).T @ flat(dz), "b2": flat(dz).sum(0)}
-        du = (dz @ self.w2.T) * (u > 0)
-        g |= {"w1": flat(s).T @ flat(du), "b1": flat(du).sum(0)}
-        ds = du @ self.w1.T
-        da = ds @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ ds
-        da = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(1 / math.sqrt(DIM))
-        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        dh = ds + dq @ self.wq.T + dk @ self.wk.T + dv @ self.wv.T
-        g |= {"wq": flat(h).T @ flat(dq), "wk": flat(h).T @ flat(dk), "wv": flat(h).T @ flat(dv), "pos": dh.sum(0)}
-        ids = x.reshape(-1)
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        g["emb"] = np.add.reduceat(flat(dh)[order], first)
-        return loss, g, ids[order[first]]
+        ones = np.ones(CLASSES, kind)
+        h = np.take(self.emb, x, 0, room("h", n, WINDOW, DIM), "clip")
+        h += self.pos
+        hm = np.matmul(flat(h), mixing, out=room("hm", n * WINDOW, DIM)).reshape(h.shape)
+        v = room("v", n, WINDOW, DIM + 1)
+        v[:, :, :DIM] = np.matmul(flat(h), self.wv, out=room("hv", n * WINDOW, DIM)).reshape(h.shape)
+        v[:, :, DIM] = 1
+        e, got = room("e", n, WINDOW, WINDOW), room("got", n, WINDOW, DIM + 1)
+        for lower in (False, True):
+            np.matmul(hm, h.transpose(0, 2, 1), out=e)
+            _exp(e, lower)
+            e *= CAUSAL
+            np.matmul(e, v, out=got)
+            if _in_range(got[:, :, DIM]):
+                break
+        r = 1 / np.maximum(got[:, :, DIM:], 1e-30)
+        o = np.multiply(got[:, :, :DIM], r, out=room("o", *h.shape))
+        s = flat(np.add(h, o, out=room("s", *h.shape)))
+        hid = np.matmul(s, self.w1, out=room("hid", len(s), HIDDEN))
+        hid += self.b1
+        np.maximum(hid, 0, out=hid)
+        u = room("u", len(s), HIDDEN + 1)
+        u[:, :HIDDEN] = hid
+        u[:, HIDDEN] = 1
+        at = np.arange(0, len(s) * CLASSES, CLASSES) + c.reshape(-1)
+        p = room("p", len(s), CLASSES)
+        for lower in (False, True):
+            np.matmul(u, w2, out=p)
+            if lower:
+                p -= p.max(1, keepdims=True)
+            picked = p.reshape(-1)[at]
+            _exp(p, False)
+            total = p @ ones
+            if _in_range(total):
+                break
+        w = real.reshape(-1)
+        loss = -float(((picked - np.log(total)) * w).sum())
+        p.reshape(-1)[at] -= total
+        share = (w / total).astype(kind)
+        sums[4] += share @ p
+        du = np.matmul(p, self.w2.T, out=room("du", len(s), HIDDEN))
+        du *= share[:, None]
+        du *= hid > 0
+        hid *= share[:, None]
+        sums[5] += hid.T @ p
+        sums[2] += s.T @ du
+        sums[3] += np.ones(len(du), kind) @ du
+        ds = np.matmul(du, self.w1.T, out=room("ds", len(s), DIM)).reshape(h.shape)
+        d, dr = room("d", n, WINDOW, DIM + 1), np.multiply(ds, r, out=room("dr", *h.shape))
+        d[:, :, :DIM] = dr
+        o *= dr
+        d[:, :, DIM] = (flat(o) @ -ones[:DIM]).reshape(n, WINDOW)
+        de = np.matmul(d, v.transpose(0, 2, 1), out=room("de", *e.shape))
+        de *= e
+        dv = flat(np.matmul(e.transpose(0, 2, 1), dr, out=room("dv", *h.shape)))
+        dm = flat(np.matmul(de, h, out=room("dm", *h.shape)))
+        sums[0] += flat(h).T @ dm
+        sums[1] += flat(h).T @ dv
+        np.matmul(de.transpose(0, 2, 1), hm, out=dh)
+        dh += ds
+        dh += np.matmul(dm, mixing.T, out=flat(hm)).reshape(h.shape)
+        dh += np.matmul(dv, self.wv.T, out=flat(hm)).reshape(h.shape)
+        return loss
 
     def train(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, steps: int, batch: int = 96, rate: float = 0.01, seed: int = 0, once: bool = False) -> list[float]:
         """Adam over random batches of windows (``once``: over consecutive ones);
         the rate falls linearly.  A step moves the vectors of its own ids."""
         rng = np.random.default_rng(seed)
-        m1 = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
-        m2 = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
+        layers = [n for n in self.NAMES if n != "emb"]
+        # the layers lie in one array, so that one update moves them all
+        flat, at = np.concatenate([getattr(self, n).reshape(-1) for n in layers]), 0
+        for name in layers:
+            own = getattr(self, name)
+            setattr(self, name, flat[at : at + own.size].reshape(own.shape))
+            at += own.size
+        moved = [(flat[:, None], np.zeros((len(flat), 2), flat.dtype)), (self.emb, np.zeros((len(self.emb), 2 * DIM), flat.dtype))]
         losses = []
         for step in range(1, steps + 1):
             pick = slice((step - 1) * batch, step * batch) if once else rng.integers(0, len(x), batch)
             loss, g, ids = self.slopes(x[pick], y[pick], real[pick])
             losses.append(loss)
             lr = rate * (1 - (step - 1) / steps)
-            for name in self.NAMES:
-                at = ids if name == "emb" else ...
-                a, b = m1[name][at], m2[name][at]
-                a = a + 0.1 * (g[name] - a)
-                b = b + 0.01 * (g[name] ** 2 - b)
-                m1[name][at], m2[name][at] = a, b
-                getattr(self, name)[at] -= (lr / (1 - 0.9**step)) * a / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+            new = np.concatenate([g[n].reshape(-1) for n in layers])[:, None], g["emb"]
+            for (own, moments), slope, rows in zip(moved, new, (np.arange(len(flat)), ids)):
+                held, wide = np.take(moments, rows, 0, mode="clip"), own.shape[1]
+                a, b = held[:, :wide], held[:, wide:]
+                a += 0.1 * (slope - a)
+                slope *= slope
+                b += 0.01 * (slope - b)
+                moments[rows] = held
+                by = b * (1 / (1 - 0.99**step))
+                np.sqrt(by, out=by)
+                by += 1e-8
+                np.divide(a, by, out=by)
+                by *= lr / (1 - 0.9**step)
+                own[rows] = np.take(own, rows, 0, mode="clip") - by
         return losses
 
 
+_rooms: dict[tuple, np.ndarray] = {}
+
+
+def _room(name: str, shape: tuple, kind: np.dtype) -> np.ndarray:
+    """An array of that shape whose memory every call for this name gives out."""
+    size = math.prod(shape)
+    held = _rooms.get((name, kind))
+    if held is None or len(held) < size:
+        held = _rooms[name, kind] = np.empty(size, kind)
+    return held[:size].reshape(shape)
+
+
+def _exp(z: np.ndarray, lower: bool) -> None:
+    """Powers in place, of rows lowered by their largest if asked for."""
+    if lower:
+        z -= z.max(-1, keepdims=True)
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(z, out=z)
+
+
+def _in_range(sums: np.ndarray) -> bool:
+    """Whether sums of powers are far from a float's bounds (and no NaN)."""
+    return bool(sums.min() > 1e-25 and sums.max() < 1e25)
+
+
 CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
@@ -256,17 +384,45 @@ def score_texts(model: Model, ids: np.ndarray, bounds: np.ndarray, end: int, bat
 
 def _laid_out(sub: Subwords, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, word bounds, ids, id bounds) of a column of texts."""
-    data, offsets = utf8(column)
-    starts, ends = word_bounds(data, offsets)
-    word = hashes(data, starts, ends)
-    rows, pieces = sub.rows(data, starts, ends)
-    ids, n = sub.table.ids(rows)
-    at = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(pieces, offsets)]
-    return word, np.searchsorted(starts, offsets), ids, at
+    ids, at = sub.read(column)
+    return *sub.words(ids, at), ids, at
+
 
+def read_texts(rows: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``rows`` with ``ids`` (those of a whole text, see ``_id_type``) in place of
+    ``text``, written: later steps read them and no text again."""
+    kind = _id_type(subwords(path, pattern))
+    keep = [c for c in rows.columns if c != "text"]
 
-def count_corpus(train: DataFrame, path: str, pattern: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub = subwords(path, pattern)
+        for batch in batches:
+            for b in slices(batch, "text"):
+                ids, at = sub.read(b.column("text"))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), _binary(ids.astype(kind), at)], names=[*keep, "ids"])
+
+    schema = rows.select(*keep, F.lit(None).cast("binary").alias("ids")).schema
+    return written(rows.mapInArrow(run, schema), "lm-ids", compression="zstd")
+
+
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Runs of values as bytes."""
+    offsets = (np.asarray(bounds) * values.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds) of what ``_binary`` made."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]].view(kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
+def count_corpus(read: DataFrame, path: str, pattern: str) -> DataFrame:
     """(kind, key, n): kind 0 word hash, 1 subword id, 2 the number of texts."""
+    kind = _id_type(subwords(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = subwords(path, pattern)
@@ -274,9 +430,9 @@ def count_corpus(train: DataFrame, path: str, pattern: str) -> DataFrame:
         id_counts = np.zeros(sub.size, np.int64)
         texts = 0
         for batch in batches:
-            for b in slices(batch, "text"):
-                word, _, ids, _ = _laid_out(sub, b.column("text"))
-                kept.append(word)
+            for b in slices(batch, "ids"):
+                ids, at = _values(b.column("ids"), kind)
+                kept.append(sub.words(ids, at)[0])
                 id_counts += np.bincount(ids, minlength=sub.size)
                 texts += b.num_rows
                 if sum(map(len, kept)) >= FLUSH:
@@ -297,30 +453,30 @@ def count_corpus(train: DataFrame, path: str, pattern: str) -> DataFrame:
             [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"]
         )
 
-    return train.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return read.select("ids").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def fit_windows(texts: DataFrame, path: str, pattern: str, buckets: int) -> DataFrame:
-    """(bucket, key, window) of all windows of ``texts`` (id, text); a window is
-    its WINDOW + 1 ids and the bits of its scored targets."""
+def fit_windows(read: DataFrame, path: str, pattern: str, buckets: int) -> DataFrame:
+    """(bucket, key, window) of all windows of texts (id, ids); a window is its
+    WINDOW + 1 ids and the bits of its scored targets."""
     kind = _id_type(subwords(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = subwords(path, pattern)
         for batch in batches:
-            for b in slices(batch, "text"):
-                _, _, ids, at = _laid_out(sub, b.column("text"))
+            for b in slices(batch, "ids"):
+                ids, at = _values(b.column("ids"), kind)
                 x, y, scored, text = windows(ids, at, sub.end)
                 nth = np.arange(len(text)) - np.searchsorted(text, text)
                 own = b.column("key").to_numpy().astype(np.int64).view(np.uint64)[text]
                 key = mix(own + nth.astype(np.uint64), 43)
                 raw = np.concatenate([np.concatenate([x, y[:, -1:]], 1).astype(kind).view(np.uint8), np.packbits(scored, 1)], 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((key % np.uint64(buckets)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array([r.tobytes() for r in raw], pa.binary())],
+                    [pa.array((key % np.uint64(buckets)).astype(np.int32)), pa.array(key.view(np.int64)), _binary(raw, np.arange(len(raw) + 1) * raw.shape[1])],
                     names=["bucket", "key", "window"],
                 )
 
-    keyed = texts.select(F.xxhash64(F.lit(44), "id").alias("key"), "text")
+    keyed = read.select(F.xxhash64(F.lit(44), "id").alias("key"), "ids")
     return keyed.mapInArrow(run, "bucket int, key long, window binary")
 
 
@@ -329,16 +485,16 @@ def _id_type(sub: Subwords) -> type:
     return np.uint16 if sub.size <= 1 << 16 else np.uint32
 
 
-def _read_windows(raw: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+def _read_windows(raw: list[np.ndarray], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     width = np.dtype(kind).itemsize * (WINDOW + 1)
+    rows = np.concatenate(raw).reshape(-1, width + WINDOW // 8)
     ids = np.ascontiguousarray(rows[:, :width]).view(kind).astype(np.int64)
     return ids[:, :-1], ids[:, 1:], np.unpackbits(rows[:, width:], 1)[:, :WINDOW].astype(bool)
 
 
-def train_round(model: Model, texts: DataFrame, path: str, pattern: str, buckets: int, rate: float) -> None:
-    """Train ``model`` on all windows of ``texts``: a copy per bucket, averaged."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def train_round(model: Model, read: DataFrame, path: str, pattern: str, buckets: int, rate: float) -> None:
+    """Train ``model`` on all windows of texts (id, ids): a copy per bucket, averaged."""
+    shared = read.sparkSession.sparkContext.broadcast(model)
     layers = [n for n in Model.NAMES if n != "emb"]
     kind = _id_type(subwords(path, pattern))
 
@@ -347,7 +503,7 @@ def train_round(model: Model, texts: DataFrame, path: str, pattern: str, buckets
         emb, used = np.zeros(start.emb.shape, np.float64), np.zeros(len(start.emb))
         rest, n = {name: np.zeros(getattr(start, name).shape) for name in layers}, 0
 
-        def learn(raw: list[bytes]) -> None:
+        def learn(raw: list[np.ndarray]) -> None:
             nonlocal n
             copy = Model.__new__(Model)
             copy.cls, copy.within = start.cls, start.within
@@ -364,7 +520,7 @@ def train_round(model: Model, texts: DataFrame, path: str, pattern: str, buckets
 
         held, at = [], None
         for b in batches:
-            bucket, window = b.column("bucket").to_numpy(), b.column("window").to_pylist()
+            bucket, (window, bounds) = b.column("bucket").to_numpy(), _values(b.column("window"), np.uint8)
             cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
             for a, z in zip(cuts, cuts[1:]):
                 if a == z:
@@ -373,7 +529,7 @@ def train_round(model: Model, texts: DataFrame, path: str, pattern: str, buckets
                     learn(held)
                     held = []
                 at = bucket[a]
-                held += window[a:z]
+                held.append(window[bounds[a] : bounds[z]])
         if held:
             learn(held)
         if n:
@@ -389,7 +545,7 @@ def train_round(model: Model, texts: DataFrame, path: str, pattern: str, buckets
             total += np.frombuffer(raw)
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "n": [pdf["n"].sum()], "sums": [total.tobytes()]})
 
-    dealt = fit_windows(texts, path, pattern, buckets).repartition(min(2 * buckets, 1024), "bucket").sortWithinPartitions("bucket", "key")
+    dealt = fit_windows(read, path, pattern, buckets).repartitionById(min(buckets, 1024), "bucket").sortWithinPartitions("bucket", "key")
     sums = dealt.mapInArrow(run, "block int, n double, sums binary")
     # one row a block of ids: as much as the model
     for r in sums.groupBy("block").applyInPandas(add, "block int, n double, sums binary").collect():
@@ -407,10 +563,11 @@ def train_round(model: Model, texts: DataFrame, path: str, pattern: str, buckets
     shared.unpersist()
 
 
-def fit_model(train: DataFrame, n_train: int, id_counts: np.ndarray, path: str, pattern: str, fit_rows: int = 1200, steps: int = 500, max_bytes: int = 32 << 10, seed: int = 7) -> Model:
+def fit_model(train: DataFrame, n_train: int, id_counts: np.ndarray, path: str, pattern: str, fit_rows: int = 1200, steps: int = 500, max_bytes: int = 32 << 10, seed: int = 7, read: DataFrame | None = None) -> Model:
     """Start the layers on at most ``fit_rows`` training texts of up to
     ``max_bytes`` bytes each, chosen by the hash of their id, and train them on
-    all training texts, of any length, each in one round."""
+    all training texts, of any length, each in one round.  ``read``: the ids of
+    ``train``, where they are already there (see ``read_texts``)."""
     sub = subwords(path, pattern)
     model = Model(sub.size, seed)
     model.set_classes(id_counts.astype(float), sub.begins, sub.end)
@@ -423,8 +580,10 @@ def fit_model(train: DataFrame, n_train: int, id_counts: np.ndarray, path: str,
         model.train(x, y, scored, steps, seed=seed)
     turn = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(FIT_ROUNDS))
     count = (float(id_counts.sum()) / (WINDOW - OVERLAP) + n_train) / FIT_ROUNDS
+    if n_train and read is None:
+        read = read_texts(train.select("id", "text"), path, pattern)
     for r in range(FIT_ROUNDS if n_train else 0):
-        train_round(model, train.filter(turn == r), path, pattern, max(1, math.ceil(count / BUCKET)), RATES[r])
+        train_round(model, read.filter(turn == r), path, pattern, max(1, math.ceil(count / BUCKET)), RATES[r])
     return model
 
 
@@ -451,8 +610,9 @@ def score_corpus(docs: DataFrame, held_out, path: str, pattern: str, id_col: str
     row; rows where ``held_out`` (a Column) is false are the training rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
-    train = rows.filter(~F.col("held_out") & F.col("id").isNotNull())
-    counts = written(count_corpus(train, path, pattern), "lm-counts")
+    read = read_texts(rows, path, pattern)
+    trains = ~F.col("held_out") & F.col("id").isNotNull()
+    counts = written(count_corpus(read.filter(trains), path, pattern), "lm-counts")
     words = counts.filter("kind = 0").select("key", "n")
     total, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     small = counts.filter("kind > 0").collect()  # <= one row per subword id
@@ -464,20 +624,24 @@ def score_corpus(docs: DataFrame, held_out, path: str, pattern: str, id_col: str
             id_counts[r["key"]] = r["n"]
     id_counts[size - 1] = n_train
     big_n, big_v = (total or 0) + n_train, (distinct or 0) + (1 if n_train else 0)
-    model = fit_model(train, n_train, id_counts, path, pattern, fit_rows, steps)
+    model = fit_model(rows.filter(trains), n_train, id_counts, path, pattern, fit_rows, steps, read=read.filter(trains))
     known, known_n = common_words(words)
     shared = spark.sparkContext.broadcast((model, known, np.log10(known_n + 0.1)))
     end_share = math.log10(n_train + 0.1)
+    kind = _id_type(subwords(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, share = shared.value
         sub = subwords(path, pattern)
         number = 0
         for batch in batches:
-            for b in slices(batch, "text"):
-                word, at, ids, id_at = _laid_out(sub, b.column("text"))
+            for b in slices(batch, "ids"):
+                ids, id_at = _values(b.column("ids"), kind)
+                word, at = sub.words(ids, id_at)
                 score = score_texts(model, ids, id_at, sub.end) / math.log(10)
-                near = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
+                # sorted words are looked up several times as fast
+                order, near = np.argsort(word), np.empty(len(word), np.int64)
+                near[order] = np.minimum(np.searchsorted(known, word[order]), max(0, len(known) - 1))
                 hit = known[near] == word if len(known) else np.zeros(len(word), bool)
                 text = np.repeat(np.arange(b.num_rows), np.diff(at))
                 sums = np.bincount(text[hit], share[near[hit]], b.num_rows)
@@ -500,7 +664,7 @@ def score_corpus(docs: DataFrame, held_out, path: str, pattern: str, id_col: str
                 )
                 number += b.num_rows
 
-    frame = rows.withColumn("part", F.spark_partition_id())
+    frame = read.withColumn("part", F.spark_partition_id())
     id_type = frame.schema["id"].dataType.simpleString()
     scored = written(
         frame.mapInArrow(run, f"number long, id {id_type}, held_out boolean, part int, n_tokens long, seen long, sums double, score double, rare array<bigint>"),

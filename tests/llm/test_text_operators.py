@@ -268,6 +268,54 @@ def test_lm_trains_on_every_training_text(spark):
     assert all(moved[o].all() for o in own) and not moved[counts == 0].any()
 
 
+def test_lm_words_by_their_ids():
+    """Two words have one hash where their lowered bytes are the same, else not."""
+    import public_tokenizers
+
+    sub = lm.subwords(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = ["The the  THE the. the.end\tthe's (the) x", None, "", " \n", "end. the", "\u00c9t\u00e9 \u00e9t\u00e9 a\u00a0b a " + "ab" * 700 + " " + "ab" * 699 + "ba"]
+    word, at, ids, _ = lm._laid_out(sub, pa.array(texts, pa.string()))
+    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    said = [w.translate(fold) for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    assert len(word) == len(said) == at[-1] and at.tolist()[1:5] == [8, 8, 8, 8]
+    assert len(set(zip(word.tolist(), said))) == len(set(word.tolist())) == len(set(said))
+    empty = lm._laid_out(sub, pa.array([], pa.string()))
+    assert [len(a) for a in empty] == [0, 1, 0, 1]
+
+
+def test_lm_reads_each_text_once(spark, monkeypatch):
+    """Texts become ids in one pass; counts, both rounds and scores read the ids."""
+    import public_tokenizers
+
+    took, reads = [], []
+    read_texts, count_corpus, train_round = lm.read_texts, lm.count_corpus, lm.train_round
+    monkeypatch.setattr(lm, "read_texts", lambda rows, *a: reads.append(rows.columns) or read_texts(rows, *a))
+    monkeypatch.setattr(lm, "count_corpus", lambda rows, *a: took.append(rows.columns) or count_corpus(rows, *a))
+    monkeypatch.setattr(lm, "train_round", lambda model, rows, *a: took.append(rows.columns) or train_round(model, rows, *a))
+    docs = spark.createDataFrame([(i, f"the cat {i}" if i % 4 else None) for i in range(12)], "doc_id long, text string")
+    got = lm.score_corpus(docs, F.col("doc_id") == 5, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, steps=2)
+    assert got.count() == 12
+    assert len(reads) == 1 and len(took) == 1 + lm.FIT_ROUNDS and all("ids" in c and "text" not in c for c in took)
+
+
+def test_lm_gradient_of_scores_beyond_a_floats_powers():
+    """Attention and class scores of some hundreds: slopes as in double precision."""
+    rng = np.random.default_rng(3)
+    plain = lm.Model(200, 3)
+    plain.set_classes(rng.integers(0, 50, 200).astype(float), rng.random(200) < 0.5, 199)
+    plain.wq *= 30
+    plain.w2 *= 40
+    plain.b2 -= 300
+    x, y, real, _ = lm.windows(rng.integers(0, 199, 3000), np.array([0, 40, 3000]), 199)
+    loss, g = plain.gradient(x, y, real)
+    for name in plain.NAMES:
+        setattr(plain, name, getattr(plain, name).astype(np.float64))
+    exact, slope = plain.gradient(x, y, real)
+    assert loss == pytest.approx(exact, rel=1e-3)
+    for name in plain.NAMES:
+        assert np.isfinite(g[name]).all() and np.abs(g[name] - slope[name]).max() <= 2e-2 * np.abs(slope[name]).max()
+
+
 def test_language_of_long_documents_alone(spark):
     words = {"en": "the house of people and river runs through old town", "xx": "zorum qatil ebbo vunra séki molta druhn pali"}
     rng = np.random.default_rng(4)
